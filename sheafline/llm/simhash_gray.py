@@ -81,8 +81,8 @@ def masks(blocks: int, limit: int = LIMIT) -> list[int]:
 
 
 def blocks_for(n: int, limit: int = LIMIT) -> int:
-    """Fewest blocks with which chance puts at most CHANCE of ``n`` codes into a group."""
-    blocks = limit + 1
+    """Fewest blocks, two more than the limit at least, with which chance puts at most CHANCE of ``n`` codes into a group."""
+    blocks = limit + 2
     while blocks < limit + 4 and n / 2 ** (BITS * (blocks - limit) / blocks) > CHANCE:
         blocks += 1
     return blocks
