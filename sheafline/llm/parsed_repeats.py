@@ -25,14 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RollingHash, grouped, mix64, stored, table
+from .common import RollingHash, grouped, mix64, small_batches, stored, table
 
 LENGTH = 200
 #: Bytes that the rolling hash covers.
 STRETCH = 64
-BATCH_BYTES = 2_000_000
+#: Bytes of text that one step works on; it takes some hundred bytes of memory for each.
+BATCH_BYTES = 1_000_000
 #: A trigger with more distinct phrases is counted string by string, over all tasks.
-LARGE_GROUP = 4_096
+LARGE_GROUP = 2_048
 
 _PHRASE = "rid bigint, lo int, hi int, trigger bigint, phrase bigint"
 _HARD = "trigger bigint, rid bigint, lo int, n bigint, body binary"
@@ -141,11 +142,9 @@ def _ordered(length: int):
             return pa.RecordBatch.from_pydict({"rid": pa.array(np.repeat(rid, n)), "lo": pa.array((base + first).astype(np.int32)), "hi": pa.array((base + last).astype(np.int32))})
 
         held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            held.append(batch)
-            if sum(x.nbytes for x in held) < 4_000_000:
+        for part in (batch.slice(a, 1_000) for batch in batches for a in range(0, len(batch), 1_000)):
+            held.append(part)
+            if sum(x.nbytes for x in held) < BATCH_BYTES:
                 continue
             rows = pa.Table.from_batches(held)
             trigger = rows.column("trigger").to_numpy()
@@ -290,4 +289,5 @@ def op6_parsed_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return remove_repeats(docs)
