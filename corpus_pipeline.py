@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sheafline.llm.bpe_tree import bpe_round_trip
-from sheafline.llm.common import stored
+from sheafline.llm.common import small_batches, stored
 from sheafline.llm.language_tree import language_stage
 from sheafline.llm.parsed_repeats import repeats_stage
 from sheafline.llm.qgram_leaks import leaks_stage
@@ -16,6 +16,7 @@ def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """The token count and digests of each document that is left."""
     import public_tokenizers
 
+    small_batches(spark)
     return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), digest=True)
 
 

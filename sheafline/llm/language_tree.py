@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, grouped, mix64, table, texts_of
+from .common import crc32_of_id, grouped, mix64, small_batches, table, texts_of
 from .linear import logistic, train_logistic, train_svm
 
 #: Documents that the model is fitted on, at most; they are those with the smallest hash of doc_id.
@@ -175,6 +175,7 @@ def op4_language_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in which a language is found; those that are ``und`` go."""
+    small_batches(spark)
     tree = fit(docs.where(~held_out()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import grouped, mix64, table, texts_of
+from .common import grouped, mix64, small_batches, table, texts_of
 
 #: Characters of a q-gram; eight codes of one byte fill a word.
 Q = 8
@@ -203,6 +203,7 @@ def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leaks_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no benchmark item."""
+    small_batches(spark)
     for index in blocks_of(table(spark, sf_dir, "benchmark")):
 
         def run(batches: Iterator[pa.RecordBatch], index: ItemIndex = index) -> Iterator[pa.RecordBatch]:

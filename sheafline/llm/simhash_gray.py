@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import small_batches, stored, table
 from .components import components, local_roots
 
 BITS = 64
@@ -243,6 +243,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of several rows with that doc_id the one whose text hashes lowest stays. Rows
     without a doc_id can't be told apart and stay.
     """
+    small_batches(spark)
     groups = simhash_groups(docs.where("doc_id is not null"))
     gone = stored(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
