@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import RollingHash, grouped, mix64, stored, table
+from .common import RollingHash, grouped, mix64, table
 
 #: Bytes in a shingle; a shorter text is one shingle.
 SHINGLE = 16
@@ -94,7 +94,8 @@ def edited(text: str, following: str) -> str:
 
 
 _PAIR = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_ROWS = f"part int, kind int, head_id bigint, head_text string, {_PAIR}"
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((x, pa.string()) for x in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_EDGE = "part int, last boolean, doc_id bigint, text string"
 
 
 def _rows(ids: list, texts: list[str], follow: list[str]) -> dict:
@@ -112,44 +113,40 @@ def _rows(ids: list, texts: list[str], follow: list[str]) -> dict:
     }
 
 
-def _schema(with_ends: bool) -> pa.Schema:
-    fields = [("doc_id", pa.int64()), ("n_chars", pa.int64()), *((x, pa.string()) for x in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())]
-    return pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("head_id", pa.int64()), ("head_text", pa.string()), *fields] if with_ends else fields)
-
-
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one range in order: all but the last with its successor; the first and last texts apart."""
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    schema = _schema(True)
-
-    def end(kind: int, doc_id, text: str) -> pa.RecordBatch:
-        row = dict.fromkeys(schema.names) | {"part": part, "kind": kind, "head_id": doc_id, "head_text": text}
-        return pa.RecordBatch.from_pylist([row], schema)
-
+    """What the query returns for the rows of one range, in order, but for the last one."""
     held: tuple | None = None
     for batch in batches:
         ids, texts = batch.column("doc_id").to_pylist(), [x or "" for x in batch.column("text").to_pylist()]
         if not ids:
             continue
-        if held is None:
-            yield end(0, ids[0], texts[0])
-        else:
+        if held is not None:
             ids, texts = [held[0], *ids], [held[1], *texts]
         for a, b in grouped(texts[:-1], BATCH_BYTES):
-            rows = _rows(ids[a:b], texts[a:b], texts[a + 1 : b + 1])
-            n = b - a
-            yield pa.RecordBatch.from_pydict({"part": [part] * n, "kind": [2] * n, "head_id": [None] * n, "head_text": [None] * n} | rows, schema)
+            yield pa.RecordBatch.from_pydict(_rows(ids[a:b], texts[a:b], texts[a + 1 : b + 1]), _SCHEMA)
         held = ids[-1], texts[-1]
-    if held is not None:
-        yield end(1, *held)
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first and the last row of a range."""
+    from pyspark import TaskContext
+
+    part, last = TaskContext.get().partitionId(), None
+    schema = pa.schema([("part", pa.int32()), ("last", pa.bool_()), ("doc_id", pa.int64()), ("text", pa.string())])
+    for batch in batches:
+        if not len(batch):
+            continue
+        if last is None:
+            yield pa.RecordBatch.from_pylist([{"part": part, "last": False} | batch.slice(0, 1).to_pylist()[0]], schema)
+        last = batch.slice(len(batch) - 1).to_pylist()[0]
+    if last is not None:
+        yield pa.RecordBatch.from_pylist([{"part": part, "last": True} | last], schema)
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts, follow = (batch.column(x).to_pylist() for x in ("doc_id", "text", "follow"))
-        yield pa.RecordBatch.from_pydict(_rows(ids, [x or "" for x in texts], [x or "" for x in follow]), _schema(False))
+        yield pa.RecordBatch.from_pydict(_rows(ids, [x or "" for x in texts], [x or "" for x in follow]), _SCHEMA)
 
 
 def neighbour_likeness(docs: DataFrame) -> DataFrame:
@@ -164,14 +161,13 @@ def neighbour_likeness(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
     ranged = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), order[0], order[1]).sortWithinPartitions(*order)
-    done = stored(ranged.mapInArrow(_in_order, _ROWS), "likeness")
-    names = [x.split()[0] for x in _PAIR.split(", ")]
-    ends = done.filter("kind < 2").select("part", "kind", F.col("head_id").alias("doc_id"), F.col("head_text").alias("text"))
+    # Both readers share the shuffle; the sketches are not stored, as they take as much room as the text.
+    ends = ranged.mapInArrow(_edges, _EDGE)
     # Two rows a partition of the shuffle above: a number that the data do not set.
-    by = Window.orderBy("part", "kind")
-    pairs = ends.withColumn("follow", F.lead("text").over(by)).withColumn("first", F.first("text").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    pairs = pairs.withColumn("next_part", F.lead("part").over(by)).filter("kind = 1").select("doc_id", "text", F.when(F.col("next_part").isNull(), F.col("first")).otherwise(F.col("follow")).alias("follow"))
-    return done.filter("kind = 2").select(*names).unionByName(pairs.mapInArrow(_ends, _PAIR))
+    by = Window.orderBy("part", "last")
+    pairs = ends.withColumn("follow", F.lead("text").over(by)).withColumn("after", F.lead("part").over(by)).withColumn("first", F.first("text").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    pairs = pairs.where("last").select("doc_id", "text", F.when(F.col("after").isNull(), F.col("first")).otherwise(F.col("follow")).alias("follow"))
+    return ranged.mapInArrow(_in_order, _PAIR).unionByName(pairs.mapInArrow(_ends, _PAIR))
 
 
 def op10_document_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
