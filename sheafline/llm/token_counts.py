@@ -16,13 +16,25 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import grouped, stored, table, texts_of
+from .common import stored, table, texts_of
 
-#: Characters of text in a block; a block is held in memory by one task.
-BLOCK_CHARS = 8_000_000
+#: Characters of text in a block. A task holds the block's distinct pre-tokens and frequencies in memory, not its text.
+BLOCK_CHARS = 32_000_000
 LIMIT = 2048
 
-_BLOCK = "block string, doc_id array<bigint>, n_bytes array<bigint>, fixed array<bigint>, ends array<bigint>, ids binary, freqs binary, words array<string>"
+_BLOCK = "block bigint, doc_id array<bigint>, n_bytes array<bigint>, fixed array<bigint>, ends array<bigint>, ids binary, freqs binary, words array<string>"
+
+
+def _packed(x: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.compress(np.ascontiguousarray(x, "<i4").tobytes(), 3)
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.decompress(x), "<i4")
 
 
 class PreTokenizer:
@@ -61,33 +73,53 @@ class PreTokenizer:
         return text.lower() if text.isascii() else self.normalize(text)
 
 
-def _blocks(path: str, block_chars: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
+class Block:
+    """Frequencies of the pre-tokens of some documents, by place in the block's vocabulary."""
+
+    def __init__(self) -> None:
+        self.index: dict[str, int] = {}
+        self.doc_ids, self.sizes, self.fixed, self.ends = [], [], [], []
+        self.ids, self.freqs, self.chars, self.n = [], [], 0, 0
+
+    def add(self, doc_id, text: str, special: int, words: list[str]) -> None:
         from collections import Counter
 
+        counts = Counter(words)
+        index = self.index
+        ids = np.array([index.setdefault(w, len(index)) for w in counts], np.int32)
+        order = np.argsort(ids)  # words that are new to the block then follow each other
+        self.ids.append(ids[order])
+        self.freqs.append(np.fromiter(counts.values(), np.int32, len(counts))[order])
+        self.n += len(counts)
+        self.ends.append(self.n)
+        self.doc_ids.append(doc_id)
+        self.fixed.append(special)
+        self.sizes.append(len(text) if text.isascii() else len(text.encode()))
+        self.chars += len(text) + 1
+
+    def row(self) -> pa.RecordBatch:
+        import secrets
+
+        many = lambda x, kind=None: pa.array([x], pa.list_(kind or pa.int64()))
+        # The name only has to differ between blocks; a repeated task writes its blocks anew.
+        return pa.RecordBatch.from_pydict({
+            "block": pa.array([secrets.randbits(63)], pa.int64()), "doc_id": many(self.doc_ids), "n_bytes": many(self.sizes), "fixed": many(self.fixed), "ends": many(self.ends),
+            "ids": [_packed(np.diff(np.concatenate(self.ids), prepend=np.int32(0)))], "freqs": [_packed(np.concatenate(self.freqs))], "words": many(list(self.index), pa.string()),
+        })
+
+
+def _blocks(path: str, block_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = PreTokenizer(path)
+        block = Block()
         for batch in batches:
-            texts, doc_ids = texts_of(batch), batch.column("doc_id").to_pylist()
-            for a, b in grouped(texts, block_chars):
-                index: dict[str, int] = {}
-                fixed, sizes, ids, freqs, ends = [], [], [], [], []
-                n = 0
-                for text in texts[a:b]:
-                    special, words = split(text)
-                    counts = Counter(words)
-                    ids.extend([index.setdefault(w, len(index)) for w in counts])
-                    freqs.extend(counts.values())
-                    n += len(counts)
-                    ends.append(n)
-                    fixed.append(special)
-                    sizes.append(len(text) if text.isascii() else len(text.encode()))
-                # The name only has to differ between blocks; a repeated task writes its block anew.
-                yield pa.RecordBatch.from_pydict({
-                    "block": [uuid.uuid4().hex], "doc_id": pa.array([doc_ids[a:b]], pa.list_(pa.int64())), "n_bytes": pa.array([sizes], pa.list_(pa.int64())),
-                    "fixed": pa.array([fixed], pa.list_(pa.int64())), "ends": pa.array([ends], pa.list_(pa.int64())),
-                    "ids": [np.array(ids, np.int32).tobytes()], "freqs": [np.array(freqs, np.int32).tobytes()], "words": pa.array([list(index)], pa.list_(pa.string())),
-                })
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch), strict=True):
+                block.add(doc_id, text, *split(text))
+                if block.chars >= block_chars:
+                    yield block.row()
+                    block = Block()
+        if block.doc_ids:
+            yield block.row()
 
     return run
 
@@ -106,10 +138,16 @@ def _pieces(path: str):
         config["normalizer"], config["added_tokens"] = None, []
         config["post_processor"] = config["truncation"] = config["padding"] = None
         tokenizer = Tokenizer.from_str(json.dumps(config))
+        known: dict[str, int] = {}
         for batch in batches:
-            words = batch.column("word").to_pylist()
-            n = [len(x) for x in tokenizer.encode_batch(words, add_special_tokens=False)]
-            yield pa.RecordBatch.from_pydict({"word": words, "pieces": pa.array(n, pa.int32())})
+            for a in range(0, len(batch), 20_000):
+                part = batch.slice(a, 20_000)
+                words = part.column("word").to_pylist()
+                # Equal words stand together, so that the last word is the only one that may come again.
+                new = [w for w in dict.fromkeys(words) if w not in known]
+                known |= zip(new, map(len, tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True)
+                yield pa.RecordBatch.from_pydict({"block": part.column("block"), "at": part.column("at"), "pieces": pa.array([known[w] for w in words], pa.int32())})
+                known = {words[-1]: known[words[-1]]}
 
     return run
 
@@ -120,7 +158,7 @@ def _sums(limit: int):
             for row in batch.to_pylist():
                 pieces = np.zeros(max(row["at"], default=-1) + 1, np.int64)
                 pieces[row["at"]] = row["pieces"]
-                ids, freqs = np.frombuffer(row["ids"], np.int32), np.frombuffer(row["freqs"], np.int32)
+                ids, freqs = np.cumsum(_unpacked(row["ids"]), dtype=np.int64), _unpacked(row["freqs"])
                 sums = np.concatenate([[0], np.cumsum(pieces[ids] * freqs)]) if len(ids) else np.zeros(1, np.int64)
                 ends = np.array(row["ends"], np.int64)
                 n = sums[ends] - sums[np.concatenate([[0], ends[:-1]])] + np.array(row["fixed"], np.int64)
@@ -136,13 +174,13 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, block_chars: in
     each; a text of any length is one row of its block; no documents give no
     rows; other columns of ``docs`` are not read.
 
-    A hot pre-token occurs once per block, so no key of the join holds more rows
-    than there are blocks.
+    A pre-token stands once in each block that has it, and equal ones are brought
+    together once; no key has more rows than there are blocks.
     """
     blocks = stored(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_blocks(path, block_chars), _BLOCK), "blocks")
     words = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    pieces = words.select("word").distinct().mapInArrow(_pieces(path), "word string, pieces int")
-    back = words.join(pieces, "word").groupBy("block").agg(F.collect_list(F.struct("at", "pieces")).alias("got"))
+    pieces = words.repartition("word").sortWithinPartitions("word").mapInArrow(_pieces(path), "block bigint, at int, pieces int")
+    back = pieces.groupBy("block").agg(F.collect_list(F.struct("at", "pieces")).alias("got"))
     rows = blocks.drop("words").join(back, "block", "left")
     rows = rows.select("doc_id", "n_bytes", "fixed", "ends", "ids", "freqs", *(F.coalesce(F.col(f"got.{x}"), F.array().cast("array<int>")).alias(x) for x in ("at", "pieces")))
     return rows.mapInArrow(_sums(limit), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
