@@ -142,7 +142,7 @@ _RULES = {
     "key": (Validations(key_uniqueness=[KeyUniqueness(columns=["o_orderkey"])]), "CASE WHEN count(*) = count(DISTINCT o_orderkey) THEN 'PASS' ELSE 'FAIL' END"),
     "null": (Validations(null_policy=[NullPolicy(column="open_only", nulls_allowed=False)]), "CASE WHEN count(*) FILTER (o_orderstatus <> 'O') = 0 THEN 'PASS' ELSE 'FAIL' END"),
     "range": (Validations(value_ranges=[ValueRange(column="o_totalprice", min=0)]), "CASE WHEN min(o_totalprice) >= 0 THEN 'PASS' ELSE 'FAIL' END"),
-    "sum": (Validations(sum_preservation=[SumPreservation(source_column=0, target_column="o_orderkey")]), "'PASS'"),
+    "sum": (Validations(sum_preservation=[SumPreservation(source_column=0, target_column="o_orderkey")]), "CASE WHEN sum(CAST(CAST(o_orderkey AS VARCHAR) AS DOUBLE)) = sum(o_orderkey) THEN 'PASS' ELSE 'FAIL' END"),
 }
 _CHECKED = {"row_count": "row_count", "key": "key_uniqueness:o_orderkey", "null": "null_policy:open_only", "range": "value_range:o_totalprice", "sum": "sum_preservation:0->o_orderkey"}
 for _name, (_rules, _sql) in _RULES.items():
