@@ -74,7 +74,7 @@ def load_schema(path: Path, needed: tuple[str, ...] = ("SourceRow", "TargetRow")
     """The TargetRow of a schema file, which has to hold all ``needed`` models."""
     space: dict[str, Any] = {"__name__": f"schema_{path.parent.name}"}
     try:
-        exec(compile(path.read_text(), str(path), "exec"), space)  # noqa: S102  the artifact's own reviewed code
+        exec(compile(path.read_text(), str(path), "exec", dont_inherit=True), space)  # noqa: S102  the artifact's own reviewed code
     except Exception as e:
         raise ArtifactLoadError(f"{path}: {e}") from None
     for name in needed:
@@ -95,7 +95,7 @@ def load_transform(path: Path) -> Callable[[DataFrame], DataFrame]:
         if problems:
             raise ValueError("; ".join(problems))
         space: dict[str, Any] = {"__builtins__": {n: getattr(builtins, n) for n in ALLOWED if hasattr(builtins, n)}, "ops": SimpleNamespace(**public_ops())}
-        exec(compile(text, str(path), "exec"), space)  # noqa: S102
+        exec(compile(text, str(path), "exec", dont_inherit=True), space)  # noqa: S102
     except Exception as e:
         raise ArtifactLoadError(f"{path}: {e}") from None
     if not callable(space.get("transform")):
