@@ -22,5 +22,3 @@ def spark(tmp_path_factory):
     yield session
     session.stop()
 
-
-SF = Path("/root/testdata/sf0.001")
