@@ -183,7 +183,8 @@ def repeat_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     phrases = stored(texts.mapInArrow(_parsed(length), _PHRASE), "parse")
     # Most triggers stand once. Only the trigger itself is shuffled to find those that don't.
     twice = stored(phrases.groupBy("trigger").count().where("count > 1").select("trigger"), "triggers")
-    parse_rows = stored(phrases.join(twice, "trigger", "left_semi").select(*phrases.columns), "repeats")
+    # Dealt by text again, so that the rows of a hot phrase, which the join put side by side, can be split.
+    parse_rows = stored(phrases.join(twice, "trigger", "left_semi").select(*phrases.columns).repartition("rid"), "repeats")
     entries = stored(parse_rows.groupBy("trigger", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("rid", "lo", "hi")).alias("at")), "dictionary")
     whole = parse_rows.join(stored(entries.where("n > 1").select("trigger", "phrase"), "whole"), ["trigger", "phrase"], "left_semi").select("rid", "lo", "hi")
     mixed = stored(entries.groupBy("trigger").agg(F.count("*").alias("phrases")).where("phrases > 1"), "mixed")
