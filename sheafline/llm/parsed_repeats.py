@@ -14,6 +14,8 @@ dictionary of distinct phrases with counts.
   parse's counts weigh them.
 
 Only phrases travel between tasks, and of the dictionary's text only the hard part.
+Long texts are parsed in overlapping steps. A phrase that the end of a step cuts in
+two is two phrases of one trigger, so it belongs to the hard part and is judged there.
 """
 
 from __future__ import annotations
@@ -106,13 +108,18 @@ def _encoded(batch: pa.RecordBatch) -> list[bytes]:
     return [(x or "").encode() for x in batch.column("text").to_pylist()]
 
 
-def _parsed(length: int):
+def _parsed(length: int, step: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, rid = _encoded(batch), batch.column("rid").to_numpy()
-            for a, b in grouped(texts, BATCH_BYTES):
-                who, lo, hi, trigger, phrase = parse(texts[a:b], length)
-                yield pa.RecordBatch.from_pydict({"rid": pa.array(rid[a:b][who]), "lo": pa.array(lo.astype(np.int32)), "hi": pa.array(hi.astype(np.int32)), "trigger": pa.array(trigger.view(np.int64)), "phrase": pa.array(phrase.view(np.int64))})
+            texts = _encoded(batch)
+            steps = [(i, a) for i, x in enumerate(texts) for a in range(0, len(x) - length + 1, step)]
+            parts, owner, at = [texts[i][a : a + step + length - 1] for i, a in steps], np.array([i for i, _ in steps], np.int64), np.array([a for _, a in steps], np.int64)
+            rid = batch.column("rid").to_numpy()
+            for a, b in grouped(parts, step):
+                who, lo, hi, trigger, phrase = parse(parts[a:b], length)
+                who += a
+                lo, hi = lo + at[who], hi + at[who]
+                yield pa.RecordBatch.from_pydict({"rid": pa.array(rid[owner[who]]), "lo": pa.array(lo.astype(np.int32)), "hi": pa.array(hi.astype(np.int32)), "trigger": pa.array(trigger.view(np.int64)), "phrase": pa.array(phrase.view(np.int64))})
 
     return run
 
@@ -180,7 +187,7 @@ def repeat_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     ``texts`` has rid, which rows of equal text may only share if they are to count
     once, and text.
     """
-    phrases = stored(texts.mapInArrow(_parsed(length), _PHRASE), "parse")
+    phrases = stored(texts.mapInArrow(_parsed(length, BATCH_BYTES), _PHRASE), "parse")
     # Most triggers stand once. Only the trigger itself is shuffled to find those that don't.
     twice = stored(phrases.groupBy("trigger").count().where("count > 1").select("trigger"), "triggers")
     # Dealt by text again, so that the rows of a hot phrase, which the join put side by side, can be split.

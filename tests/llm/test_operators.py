@@ -195,6 +195,13 @@ def test_repeats(request, monkeypatch, name, large):
     assert by_row(parsed_repeats.repeat_digests(df).collect()) == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("name", ["docs", "hard_docs"])
+def test_repeats_of_texts_longer_than_a_step(request, monkeypatch, name):
+    monkeypatch.setattr(parsed_repeats, "BATCH_BYTES", 333)
+    df = request.getfixturevalue(name)
+    assert by_row(parsed_repeats.repeat_digests(df).collect()) == brute_repeats(texts(df))
+
+
 def test_repeats_stage(spark, hard_docs):
     left = {r.doc_id: r for r in parsed_repeats.repeats_stage(spark, hard_docs, "").collect()}
     assert left[6].text == "left" and left[7].text == "right " and left[6].n_chars == 4 and 5 not in left and left[3].text is None
