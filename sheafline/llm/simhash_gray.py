@@ -8,6 +8,10 @@ become nodes that keep the bits all members share. Walking pairs of nodes from t
 top, the differences of shared bits add up: beyond the limit the pair is pruned
 with all below it, and once even the bits not shared cannot exceed the limit, all
 members are linked without being compared.
+
+A group of any size is split up: what masks of more blocks leave too large is linked
+through the codes around it. Two codes are within the limit exactly if some code lies
+within half the limit of both, and no more codes than such a ball holds can meet there.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ WORDS = 4
 SEED = 42
 #: Children of a node.
 FAN_OUT = 16
-#: A group with more fingerprints is dealt anew by masks of more blocks.
+#: A group with more fingerprints is dealt anew by masks of more blocks, and if that doesn't help by balls.
 LARGE_GROUP = 8_192
 #: Fingerprints expected in a group by chance, at most.
 CHANCE = 32
@@ -186,28 +190,47 @@ def _links(limit: int):
     return run
 
 
+def _balls(radius: int):
+    """A row for each code within ``radius`` of each fingerprint: the code as centre, and the fingerprint."""
+    flips = np.array([sum(1 << k for k in bits) for n in range(radius + 1) for bits in combinations(range(BITS), n)], np.uint64).view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = batch.column("fp").to_numpy()
+            for i in range(0, len(codes), 256):
+                part = codes[i : i + 256]
+                yield pa.RecordBatch.from_pydict({"centre": pa.array((part[:, None] ^ flips[None, :]).ravel()), "fp": pa.array(np.repeat(part, len(flips)))})
+
+    return run
+
+
+def ball_links(codes: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """a, b: links that connect the distinct fingerprints of ``codes`` (fp), however many lie close together.
+
+    All that meet at a centre are linked to the smallest there. For an even limit only.
+    """
+    if limit % 2:
+        raise ValueError("groups this large need an even limit")
+    met = codes.mapInArrow(_balls(limit // 2), "centre bigint, fp bigint").groupBy("centre").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    return met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
+
+
 def near_links(codes: DataFrame, limit: int = LIMIT, large: int = LARGE_GROUP) -> DataFrame:
     """a, b: links that connect the distinct fingerprints of ``codes`` (fp) as all pairs within ``limit`` would."""
-    n = codes.count()
-    blocks = blocks_for(n, limit)
-    nodes = _grouped(codes, blocks, limit)
+    blocks = blocks_for(codes.count(), limit)
     found = None
-    for more in (limit + 4, None):
-        if more is not None and more > blocks:
-            heavy = stored(nodes.groupBy("mask", "pattern").count().where(F.col("count") > large).drop("count"), "heavy")
-            hot = None if heavy.isEmpty() else stored(nodes.join(heavy, ["mask", "pattern"], "left_semi").select("fp").distinct(), "hot")
-            if hot is not None:
-                nodes = nodes.join(heavy, ["mask", "pattern"], "left_anti")
-        else:
-            hot = None
-        dealt = nodes.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern")
-        links = dealt.mapInArrow(_links(limit), "a bigint, b bigint")
+    for dealt in sorted({blocks, limit + 4}):
+        nodes = _grouped(codes, dealt, limit)
+        heavy = stored(nodes.groupBy("mask", "pattern").count().where(F.col("count") > large).drop("count"), "heavy")
+        hot = not heavy.isEmpty()
+        if hot:
+            codes = stored(nodes.join(heavy, ["mask", "pattern"], "left_semi").select("fp").distinct(), "hot")
+            nodes = nodes.join(heavy, ["mask", "pattern"], "left_anti")
+        links = nodes.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern").mapInArrow(_links(limit), "a bigint, b bigint")
         found = links if found is None else found.unionByName(links)
-        if hot is None:
+        if not hot:
             return found
-        nodes = _grouped(hot, more, limit)
-        blocks = more
-    return found
+    return found.unionByName(ball_links(codes, limit))
 
 
 def simhash_groups(docs: DataFrame, words: int = WORDS, limit: int = LIMIT, seed: int = SEED) -> DataFrame:

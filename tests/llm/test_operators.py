@@ -230,6 +230,19 @@ def test_group_links_against_all_pairs():
         assert (local_roots(len(codes), *near) == local_roots(len(codes), *links)).all()
 
 
+def test_links_of_one_group_of_any_size(spark):
+    r = np.random.default_rng(5)
+    codes = np.unique(np.array([sum({1 << int(k) for k in r.integers(0, 20, r.integers(0, 9))}) for _ in range(900)], np.int64) | np.int64(1 << 62))
+    near = np.nonzero(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 4)
+    place = {int(c): i for i, c in enumerate(codes)}
+    df = spark.createDataFrame([(int(c),) for c in codes], "fp bigint")
+    for got in (simhash_gray.ball_links(df), simhash_gray.near_links(df, 4, 100)):
+        links = np.array([(place[x.a], place[x.b]) for x in got.collect()], int).T
+        assert (local_roots(len(codes), *near) == local_roots(len(codes), *links)).all()
+    with pytest.raises(ValueError, match="even"):
+        simhash_gray.ball_links(df, 3)
+
+
 def test_components(spark):
     r = random.Random(4)
     links = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 360)]
