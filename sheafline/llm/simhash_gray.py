@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, stored, table
 from .components import components, local_roots
+from .shingle_copies import copy_groups
 
 BITS = 64
 LIMIT = 4
@@ -261,14 +262,16 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: the one with the smallest doc_id.
+    """One document of each group of near copies: the one with the smallest doc_id.
 
-    Of several rows with that doc_id the one whose text hashes lowest stays. Rows
+    Near copies share 0.8 of their five-word shingles; see ``shingle_copies``. Of
+    several rows with that doc_id the one whose text hashes lowest stays. Rows
     without a doc_id can't be told apart and stay.
     """
     small_batches(spark)
-    groups = simhash_groups(docs.where("doc_id is not null"))
-    gone = stored(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    groups = stored(copy_groups(docs.where("doc_id is not null")), "copy-groups")
+    lowest = groups.groupBy("root").agg(F.min("doc_id").alias("low"))
+    gone = stored(groups.join(lowest, "root").where("doc_id <> low").select("doc_id").distinct(), "near-copies")
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     again = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "same-ids")
     if again.isEmpty():

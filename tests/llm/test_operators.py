@@ -282,6 +282,37 @@ def test_near_dedup_stage(spark, hard_docs):
     assert sorted(r.doc_id for r in left.collect() if r.doc_id and r.doc_id <= 4) == [1, 3]
 
 
+@pytest.mark.parametrize("sizes", [(2, 1), (2, 0), (64, 8)])
+def test_near_dedup_against_brute_force(spark, monkeypatch, sizes):
+    """Whatever is 0.8 alike in five-word shingles is one group, and nothing else is."""
+    from sheafline.llm import shingle_copies
+
+    monkeypatch.setattr(shingle_copies.copy_groups, "__defaults__", sizes)
+    r = random.Random(3)
+    word = lambda: f"w{r.randrange(5_000)}"
+    line = [word() for _ in range(30)]
+    rows = []
+    for _ in range(25):
+        base = [word() for _ in range(r.choice([4, 6, 40, 150, 400]))] + (line if r.random() < 0.5 else [])
+        for _ in range(4):
+            text = list(base)
+            for _ in range(r.randrange(0, 2 + len(base) // 50)):
+                text[r.randrange(len(text))] = word()
+            rows.append((len(rows), " ".join(text)))
+    rows += [(len(rows) + i, t) for i, t in enumerate(["", None, "a b", "A  b", " ".join(line)])]
+
+    def sets(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    made = [sets(t) for _, t in rows]
+    near = np.nonzero([[a == b or len(a & b) >= 0.8 * len(a | b) for b in made] for a in made])
+    roots = local_roots(len(rows), *near)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert 5 < len(set(roots)) < len({frozenset(x) for x in made})
+    assert sorted(x.doc_id for x in simhash_gray.near_dedup_stage(spark, df, "").collect()) == sorted(set(roots.tolist()))
+
+
 # --- benchmark
 
 
