@@ -3,6 +3,8 @@
 Records are written as one gzip member each. The reader checks every record; where
 a check fails it looks for the next place at which a member or a version line
 starts a valid record, goes on from there, and reports the bytes between as a gap.
+Within a member it does so in the inflated bytes, and of a broken member it takes
+what can be inflated.
 """
 
 from __future__ import annotations
@@ -57,8 +59,8 @@ def record_bytes(record_id: str, url: str | None, payload: bytes, digest: str, r
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse_record(data, start: int = 0) -> tuple[dict, int]:
-    """The record at ``start``, and the place behind it; ``Damaged`` if a check fails."""
+def parse_record(data, start: int = 0, proof: bool = False) -> tuple[dict, int]:
+    """The record at ``start``, and the place behind it; ``Damaged`` if a check fails, or with ``proof`` if no digest covers the block."""
     if data[start : start + 7] != b"WARC/1.":
         raise Damaged("no version line")
     head = data.find(b"\r\n\r\n", start)
@@ -79,6 +81,8 @@ def parse_record(data, start: int = 0) -> tuple[dict, int]:
     digest = fields.get(b"warc-block-digest", "")
     if digest.startswith("sha256:") and sha256(block).hexdigest() != digest[7:]:
         raise Damaged("block digest differs")
+    if proof and not digest.startswith("sha256:"):
+        raise Damaged("broken member, and no block digest")
     http, _, payload = block.partition(b"\r\n\r\n") if fields.get(b"content-type", "").startswith("application/http") else (b"", b"", block)
     kind = fields[b"warc-type"]
     size, found = len(payload), sha256(payload).hexdigest()
@@ -94,51 +98,88 @@ def parse_record(data, start: int = 0) -> tuple[dict, int]:
     }, end + 4
 
 
-def inflate(data: memoryview, start: int) -> tuple[bytes, int]:
-    """The gzip member at ``start``, and the place behind it."""
+def inflate(data: memoryview, start: int) -> tuple[bytes, int, str | None]:
+    """The gzip member at ``start``, the place behind it, and what breaks it; of a broken one, all that comes before the break."""
     z, out, at = zlib.decompressobj(31), [], start
-    try:
-        while not z.eof:
-            if at >= len(data):
-                raise Damaged("member without end")
-            part = data[at : at + 65_536]
+    while not z.eof:
+        if at >= len(data):
+            return b"".join(out), at, "member without end"
+        part, before = data[at : at + 65_536], z.copy()
+        try:
             out.append(z.decompress(part))
-            at += len(part)
-    except zlib.error as e:
-        raise Damaged(str(e)) from None
-    return b"".join(out), at - len(z.unused_data)
-
-
-def _unit(data: bytes, view: memoryview, at: int) -> tuple[list[dict], int]:
-    """The records of the member, or the one plain record, at a place."""
-    if data[at : at + 2] != b"\x1f\x8b":
-        record, end = parse_record(data, at)
-        return [record], end
-    plain, end = inflate(view, at)
-    records, inside = [], 0
-    while inside < len(plain):
-        record, inside = parse_record(plain, inside)
-        records.append(record)
-    return records, end
+        except zlib.error as e:
+            try:
+                for k in range(len(part)):
+                    out.append(before.decompress(part[k : k + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), at + k, str(e)
+        at += len(part)
+    return b"".join(out), at - len(z.unused_data), None
+
+
+def _inside(plain: bytes, broken: str | None) -> tuple[list[dict], str | None]:
+    """The valid records of a member and, with a ``reason``, the gaps between them; why there is a gap at its end.
+
+    A bit error may go unnoticed for a while, so in a broken member a record needs a
+    digest. One that merely ends early is right as far as it goes, but a record that
+    ends where the bytes do isn't taken without the member's own check.
+    """
+    found, at, gap = [], 0, None
+    while at < len(plain):
+        try:
+            record, end = parse_record(plain, at, broken not in (None, "member without end"))
+            if broken == "member without end" and end == len(plain):
+                raise Damaged(broken)
+        except Damaged as e:
+            gap = gap or str(e)
+            at = plain.find(b"WARC/1.", at + 1)
+            if at < 0:
+                break
+            continue
+        if gap:
+            found.append({"reason": gap})
+            gap = None
+        found.append(record)
+        at = end
+    return found, broken or gap
 
 
 def salvage(data: bytes) -> Iterator[dict]:
-    """All valid records of an archive and, with a ``reason``, the gaps between them, in order."""
+    """All valid records of an archive and, with a ``reason``, the gaps between them, in order.
+
+    A gap within a member, or at the end of one, has the bytes of the member.
+    """
     view, at, gap = memoryview(data), 0, None
+    text = 0  # no plain record before this place: it has been inflated
     while at < len(data):
+        broken = None
         try:
-            records, end = _unit(data, view, at)
+            if data[at : at + 2] == b"\x1f\x8b":
+                plain, end, broken = inflate(view, at)
+                found, tail = _inside(plain, broken)
+                if (tail or broken) and not any("reason" not in x for x in found):
+                    raise Damaged(tail or broken)
+                if tail and not broken:
+                    found.append({"reason": tail})
+            else:
+                record, end = parse_record(data, at)
+                found = [record]
         except Damaged as e:
             gap = gap or (at, str(e))
-            places = [x for x in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", at + 1)) if x >= 0]
-            at = min(places, default=len(data))
-            continue
-        if gap:
-            yield {"start": gap[0], "end": at, "reason": gap[1]}
-            gap = None
-        for record in records:
-            yield {"start": at, "end": end, **record}
-        at = end
+        else:
+            if gap:
+                yield {"start": gap[0], "end": at, "reason": gap[1]}
+                gap = None
+            for x in found:
+                yield {"start": at, "end": end, **x}
+            if not broken:
+                at = end
+                continue
+            gap, text = (at, broken), max(text, end)
+        # The break may show only within the next member, so members are sought from here on.
+        places = [x for x in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", max(at + 1, text))) if x >= 0]
+        at = min(places, default=len(data))
     if gap:
         yield {"start": gap[0], "end": len(data), "reason": gap[1]}
 
@@ -197,7 +238,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
     """Records and gaps of all archives at ``path``.
 
     A gap has a ``reason`` and no record; start and end are its bytes in the file. A
-    record's start and end are those of its member. An empty file has no rows. A
+    record's start and end are those of its member, as are those of a gap in one. An empty file has no rows. A
     revisit has the digest and the length of the payload that it leaves out.
     """
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_salvaged(payloads), _RECORD)

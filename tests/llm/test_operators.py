@@ -124,6 +124,30 @@ def test_salvage_finds_what_lies_behind_the_damage():
         assert [(x["start"], x["end"]) for x in found if "reason" in x] == [(starts[4], starts[5]), (starts[8], starts[9]), (starts[11], len(data) - 5)]
 
 
+@pytest.mark.parametrize("level", [0, 6])
+def test_salvage_within_members(level):
+    import gzip
+
+    r = random.Random(2)
+    records = [warc.record_bytes(f"urn:page:{i}", "u", bytes(r.randrange(32, 127) for _ in range(900)), hashlib.sha256(b"").hexdigest()) for i in range(12)]
+    records = [x.replace(b"WARC-Payload-Digest: sha256:" + hashlib.sha256(b"").hexdigest().encode() + b"\r\n", b"") for x in records]
+    ids = lambda data: [x["record_id"] for x in warc.salvage(data) if "record_id" in x]
+    name = lambda *places: [f"urn:page:{i}" for i in places]
+    pack = lambda x: gzip.compress(b"".join(x), level, mtime=0)
+    bad = [x[:-50] + b"#" + x[-49:] if i == 4 else x for i, x in enumerate(records)]
+    found = list(warc.salvage(pack(bad)))
+    assert [x.get("record_id") for x in found] == [*name(*range(4)), None, *name(*range(5, 12))] and found[4]["reason"] == "block digest differs"
+    whole = pack(records)
+    assert ids(whole) == name(*range(12))
+    cut = ids(whole[: len(whole) * 2 // 3])
+    assert cut == name(*range(len(cut))) and len(cut) >= 6
+    assert ids(whole[:-8] + bytes(8)) == name(*range(12))  # the member's check differs, the records' own do not
+    two = bytearray(pack(records[:6]) + pack(records[6:]))
+    two[len(pack(records[:6])) * 2 // 3] ^= 255
+    got = ids(bytes(two))
+    assert got[:3] == name(0, 1, 2) and got[-6:] == name(*range(6, 12)) and len(set(got)) == len(got)
+
+
 # --- language
 
 
