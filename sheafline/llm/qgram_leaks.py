@@ -68,11 +68,11 @@ def edits_within(item: str, region: str, limit: int) -> int | None:
 class ItemIndex:
     """The q-grams of a block of items, and what each item's bands have to reach."""
 
-    def __init__(self, items: list[tuple[int, str]], edits: float = EDITS) -> None:
+    def __init__(self, items: list[tuple[int | None, str]], edits: float = EDITS) -> None:
         plain = [(i, normal(t)) for i, t in items]
         self.short = [(i, t) for i, t in plain if t and len(t) < Q]
         plain = [(i, t) for i, t in plain if len(t) >= Q]
-        self.ids, self.texts = np.array([i for i, _ in plain], np.int64), [t for _, t in plain]
+        self.ids, self.texts = [i for i, _ in plain], [t for _, t in plain]
         self.lengths = np.array([len(t) for t in self.texts], np.int64)
         # As many edits as the share allows and the lemma can still see.
         self.limits = np.minimum((self.lengths * edits).astype(np.int64), self.lengths // Q - 1)
@@ -94,18 +94,19 @@ class ItemIndex:
             self.dense = int((self.needs / np.ceil(spans / self.window)).min().clip(1))
             self.reach = int(spans.max())
 
-    def search(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
-        """(text, item_id, edits, length of the item) for every item that a text holds."""
+    def search(self, texts: list[str]) -> list[tuple[int, int | None, int, int]]:
+        """(text, item_id, edits, length of the item) for every item that a text holds; items without an id are told apart by text."""
         plain = [normal(t) for t in texts]
-        best: dict[tuple[int, int], tuple[int, int]] = {}
+        best: dict[tuple[int, bool, int, str], tuple[int, int]] = {}
+        key_of = lambda k, i, t: (k, i is None, i or 0, t if i is None else "")
         for i, t in self.short:
-            best |= {(k, i): (0, len(t)) for k, p in enumerate(plain) if f" {t} " in f" {p} "}
-        if len(self.ids):
+            best |= {key_of(k, i, t): (0, len(t)) for k, p in enumerate(plain) if f" {t} " in f" {p} "}
+        if self.ids:
             for k, item, e in self._near(plain):
-                key = (k, int(self.ids[item]))
+                key = key_of(k, self.ids[item], self.texts[item])
                 if key not in best or e < best[key][0]:
                     best[key] = (e, int(self.lengths[item]))
-        return [(k, i, e, n) for (k, i), (e, n) in sorted(best.items())]
+        return [(k, None if unnamed else i, e, n) for (k, unnamed, i, _), (e, n) in sorted(best.items())]
 
     def _near(self, plain: list[str]) -> Iterator[tuple[int, int, int]]:
         gap = self.reach + 1
@@ -171,8 +172,8 @@ def _found(index: ItemIndex):
 
 
 def blocks_of(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, edits: float = EDITS) -> Iterator[ItemIndex]:
-    """Indexes of all items, each of about ``block_chars`` characters; null texts are left out."""
-    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("bigint"), F.col("text").cast("string"))
+    """Indexes of all items, each of about ``block_chars`` characters; null texts are left out, null item_ids are not."""
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("bigint"), F.col("text").cast("string"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // block_chars)
     for k in range(n):
@@ -186,7 +187,8 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS,
     Compared are lower-case letters and digits with single spaces between. An item of
     m characters may have undergone ``edits`` * m edits, and one so short that the
     lemma says nothing fewer; an item below 8 characters has to stand as whole words.
-    Items without a letter or digit match nothing. Null texts hold nothing. Null and
+    Items without a letter or digit match nothing.
+    Items with a null item_id are searched like others, each text as an item. Null texts hold nothing. Null and
     repeated doc_ids are searched row by row. No items, or no documents, give no rows.
     """
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))

@@ -368,6 +368,17 @@ def test_leaks_against_full_alignment(spark, docs, hard_docs, no_docs):
     assert left == {i for i, _ in plain} - {i for i, _ in exact}
 
 
+def test_leaks_of_items_without_an_id(spark, monkeypatch):
+    first, second = ("".join(f"{w}{i} " for i in range(12)) for w in ("apple", "pear"))
+    docs = spark.createDataFrame([(1, f"so {first} on {second}"), (2, "tiny 1 too"), (3, "clean")], "doc_id bigint, text string")
+    benchmark = spark.createDataFrame([(None, first), (None, second), (None, "tiny 1"), (None, None), (7, first)], "item_id bigint, text string")
+    for block in (qgram_leaks.BLOCK_CHARS, 50):
+        got = qgram_leaks.benchmark_leaks(docs, benchmark, block_chars=block).collect()
+        assert Counter((x.doc_id, x.item_id) for x in got) == {(1, None): 2, (1, 7): 1, (2, None): 1}
+    monkeypatch.setattr(qgram_leaks, "table", lambda *_: benchmark)
+    assert [x.doc_id for x in qgram_leaks.leaks_stage(spark, docs, "").collect()] == [3]
+
+
 # --- sketches
 
 
