@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,20 +19,27 @@ ARROW_BYTES = 4_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in tests on one machine, a temporary
-    folder takes its place and is set for the rest of the session.
+    A session in one process that names none, as in tests, gets a temporary folder
+    for its lifetime; on a cluster the setting has to be there.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="sheafline-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Folders written in the innermost ``scratch`` block, or None outside of one.
+_open: list[str] | None = None
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open is not None:
+        _open.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -41,7 +49,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def forget(spark: SparkSession, *paths: str) -> None:
+    """Deletes stored tables that no frame reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """At the end of the block, tables stored in it go, but for those appended to its list.
+
+    What else the block made must not be used afterwards.
+    """
+    global _open
+    outer, _open, kept = _open, [], []
+    try:
+        yield kept
+    finally:
+        mine, _open = _open, outer
+        keep = {x.stored_at for x in kept}
+        forget(spark, *(x for x in mine if x not in keep))
+        if outer is not None:
+            outer.extend(x for x in mine if x in keep)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -58,6 +93,12 @@ def crc32_of_id(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary"))
 
 
+def piece_of(text: Column, chars: int) -> Column:
+    """``text``, or a piece of ``chars`` code points of a longer one, at a place set by its hash."""
+    start = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - chars, F.lit(1))) + 1
+    return F.when(F.length(text) <= chars, text).otherwise(F.substring(text, start.cast("int"), F.lit(chars)))
+
+
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [x or "" for x in batch.column(name).to_pylist()]
