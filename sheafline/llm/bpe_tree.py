@@ -1,10 +1,9 @@
 """Byte-level BPE encoding by tree concatenation, and decoding.
 
-Text is cut where the split pattern always ends a pre-token (a letter or digit
-before a space). What stays long without such a place is halved down to leaves;
-leaves are encoded side by side, and neighbours are joined by encoding a window
-around their join again, which grows until it begins and ends with tokens that
-the two sides already have. Every pair of neighbouring tokens then stood in one
+Long text is halved down to leaves, without regard to where a token may end. Leaves
+are encoded side by side, on several tasks, and neighbours are joined by encoding a
+window around their join again, which grows until it begins and ends with tokens
+that the two sides already have. Every pair of neighbouring tokens then stood in one
 exact encoding, so the joined ids are those of the whole text.
 """
 
@@ -20,14 +19,16 @@ from pyspark.sql import functions as F
 
 from .common import grouped, table, texts_of
 
-#: Longest text, in code points, that is encoded without being cut.
-LEAF_CHARS = 16_384
+#: Longest text, in code points, that is a leaf.
+LEAF_CHARS = 8_192
 #: Tokens on each side of a join in the first window.
 WINDOW = 8
 #: Tokens of each side that a window has to repeat.
 AGREE = 2
 #: Code points that are encoded in one call.
 BATCH_CHARS = 1_000_000
+#: Code points of long texts for each task that encodes leaves, about.
+TASK_CHARS = 16_000_000
 
 _OUT = "doc_id bigint, n_tokens bigint, ids binary, decoded string"
 _DIGEST = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -51,9 +52,8 @@ class TreeBPE:
         config["truncation"] = config["padding"] = None
         self.tokenizer = Tokenizer.from_str(json.dumps(config))
         self.leaf_chars = max(1, leaf_chars)
-        self.special = special
+        self.special, self.joins = special, 0
         self.find_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.cut = regex.compile(r"[\p{L}\p{N}](?= )").search
         # The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
@@ -66,29 +66,41 @@ class TreeBPE:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _leaves(self, text: str, out: list[str]) -> list:
-        """Appends the leaves of ``text`` to ``out``; returns their trees, as nested pairs of places in ``out``."""
-        trees, start = [], 0
-        while start < len(text):
-            end = len(text)
-            if end - start > self.leaf_chars and (m := self.cut(text, start + self.leaf_chars - 1)):
-                end = m.end()
-            trees.append(self._halved(text[start:end], out))
-            start = end
-        return trees
-
-    def _halved(self, text: str, out: list[str]):
-        if len(text) <= 2 * self.leaf_chars:
-            out.append(text)
-            return len(out) - 1
-        half = len(text) // 2
-        return self._halved(text[:half], out), self._halved(text[half:], out)
-
-    def _joined(self, tree, ids: list[list[int]]) -> list[int]:
-        return ids[tree] if isinstance(tree, int) else self.join(self._joined(tree[0], ids), self._joined(tree[1], ids))
+    def _halves(self, text: str) -> Iterator[str]:
+        if len(text) <= self.leaf_chars:
+            yield text
+        else:
+            half = len(text) // 2
+            yield from self._halves(text[:half])
+            yield from self._halves(text[half:])
+
+    def cut(self, text: str) -> Iterator[tuple[bool, str]]:
+        """The leaves of ``text`` in order; true where one isn't to be joined to that before it: special strings stand alone."""
+        for part in self.find_special.split(text) if self.find_special else [text]:
+            for k, leaf in enumerate([part] if part in self.special else self._halves(part) if part else ()):
+                yield not k, leaf
+
+    def encode_leaves(self, leaves: list[str]) -> list[list[int]]:
+        return self._encode(leaves)
+
+    def concatenate(self, leaves: list[tuple[bool, list[int]]]) -> list[int]:
+        """The ids of a text from those of its leaves, joined by pairs, then by pairs of pairs."""
+        runs: list[list[list[int]]] = []
+        for first, ids in leaves:
+            if first:
+                runs.append([ids])
+            else:
+                runs[-1].append(ids)
+        out: list[int] = []
+        for run in runs:
+            while len(run) > 1:
+                run = [self.join(*run[i : i + 2]) if i + 1 < len(run) else run[i] for i in range(0, len(run), 2)]
+            out += run[0]
+        return out
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The ids of two neighbouring texts, from the ids of each."""
+        self.joins += 1
         starts_char = lambda i: self.bytes[i][0] & 0xC0 != 0x80
         size = WINDOW
         while True:
@@ -104,47 +116,91 @@ class TreeBPE:
             size *= 2
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        leaves: list[str] = []
-        plans = []
-        for text in texts:
-            if len(text) <= self.leaf_chars:
-                leaves.append(text)
-                plans.append(len(leaves) - 1)
-                continue
-            plan = []
-            for part in self.find_special.split(text) if self.find_special else [text]:
-                if part in self.special:
-                    plan.append([self.special[part]])
-                elif part:
-                    plan.extend(self._leaves(part, leaves))
-            plans.append(plan)
-        ids = self._encode(leaves)
-        return [ids[p] if isinstance(p, int) else [x for t in p for x in (t if isinstance(t, list) else self._joined(t, ids))] for p in plans]
+        plans = [list(self.cut(x)) if len(x) > self.leaf_chars else [(True, x)] for x in texts]
+        ids = iter(self.encode_leaves([leaf for plan in plans for _, leaf in plan]))
+        return [self.concatenate([(first, next(ids)) for first, _ in plan]) for plan in plans]
 
     def decode(self, ids: list[int]) -> str:
         table = self.bytes
         return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
 
 
-def _coded(path: str, leaf_chars: int, digest: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        from hashlib import sha256
+def _coder(path: str, leaf_chars: int) -> TreeBPE:
+    import os
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return TreeBPE(path, leaf_chars)
+
+
+def _row(coder: TreeBPE, ids: list[list[int]], digest: bool) -> dict:
+    from hashlib import sha256
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = TreeBPE(path, leaf_chars)
+    raw = [np.array(x, "<u4").tobytes() for x in ids]
+    back = [coder.decode(x) for x in ids]
+    out = {"n_tokens": pa.array([len(x) for x in ids], pa.int64())}
+    if digest:
+        return out | {"ids_sha256": [sha256(x).hexdigest() for x in raw], "decoded_sha256": [sha256(x.encode()).hexdigest() for x in back]}
+    return out | {"ids": pa.array(raw, pa.binary()), "decoded": back}
+
+
+def _short(path: str, leaf_chars: int, digest: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(path, leaf_chars)
         for batch in batches:
             texts, doc_ids = texts_of(batch), batch.column("doc_id")
             for a, b in grouped(texts, BATCH_CHARS):
-                ids = coder.encode_batch(texts[a:b])
-                raw = [np.array(x, "<u4").tobytes() for x in ids]
-                back = [coder.decode(x) for x in ids]
-                out = {"doc_id": doc_ids.slice(a, b - a), "n_tokens": pa.array([len(x) for x in ids], pa.int64())}
-                if digest:
-                    out |= {"ids_sha256": [sha256(x).hexdigest() for x in raw], "decoded_sha256": [sha256(x.encode()).hexdigest() for x in back]}
-                else:
-                    out |= {"ids": pa.array(raw, pa.binary()), "decoded": back}
-                yield pa.RecordBatch.from_pydict(out)
+                yield pa.RecordBatch.from_pydict({"doc_id": doc_ids.slice(a, b - a)} | _row(coder, coder.encode_batch(texts[a:b]), digest))
+
+    return run
+
+
+def _cut(path: str, leaf_chars: int):
+    """The leaves of each row, with their place in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(path, leaf_chars)
+        for batch in batches:
+            for row, doc_id, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+                leaves = list(coder.cut(text.as_py()))
+                for a in range(0, len(leaves), 256):
+                    part = leaves[a : a + 256]
+                    n = len(part)
+                    yield pa.RecordBatch.from_pydict({"row": pa.array([row] * n, pa.int64()), "doc_id": pa.array([doc_id] * n, pa.int64()), "place": pa.array(range(a, a + n), pa.int32()), "first": [x for x, _ in part], "leaf": [x for _, x in part]})
+
+    return run
+
+
+def _leaf_ids(path: str, leaf_chars: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(path, leaf_chars)
+        for batch in batches:
+            leaves = batch.column("leaf").to_pylist()
+            for a, b in grouped(leaves, BATCH_CHARS):
+                ids = [np.array(x, "<u4").tobytes() for x in coder.encode_leaves(leaves[a:b])]
+                yield pa.RecordBatch.from_pydict({c: batch.column(c).slice(a, b - a) for c in ("row", "doc_id", "place", "first")} | {"ids": pa.array(ids, pa.binary())})
+
+    return run
+
+
+def _concatenated(path: str, leaf_chars: int, digest: bool):
+    """A row from the leaves of each, which stand together and in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = _coder(path, leaf_chars)
+        now, doc_id, leaves = None, None, []
+
+        def whole() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id], pa.int64())} | _row(coder, [coder.concatenate(leaves)], digest))
+
+        for batch in batches:
+            for row, of, first, ids in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "first", "ids")), strict=True):
+                if row != now and leaves:
+                    yield whole()
+                    leaves = []
+                now, doc_id = row, of
+                leaves.append((first, np.frombuffer(ids, "<u4").tolist()))
+        if leaves:
+            yield whole()
 
     return run
 
@@ -153,10 +209,24 @@ def bpe_round_trip(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS, dig
     """Per row of ``docs``: doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the decoded text.
 
     With ``digest``, SHA-256 digests stand for the ids and the text. Null texts are
-    empty: no ids, an empty text. Null and repeated doc_ids keep a row each; text of
-    any length is encoded whole; other columns are not read. No shuffle.
+    empty: no ids, an empty text. Null and repeated doc_ids, and rows repeated as a
+    whole, keep a row each; no documents give no rows; other columns are not read.
+
+    Texts of one leaf are not shuffled. The leaves of longer ones are dealt over all
+    tasks, and their ids brought together once. Rows are told apart by their place in
+    the scan, so ``docs`` must give the same rows when it is read again, as files do.
     """
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_coded(path, leaf_chars, digest), _DIGEST if digest else _OUT)
+    rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    schema = _DIGEST if digest else _OUT
+    out = rows.where(F.length("text") <= leaf_chars).mapInArrow(_short(path, leaf_chars, digest), schema)
+    long = rows.where(F.length("text") > leaf_chars)
+    chars = long.agg(F.sum(F.length("text").cast("bigint"))).first()[0]
+    if not chars:
+        return out
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // TASK_CHARS))
+    leaves = long.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_cut(path, leaf_chars), "row bigint, doc_id bigint, place int, first boolean, leaf string")
+    ids = leaves.repartition(n, "row", "place").mapInArrow(_leaf_ids(path, leaf_chars), "row bigint, doc_id bigint, place int, first boolean, ids binary")
+    return out.unionByName(ids.repartition(n, "row").sortWithinPartitions("row", "place").mapInArrow(_concatenated(path, leaf_chars, digest), schema))
 
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

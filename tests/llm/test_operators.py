@@ -15,6 +15,7 @@ from sheafline.llm.components import components, local_roots
 from tokenizers import Tokenizer
 
 SF = Path("/root/testdata/sf0.001")
+PASSAGE = "".join(f"w{i * 7919 % 1000} " for i in range(80))
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -62,6 +63,21 @@ def test_tree_concatenation_agrees_with_the_library(text):
     assert ids == LIBRARY.encode(text, add_special_tokens=False).ids and CODER.decode(ids) == text
 
 
+def test_every_long_text_goes_through_the_tree():
+    """As the library has it, on all texts of documents, with joins in each that is longer than a leaf."""
+    import pyarrow.parquet as pq
+
+    coder = bpe_tree.TreeBPE(BYTE)
+    long = 0
+    for text in pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist():
+        if text is None or len(text) <= coder.leaf_chars:
+            continue
+        before, long = coder.joins, long + 1
+        assert coder.encode_batch([text])[0] == LIBRARY.encode(text, add_special_tokens=False).ids
+        assert coder.joins > before
+    assert long
+
+
 # --- sharding
 
 
@@ -232,12 +248,41 @@ def test_repeats_stage(spark, hard_docs):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("ab", max_size=40), max_size=6))
-def test_suffix_ranks(parts):
-    data = ("".join(parts) + "z" * 12).encode()
-    ranks = parsed_repeats.suffix_ranks(data, 12)[: len(data) - 11]
-    pieces = [data[i : i + 12] for i in range(len(ranks))]
-    assert [sorted(set(pieces)).index(p) for p in pieces] == np.unique(ranks, return_inverse=True)[1].tolist()
+@given(st.lists(st.tuples(st.text("ab\0", min_size=9, max_size=30), st.integers(0, 8), st.integers(1, 2)), min_size=1, max_size=8))
+def test_order_of_strings_around_a_trigger(rows):
+    """Neighbours in the order of dictionary and parse suffixes are the strings that a plain count finds."""
+    bodies = [x.encode()[: k + 1] + b"TRIG" + x.encode()[k + 1 :] for x, k, _ in rows]
+    at, counts = (np.array([len(r[0][: r[1] + 1]) for r in rows]), np.array([float(r[2]) for r in rows]))
+    length, keep = 12, []
+    for b, a in zip(bodies, at, strict=True):  # only strings that hold the trigger
+        lo, hi = max(0, a + 4 - length), min(a, len(b) - length)
+        keep.append((b[lo : hi + length], a - lo) if lo <= hi else None)
+    at, counts, bodies = np.array([k[1] for k in keep if k], np.int64), counts[[k is not None for k in keep]], [k[0] for k in keep if k]
+    if not bodies:
+        return
+    got = parsed_repeats.repeated_in(bodies, at, counts, np.zeros(len(bodies), np.int64), length)
+    for b, a, flags in zip(bodies, at, got, strict=True):
+        total = [sum(n for c, x, n in zip(bodies, at, counts, strict=True) for q in range(len(c) - length + 1) if c[q : q + length] == b[p : p + length] and x - q == a - p) for p in range(len(flags))]
+        assert flags.tolist() == [t > 1 for t in total]
+
+
+def test_a_trigger_in_very_many_surroundings(spark, monkeypatch):
+    """A hot passage between texts that all differ, and a long run of one character."""
+    monkeypatch.setattr(parsed_repeats, "LARGE_GROUP", 8)
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(10**6)}"
+    passage = " ".join(word() for _ in range(40))
+    rows = [(i, " ".join(word() for _ in range(r.randrange(30))) + passage[r.randrange(0, 60) : r.randrange(200, len(passage) + 40)] + " ".join(word() for _ in range(r.randrange(30)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert by_row(parsed_repeats.repeat_digests(df).collect()) == brute_repeats(rows)
+    run = spark.createDataFrame([(1, "x" * 1_000_000), (2, "ab" * 500_000)], "doc_id bigint, text string")
+    assert [(x.n_bytes, x.n_removed, x.n_spans) for x in parsed_repeats.repeat_digests(run).collect()] == [(1_000_000, 1_000_000, 1)] * 2
+
+
+def test_repeats_stage_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, PASSAGE + "left", 1, "a", 2), (2, PASSAGE, 3, "b", 4), (3, None, 5, None, 6)], "doc_id bigint, text string, _rid int, spans string, row int")
+    got = sorted(tuple(x) for x in parsed_repeats.repeats_stage(spark, df, "").collect())
+    assert got == [(1, "left", 1, "a", 2), (3, None, 5, None, 6)]
 
 
 # --- near copies
