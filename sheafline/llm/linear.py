@@ -8,22 +8,24 @@ import numpy as np
 def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 1.0, rounds: int = 150) -> tuple[np.ndarray, float]:
     """Weights and bias of a squared-hinge SVM; ``y`` is -1 or 1, and both classes weigh the same.
 
-    Accelerated full-batch gradient steps from zero: the same data give the same model.
+    Accelerated full-batch gradient steps from zero: the same data give the same
+    model. ``x`` is not copied; the bias is a further column of ones in all but memory.
     """
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(x.dtype)
-    probe = np.ones(x.shape[1], x.dtype)
+    forth = lambda w: x @ w[:-1] + w[-1]
+    back = lambda r: np.append(r @ x, r.sum()).astype(x.dtype)
+    probe = np.ones(x.shape[1] + 1, x.dtype)
     for _ in range(12):  # largest curvature, by power iteration
-        probe = x.T @ (weight * (x @ probe))
+        probe = back(weight * forth(probe))
         top = float(np.linalg.norm(probe)) or 1.0
         probe /= top
     ridge = 1e-3 / cost
     step = 1 / (2 * top + ridge)
-    w = past = np.zeros(x.shape[1], x.dtype)
+    w = past = np.zeros(x.shape[1] + 1, x.dtype)
     for k in range(rounds):
         ahead = w + k / (k + 3) * (w - past)
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        past, w = w, ahead - step * (ridge * ahead - 2 * x.T @ (weight * y * slack))
+        slack = np.maximum(0, 1 - y * forth(ahead))
+        past, w = w, ahead - step * (ridge * ahead - 2 * back(weight * y * slack))
     return w[:-1], float(w[-1])
 
 

@@ -13,7 +13,6 @@ scored without visiting the landmarks.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,19 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, grouped, table, texts_of
+from .common import crc32_of_id, grouped, piece_of, table, texts_of
 from .linear import logistic, train_logistic, train_svm
 
 #: Labelled documents of each class that the model is fitted on, at most; those with the smallest hash of doc_id.
 SAMPLE = 1_500
-#: Longest document, in code points, that the model is fitted on.
+#: Code points of a document that the model is fitted on, at most: a piece of a longer one, at a place set by its hash.
 SAMPLE_CHARS = 6_000
-LANDMARKS = 160
+LANDMARKS = 128
 DECAY = 0.5
 #: Letters from the first to the last of a triple, at most.
 SPAN = 6
 SYMBOLS = 40
-ROUNDS = 4
+ROUNDS = 3
+FOLDS = 3
+#: How much a machine may give for the sentences that it gets wrong; folds choose.
+COSTS = (0.1, 3.0)
 THRESHOLD = 0.3
 #: A word longer than this is scored in overlapping pieces.
 PIECE = 64
@@ -43,10 +45,16 @@ _SPACED = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
 _JUNK = re.compile(r"[\W_]+")
 
 
-def sentences_of(text: str) -> list[list[str]]:
+def sentences_of(text: str) -> Iterator[list[str]]:
     """The words of each sentence; letters that stand alone in a row are one word."""
     text = _SPACED.sub(lambda m: "".join(m[0].split()), text.lower())
-    return [words for part in _SENTENCES.split(text) if (words := part.split())]
+    start = 0
+    for m in _SENTENCES.finditer(text):
+        if words := text[start : m.start()].split():
+            yield words
+        start = m.end()
+    if words := text[start:].split():
+        yield words
 
 
 def _codes(word: str) -> list[int]:
@@ -91,8 +99,8 @@ def kernel(words: list[str], others: list[str]) -> np.ndarray:
     who, what, how = triples(others)
     np.add.at(table, (what, who), how)
     out = np.zeros((len(words), len(others)), np.float32)
-    for a in range(0, len(words), 2_000):
-        who, what, how = triples(words[a : a + 2_000])
+    for a in range(0, len(words), 500):
+        who, what, how = triples(words[a : a + 500])
         order = np.argsort(who, kind="stable")
         who, what, how = who[order], what[order], how[order]
         first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]])) if len(who) else np.zeros(0, np.int64)
@@ -102,52 +110,95 @@ def kernel(words: list[str], others: list[str]) -> np.ndarray:
 
 
 class ToxicityModel:
-    """The table of triples, and the calibration of a document's features."""
+    """The table of triples, and the calibration of a document's features.
+
+    How strongly the machine is held back is chosen by folds, and the calibration is
+    fitted on what machines say of documents that they were not trained on.
+    """
 
     def __init__(self, texts: list[str], toxic: list[int], landmarks: int = LANDMARKS) -> None:
         y = np.array(toxic, np.int64)
-        docs = [sentences_of(x) for x in texts]
         self.table, self.bias, self.calibration = np.zeros(SYMBOLS**3, np.float32), 0.0, None
-        if not (0 < y.sum() < len(y)):
-            self.prior = float(y.mean()) if len(y) else 0.0
+        self.prior = float(y.mean()) if len(y) else 0.0
+        docs = [list(sentences_of(x)) for x in texts]
+        if not (0 < y.sum() < len(y)) or not any(docs):
             return
-        self.prior = float(y.mean())
-        seen: list[Counter] = [Counter(), Counter()]
-        for words, label in zip(docs, y, strict=True):
-            seen[label].update({w for s in words for w in s})
-        share = [seen[k].total() and (y == k).sum() for k in (0, 1)]
-        odds = {w: np.log((seen[1][w] + 0.5) / (share[1] + 1)) - np.log((seen[0][w] + 0.5) / (share[0] + 1)) for w in seen[1]}
-        telling = sorted(odds, key=lambda w: (-odds[w] * np.sqrt(seen[1][w]), w))[: landmarks // 2]
-        common = [w for w, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0])) if w not in set(telling)]
-        chosen = telling + common[: landmarks // 4] + common[landmarks // 4 :: max(1, len(common) // max(1, landmarks // 4))][: landmarks // 4]
-        chosen = [w for w in chosen if _codes(w)]
+        words = sorted({w for d in docs for s in d for w in s})
+        place = {w: i for i, w in enumerate(words)}
+        sentences = [(i, np.array([place[w] for w in s], np.int32)) for i, d in enumerate(docs) for s in d]
+        owner = np.array([i for i, _ in sentences])
+        del docs
+        has = [np.unique(np.concatenate([s for _, s in sentences[a:b]])) if a < b else np.zeros(0, np.int32) for a, b in zip(*(np.searchsorted(owner, np.arange(len(y)), side) for side in ("left", "right")), strict=True)]
+        chosen = [words[i] for i in self._landmarks(words, has, y, landmarks)]
         # Nyström: whiten by the kernel of the landmarks.
         values, vectors = np.linalg.eigh(kernel(chosen, chosen).astype(np.float64))
         keep = values > 1e-3 * values.max()
         white = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)
-        words = sorted({w for d in docs for s in d for w in s})
-        place = {w: i for i, w in enumerate(words)}
-        vectors_of = kernel(words, chosen) @ white
-        flat = [(i, s) for i, d in enumerate(docs) for s in d]
-        owner = np.array([i for i, _ in flat])
-        x = np.zeros((len(flat), white.shape[1]), np.float32)
-        for k, (_, s) in enumerate(flat):
-            x[k] = vectors_of[[place[w] for w in s]].sum(axis=0) / np.sqrt(len(s))
-        positive = y[owner] == 1
-        score = np.array([max(odds.get(w, -9.0) * np.sqrt(seen[1].get(w, 0)) for w in s) for _, s in flat])
-        for k in range(ROUNDS):
-            best = np.zeros(len(flat), bool)
-            order = np.lexsort((-score, owner))
-            best[order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]] = True
-            rows = (positive & (best | (score > 0 if k else False))) | ~positive
-            w, self.bias = train_svm(x[rows], np.where(positive[rows], 1.0, -1.0).astype(np.float32), cost=10.0)
-            score = x @ w + self.bias
+        vectors_of = np.zeros((len(words), white.shape[1]), np.float32)
+        for a in range(0, len(words), 20_000):
+            vectors_of[a : a + 20_000] = kernel(words[a : a + 20_000], chosen) @ white
+        x = np.zeros((len(sentences), white.shape[1]), np.float32)
+        for k, (_, s) in enumerate(sentences):
+            x[k] = vectors_of[s].sum(axis=0) / np.sqrt(len(s))
+        fold = np.zeros(len(y), np.int64)
+        for label in (0, 1):  # as many of each label in each fold
+            fold[y == label] = np.arange((y == label).sum()) % FOLDS
+        best = (np.inf,)
+        for cost in COSTS:
+            told = np.zeros((len(y), 4))
+            for k in range(FOLDS):
+                w, bias = self._machine(x, owner, sentences, has, y, fold != k, len(words), cost)
+                told[fold == k] = _features(np.flatnonzero(fold == k), owner, x @ w + bias, sentences, vectors_of @ w)
+            weights = train_logistic(told, y)
+            p = np.clip(logistic(told, weights), 1e-6, 1 - 1e-6)
+            loss = -np.log(np.where(y == 1, p, 1 - p)).mean()
+            if loss < best[0]:
+                best = (loss, cost, weights)
+        _, cost, self.calibration = best
+        w, self.bias = self._machine(x, owner, sentences, has, y, np.ones(len(y), bool), len(words), cost)
         full = np.zeros((SYMBOLS**3, len(chosen)), np.float32)
         who, what, how = triples(chosen)
         np.add.at(full, (what, who), how)
         self.table = full @ (white @ w)
-        known = dict(zip(words, self.score_words(words).tolist(), strict=True))
-        self.calibration = train_logistic(np.array([self.features(d, known) for d in docs]), y)
+
+    @staticmethod
+    def _odds(has: list[np.ndarray], y: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """How many toxic documents hold each word, and the log odds that one does against a clean document."""
+        counts = [np.bincount(np.concatenate([has[i] for i in np.flatnonzero(rows & (y == k))] or [np.zeros(0, int)]), minlength=n) for k in (0, 1)]
+        size = [int((rows & (y == k)).sum()) for k in (0, 1)]
+        return counts[1], np.log((counts[1] + 0.5) / (size[1] + 1)) - np.log((counts[0] + 0.5) / (size[0] + 1))
+
+    def _landmarks(self, words: list[str], has: list[np.ndarray], y: np.ndarray, n: int) -> list[int]:
+        """Half of words that tell toxic documents, in two of them at least where there are enough, and half common ones."""
+        usable = np.array([bool(_codes(w)) for w in words])
+        seen, odds = self._odds(has, y, np.ones(len(y), bool), len(words))
+        weight = np.where(usable, odds * np.sqrt(seen) * np.where(seen > 1, 1.0, 0.1), -np.inf)
+        telling = [i for i in np.argsort(-weight, kind="stable")[: n // 2].tolist() if weight[i] > 0]
+        clean = np.bincount(np.concatenate([h for h, k in zip(has, y, strict=True) if not k]), minlength=len(words))
+        clean[telling] = 0
+        common = [i for i in np.argsort(-clean, kind="stable").tolist() if clean[i] and usable[i]]
+        quarter = max(1, n // 4)
+        return telling + common[:quarter] + common[quarter :: max(1, len(common) // quarter)][:quarter]
+
+    def _machine(self, x: np.ndarray, owner: np.ndarray, sentences: list, has: list[np.ndarray], y: np.ndarray, rows: np.ndarray, n: int, cost: float) -> tuple[np.ndarray, float]:
+        """Weights and bias from the documents in ``rows``."""
+        seen, odds = self._odds(has, y, rows, n)
+        telling = odds * np.sqrt(seen) * (seen > 1)
+        use = np.flatnonzero(rows[owner])
+        positive, own, z = y[owner[use]] == 1, owner[use], x[use]
+        score = np.array([telling[sentences[i][1]].max() if p else 0.0 for i, p in zip(use, positive, strict=True)])
+        w, bias = np.zeros(x.shape[1], np.float32), 0.0
+        for k in range(ROUNDS):
+            order = np.lexsort((-score, own))
+            best = np.zeros(len(use), bool)
+            best[order[np.concatenate([[True], own[order][1:] != own[order][:-1]])]] = True
+            # At first only documents with a telling word speak for themselves; later all that the machine takes for toxic.
+            take = ~positive | (positive & (best & (score > 0) if not k else best | (score > 0)))
+            if not (take & positive).any():
+                take |= positive & best
+            w, bias = train_svm(z[take], np.where(positive[take], 1.0, -1.0).astype(np.float32), cost=cost)
+            score = z @ w + bias
+        return w, bias
 
     def score_words(self, words: list[str]) -> np.ndarray:
         pieces, owner = [], []
@@ -161,28 +212,59 @@ class ToxicityModel:
         np.maximum.at(out, owner, each)
         return out
 
-    def features(self, sentences: list[list[str]], known: dict[str, float]) -> list[float]:
-        """The best sentence, the best words, and the length of a document."""
-        best, n, top = -3.0, 0, [0.0, 0.0, 0.0]
+    def features(self, sentences: Iterator[list[str]], known: dict[str, float]) -> list[float]:
+        """The best sentence, the best words, and the length of a document; works on some thousand words at a time."""
+        best, n, top, held = -3.0, 0, [0.0, 0.0, 0.0], []
+        size = 0
+
+        def settle() -> None:
+            nonlocal best, top
+            self.learn({w for s in held for w in s}, known)
+            for s in held:
+                scores = [known[w] for w in s]
+                best = max(best, sum(scores) / len(s) ** 0.5 + self.bias)
+                if max(scores) > top[2]:
+                    top = sorted([*top, *[x for x in scores if x > top[2]]], reverse=True)[:3]
+
         for s in sentences:
-            scores = [known[w] for w in s]
+            held.append(s)
             n += len(s)
-            best = max(best, sum(scores) / len(s) ** 0.5 + self.bias)
-            if (high := max(scores)) > top[2]:
-                top = sorted([*top, *[x for x in scores if x > top[2]]], reverse=True)[:3]
+            size += len(s)
+            if size > 50_000:
+                settle()
+                held, size = [], 0
+        settle()
         return [best, top[0], sum(top), np.log1p(n)]
 
+    def learn(self, words: set[str], known: dict[str, float]) -> None:
+        """Adds the scores of ``words`` to ``known``, which stays within bounds."""
+        if len(known) > 300_000:
+            known.clear()
+        new = list(words.difference(known))
+        for a in range(0, len(new), 10_000):
+            known.update(zip(new[a : a + 10_000], self.score_words(new[a : a + 10_000]).tolist(), strict=True))
+
     def score(self, texts: list[str], known: dict[str, float]) -> np.ndarray:
         """``known`` keeps the scores of words between calls."""
-        docs = [sentences_of(x) for x in texts]
         if self.calibration is None:
             return np.full(len(texts), self.prior)
-        if len(known) > 500_000:
-            known.clear()
-        new = list({w for d in docs for s in d for w in s}.difference(known))
-        for a in range(0, len(new), 20_000):
-            known.update(zip(new[a : a + 20_000], self.score_words(new[a : a + 20_000]).tolist(), strict=True))
-        return logistic(np.array([self.features(d, known) for d in docs]).reshape(len(docs), 4), self.calibration)
+        if sum(map(len, texts)) < 2_000_000:  # one pass over all new words is quicker
+            docs = [list(sentences_of(x)) for x in texts]
+            self.learn({w for d in docs for s in d for w in s}, known)
+        else:
+            docs = map(sentences_of, texts)
+        return logistic(np.array([self.features(d, known) for d in docs]).reshape(len(texts), 4), self.calibration)
+
+
+def _features(which: np.ndarray, owner: np.ndarray, score: np.ndarray, sentences: list, words: np.ndarray) -> np.ndarray:
+    """The features of documents from the scores of their sentences and of all words."""
+    out = np.zeros((len(which), 4))
+    first, last = (np.searchsorted(owner, which, side) for side in ("left", "right"))
+    for k, (a, b) in enumerate(zip(first, last, strict=True)):
+        own = words[np.concatenate([s for _, s in sentences[a:b]])] if a < b else np.zeros(0)
+        top = np.sort(np.concatenate([np.maximum(own, 0), np.zeros(3)]))[-3:]
+        out[k] = max(-3.0, score[a:b].max(initial=-3.0)), top[2], top.sum(), np.log1p(len(own))
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityModel:
@@ -196,7 +278,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
     if not ids:
         return ToxicityModel([], [])
     chosen = docs.sparkSession.createDataFrame([(x.doc_id, x.toxic) for x in ids], "doc_id bigint, toxic int")
-    rows = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample).collect()
+    rows = docs.where("text is not null").select("doc_id", piece_of(F.col("text"), SAMPLE_CHARS).alias("text")).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample).collect()
     return ToxicityModel([x.text for x in rows], [x.toxic for x in rows])
 
 
