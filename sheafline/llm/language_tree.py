@@ -7,22 +7,24 @@ languages of a family.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, grouped, mix64, small_batches, table, texts_of
+from .common import crc32_of_id, grouped, mix64, piece_of, small_batches, table, texts_of
 from .linear import logistic, train_logistic, train_svm
 
-#: Documents that the model is fitted on, at most; they are those with the smallest hash of doc_id.
+#: Documents that the model is fitted on, at most; every language has the same share, of its smallest hashes of doc_id.
 SAMPLE = 3_000
-#: Longest document, in code points, that the model is fitted on.
+#: Code points of a document that the model is fitted on, at most: a piece of a longer one, at a place set by its hash.
 SAMPLE_CHARS = 20_000
+#: Code points that are counted at a time.
+STEP = 400_000
 BIGRAMS, TRIGRAMS = 1_024, 3_072
 UNKNOWN = "und"
 
@@ -40,34 +42,54 @@ FAMILIES = {
     "dravidian": ("ta", "te", "kn", "ml"),
 }
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Letters are the characters of Unicode's category L; numerals and marks are none.
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def letters_of(text: str) -> str:
     """Lower-case words with one space before, between and behind them; empty without letters."""
-    plain = _NOT_LETTERS.sub(" ", text.lower()).strip()
+    plain = _NOT_LETTERS.sub(" ", text).strip().lower()
     return f" {plain} " if plain else ""
 
 
+def _steps(texts: list[str]) -> Iterator[list[tuple[int, str, int]]]:
+    """(text, piece, grams that start in it) of some thousand code points together; pieces overlap by two."""
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        for a in range(0, len(text), STEP):
+            piece = text[a : a + STEP + 2]
+            held.append((i, piece, STEP))
+            size += len(piece)
+            if size >= STEP:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def features(texts: list[str]) -> np.ndarray:
     """A row of unit length for each text: square roots of hashed bigram and trigram counts."""
-    plain = [letters_of(x) for x in texts]
     out = np.zeros((len(texts), BIGRAMS + TRIGRAMS), np.float32)
-    lengths = np.array([len(x) for x in plain], np.int64)
-    codes = np.frombuffer("".join(plain).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    if not len(codes):
-        return out
-    owner = np.repeat(np.arange(len(texts)), lengths)
-    for n, size, first in ((2, BIGRAMS, 0), (3, TRIGRAMS, BIGRAMS)):
-        if len(codes) < n:
-            continue
-        key = np.zeros(len(codes) - n + 1, np.uint64)
-        for i in range(n):
-            key = (key << np.uint64(21)) | codes[i : len(codes) - n + 1 + i]
-        same = owner[: len(key)] == owner[n - 1 :]
-        at = owner[: len(key)][same] * size + (mix64(key[same]) % np.uint64(size)).astype(np.int64)
-        out[:, first : first + size] = np.sqrt(np.bincount(at, minlength=len(texts) * size).reshape(len(texts), size))
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    for held in _steps([letters_of(x) for x in texts]):
+        lengths = np.array([len(x) for _, x, _ in held], np.int64)
+        codes = np.frombuffer("".join(x for _, x, _ in held).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        piece = np.repeat(np.arange(len(held)), lengths)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        owner = np.array([i for i, _, _ in held])
+        first = int(owner[0])
+        for n, size, column in ((2, BIGRAMS, 0), (3, TRIGRAMS, BIGRAMS)):
+            if len(codes) < n:
+                continue
+            key = np.zeros(len(codes) - n + 1, np.uint64)
+            for i in range(n):
+                key = (key << np.uint64(21)) | codes[i : len(codes) - n + 1 + i]
+            same = (piece[: len(key)] == piece[n - 1 :]) & (place[: len(key)] < STEP)
+            at = (owner[piece[: len(key)][same]] - first) * size + (mix64(key[same]) % np.uint64(size)).astype(np.int64)
+            rows = int(owner[-1]) - first + 1
+            out[first : first + rows, column : column + size] += np.bincount(at, minlength=rows * size).reshape(rows, size)
+    np.sqrt(out, out=out)
+    out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    return out
 
 
 class LanguageTree:
@@ -84,21 +106,22 @@ class LanguageTree:
         self.members = [[c for c in self.langs if family[c] == f] for f in self.families]
         own = np.array([self.families.index(family[c]) for c in y]) if len(y) else np.zeros(0, int)
         width = BIGRAMS + TRIGRAMS
-        models: list[tuple[np.ndarray, np.ndarray]] = []
+        models: list[tuple[np.ndarray | None, np.ndarray]] = []  # rows, None for all, and signs
         self.pairs: list[tuple[int, str, str]] = []
         if len(self.families) > 1:
             for k in range(len(self.families)):
-                models.append((x, np.where(own == k, 1, -1)))
+                models.append((None, np.where(own == k, 1, -1)))
         for k, codes in enumerate(self.members):
             for a, b in combinations(codes, 2):
                 rows = (y == a) | (y == b)
-                models.append((x[rows], np.where(y[rows] == a, 1, -1)))
+                models.append((np.flatnonzero(rows), np.where(y[rows] == a, 1, -1)))
                 self.pairs.append((k, a, b))
         self.weights, self.bias, self.scale = np.zeros((width, len(models)), np.float32), np.zeros(len(models), np.float32), np.zeros((len(models), 2))
         for i, (rows, sign) in enumerate(models):
-            w, self.bias[i] = train_svm(rows, sign.astype(np.float32))
+            part = x if rows is None else x[rows]
+            w, self.bias[i] = train_svm(part, sign.astype(np.float32))
             self.weights[:, i] = w
-            self.scale[i] = train_logistic((rows @ w + self.bias[i])[:, None], sign > 0)
+            self.scale[i] = train_logistic((part @ w + self.bias[i])[:, None], sign > 0)
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         margins = x @ self.weights + self.bias
@@ -127,14 +150,24 @@ class LanguageTree:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageTree | None:
     """A model from ``docs`` (doc_id, text, lang) with a known lang; None if there are none.
 
-    Reads the ids first, so that only the sample's texts, ``sample`` at most, reach the driver.
+    Ids are chosen first, so that only the sample's texts reach the driver. A language
+    with few documents gives all of them, however many others there are.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    ids = [x[0] for x in usable.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-    if not ids:
+    usable = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    counts = {x.lang: x.n for x in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not counts:
         return None
-    chosen = docs.sparkSession.createDataFrame([(x,) for x in dict.fromkeys(ids)], "doc_id bigint")
-    rows = usable.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text", "lang"), "text", "lang").limit(sample).collect()
+    share = max(1, sample // len(counts))
+    # Somewhat more than the share by hash, of which the smallest are kept.
+    bound = docs.sparkSession.createDataFrame([(c, min(1.0, (share + 6 * share**0.5 + 20) / n)) for c, n in counts.items()], "lang string, below double")
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)
+    near = usable.select("doc_id", "lang", place.alias("at")).join(F.broadcast(bound), "lang").where(F.col("at") < F.col("below") * float(1 << 53)).select("lang", "at", "doc_id").collect()
+    kept: dict[str, list[int]] = {}
+    for x in sorted(near, key=lambda x: (x.lang, x.at, x.doc_id)):
+        if len(own := kept.setdefault(x.lang, [])) < share:
+            own.append(x.doc_id)
+    chosen = docs.sparkSession.createDataFrame([(c, i) for c, ids in kept.items() for i in dict.fromkeys(ids)], "lang string, doc_id bigint")
+    rows = usable.select("doc_id", piece_of(F.col("text"), SAMPLE_CHARS).alias("text"), "lang").join(F.broadcast(chosen), ["lang", "doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text", "lang"), "text", "lang").limit(2 * sample).collect()
     return LanguageTree([x.text for x in rows], [x.lang for x in rows])
 
 
@@ -174,7 +207,11 @@ def op4_language_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in which a language is found; those that are ``und`` go."""
+    """The documents in which a language is found: texts that are null, or without a letter, go.
+
+    Without a known lang to learn from, every text with a letter stays. Repeated rows
+    and null ids are judged one by one; all columns are kept; no documents give no rows.
+    """
     small_batches(spark)
     tree = fit(docs.where(~held_out()))
 
@@ -184,7 +221,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
             keep: list[bool] = []
             for i in range(0, len(texts), 256):
                 x = features(texts[i : i + 256])
-                lang, _ = tree.predict(x) if tree else ([UNKNOWN] * len(x), None)
+                lang = tree.predict(x)[0] if tree else [""] * len(x)
                 keep.extend(bool(found) and y != UNKNOWN for y, found in zip(lang, x.any(axis=1), strict=True))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
