@@ -7,9 +7,15 @@ own arc when its shard is full, so a changed shard count or a changed table move
 few of them where ``slack`` leaves room; without slack, counts are at most one
 apart.
 
-The rows of an arc are a range of ranks along the ring. The driver decides on
-ranges alone, a number set by shards, virtual nodes and partitions; rows are never
-gathered.
+Texts that stand more than once are placed first, by slices of the ring that hold
+them whole: a slice that doesn't fit into what is left of a shard continues
+clockwise to one that has room for all of it. Only rows of texts that stand once are
+then dealt one by one into what is left. Rows of equal texts are thus parted only
+where their slice fits into no shard.
+
+The rows of an arc or slice are a range of ranks along the ring. The driver decides
+on ranges alone, a number set by shards, virtual nodes, slices and partitions; rows
+are never gathered.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import scratch, stored, table
 
 SHARDS = 24
 #: Virtual nodes of a shard.
@@ -30,6 +36,8 @@ REPLICAS = 128
 #: Bytes that each row takes besides its text.
 ROW_BYTES = 8
 RING_BITS = 63
+#: Slices of the ring in which equal texts are kept together.
+SLICE_BITS = 16
 
 
 def virtual_nodes(shards: int, replicas: int = REPLICAS) -> tuple[np.ndarray, np.ndarray]:
@@ -46,17 +54,35 @@ def capacities(n: int, shards: int, slack: float = 0.0) -> np.ndarray:
     return n // shards + (np.arange(shards) < n % shards)
 
 
-def assign_ranges(arc_rows: np.ndarray, owner: np.ndarray, room: np.ndarray) -> list[tuple[int, int, int]]:
+def assign_whole(slices: list[tuple[int, int, int]], owner: np.ndarray, room: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """Ranges as of ``assign_ranges`` for slices that fit somewhere as a whole, and the slices that don't.
+
+    ``slices``: (first node clockwise, first rank, behind the last rank). Takes from ``room``.
+    """
+    out, left = [], []
+    waiting = [(node, a, b, 0) for node, a, b in slices]
+    while waiting:
+        later = []
+        for node, a, b, asked in waiting:
+            if asked == len(owner) or b - a > room.max(initial=0):
+                left.append((node, a, b))
+            elif room[owner[node % len(owner)]] >= b - a:
+                room[owner[node % len(owner)]] -= b - a
+                out.append((a, b, int(owner[node % len(owner)])))
+            else:
+                later.append((node + 1, a, b, asked + 1))
+        waiting = later
+    return out, [(node % len(owner), a, b) for node, a, b in left]
+
+
+def assign_ranges(waiting: list[tuple[int, int, int]], owner: np.ndarray, room: np.ndarray) -> list[tuple[int, int, int]]:
     """(first rank, behind the last rank, shard) for all rows, in order of rank.
 
-    ``arc_rows``: rows whose first virtual node clockwise is the i-th. All rows ask
-    their first node; those sent on ask the next node whose shard has room, round
-    by round. In a round, nodes are asked in ring order, and take the rows that
-    stand first.
+    ``waiting``: (first node clockwise, first rank, behind the last rank) in ring
+    order. All rows ask their first node; those sent on ask the next node whose shard
+    has room, round by round. In a round, nodes are asked in ring order, and take the
+    rows that stand first. Takes from ``room``.
     """
-    room = room.copy()
-    ends = np.cumsum(arc_rows)
-    waiting = [(i, int(e - n), int(e)) for i, (n, e) in enumerate(zip(arc_rows, ends, strict=True)) if n]
     out = []
     while waiting:
         later = []
@@ -73,15 +99,27 @@ def assign_ranges(arc_rows: np.ndarray, owner: np.ndarray, room: np.ndarray) ->
     return sorted(out)
 
 
-def _arc_counts(nodes: np.ndarray):
+def assign(counts: dict[tuple[bool, int], int], nodes: np.ndarray, owner: np.ndarray, room: np.ndarray) -> list[tuple[int, int, int]]:
+    """Ranges for all rows. ``counts``: rows by (text stands once, place): the place is an arc, or a slice of texts that stand more often."""
+    end, groups, arcs = 0, [], []
+    # Slices stand first, then arcs in ring order; the arc behind the last node belongs to the first one.
+    for (single, place), n in sorted(counts.items()):
+        node = place if single else int(np.searchsorted(nodes >> (RING_BITS - SLICE_BITS), place))
+        (arcs if single else groups).append((node % len(nodes), end, end + n))
+        end += n
+    whole, parted = assign_whole(groups, owner, room)
+    return sorted(whole + assign_ranges(sorted(parted + arcs), owner, room))
+
+
+def _place_counts(nodes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            at, row = batch.column("at").to_numpy(), batch.column("row").to_numpy()
-            arc = np.searchsorted(nodes, at) % len(nodes)
-            both, n = np.unique(np.stack([row >> 33, arc, at > nodes[-1]]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"part": pa.array(both[0]), "arc": pa.array(both[1]), "beyond": pa.array(both[2]), "n": pa.array(n)})
+            at, row, single = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("at", "row", "single"))
+            place = np.where(single, np.searchsorted(nodes, at), at >> (RING_BITS - SLICE_BITS))
+            both, n = np.unique(np.stack([row >> 33, single.astype(np.int64), place]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_pydict({"part": pa.array(both[0]), "single": pa.array(both[1] == 1), "place": pa.array(both[2]), "n": pa.array(n)})
 
     return run
 
@@ -103,28 +141,29 @@ def ring_shards(docs: DataFrame, shards: int = SHARDS, replicas: int = REPLICAS,
     Without ``slack`` the rows of shards are at most one apart. Slots of a shard run
     from 0 without gaps. A null text has size 8 and the CRC of the empty text; rows
     with null or repeated doc_ids, and rows repeated as a whole, are placed one by
-    one; equal texts share a shard unless it is full. No documents give no rows;
-    other columns are not read.
+    one; equal texts share a shard unless none has room for them. No documents give
+    no rows; other columns are not read.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    high = F.shiftleft(F.shiftrightunsigned(F.xxhash64(text), 25), 24)
-    rows = docs.select(F.col("doc_id").cast("bigint"), (F.octet_length(text).cast("bigint") + ROW_BYTES).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), high.bitwiseOR(F.shiftrightunsigned(F.xxhash64("doc_id"), 40)).alias("at"), F.monotonically_increasing_id().alias("tie"))
-    order = ["at", "doc_id", "tie"]
-    ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    ranged = stored(ranged.select("doc_id", "size", "text_crc32", "at", F.monotonically_increasing_id().alias("row")), "ring")
+    high = F.shiftleft(F.shiftrightunsigned("th", 25), 24)
+    rows = docs.select(F.col("doc_id").cast("bigint"), (F.octet_length(text).cast("bigint") + ROW_BYTES).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("th"), F.monotonically_increasing_id().alias("tie"))
+    with scratch(spark) as kept:
+        often = stored(rows.groupBy("th").count().where("count > 1").select("th", F.lit(False).alias("single")), "equal-texts")
+        # As a stored table, the texts that stand more often have a known size: Spark broadcasts them only below its limit.
+        rows = rows.join(often, "th", "left").select("doc_id", "size", "text_crc32", high.bitwiseOR(F.shiftrightunsigned(F.xxhash64("doc_id"), 40)).alias("at"), "tie", F.coalesce("single", F.lit(True)).alias("single"))
+        order = ["single", "at", "doc_id", "tie"]
+        ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+        ranged = stored(ranged.select("doc_id", "size", "text_crc32", "at", "single", F.monotonically_increasing_id().alias("row")), "ring")
+        kept.append(ranged)
     nodes, owner = virtual_nodes(shards, replicas)
-    counts = ranged.select("at", "row").mapInArrow(_arc_counts(nodes), "part bigint, arc bigint, beyond bigint, n bigint").groupBy("part", "arc", "beyond").agg(F.sum("n").alias("n")).collect()
-    parts = np.unique([x.part for x in counts]).astype(np.int64)
-    per_part, arcs, beyond = np.zeros(len(parts), np.int64), np.zeros(len(nodes), np.int64), 0
-    for x in counts:
+    found = ranged.select("at", "row", "single").mapInArrow(_place_counts(nodes), "part bigint, single boolean, place bigint, n bigint").groupBy("part", "single", "place").agg(F.sum("n").alias("n")).collect()
+    parts = np.unique([x.part for x in found]).astype(np.int64)
+    per_part, counts = np.zeros(len(parts), np.int64), {}
+    for x in found:
         per_part[np.searchsorted(parts, x.part)] += x.n
-        if x.beyond:
-            beyond += x.n  # behind the last node; it belongs to the first one, but its ranks are the last
-        else:
-            arcs[x.arc] += x.n
-    n = int(per_part.sum())
-    ranges = assign_ranges(np.append(arcs, beyond), np.append(owner, owner[:1]), capacities(n, shards, slack)) if n else []
+        counts[x.single, x.place] = counts.get((x.single, x.place), 0) + x.n
+    ranges = assign(counts, nodes, owner, capacities(int(per_part.sum()), shards, slack))
     starts, filled, slots = [], [0] * shards, []
     for a, b, shard in ranges:
         starts.append(a)
