@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, table
+from .common import forget, new_path, table
 
 #: Payloads of fewer bytes are always stored in full.
 REVISIT_BYTES = 100
-#: Records in a file; the reader holds one file in memory.
-FILE_RECORDS = 10_000
+#: Records in a file by payload size: (bytes below which, records). A file thus holds at most 640 MB of payload, or one record.
+FILE_RECORDS = ((1 << 16, 10_000), (1 << 23, 76), (1 << 63, 1))
 #: Archives are the same for the same pages, so the date is a parameter.
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -214,7 +214,14 @@ def write_warc(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES,
     # As a stored table, the repeats have a known size: Spark broadcasts them only below its limit.
     marked = rows.join(repeats, "digest", "left").select("*", (F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))).alias("again")).withColumnRenamed("first", "refers_to")
     # Spark's text writer ends each row with the separator, which is the member's last byte.
-    marked.mapInArrow(_members(date), "record binary").select(F.col("record").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(f"{path}")
+    size, above = F.octet_length("html"), 0
+    least, most = rows.agg(F.min(size), F.max(size)).first()
+    for below, records in FILE_RECORDS:
+        if above <= (most or 0) and (least or 0) < below:
+            part = marked.where((size >= above) & (size < below)).mapInArrow(_members(date), "record binary")
+            part.select(F.col("record").cast("string")).write.mode("append").option("lineSep", "\0").option("maxRecordsPerFile", records).text(path)
+        above = below
+    forget(pages.sparkSession, kept)
 
 
 def _salvaged(payloads: bool):
@@ -247,8 +254,11 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
-    found = read_warc(spark, f"{path}/part-*", payloads=False).where("reason is null")
-    return found.select(F.substring("record_id", len(_ID) + 1, 30).try_cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.substring("refers_to", len(_ID) + 1, 30).try_cast("bigint").alias("refers_to"))
+    found = read_warc(spark, f"{path}/part-*", payloads=False)
+    # These archives are whole; a gap would silently shorten the result, so it ends the query.
+    damage = F.raise_error(F.concat(F.lit("damaged archive: "), F.col("path"), F.lit(": "), F.col("reason")))
+    page = F.when(F.col("reason").isNull(), F.substring("record_id", len(_ID) + 1, 30).try_cast("bigint")).otherwise(damage.cast("bigint"))
+    return found.select(page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.substring("refers_to", len(_ID) + 1, 30).try_cast("bigint").alias("refers_to"))
 
 
 ORACLE_SQL = """
