@@ -8,6 +8,7 @@ over the documents' pre-token frequencies. Token ids are never made.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,8 @@ from .common import stored, table, texts_of
 #: Characters of text in a block. A task holds the block's distinct pre-tokens and frequencies in memory, not its text.
 BLOCK_CHARS = 32_000_000
 LIMIT = 2048
+#: Characters of a text from which on pre-tokens are counted as they are found.
+STEP = 1_000_000
 
 _BLOCK = "block bigint, doc_id array<bigint>, n_bytes array<bigint>, fixed array<bigint>, ends array<bigint>, ids binary, freqs binary, words array<string>"
 
@@ -59,15 +62,18 @@ class PreTokenizer:
         split = config["pre_tokenizer"]["pretokenizers"][0]
         if split["behavior"] != "Removed" or not split["invert"]:
             raise ValueError("the split pattern must name what is kept")
-        self.words = regex.compile(split["pattern"]["Regex"]).findall
+        self.pattern = regex.compile(split["pattern"]["Regex"])
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.normalize = Tokenizer.from_file(path).normalizer.normalize_str
 
-    def __call__(self, text: str) -> tuple[int, list[str]]:
-        """Number of special strings, and the pre-tokens."""
-        if self.special and (parts := self.special.split(text)) and len(parts) > 1:
-            return len(parts) - 1, [w for part in parts for w in self.words(self._plain(part))]
-        return 0, self.words(self._plain(text))
+    def __call__(self, text: str) -> tuple[int, Counter]:
+        """Number of special strings, and the frequencies of pre-tokens; a long text's are never all held at once."""
+        parts = self.special.split(text) if self.special else [text]
+        found: Counter = Counter()
+        for part in parts:
+            plain = self._plain(part)
+            found.update(self.pattern.findall(plain) if len(plain) < STEP else (m[0] for m in self.pattern.finditer(plain)))
+        return len(parts) - 1, found
 
     def _plain(self, text: str) -> str:
         return text.lower() if text.isascii() else self.normalize(text)
@@ -81,10 +87,7 @@ class Block:
         self.doc_ids, self.sizes, self.fixed, self.ends = [], [], [], []
         self.ids, self.freqs, self.chars, self.n = [], [], 0, 0
 
-    def add(self, doc_id, text: str, special: int, words: list[str]) -> None:
-        from collections import Counter
-
-        counts = Counter(words)
+    def add(self, doc_id, text: str, special: int, counts: Counter) -> None:
         index = self.index
         ids = np.array([index.setdefault(w, len(index)) for w in counts], np.int32)
         order = np.argsort(ids)  # words that are new to the block then follow each other
