@@ -23,29 +23,39 @@ SHINGLE = 16
 #: One hash in so many is kept.
 SCALE = 32
 BATCH_BYTES = 4_000_000
-
-
-def sketches(texts: list[bytes], shingle: int = SHINGLE, scale: int = SCALE) -> list[np.ndarray]:
-    """The sorted 64-bit hashes that each text keeps."""
-    lengths = np.array([len(x) for x in texts], np.int64)
-    ends = np.cumsum(lengths)
-    starts = ends - lengths
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    roll = RollingHash(data)
-    hashes = roll.all_of(shingle)
-    low = np.flatnonzero(hashes < np.uint64((1 << 64) // scale))
-    owner = np.searchsorted(ends, low, "right")
-    inside = low + shingle <= ends[owner] if len(low) else np.zeros(0, bool)
-    low, owner = low[inside], owner[inside]
-    cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+#: Bytes that are hashed at a time.
+STEP = 1_000_000
+
+
+def sketches(texts: list[bytes], shingle: int = SHINGLE, scale: int = SCALE, step: int = STEP) -> list[np.ndarray]:
+    """The sorted 64-bit hashes that each text keeps; long texts are hashed in overlapping steps."""
+    pieces = [(i, x[a : a + step + shingle - 1]) for i, x in enumerate(texts) for a in range(0, max(1, len(x) - shingle + 1), step)]
+    kept: list[list[np.ndarray]] = [[] for _ in texts]
+    least: list[np.uint64 | None] = [None] * len(texts)
+    for first, last in grouped([x for _, x in pieces], step):
+        owner = np.array([i for i, _ in pieces[first:last]])
+        lengths = np.array([len(x) for _, x in pieces[first:last]], np.int64)
+        ends = np.cumsum(lengths)
+        roll = RollingHash(np.frombuffer(b"".join(x for _, x in pieces[first:last]), np.uint8))
+        hashes = roll.all_of(shingle)
+        low = np.flatnonzero(hashes < np.uint64((1 << 64) // scale))
+        piece = np.searchsorted(ends, low, "right")
+        inside = low + shingle <= ends[piece] if len(low) else np.zeros(0, bool)
+        low, piece = low[inside], piece[inside]
+        cuts = np.searchsorted(piece, np.arange(len(lengths) + 1))
+        for k, (i, n) in enumerate(zip(owner, lengths, strict=True)):
+            kept[i].append(hashes[low[cuts[k] : cuts[k + 1]]])
+            if n >= shingle:
+                one = hashes[ends[k] - n : ends[k] - shingle + 1].min()
+            elif n:
+                one = mix64(roll.of(ends[k : k + 1] - n, ends[k : k + 1]) ^ np.uint64(n))[0]
+            else:
+                continue
+            least[i] = one if least[i] is None else min(one, least[i])
     out = []
-    for i, n in enumerate(lengths):
-        kept = np.unique(hashes[low[cuts[i] : cuts[i + 1]]])
-        if not len(kept) and n >= shingle:
-            kept = hashes[starts[i] : ends[i] - shingle + 1].min(keepdims=True)
-        elif not len(kept) and n:
-            kept = mix64(roll.of(starts[i : i + 1], ends[i : i + 1]) ^ np.uint64(n))
-        out.append(kept)
+    for below, one in zip(kept, least, strict=True):
+        found = np.unique(np.concatenate(below)) if below else np.zeros(0, np.uint64)
+        out.append(found if len(found) or one is None else np.array([one], np.uint64))
     return out
 
 
@@ -95,7 +105,9 @@ def edited(text: str, following: str) -> str:
 
 _PAIR = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((x, pa.string()) for x in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-_EDGE = "part int, last boolean, doc_id bigint, text string"
+#: A range of rows goes by its first row: whether that has no doc_id, its doc_id (or 0), and the hash of its text.
+_RANGE = ["unnamed", "id", "h"]
+_EDGE = "unnamed boolean, id bigint, h bigint, last boolean, doc_id bigint, text string"
 
 
 def _rows(ids: list, texts: list[str], follow: list[str]) -> dict:
@@ -129,18 +141,19 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first and the last row of a range."""
-    from pyspark import TaskContext
-
-    part, last = TaskContext.get().partitionId(), None
-    schema = pa.schema([("part", pa.int32()), ("last", pa.bool_()), ("doc_id", pa.int64()), ("text", pa.string())])
+    schema = pa.schema([("unnamed", pa.bool_()), ("id", pa.int64()), ("h", pa.int64()), ("last", pa.bool_()), ("doc_id", pa.int64()), ("text", pa.string())])
+    name, last = None, None
     for batch in batches:
         if not len(batch):
             continue
-        if last is None:
-            yield pa.RecordBatch.from_pylist([{"part": part, "last": False} | batch.slice(0, 1).to_pylist()[0]], schema)
-        last = batch.slice(len(batch) - 1).to_pylist()[0]
+        if name is None:
+            first = batch.slice(0, 1).to_pylist()[0]
+            name = {"unnamed": first["doc_id"] is None, "id": first["doc_id"] or 0, "h": first["h"]}
+            yield pa.RecordBatch.from_pylist([name | {"last": False, "doc_id": first["doc_id"], "text": first["text"]}], schema)
+        last = batch.slice(len(batch) - 1)
     if last is not None:
-        yield pa.RecordBatch.from_pylist([{"part": part, "last": True} | last], schema)
+        row = last.to_pylist()[0]
+        yield pa.RecordBatch.from_pylist([name | {"last": True, "doc_id": row["doc_id"], "text": row["text"]}], schema)
 
 
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,16 +171,21 @@ def neighbour_likeness(docs: DataFrame) -> DataFrame:
     range meet outside their task: two rows a partition. Null texts are empty;
     no documents give no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), F.col("text")]
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("bigint"), text.alias("text"), F.xxhash64(text).alias("h"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("h"), F.col("text")]
     ranged = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), order[0], order[1]).sortWithinPartitions(*order)
-    # Both readers share the shuffle; the sketches are not stored, as they take as much room as the text.
+    # All readers share the shuffle; the sketches are not stored, as they take as much room as the text.
     ends = ranged.mapInArrow(_edges, _EDGE)
-    # Two rows a partition of the shuffle above: a number that the data do not set.
-    by = Window.orderBy("part", "last")
-    pairs = ends.withColumn("follow", F.lead("text").over(by)).withColumn("after", F.lead("part").over(by)).withColumn("first", F.first("text").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    pairs = pairs.where("last").select("doc_id", "text", F.when(F.col("after").isNull(), F.col("first")).otherwise(F.col("follow")).alias("follow"))
-    return ranged.mapInArrow(_in_order, _PAIR).unionByName(pairs.mapInArrow(_ends, _PAIR))
+    last = ends.where("last").select(*_RANGE, "doc_id", "text")
+    first = ends.where("not last").select(F.struct(*_RANGE).alias("after"), F.col("text").alias("follow"))
+    # Which range comes next: a name for each partition of the shuffle above, and no text, in one task.
+    by = Window.orderBy("unnamed", F.desc("id"), "h")
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    name = F.struct(*_RANGE)
+    following = ends.where("last").select(*_RANGE).select(*_RANGE, F.coalesce(F.lead(name).over(by), F.first(name).over(whole)).alias("after"))
+    pairs = last.join(following, _RANGE).join(first, "after").select("doc_id", "text", "follow")
+    return ranged.select("doc_id", "text").mapInArrow(_in_order, _PAIR).unionByName(pairs.mapInArrow(_ends, _PAIR))
 
 
 def op10_document_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
