@@ -1,10 +1,13 @@
 """Near copies: texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-In any order of all shingles, two sets this alike share one among the first fifth,
-the prefix, of each. Sets that share a prefix shingle are candidates, and candidates
-are compared in full, so every pair is found and no other is linked. Shingles
-common in a sample come last in the order: that decides how many candidates there
-are, but not what is found.
+Most links come from the SimHash index: fingerprints of the same shingles that lie
+close together are compared in full, and those alike are connected. Fingerprints of
+64 bits can't tell all sets that are 0.8 alike, as these differ in about 10 bits, so
+the rest is found exactly. In any order of all shingles, two sets this alike share
+one among the first fifth, the prefix, of each. Sets that share a prefix shingle and
+aren't connected yet are candidates, and candidates are compared in full, so every
+pair is found and no other is linked. Shingles common in a sample come last in the
+order: that decides how many candidates there are, but not what is found.
 """
 
 from __future__ import annotations
@@ -16,8 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, mix64, stored
+from .common import BASE, mix64, scratch, stored
 from .components import components
+from .simhash_gray import bits_of, near_links
 
 WORDS = 5
 #: Two texts are near copies from this Jaccard similarity on, in per cent.
@@ -29,12 +33,14 @@ SAMPLE, COMMON = 20_000, 8
 MOST_COMMON = 100_000
 #: A shingle with more sets is not compared pair by pair at once, but first each with its next few neighbours.
 LARGE, NEXT = 64, 8
+#: Sets of one shingle that meet in one row, about; more are dealt over blocks.
+BLOCK = 512
 #: Rounds of neighbours, each in another order, before all pairs that are not yet connected.
 ROUNDS = 2
 #: Pairs that are held at once, about.
 PAIRS = 50_000
 
-_SET = "th bigint, set_id bigint, n int, prefix array<bigint>"
+_SET = "th bigint, set_id bigint, n int, fp bigint, prefix array<bigint>"
 
 
 def shingles(text: str | None, known: dict[bytes, int] | None = None, words: int = WORDS) -> np.ndarray:
@@ -103,9 +109,9 @@ def _prefixes(common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        schema = pa.schema([("th", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("prefix", _LONGS)])
+        schema = pa.schema([("th", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("prefix", _LONGS)])
         signed = lambda x: x - (1 << 64) if x >> 63 else x
-        rows = ({"th": th, "set_id": signed(xxh64_intdigest(x.tobytes(), SEED)), "n": len(x), "prefix": prefix(x, common).view(np.int64) if len(x) else []} for th, x in _each(batches))
+        rows = ({"th": th, "set_id": signed(xxh64_intdigest(x.tobytes(), SEED)), "n": len(x), "fp": signed(bits_of(x)), "prefix": prefix(x, common).view(np.int64) if len(x) else []} for th, x in _each(batches))
         yield from _batched(rows, schema, "prefix")
 
     return run
@@ -118,15 +124,15 @@ def _pairs(a: np.ndarray, b: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.
     return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
 
-def _candidates(turn: int | None, large: int, following: int):
-    """Pairs within each list of sets: all, or for ``large`` lists with a ``turn`` the next ``following`` in its order."""
+def _candidates(turn: int | None, following: int):
+    """Pairs within each list of sets: all, or of ``large`` lists with a ``turn`` the next ``following`` in its order; all of two blocks only across."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sets in batch.column("sets"):
+            for sets, large, across in zip(batch.column("sets"), batch.column("large").to_pylist(), batch.column("across").to_pylist(), strict=True):
                 x = sets.values
-                ids, n, at, root = (x.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("set_id", "n", "at", "root"))
-                if turn is not None and len(ids) > large:
+                ids, n, at, root, block = (x.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("set_id", "n", "at", "root", "block"))
+                if turn is not None and large:
                     order = np.argsort(mix64(ids.view(np.uint64) + np.uint64(turn)))
                     ids, n, at, root = ids[order], n[order], at[order], root[order]
                     for step in range(1, following + 1):
@@ -134,12 +140,14 @@ def _candidates(turn: int | None, large: int, following: int):
                         yield _pairs(a, a + step, ids, n, at, root)
                     continue
                 order = np.argsort(n, kind="stable")
-                ids, n, at, root = ids[order], n[order], at[order], root[order]
+                ids, n, at, root, block = ids[order], n[order], at[order], root[order], block[order]
                 end = np.searchsorted(n, n * 100 // ALIKE, "right")  # behind the last set small enough for each
                 count = np.maximum(end - np.arange(len(n)) - 1, 0)
                 for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(count) // PAIRS)) + 1):
                     a = np.repeat(part, count[part])
                     b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(count[part]) - count[part], count[part])
+                    if across:
+                        a, b = a[block[a] != block[b]], b[block[a] != block[b]]
                     yield _pairs(a, b, ids, n, at, root)
 
     return run
@@ -165,11 +173,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(both.mapInArrow(_alike, "a bigint, b bigint"), "copy-links")
 
 
-def copy_groups(docs: DataFrame, large: int = LARGE, following: int = NEXT) -> DataFrame:
+def _close(once: DataFrame) -> DataFrame:
+    """a, b: pairs of sets that the SimHash index holds for close: equal fingerprints, and links of near ones."""
+    codes = stored(once.groupBy("fp").agg(F.min("set_id").alias("one")), "copy-codes")
+    equal = once.join(codes, "fp").where("set_id <> one").select(F.col("one").alias("a"), F.col("set_id").alias("b"))
+    links = near_links(codes.select("fp"))
+    near = links.join(codes.select(F.col("fp").alias("a"), F.col("one").alias("one_a")), "a").join(codes.select(F.col("fp").alias("b"), F.col("one").alias("one_b")), "b")
+    pairs = equal.unionByName(near.select(F.col("one_a").alias("a"), F.col("one_b").alias("b")))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _lists(members: DataFrame, turn: int | None, block: int) -> DataFrame:
+    """sets, large, across: the sets of each shingle, in blocks; without a ``turn``, a row for each pair of blocks."""
+    blocks = F.ceil(F.col("sets_n") / block).cast("int")
+    own = F.pmod(F.xxhash64("set_id", F.lit(turn or 0)), blocks).cast("int")
+    rows = members.withColumn("block", own)
+    if turn is None:
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("across", F.col("block") != F.col("other"))
+        keys = ["shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
+    else:
+        rows = rows.withColumn("across", F.lit(False))
+        keys = ["shingle", "block"]
+    found = rows.groupBy(*keys).agg(F.collect_list(F.struct("set_id", "n", "at", "root", "block")).alias("sets"), F.first("large").alias("large"), F.first("across").alias("across"))
+    return found.select("sets", "large", "across").where(F.size("sets") > 1)
+
+
+def copy_groups(docs: DataFrame, large: int = LARGE, following: int = NEXT, block: int = BLOCK) -> DataFrame:
     """doc_id, th (hash of the text), root for each row of ``docs``: rows of one root are connected by near copies.
 
     Null and wordless texts have no shingle and are one group. Equal sets of shingles
-    count once in the search. No documents give no rows; other columns are not read.
+    count once in the search. Null and repeated doc_ids keep a row each. No documents
+    give no rows; other columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(text.alias("text"), F.xxhash64(text).alias("th"))
@@ -178,23 +212,25 @@ def copy_groups(docs: DataFrame, large: int = LARGE, following: int = NEXT) -> D
     counted = sample.select(F.explode("found").alias("shingle")).groupBy("shingle").count().where(F.col("count") >= COMMON)
     common = np.array([x.shingle for x in counted.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).select("shingle").collect()], np.int64).view(np.uint64)
     common.sort()
-    made = stored(texts.mapInArrow(_prefixes(common), _SET), "copy-prefixes")
-    sets = stored(made.groupBy("set_id").agg(F.min("th").alias("th")), "copy-ids")
-    once = made.join(sets, ["set_id", "th"], "left_semi").dropDuplicates(["set_id"])
-    lists = once.select("set_id", "n", F.posexplode("prefix").alias("at", "shingle")).groupBy("shingle").agg(F.collect_list(F.struct("set_id", "n", "at", F.col("set_id").alias("root"))).alias("sets")).where(F.size("sets") > 1)
-    lists = stored(lists, "copy-lists")
-    pair = "a bigint, b bigint"
-    links = _verified(lists.mapInArrow(_candidates(0, large, following), pair), sets, texts)
-    left = lists.where(F.size("sets") > large)
-    for turn in (*range(1, ROUNDS), None):
-        if left.isEmpty():
-            break
-        roots = components(links, "copy-roots")
-        member = left.select("shingle", F.explode("sets").alias("x")).select("shingle", "x.set_id", "x.n", "x.at")
-        known = member.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("shingle", F.struct("set_id", "n", "at", F.coalesce("root", "set_id").alias("root")).alias("x"))
-        left = known.groupBy("shingle").agg(F.collect_list("x").alias("sets"), F.min("x.root").alias("low"), F.max("x.root").alias("high")).where("low <> high").select("shingle", "sets")
-        left = stored(left, "copy-left")
-        links = links.unionByName(_verified(left.mapInArrow(_candidates(turn, large, following), pair), sets, texts))
-    roots = components(links, "copy-roots")
-    by_text = made.select("th", "set_id").distinct().join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("th", F.coalesce("root", "set_id").alias("root"))
-    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("th")).join(stored(by_text, "copy-texts"), "th").select("doc_id", "th", "root")
+    with scratch(docs.sparkSession) as kept:
+        made = stored(texts.mapInArrow(_prefixes(common), _SET), "copy-prefixes")
+        sets = stored(made.groupBy("set_id").agg(F.min("th").alias("th")), "copy-ids")
+        once = stored(made.join(sets, ["set_id", "th"], "left_semi").dropDuplicates(["set_id"]).drop("th"), "copy-once")
+        pair = "a bigint, b bigint"
+        links = _verified(_close(once), sets, texts)
+        for turn in (*range(ROUNDS), None):
+            roots = components(links, "copy-roots").withColumnRenamed("node", "set_id")
+            members = once.join(roots, "set_id", "left").select("set_id", "n", F.coalesce("root", "set_id").alias("root"), F.posexplode("prefix").alias("at", "shingle"))
+            # Lists of one root are done, and so are small ones after the first turn. Only shingles are shuffled to tell.
+            size = members.groupBy("shingle").agg(F.count("*").alias("sets_n"), F.min("root").alias("low"), F.max("root").alias("high"))
+            left = stored(size.where(f"low <> high and sets_n > {large if turn != 0 else 1}").select("shingle", "sets_n", F.expr(f"sets_n > {large}").alias("large")), "copy-left")
+            if left.isEmpty():
+                break
+            pairs = _lists(members.join(left, "shingle"), turn, block).mapInArrow(_candidates(turn, following), pair)
+            links = links.unionByName(_verified(pairs, sets, texts))
+        else:
+            roots = components(links, "copy-roots").withColumnRenamed("node", "set_id")
+        by_text = made.select("th", "set_id").distinct().join(roots, "set_id", "left").select("th", F.coalesce("root", "set_id").alias("root"))
+        by_text = stored(by_text, "copy-texts")
+        kept.append(by_text)
+    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("th")).join(by_text, "th").select("doc_id", "th", "root")

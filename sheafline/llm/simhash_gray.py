@@ -16,22 +16,25 @@ within half the limit of both, and no more codes than such a ball holds can meet
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, stored, table
+from .common import scratch, small_batches, stored, table
 from .components import components, local_roots
-from .shingle_copies import copy_groups
 
 BITS = 64
 LIMIT = 4
 WORDS = 4
 SEED = 42
+#: Bytes of a text that are hashed at a time, about.
+STEP = 1_000_000
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 #: Children of a node.
 FAN_OUT = 16
 #: A group with more fingerprints is dealt anew by masks of more blocks, and if that doesn't help by balls.
@@ -40,25 +43,53 @@ LARGE_GROUP = 8_192
 CHANCE = 32
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the 64-bit hashes have each bit set."""
+    ones = np.zeros(BITS, np.int64)
+    for i in range(0, len(hashes), 65_536):
+        part = np.ascontiguousarray(hashes[i : i + 65_536], "<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return ones
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
+    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the 64-bit hashes."""
+    return _majority(_ones(hashes), len(hashes))
+
+
+def _blocks(data: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, some ten thousand at a time."""
+    start = 0
+    while start < len(data):
+        end = len(data)
+        if end - start > STEP and (m := _SPACE.search(data, start + STEP)):
+            end = m.start()
+        yield data[start:end].split()
+        start = end + 1
+
+
 def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     """The SimHash of the text's word shingles; 0 without words."""
     from xxhash import xxh64_intdigest
 
-    parts = text.encode().lower().split()
-    if not parts:
-        return 0
-    joined = b" ".join(parts)
-    if len(parts) <= words:
-        return xxh64_intdigest(joined, seed)
-    ends = np.cumsum([len(x) + 1 for x in parts])
-    last = (ends - 1).tolist()
-    first = [0, *ends[:-1].tolist()]
-    hashes = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(first, last[words - 1 :], strict=False)], "<u8")
-    n = len(hashes)
-    ones = np.zeros(BITS, np.int64)
-    for i in range(0, n, 65_536):
-        ones += np.unpackbits(hashes[i : i + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+    ones, n, tail = np.zeros(BITS, np.int64), 0, []
+    for block in _blocks(text.encode().lower()):
+        parts = tail + block
+        if len(parts) >= words:
+            joined = b" ".join(parts)
+            ends = np.cumsum([len(x) + 1 for x in parts])
+            last, first = (ends - 1).tolist(), [0, *ends[:-1].tolist()]
+            hashes = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(first, last[words - 1 :], strict=False)], "<u8")
+            ones += _ones(hashes)
+            n += len(hashes)
+        tail = parts[-(words - 1) :] if words > 1 and len(parts) >= words else parts if len(parts) < words else []
+    if not n:
+        return xxh64_intdigest(b" ".join(tail), seed) if tail else 0
+    return _majority(ones, n)
 
 
 def _fingerprints(words: int, seed: int):
@@ -262,20 +293,30 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id.
+    """One row of each group of near copies: that with the smallest doc_id, nulls last, then the lowest hash of its text.
 
-    Near copies share 0.8 of their five-word shingles; see ``shingle_copies``. Of
-    several rows with that doc_id the one whose text hashes lowest stays. Rows
-    without a doc_id can't be told apart and stay.
+    Near copies share 0.8 of their five-word shingles; see ``shingle_copies``. Rows are
+    judged by doc_id and text together, so texts that share a doc_id don't stand for
+    each other; of rows equal in both, one stays. Null and wordless texts are one
+    group; all columns are kept, whatever their names; no documents give no rows.
     """
+    from .shingle_copies import copy_groups
+
     small_batches(spark)
-    groups = stored(copy_groups(docs.where("doc_id is not null")), "copy-groups")
-    lowest = groups.groupBy("root").agg(F.min("doc_id").alias("low"))
-    gone = stored(groups.join(lowest, "root").where("doc_id <> low").select("doc_id").distinct(), "near-copies")
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = stored(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "same-ids")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(docs["doc_id"].cast("bigint"), F.lit(0)).alias("id"), docs["doc_id"].isNull().alias("unnamed"), F.xxhash64(text).alias("th"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    key = ["id", "unnamed", "th"]
+    with scratch(spark) as kept:
+        groups = stored(copy_groups(docs).select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("unnamed"), "th", "root"), "copy-groups")
+        first = groups.groupBy("root").agg(F.min(F.struct("unnamed", "id", "th")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        first = stored(first.select("root", "first"), "copy-first")
+        member = groups.join(first, "root").select(*key, (F.struct("unnamed", "id", "th") == F.col("first")).alias("stays"))
+        gone = stored(member.where("not stays").select(*key).distinct(), "near-copies")
+        again = stored(member.where("stays").groupBy(*key).count().where("count > 1").select(*key), "same-rows")
+        kept += [gone, again]
+    left = rows.join(gone, key, "left_anti")
     if again.isEmpty():
-        return left
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    one = left.join(again, "doc_id", "left_semi").withColumn("_place", F.row_number().over(first)).where("_place = 1").select(docs.columns)
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one)
+        return left.select("row.*")
+    # Only rows equal in doc_id and text are brought together; counts of them are summed before the shuffle.
+    one = left.join(again, key, "left_semi").groupBy(*key).agg(F.first("row").alias("row"))
+    return left.join(again, key, "left_anti").select("row.*").unionByName(one.select("row.*"))
