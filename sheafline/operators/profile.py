@@ -98,15 +98,41 @@ def duplicate_headers(headers: dict[str, list[str | None]]) -> list[tuple[str, s
     return [(a, b) for a, b in combinations(sorted(headers), 2) if headers[a] == headers[b]]
 
 
-def detect_header(spark: SparkSession, sheet: Sheet, cells: DataFrame) -> list[HeaderCandidate]:
-    width = sheet.max_column
-    if sheet.max_row < 2:
-        return []
-    found = header_scores(cells, width, sheet.max_row).first()
+def null_rate(rows: int, filled: int) -> float:
+    """The share of a column's cells that are empty; 0 without rows."""
+    return round((rows - filled) / rows, 4) if rows else 0.0
+
+
+def confidence(filled: int, width: int, below_filled: int, below_strings: int) -> float:
+    """How sure a header is: half by how much of the width it fills, half by how little of the row below is text."""
+    below = (below_filled - below_strings) / below_filled if below_filled else 0.0
+    return round(0.5 * filled / width + 0.5 * below, 4)
+
+
+def detect_header(cells: DataFrame, width: int, height: int) -> list[HeaderCandidate]:
+    """The header of the one sheet that ``cells`` has, if there is one."""
+    found = header_scores(cells, width, height).first() if height > 1 else None
     if found is None:
         return []
-    below = (found.below_filled - found.below_strings) / found.below_filled if found.below_filled else 0.0
-    return [HeaderCandidate(row=found.header_row, confidence=round(0.5 * found.filled / width + 0.5 * below, 4))]
+    return [HeaderCandidate(row=found.header_row, confidence=confidence(found.filled, width, found.below_filled, found.below_strings))]
+
+
+def column_profiles(cells: DataFrame, headers: dict[int, str | None], rows: int) -> list[ColumnProfile]:
+    """A profile of each column in ``headers`` from the cells of the ``rows`` below the header."""
+    stats = {x.col: x for x in column_stats(cells).collect()}
+    out = []
+    for position, text in headers.items():
+        s = stats.get(position)
+        if s is None:
+            out.append(ColumnProfile(position=position, header_text=text, inferred_type="empty", null_rate=null_rate(rows, 0), cardinality=0, samples=[], smells=[]))
+            continue
+        out.append(
+            ColumnProfile(
+                position=position, header_text=text, inferred_type=inferred_type(s.kinds), null_rate=null_rate(rows, s.filled),
+                cardinality=s.cardinality, samples=s.samples, smells=s.smells,
+            )
+        )
+    return out
 
 
 def profile(spark: SparkSession, source: str | Path) -> Profile:
@@ -116,16 +142,19 @@ def profile(spark: SparkSession, source: str | Path) -> Profile:
     out, headers = [], {}
     for sheet in sheets:
         cells = all_cells.where(F.col("sheet") == sheet.name)
-        candidates = detect_header(spark, sheet, cells)
+        candidates = detect_header(cells, sheet.max_column, sheet.max_row)
         columns = []
         if candidates:
-            header, n = candidates[0].row, sheet.max_row - candidates[0].row
-            stats = {x.col: x for x in column_stats(cells.where(F.col("_src_row") > header)).collect()}
-            for c in range(1, sheet.max_column + 1):
-                s = stats.get(c)
-                columns.append(ColumnProfile(position=c, header_text=text_of(sheet.value(header, c)), inferred_type=inferred_type(s.kinds if s else []), null_rate=round((n - (s.filled if s else 0)) / n, 4) if n else 0.0, cardinality=s.cardinality if s else 0, samples=s.samples if s else [], smells=s.smells if s else []))
+            header = candidates[0].row
+            names = {c: text_of(sheet.value(header, c)) for c in range(1, sheet.max_column + 1)}
+            columns = column_profiles(cells.where(F.col("_src_row") > header), names, sheet.max_row - header)
             headers[sheet.name] = [c.header_text for c in columns]
-        out.append(SheetProfile(name=sheet.name, dimensions=sheet.dimensions, n_rows=sheet.max_row, n_cols=sheet.max_column, merged_cells=sheet.merges, header_candidates=candidates, columns=columns))
+        out.append(
+            SheetProfile(
+                name=sheet.name, dimensions=sheet.dimensions, n_rows=sheet.max_row, n_cols=sheet.max_column,
+                merged_cells=sheet.merges, header_candidates=candidates, columns=columns,
+            )
+        )
     return Profile(source_file=Path(source).name, sheets=out, duplicate_headers=duplicate_headers(headers))
 
 

@@ -116,7 +116,7 @@ class Store:
         done = self.meta("commits").where(F.col("table_name") == table).select(F.col("run_id").alias("_run_id")).distinct()
         return self._read(f"{self.root}/tables/{check_identifier(table)}", schema).join(F.broadcast(done), "_run_id", "left_semi")
 
-    def _append(self, table: str, rows: DataFrame, log: DataFrame, run_id: int, order: list[str], digest: str, sheet: str, version: str) -> list[int]:
+    def _append(self, table: str, rows: DataFrame, log: DataFrame, run_id: int, order: list[str], digest: str, sheet: str, version: str) -> range:
         base = log.agg(F.coalesce(F.max("row_id"), F.lit(0))).first()[0]
         numbered = sequenced(rows, order, base, "row_id", self.root)
         numbered.drop("_src_row").write.mode("append").parquet(f"{self.root}/tables/{table}")
@@ -124,9 +124,9 @@ class Store:
         lineage = numbered.select(F.lit(table).alias("table_name"), "row_id", F.lit(digest).alias("file_sha256"), F.lit(sheet).alias("sheet"), where.alias("start_row"), where.alias("end_row"), F.lit(version).alias("pipeline_version"), F.lit(run_id).cast("bigint").alias("run_id"))
         lineage.write.mode("append").parquet(f"{self.root}/meta/lineage")
         self._note("commits", [(run_id, table)])
-        return list(range(base + 1, base + 1 + numbered.count()))
+        return range(base + 1, base + 1 + numbered.count())
 
-    def load_final_rows(self, table: str, columns: T.StructType, key: list[str], rows: DataFrame, run_id: int, digest: str, sheet: str, version: str, verification: str = "TO_VERIFY", order: list[str] | None = None) -> list[int]:
+    def load_final_rows(self, table: str, columns: T.StructType, key: list[str], rows: DataFrame, run_id: int, digest: str, sheet: str, version: str, verification: str = "TO_VERIFY", order: list[str] | None = None) -> range:
         """Appends ``rows`` (the columns and _src_row) as new versions of their keys; returns the row ids."""
         check_identifier(table)
         known = self.meta("keys").where(F.col("table_name") == table).first()
@@ -137,7 +137,7 @@ class Store:
         ready = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in columns.fields], F.lit(verification).alias("_verification"), F.lit(run_id).cast("bigint").alias("_run_id"), "_src_row")
         return self._append(table, ready, self._log(table, columns, True), run_id, order or ["_src_row", *columns.names], digest, sheet, version)
 
-    def load_mirror_rows(self, table: str, columns: T.StructType, rows: DataFrame, run_id: int, digest: str, sheet: str, version: str) -> list[int]:
+    def load_mirror_rows(self, table: str, columns: T.StructType, rows: DataFrame, run_id: int, digest: str, sheet: str, version: str) -> range:
         """Appends rows; columns that are left out are null."""
         have = set(rows.columns)
         ready = rows.select(*[(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in columns.fields], F.lit(run_id).cast("bigint").alias("_run_id"), "_src_row")

@@ -7,6 +7,7 @@ import builtins
 import datetime as dt
 import inspect
 import json
+import subprocess
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -15,22 +16,33 @@ from typing import Any
 
 import yaml
 from pydantic import BaseModel, ValidationError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import ops
 from ..operators.checks import Outcome, Validations, run_validations
-from ..operators.crosswalk import MappingLoadError, load_mapping, parse_transform
+from ..operators.crosswalk import MappingLoadError, load_mapping, unready
 from ..operators.drift import Fingerprint, FingerprintCheck, FingerprintDrift, check_fingerprint
 from ..operators.versions import Store, columns_of
 from ..sources.xlsx import grid, read_workbook
 
 FILES = ("manifest.yaml", "fingerprint.json", "schema.py", "transform.py", "validations.yaml", "CHANGELOG.md")
 GOLDEN = ("input_sample.xlsx", "expected_output.parquet")
-#: Names from builtins that a transform may use.
-ALLOWED = "abs all any bool dict divmod enumerate filter float format frozenset int isinstance iter len list map max min next pow print range repr reversed round set slice sorted str sum tuple zip True False None ValueError TypeError KeyError IndexError Exception".split()
-#: Attributes of a frame that read or write, and that a transform may not touch.
-FORBIDDEN = ("write", "writeTo", "writeStream", "rdd", "sparkSession", "sql_ctx", "toPandas", "collect", "mapInPandas", "mapInArrow", "foreach", "foreachPartition")
+#: The builtins that a transform may use. None of them opens files, imports, or reaches into objects.
+ALLOWED = (
+    "abs", "all", "any", "bool", "dict", "divmod", "enumerate", "filter", "float", "format", "frozenset", "int", "isinstance", "issubclass", "iter",
+    "len", "list", "map", "max", "min", "next", "pow", "print", "range", "repr", "reversed", "round", "set", "slice", "sorted", "str", "sum", "tuple", "zip",
+    "True", "False", "None", "NotImplemented", "Ellipsis",
+    "Exception", "ValueError", "TypeError", "KeyError", "IndexError", "StopIteration", "ZeroDivisionError", "RuntimeError",
+)
+#: Attributes of a frame that read, write or run a job, and that a transform may not touch.
+FORBIDDEN = (
+    "write", "writeTo", "writeStream", "rdd", "sparkSession", "sql_ctx", "checkpoint", "localCheckpoint",
+    "collect", "take", "head", "first", "tail", "show", "toPandas", "toArrow", "toLocalIterator", "toJSON", "pandas_api",
+    "mapInPandas", "mapInArrow", "foreach", "foreachPartition",
+    "createTempView", "createOrReplaceTempView", "createGlobalTempView", "createOrReplaceGlobalTempView", "registerTempTable",
+)
 
 
 class ArtifactLoadError(Exception):
@@ -115,7 +127,7 @@ def load_artifact(root: str | Path) -> Artifact:
 @dataclass(frozen=True)
 class RunResult:
     run_id: int
-    row_ids: list[int]
+    row_ids: range
     fingerprint_check: FingerprintCheck
     validation_outcomes: list[Outcome]
 
@@ -139,6 +151,21 @@ def _check_rows(df: DataFrame, model: type[BaseModel], marker: str = ops.MARKER)
     return df.select(*out, marker)
 
 
+def _transformed(artifact: Artifact, raw: DataFrame) -> DataFrame:
+    """The transform's output, cached, with all checks of values made in one pass over ``raw``.
+
+    Only if one fails, the operators check one after the other, so that the error
+    names the first bad row.
+    """
+    try:
+        with ops.deferred():
+            done = artifact.transform(raw).cache()
+        done.count()
+    except PySparkException:
+        done = artifact.transform(raw).cache()
+    return done
+
+
 def run(spark: SparkSession, artifact_path: str | Path, input_path: str | Path, store: Store, as_of: dt.date | None = None) -> RunResult:
     """Checks a file against its artifact, transforms it and appends its rows to the target table.
 
@@ -155,11 +182,10 @@ def run(spark: SparkSession, artifact_path: str | Path, input_path: str | Path,
         raise FingerprintDrift(check)
     digest = store.register_raw_file(data, Path(input_path).name, run_id)
     raw = grid(spark, next(s for s in sheets if s.name == check.matched_sheet)).cache()
-    done = artifact.transform(raw)
+    done = _transformed(artifact, raw)
     fields = set(artifact.target_row.model_fields)
     if set(done.columns) - {ops.MARKER} != fields:
         raise RuntimeCheckError(f"transform gives columns {sorted(set(done.columns) - {ops.MARKER})}, the target has {sorted(fields)}")
-    done = done.cache()
     outcomes = run_validations(artifact.validations, raw, done)
     store.record_validation_results(run_id, outcomes)
     failed = [f"{o.check_name}: {o.detail}" for o in outcomes if o.status == "FAIL"]
@@ -217,13 +243,31 @@ def run_golden_test(spark: SparkSession, artifact_path: str | Path) -> GoldenRes
     return GoldenResult(not cells, value_differences=[f"row {x._place - 1}, column {x.column_name!r}: golden has {x.golden!r}, actual has {x.actual!r}" for x in cells])
 
 
-def freeze(spark: SparkSession, artifact_path: str | Path) -> None:
-    """Writes the golden output anew. The change log has to say why; review that with the files."""
+class RefreezeRefused(Exception):
+    """A golden output that was to change without a word in the change log."""
+
+
+def _log_edited(log: Path) -> bool:
+    """Whether the working tree has a change log that differs from the last commit, or is new."""
+    said = subprocess.run(["git", "-C", str(log.parent), "status", "--porcelain", "--", log.name], capture_output=True, text=True)
+    return said.returncode == 0 and bool(said.stdout.strip())
+
+
+def freeze(spark: SparkSession, artifact_path: str | Path) -> Path:
+    """Writes the golden output anew and returns its path.
+
+    One that exists only changes together with the change log, which has to say why:
+    without an edit of it in the working tree the freeze is refused.
+    """
     root = Path(artifact_path)
+    path = root / "golden" / GOLDEN[1]
+    if path.exists() and not _log_edited(root / "CHANGELOG.md"):
+        raise RefreezeRefused(f"{root}: CHANGELOG.md is as it was committed; say there why the golden output changes")
     sheets = read_workbook(str(root / "golden" / GOLDEN[0]))
     name = _model(root / "manifest.yaml", Manifest, yaml.safe_load).sheet
     done = load_transform(root / "transform.py")(grid(spark, next(s for s in sheets if s.name == name)))
-    done.coalesce(1).write.mode("overwrite").parquet(str(root / "golden" / GOLDEN[1]))
+    done.coalesce(1).write.mode("overwrite").parquet(str(path))
+    return path
 
 
 @dataclass(frozen=True)
@@ -292,13 +336,7 @@ def _lint_mapping(path: Path) -> list[Finding]:
     except MappingLoadError as e:
         return [Finding(path, None, str(e))]
     lines, out = [x.strip().removeprefix("- ") for x in path.read_text().splitlines()], []
-    for c in mapping.columns:
+    for c, why in unready(mapping):
         line = next((i for i, x in enumerate(lines, 1) if x.startswith("source:") and x[7:].strip().strip("'\"") == c.source), None)
-        if not c.approved:
-            out.append(Finding(path, line, f"column {c.source!r} -> {c.target!r} not approved"))
-        try:
-            if c.transform.strip():
-                parse_transform(c.transform)
-        except MappingLoadError as e:
-            out.append(Finding(path, line, str(e)))
+        out.append(Finding(path, line, f"column {c.source!r} -> {c.target!r} {why}"))
     return out

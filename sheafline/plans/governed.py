@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
+from pydantic import create_model
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tokens import normalized_name
 from ..operators import ops
-from ..operators.checks import KeyUniqueness, NullPolicy, RowCount, SumPreservation, Validations, ValueRange, run_validations
+from ..operators.checks import KeyUniqueness, NullPolicy, Outcome, RowCount, SumPreservation, Validations, ValueRange, run_validations
 from ..operators.crosswalk import ColumnMapping, Mapping, crosswalk, suggest
-from ..operators.drift import SAMPLE_ROWS
-from ..operators.profile import ColumnProfile, SheetProfile, column_stats, header_scores
-from ..operators.versions import active_rows, rows_as_of, superseded
+from ..operators.drift import SAMPLE_ROWS, Fingerprint, HeaderColumn, check_fingerprint, generate_fingerprint
+from ..operators.profile import ColumnProfile, SheetProfile, column_profiles, column_stats, detect_header, header_scores
+from ..operators.profile import duplicate_headers as same_headers
+from ..operators.versions import Store, active_rows, columns_of, register_views, rows_as_of, sequenced, superseded
+from ..sources.shared import new_path
+from ..sources.xlsx import Sheet, append_rows, cell_table, grid, read_workbook, write_workbook
 from .artifact import value_differences
 from .mirror import collisions, numeric_sums
 from .recipes import Recipe, recipe_frame
@@ -76,7 +83,8 @@ def tag_verification(spark, sf_dir):
 
 @query(f"SELECT o_orderkey, CAST({_VALUE.format(last='CAST(o_orderkey % 1000 AS DOUBLE)')} AS DOUBLE) AS amount, o_orderkey AS _src_row FROM orders")
 def coerce_numeric(spark, sf_dir):
-    return ops.coerce_numeric(_messy(spark, sf_dir, _K.format(s="STRING")), "amount")
+    with ops.deferred():
+        return ops.coerce_numeric(_messy(spark, sf_dir, _K.format(s="STRING")), "amount")
 
 
 @query(f"SELECT o_orderkey, CAST({_VALUE.format(last='NULL')} AS DOUBLE) AS amount, o_orderkey AS _src_row FROM orders")
@@ -86,19 +94,22 @@ def coerce_numeric_allow_null(spark, sf_dir):
 
 @query(f"SELECT o_orderkey, CAST({_VALUE.format(last='CAST(o_orderkey % 1000 AS DOUBLE)')} AS DOUBLE) * CAST(0.01 AS DOUBLE) AS amount, o_orderkey AS _src_row FROM orders")
 def coerce_numeric_scale(spark, sf_dir):
-    return ops.coerce_numeric(_messy(spark, sf_dir, _K.format(s="STRING")), "amount", scale=0.01)
+    with ops.deferred():
+        return ops.coerce_numeric(_messy(spark, sf_dir, _K.format(s="STRING")), "amount", scale=0.01)
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderkey AS _src_row FROM orders")
 def coerce_date_fmt(spark, sf_dir):
     df = _marked(_t(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", F.date_format("o_orderdate", "M/d/yyyy").alias("day"), "_src_row")
-    return ops.coerce_date(df, "day", fmt="%m/%d/%Y")
+    with ops.deferred():
+        return ops.coerce_date(df, "day", fmt="%m/%d/%Y")
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderkey AS _src_row FROM orders")
 def coerce_date_serial(spark, sf_dir):
     df = _marked(_t(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey", F.datediff(F.to_date("o_orderdate"), F.lit("1899-12-30").cast("date")).alias("day"), "_src_row")
-    return ops.coerce_date(df, "day")
+    with ops.deferred():
+        return ops.coerce_date(df, "day")
 
 
 @query("SELECT p_brand, p_partkey AS _src_row, 'p_size' AS field, CAST(p_size AS BIGINT) AS v FROM part UNION ALL SELECT p_brand, p_partkey, 'twice', CAST(2 * p_size AS BIGINT) FROM part")
@@ -112,6 +123,21 @@ def split_column(spark, sf_dir):
     return ops.split_column(_marked(_t(spark, sf_dir, "customer"), "c_custkey").select("c_name", "_src_row"), "c_name", ["kind", "digits"], r"(?P<kind>Customer)#(?P<digits>\d+)")
 
 
+@query("SELECT CASE WHEN e_kind = 'buy' THEN 'buy' END AS buys, CASE WHEN e_kind <> 'buy' THEN e_kind END AS other, event_id AS _src_row FROM (SELECT event_id, CASE WHEN event_type = 'purchase' THEN 'buy' ELSE 'see' END AS e_kind FROM events)")
+def split_column_alternatives(spark, sf_dir):
+    kind = F.when(F.col("event_type") == "purchase", "buy").otherwise("see")
+    df = _marked(_t(spark, sf_dir, "events"), "event_id").select(kind.alias("kind"), "_src_row")
+    return ops.split_column(df, "kind", ["buys", "other"], r"(buy)|(see)")
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey <= 5000 THEN concat('number ', s_suppkey) ELSE CAST(s_suppkey AS VARCHAR) END AS key FROM supplier")
+def map_values_join(spark, sf_dir):
+    """A mapping too large for the plan is a table that is joined."""
+    mapping = {str(i): f"number {i}" for i in range(5_001)}
+    df = _t(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_suppkey").cast("string").alias("key"))
+    return ops.map_values(df, "key", mapping, on_missing="keep")
+
+
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'filled' ELSE 'partial' END AS o_orderstatus FROM orders")
 def map_values_fail(spark, sf_dir):
     return ops.map_values(_t(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", {"O": "open", "F": "filled", "P": "partial"})
@@ -195,20 +221,90 @@ def header_score(spark, sf_dir):
     return header_scores(_cells(spark, sf_dir), 4, 1 << 20).select("sheet", "header_row", *[F.col(c).cast("bigint").alias(c) for c in ("filled", "below_filled", "below_strings")])
 
 
-@query(f"WITH f AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) AS rn FROM part) WHERE rn <= {SAMPLE_ROWS}), k AS (SELECT 'p_size' AS col, CASE WHEN p_size > 25 THEN 'integer' ELSE 'string' END AS kind FROM f), n AS (SELECT col, kind, count(*) AS n FROM k GROUP BY 1, 2) SELECT col, kind FROM n QUALIFY row_number() OVER (PARTITION BY col ORDER BY n DESC, kind) = 1")
+@query("SELECT 5 AS header_row, CAST(round(0.5 * 4 / 4.0 + 0.5 * 0.0, 4) AS DOUBLE) AS confidence")
+def header_confidence(spark, sf_dir):
+    found = detect_header(_cells(spark, sf_dir), 4, 1 << 20)
+    return spark.createDataFrame([(x.row, x.confidence) for x in found], "header_row int, confidence double")
+
+
+@query("SELECT 'nation' AS header, round(count(*) FILTER (c_nationkey = 3) / count(*), 4) AS null_rate FROM customer UNION ALL SELECT 'key', 0.0 UNION ALL SELECT 'nothing', 1.0")
+def null_rates(spark, sf_dir):
+    rows = _t(spark, sf_dir, "customer").count()
+    found = column_profiles(_cells(spark, sf_dir).where("_src_row > 5"), {1: "key", 3: "nation", 9: "nothing"}, rows)
+    return spark.createDataFrame([(c.header_text, c.null_rate) for c in found], "header string, null_rate double")
+
+
+def _sheet(name: str, header: list[str], rows: list[tuple]) -> Sheet:
+    cells = {(1, c): text for c, text in enumerate(header, 1)}
+    cells |= {(r, c): v for r, row in enumerate(rows, 2) for c, v in enumerate(row, 1)}
+    return Sheet(name, cells)
+
+
+# The first parts as a sheet: sizes above 25 are numbers, the others text. A fingerprint samples 20 rows; that is its feature.
+_SAMPLED = f"SELECT *, CASE WHEN p_size > 25 THEN 'integer' ELSE 'string' END AS kind FROM part ORDER BY p_partkey LIMIT {SAMPLE_ROWS}"
+_DOMINANT = f"(SELECT kind FROM ({_SAMPLED}) GROUP BY kind ORDER BY count(*) DESC, kind LIMIT 1)"
+
+
+def _parts_sheet(spark: SparkSession, sf_dir: str) -> Sheet:
+    rows = _t(spark, sf_dir, "part").orderBy("p_partkey").select("p_partkey", "p_size").limit(SAMPLE_ROWS).collect()
+    return _sheet("parts", ["key", "size"], [(x.p_partkey, x.p_size if x.p_size > 25 else f"size {x.p_size}") for x in rows])
+
+
+@query(f"SELECT 'key' AS col, 'integer' AS kind UNION ALL SELECT 'size', {_DOMINANT}")
 def fingerprint_types(spark, sf_dir):
-    first = _t(spark, sf_dir, "part").orderBy("p_partkey").limit(SAMPLE_ROWS)
-    counted = first.select(F.lit("p_size").alias("col"), F.when(F.col("p_size") > 25, "integer").otherwise("string").alias("kind")).groupBy("col", "kind").count()
-    return counted.groupBy("col").agg(F.min(F.struct((-F.col("count")).alias("n"), "kind")).alias("top")).select("col", "top.kind")
+    found = generate_fingerprint([_parts_sheet(spark, sf_dir)], "parts", 1)
+    return spark.createDataFrame([(c.name, c.type) for c in found.columns], "col string, kind string")
+
+
+@query(f"SELECT 'header_text_mismatch' AS kind, 1 AS col, 'number' AS expected, 'key' AS found UNION ALL SELECT 'column_type_mismatch', 2, 'float', {_DOMINANT} UNION ALL SELECT 'sheet_position_mismatch', NULL, 'position 0', 'position 1'")
+def drift_differences(spark, sf_dir):
+    columns = [HeaderColumn(name="number", type="integer"), HeaderColumn(name="size", type="float")]
+    wanted = Fingerprint(sheet="par.*", sheet_is_regex=True, sheet_index=0, header_row=1, columns=columns)
+    found = check_fingerprint(wanted, [_sheet("cover", ["x"], []), _parts_sheet(spark, sf_dir)])
+    return spark.createDataFrame([(d.kind, d.column_position, d.expected, d.found) for d in found.differences], "kind string, col int, expected string, found string")
 
 
 @query("WITH h(sheet, header) AS (SELECT 'nation', list(n_name ORDER BY n_nationkey) FROM nation UNION ALL SELECT 'copy', list(n_name ORDER BY n_nationkey) FROM nation UNION ALL SELECT 'region', list(r_name ORDER BY r_regionkey) FROM region) SELECT a.sheet AS first_sheet, b.sheet AS second_sheet FROM h a JOIN h b ON a.header = b.header AND a.sheet < b.sheet")
 def duplicate_headers(spark, sf_dir):
-    def header(table, name, key, label):
-        return _t(spark, sf_dir, table).agg(F.transform(F.array_sort(F.collect_list(F.struct(key, name))), lambda x: x[name]).alias("header")).select(F.lit(label).alias("sheet"), "header")
+    nations = [x.n_name for x in _t(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+    regions = [x.r_name for x in _t(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
+    return spark.createDataFrame(same_headers({"nation": nations, "copy": list(nations), "region": regions}), "first_sheet string, second_sheet string")
+
+
+# The nations as a workbook: written, read back, appended to.
+_NATIONS = ["n_nationkey", "n_name", "n_regionkey"]
+
+
+def _workbook(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """A workbook is one file on the driver, as users hand it over."""
+    rows = [list(x) for x in _t(spark, sf_dir, "nation").select(*_NATIONS).orderBy("n_nationkey").collect()]
+    path = str(Path(folder) / "nations.xlsx")
+    write_workbook(path, {"Nations": [_NATIONS, *rows], "Notes": [["kept"]]}, {"Nations": ["E1:F1"]})
+    return path
+
 
-    h = header("nation", "n_name", "n_nationkey", "nation").unionByName(header("nation", "n_name", "n_nationkey", "copy")).unionByName(header("region", "r_name", "r_regionkey", "region"))
-    return h.alias("a").join(h.alias("b"), (F.col("a.header") == F.col("b.header")) & (F.col("a.sheet") < F.col("b.sheet"))).select(F.col("a.sheet").alias("first_sheet"), F.col("b.sheet").alias("second_sheet"))
+@query("SELECT 'n_nationkey' AS _c0, 'n_name' AS _c1, 'n_regionkey' AS _c2, CAST(1 AS INTEGER) AS _src_row UNION ALL SELECT CAST(n_nationkey AS VARCHAR), n_name, CAST(n_regionkey AS VARCHAR), CAST(n_nationkey + 2 AS INTEGER) FROM nation")
+def workbook_grid(spark, sf_dir):
+    with tempfile.TemporaryDirectory() as folder:
+        return grid(spark, read_workbook(_workbook(spark, sf_dir, folder))[0])
+
+
+@query("SELECT 'Nations' AS sheet, CAST(1 AS INTEGER) AS col, 'integer' AS kind, count(*) AS n FROM nation UNION ALL SELECT 'Nations', 2, 'string', count(*) FROM nation UNION ALL SELECT 'Nations', 3, 'integer', count(*) FROM nation UNION ALL SELECT 'Nations', unnest([1, 2, 3]), 'string', 1 UNION ALL SELECT 'Notes', 1, 'string', 1")
+def workbook_cells_by_kind(spark, sf_dir):
+    with tempfile.TemporaryDirectory() as folder:
+        cells = cell_table(spark, read_workbook(_workbook(spark, sf_dir, folder)))
+    header = F.when(F.col("_src_row") == 1, "header").otherwise("body")
+    return cells.groupBy("sheet", "col", "kind", header.alias("part")).count().select("sheet", "col", "kind", F.col("count").alias("n"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS _c0, n_name AS _c1, CAST(n_nationkey + 2 AS INTEGER) AS _src_row FROM nation UNION ALL SELECT CAST(100 + r_regionkey AS VARCHAR), r_name, CAST(r_regionkey + 2 + (SELECT count(*) FROM nation) AS INTEGER) FROM region")
+def workbook_append(spark, sf_dir):
+    with tempfile.TemporaryDirectory() as folder:
+        path = _workbook(spark, sf_dir, folder)
+        sheet = read_workbook(path)[0]
+        rows = [[100 + x.r_regionkey, x.r_name] for x in _t(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
+        append_rows(path, sheet, sheet.max_row + 1, 1, rows)
+        return grid(spark, read_workbook(path)[0]).where("_src_row > 1").select("_c0", "_c1", "_src_row")
 
 
 # Orders as three runs: the version of a customer's row that comes next supersedes it.
@@ -235,35 +331,97 @@ def scd_as_of(spark, sf_dir):
     return rows_as_of(_versions(spark, sf_dir), 2)
 
 
-@query(f"SELECT v.row_id, v.o_custkey, v.row_id + 3 AS start_row FROM {_LOG} v WHERE v._superseded_by_run_id IS NULL")
+# Customers are loaded whole, and those of one segment again with twice the balance.
+_Account = create_model("Account", key=(int, ...), segment=(str, ...), balance=(float | None, None), opened=(dt.date | None, None))
+_ACCOUNTS = """
+WITH first AS (SELECT row_number() OVER (ORDER BY c_custkey) AS row_id, c_custkey AS key, c_mktsegment AS segment, c_acctbal AS balance, 1 AS run FROM customer),
+     again AS (SELECT (SELECT count(*) FROM customer) + row_number() OVER (ORDER BY c_custkey) AS row_id, c_custkey AS key, c_mktsegment AS segment, 2 * c_acctbal AS balance, 2 AS run FROM customer WHERE c_mktsegment = 'BUILDING'),
+     log AS (SELECT * FROM first UNION ALL SELECT * FROM again),
+     versions AS (SELECT row_id, key, segment, balance, CAST(NULL AS VARCHAR) AS opened, 'TO_VERIFY' AS _verification, CAST(run AS BIGINT) AS _run_id, CAST(lead(run) OVER (PARTITION BY key ORDER BY row_id) AS BIGINT) AS _superseded_by_run_id FROM log)
+"""
+
+
+def _loaded(spark: SparkSession, sf_dir: str, final: bool = True) -> Store:
+    """A store with two runs of accounts, as versions of their keys or as plain rows."""
+    store, columns = Store(spark, new_path(spark, "store")), columns_of(_Account)
+    rows = _marked(_t(spark, sf_dir, "customer"), "c_custkey").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"), F.lit(None).cast("string").alias("opened"), "_src_row")
+    for n, part in enumerate((rows, rows.where("segment = 'BUILDING'").withColumn("balance", 2 * F.col("balance"))), 1):
+        run = store.register_run("accounts", f"v{n}", dt.date(2024, 1, n))
+        digest = store.register_raw_file(f"file {n}".encode(), f"accounts{n}.xlsx", run)
+        if final:
+            store.load_final_rows("accounts", columns, ["key"], part, run, digest, "Accounts", f"v{n}")
+        else:
+            store.load_mirror_rows("accounts", columns, part.drop("opened"), run, digest, "Accounts", f"v{n}")
+        store.record_validation_results(run, [Outcome("row_count", "PASS", f"run {n}")])
+    return store
+
+
+@query(_ACCOUNTS + "SELECT * FROM versions")
+def store_final_rows(spark, sf_dir):
+    return _loaded(spark, sf_dir).final("accounts", columns_of(_Account), ["key"])
+
+
+@query(_ACCOUNTS + "SELECT row_id, key, segment, balance, opened, _run_id FROM versions")
+def store_mirror_rows(spark, sf_dir):
+    return _loaded(spark, sf_dir, final=False).mirrored("accounts", columns_of(_Account))
+
+
+@query(_ACCOUNTS + "SELECT row_id, key, sha256('file ' || _run_id) AS file_sha256, 'Accounts' AS sheet, CAST(key AS INTEGER) AS start_row, CAST(key AS INTEGER) AS end_row, 'v' || _run_id AS pipeline_version FROM versions WHERE _superseded_by_run_id IS NULL")
 def lineage_join(spark, sf_dir):
-    lineage = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_id"), (F.col("o_orderkey") + 3).alias("start_row"))
-    return active_rows(_versions(spark, sf_dir)).join(lineage, "row_id").select("row_id", "o_custkey", "start_row")
+    store = _loaded(spark, sf_dir)
+    rows = store.with_lineage(active_rows(store.final("accounts", columns_of(_Account), ["key"])), "accounts")
+    return rows.select("row_id", "key", "file_sha256", "sheet", "start_row", "end_row", "pipeline_version")
+
+
+@query("SELECT CAST(r AS BIGINT) AS run_id, 'accounts' AS name, 'v' || r AS version, '2024-01-0' || r AS as_of, sha256('file ' || r) AS sha256, 'accounts' || r || '.xlsx' AS original_name, 'PASS' AS status, 'run ' || r AS detail FROM (VALUES (1), (2)) v(r)")
+def store_registers(spark, sf_dir):
+    store = _loaded(spark, sf_dir)
+    files = store.raw_files().select("run_id", "sha256", "original_name")
+    checks = store.meta("validation_results").select("run_id", "status", "detail")
+    return store.meta("runs").join(files, "run_id").join(checks, "run_id")
+
+
+@query(_ACCOUNTS + "SELECT segment, count(*) AS n, count(*) FILTER (_superseded_by_run_id IS NULL) AS active FROM versions GROUP BY segment")
+def store_views(spark, sf_dir):
+    register_views(_loaded(spark, sf_dir))
+    sql = "SELECT segment, count(*) AS n, count_if(_superseded_by_run_id IS NULL) AS active FROM accounts GROUP BY segment"
+    return recipe_frame(spark, Recipe(name="views", expected_columns=["segment", "n", "active"], sql=sql))
+
+
+@query("SELECT 100 + row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS id, o_orderkey, o_orderdate FROM orders")
+def sequence_ids(spark, sf_dir):
+    return sequenced(_t(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 100, "id", new_path(spark, "ids"))
+
+
+@query("SELECT * FROM (VALUES ('key', 'bigint'), ('segment', 'string'), ('balance', 'double'), ('opened', 'string')) v(name, type)")
+def schema_columns(spark, sf_dir):
+    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in columns_of(_Account).fields], "name string, type string")
 
 
-_MAPPING = Mapping(target="warehouse.positions", key=["deal_id"], columns=[ColumnMapping(source="c_name", target="deal_id", basis="exact"), ColumnMapping(source="share", target="rate", transform="coerce_numeric(scale=0.01)", basis="synonym")])
+_MAPPING = Mapping(target="port.lots", key=["lot_no"], columns=[ColumnMapping(source="c_name", target="lot_no", basis="exact"), ColumnMapping(source="share", target="rate", transform="coerce_numeric(scale=0.01)", basis="synonym")])
 
 
-def _positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(_t(spark, sf_dir, "customer"), "c_custkey").select("c_name", F.expr("CAST(c_custkey % 9 AS STRING)").alias("share"), "c_mktsegment", "_src_row")
 
 
-@query("SELECT c_name AS deal_id, CAST(c_custkey % 9 AS DOUBLE) * CAST(0.01 AS DOUBLE) AS rate, c_custkey AS _src_row FROM customer")
+@query("SELECT c_name AS lot_no, CAST(c_custkey % 9 AS DOUBLE) * CAST(0.01 AS DOUBLE) AS rate, c_custkey AS _src_row FROM customer")
 def mirror_crosswalk(spark, sf_dir):
-    return crosswalk(_positions(spark, sf_dir), _MAPPING.columns)
+    return crosswalk(_lots(spark, sf_dir), _MAPPING.columns)
 
 
 @query("SELECT 'share' AS source_column, 'rate' AS target_column, CAST(sum(c_custkey % 9) AS DOUBLE) AS source_sum, round(CAST(sum(c_custkey % 9) AS DOUBLE) / 100, 6) AS target_sum FROM customer")
 def mirror_sums(spark, sf_dir):
-    before = _positions(spark, sf_dir)
+    before = _lots(spark, sf_dir)
     found = numeric_sums(before, crosswalk(before, _MAPPING.columns), _MAPPING)
     return spark.createDataFrame([(c.source_column, c.target_column, c.source_sum, round(c.target_sum, 6)) for c in found], "source_column string, target_column string, source_sum double, target_sum double")
 
 
-@query("SELECT DISTINCT nullif(o_custkey, 7) AS k FROM orders WHERE o_custkey % 2 = 0 OR o_custkey = 7 INTERSECT SELECT DISTINCT nullif(c_custkey, 7) FROM customer WHERE c_custkey % 3 = 0 OR c_custkey = 7")
+@query("SELECT DISTINCT nullif(o_custkey, 7) AS k FROM orders INTERSECT SELECT DISTINCT nullif(c_custkey, 7) FROM customer")
 def mirror_collisions_existing(spark, sf_dir):
-    new = _t(spark, sf_dir, "orders").where("o_custkey % 2 = 0 OR o_custkey = 7").select(F.expr("nullif(o_custkey, 7)").alias("k"))
-    old = _t(spark, sf_dir, "customer").where("c_custkey % 3 = 0 OR c_custkey = 7").select(F.expr("nullif(c_custkey, 7)").alias("k"))
+    """All keys of both tables; nulls, made of one key, equal each other."""
+    new = _t(spark, sf_dir, "orders").select(F.expr("nullif(o_custkey, 7)").alias("k"))
+    old = _t(spark, sf_dir, "customer").select(F.expr("nullif(c_custkey, 7)").alias("k"))
     return collisions(new, old, ["k"])[0]
 
 
@@ -273,14 +431,14 @@ def mirror_collisions_batch(spark, sf_dir):
     return collisions(orders, orders.limit(0), ["o_custkey"])[1]
 
 
-_HEADERS = ["Deal ID", "Cpn (%)", "As-Of", "Broker", "Notes"]
-_FIELDS = ["deal_id", "coupon_rate", "as_of", "counterparty"]
+_HEADERS = ["Lot No.", "Duty (%)", "Landed-On", "Carrier", "Remarks"]
+_FIELDS = ["lot_no", "duty_rate", "landed_on", "haulier"]
 
 
 def _suggested(spark: SparkSession, synonyms: dict[str, str]) -> DataFrame:
     columns = [ColumnProfile(position=i, header_text=h, inferred_type="string", null_rate=0, cardinality=0, samples=[], smells=[]) for i, h in enumerate(_HEADERS, 1)]
     sheet = SheetProfile(name="s", dimensions="A1:E1", n_rows=1, n_cols=5, merged_cells=[], header_candidates=[], columns=columns)
-    draft, _ = suggest(sheet, _FIELDS, target="t", key=["deal_id"], synonyms=synonyms)
+    draft, _ = suggest(sheet, _FIELDS, target="t", key=["lot_no"], synonyms=synonyms)
     return spark.createDataFrame([(c.source, c.target, c.basis) for c in draft.columns], "source string, target string, basis string")
 
 
@@ -294,9 +452,9 @@ def suggest_exact(spark, sf_dir):
     return _suggested(spark, {})
 
 
-@query(f"SELECT source, target, 'exact' AS basis FROM {_VALUES} JOIN {_FIELD_VALUES} ON {_NORMAL.format('source')} = {_NORMAL.format('target')} UNION ALL SELECT 'Cpn (%)', 'coupon_rate', 'synonym' UNION ALL SELECT 'Broker', 'counterparty', 'synonym'")
+@query(f"SELECT source, target, 'exact' AS basis FROM {_VALUES} JOIN {_FIELD_VALUES} ON {_NORMAL.format('source')} = {_NORMAL.format('target')} UNION ALL SELECT 'Duty (%)', 'duty_rate', 'synonym' UNION ALL SELECT 'Carrier', 'haulier', 'synonym'")
 def suggest_synonym(spark, sf_dir):
-    return _suggested(spark, {"cpn": "coupon_rate", "broker": "counterparty", "notes": "nothing"})
+    return _suggested(spark, {"duty": "duty_rate", "carrier": "haulier", "remarks": "nothing"})
 
 
 @query(f"SELECT p_partkey, {_NORMAL.format('p_type')} AS plain FROM part")
@@ -326,7 +484,7 @@ def _recipe(name: str, sql: str, columns: list[str], params: dict[str, tuple[str
     query(bound, name)(run)
 
 
-_recipe("recipe_tail", "SELECT event_id, user_id, value - lag(value) OVER (ORDER BY event_id) AS change FROM events WHERE user_id = :user ORDER BY event_id", ["event_id", "user_id", "change"], {"user": ("integer", "7")})
+_recipe("recipe_tail", "SELECT event_id, user_id, value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS change FROM events WHERE event_type = :type ORDER BY event_id", ["event_id", "user_id", "change"], {"type": ("string", "purchase")})
 _recipe("recipe_threshold", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice <= :most AND o_orderstatus = 'O' ORDER BY o_totalprice DESC, o_orderkey", ["o_orderkey", "o_totalprice"], {"most": ("float", "100000.5")})
 _recipe("recipe_by_key", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = :segment ORDER BY c_custkey", ["c_custkey", "c_name"], {"segment": ("string", "BUILDING")})
 _recipe("recipe_join", "SELECT o.o_orderkey, c.c_name, n.n_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey", ["o_orderkey", "c_name", "n_name"])
@@ -336,18 +494,28 @@ _recipe("recipe_union", "SELECT n_regionkey AS k FROM nation UNION SELECT r_regi
 _recipe("recipe_intersect", "SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders", ["k"])
 _recipe("recipe_except", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders", ["k"])
 _recipe("recipe_cte", "WITH big AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) SELECT o_custkey, n FROM big WHERE n > 10", ["o_custkey", "n"])
+_recipe("recipe_outer_join", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P'", ["c_custkey", "o_orderkey"])
+_recipe("recipe_full_join", "SELECT c.c_custkey, s.s_suppkey FROM customer c FULL JOIN supplier s ON c.c_custkey = s.s_suppkey * 3", ["c_custkey", "s_suppkey"])
+_recipe("recipe_theta_join", "SELECT a.n_name AS low, b.n_name AS high FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", ["low", "high"])
+_recipe("recipe_semi_join", "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 100000)", ["c_custkey"])
+_recipe("recipe_limit", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50", ["o_orderkey", "o_totalprice"])
+_recipe("recipe_date_param", "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) >= CAST(:day AS DATE)", ["o_orderkey"], {"day": ("date", "1996-06-01")})
+_recipe("recipe_boolean_param", "SELECT p_partkey FROM part WHERE (p_size > 25) = :large", ["p_partkey"], {"large": ("boolean", "true")})
+_recipe("recipe_distinct", "SELECT count(DISTINCT o_custkey) AS customers, avg(DISTINCT o_custkey) AS mean FROM orders", ["customers", "mean"])
+_recipe("recipe_running_sum", "SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS total FROM orders", ["o_orderkey", "total"])
 _recipe("recipe_subquery", "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal > (SELECT avg(s_acctbal) FROM supplier)", ["s_suppkey", "s_acctbal"])
 
 
-@query(f"WITH v AS (SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST({_VALUE.format(last='CAST(o_orderkey % 1000 AS DOUBLE)')} AS DOUBLE) AS amount, lead(o_orderkey % 3 + 1) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS s FROM orders) SELECT o_orderkey AS row_id, o_custkey AS customer, day, amount, amount - lag(amount) OVER (ORDER BY day, o_orderkey) AS change FROM v WHERE s IS NULL AND o_custkey <= 100")
+@query(f"WITH v AS (SELECT o_orderkey, o_custkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST({_VALUE.format(last='CAST(o_orderkey % 1000 AS DOUBLE)')} AS DOUBLE) AS amount, lead(o_orderkey % 3 + 1) OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS s FROM orders) SELECT o_orderkey AS row_id, o_custkey AS customer, o_orderstatus AS status, day, amount, amount - lag(amount) OVER (PARTITION BY o_custkey ORDER BY day, o_orderkey) AS change FROM v WHERE s IS NULL")
 def flagship(spark, sf_dir):
-    """Messy orders: coerced, versioned by customer, the active ones of some customers read through a recipe."""
+    """Messy orders: coerced, versioned by customer and status, the active rows of all read through a recipe."""
     o = _marked(_t(spark, sf_dir, "orders"), "o_orderkey")
     text = _MESSY.format(k=_K.format(s="STRING"), last=_K.format(s="STRING"))
-    df = o.select(F.col("o_custkey").alias("_c0"), F.date_format("o_orderdate", "M/d/yyyy").alias("_c1"), F.expr(text).alias("_c2"), "_src_row")
-    df = ops.drop_empty(ops.promote_header(df, -1, ["customer", "day", "amount"]))
-    df = ops.coerce_date(ops.coerce_numeric(df, "amount"), "day", fmt="%m/%d/%Y")
-    log = df.select(F.col("_src_row").alias("row_id"), "customer", "day", "amount", (F.col("_src_row") % 3 + 1).alias("_run_id"))
-    superseded(log, ["customer"]).createOrReplaceTempView("final_orders")
-    recipe = Recipe(name="tail", params={"most": {"type": "integer"}}, expected_columns=["row_id", "customer", "day", "amount", "change"], sql="SELECT row_id, customer, day, amount, amount - lag(amount) OVER (ORDER BY day, row_id) AS change FROM final_orders WHERE _superseded_by_run_id IS NULL AND customer <= :most")
-    return recipe_frame(spark, recipe, {"most": "100"})
+    df = o.select(F.col("o_custkey").alias("_c0"), F.col("o_orderstatus").alias("_c1"), F.date_format("o_orderdate", "M/d/yyyy").alias("_c2"), F.expr(text).alias("_c3"), "_src_row")
+    with ops.deferred():
+        df = ops.drop_empty(ops.promote_header(df, -1, ["customer", "status", "day", "amount"]))
+        df = ops.coerce_date(ops.coerce_numeric(df, "amount"), "day", fmt="%m/%d/%Y")
+    log = df.select(F.col("_src_row").alias("row_id"), "customer", "status", "day", "amount", (F.col("_src_row") % 3 + 1).alias("_run_id"))
+    superseded(log, ["customer", "status"]).createOrReplaceTempView("final_orders")
+    sql = "SELECT row_id, customer, status, day, amount, amount - lag(amount) OVER (PARTITION BY customer ORDER BY day, row_id) AS change FROM final_orders WHERE _superseded_by_run_id IS NULL"
+    return recipe_frame(spark, Recipe(name="tail", expected_columns=["row_id", "customer", "status", "day", "amount", "change"], sql=sql))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import ops
-from ..operators.checks import exact_sum
+from ..operators.checks import exact_sums
 from ..operators.crosswalk import Mapping, crosswalk, load_mapping_for_execution
 from ..operators.drift import Fingerprint, FingerprintDrift, check_fingerprint
 from ..operators.versions import Store, check_identifier, columns_of
@@ -29,10 +29,11 @@ class MirrorError(Exception):
 class MirrorDuplicateKeyError(MirrorError):
     """Keys that are in the target already, or twice in the file."""
 
-    def __init__(self, existing: list[tuple], within: list[tuple]) -> None:
-        parts = [f"{len(keys)} {what}: {keys}" for keys, what in ((existing, "already in target"), (within, "duplicated within this file")) if keys]
+    def __init__(self, existing: tuple[list[tuple], int], within: tuple[list[tuple], int]) -> None:
+        found = ((*existing, "already in target"), (*within, "duplicated within this file"))
+        parts = [f"{n} {what}: {ops.listed(keys, n)}" for keys, n, what in found if n]
         super().__init__("on_duplicate: fail -- " + "; ".join(parts))
-        self.existing, self.within = existing, within
+        self.existing, self.within = existing[0], within[0]
 
 
 @dataclass(frozen=True)
@@ -72,7 +73,7 @@ class Summary:
 class MirrorResult:
     dry_run: bool
     run_id: int | None
-    row_ids: list[int]
+    row_ids: range
     summary: Summary
     backup_path: Path | None = None
 
@@ -114,9 +115,9 @@ def numeric_sums(before: DataFrame, after: DataFrame, mapping: Mapping) -> list[
     pairs = [(c.source, c.target) for c in mapping.columns if kinds[c.target] in ("double", "bigint", "int", "float")]
     if not pairs:
         return []
-    first = before.agg(*[exact_sum(F.when(~F.isnan(number(ops._col(before, s))), number(ops._col(before, s)))).alias(f"s{i}") for i, (s, _) in enumerate(pairs)]).first()
-    second = after.agg(*[exact_sum(F.col(t)).alias(f"t{i}") for i, (_, t) in enumerate(pairs)]).first()
-    return [NumericCheck(s, t, first[i], second[i]) for i, (s, t) in enumerate(pairs)]
+    first = exact_sums(before, [number(ops._col(before, s)) for s, _ in pairs])
+    second = exact_sums(after, [F.col(f"`{t}`") for _, t in pairs])
+    return [NumericCheck(s, t, x.value, y.value) for (s, t), x, y in zip(pairs, first, second, strict=True)]
 
 
 def table_of(target: str) -> str:
@@ -164,7 +165,7 @@ def mirror(spark: SparkSession, artifact_path: str | Path, source_file: str | Pa
     rows = _checked(after, fields, targets)
     _refuse(*collisions(rows, store.mirrored(table, fields), mapping.key))
     if dry_run:
-        return MirrorResult(True, None, [], Summary(target=table, **summary))
+        return MirrorResult(True, None, range(0), Summary(target=table, **summary))
     run_id = store.register_run(mapping.target, "mirror")
     digest = store.register_raw_file(data, Path(source_file).name, run_id)
     ids = store.load_mirror_rows(table, fields, rows, run_id, digest, sheet.name, "mirror")
@@ -172,8 +173,8 @@ def mirror(spark: SparkSession, artifact_path: str | Path, source_file: str | Pa
 
 
 def _refuse(existing: DataFrame, within: DataFrame) -> None:
-    found = [sorted((tuple(x) for x in keys.limit(ops.NAMED).collect()), key=str) for keys in (existing, within)]
-    if any(found):
+    found = [ops.some_of(keys) for keys in (existing, within)]
+    if any(n for _, n in found):
         raise MirrorDuplicateKeyError(*found)
 
 
@@ -200,11 +201,11 @@ def _to_workbook(spark: SparkSession, artifact: MappingArtifact, after: DataFram
     _refuse(*collisions(after.select(*[F.col(k).cast("string").alias(k) for k in key]), existing, key))
     said = Summary(target=str(path), **summary)
     if dry_run:
-        return MirrorResult(True, None, [], said)
+        return MirrorResult(True, None, range(0), said)
     stamp = (now or dt.datetime.now(dt.UTC)).strftime("%Y%m%dT%H%M%SZ")
     backup = path.with_name(f"{path.stem}.{stamp}.bak{path.suffix}")
     shutil.copy2(path, backup)
     have = set(after.columns)
     rows = [[r[c] if c in have else None for c in region.column_order] for r in after.orderBy(ops.MARKER).collect()]
     append_rows(str(path), sheet, last + 1, 1, rows)
-    return MirrorResult(False, None, [], said, backup)
+    return MirrorResult(False, None, range(0), said, backup)
