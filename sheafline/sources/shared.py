@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+#: Folders of sessions in one process that name none; the setting itself can't be changed once a session runs.
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """What ``spark.checkpoint.dir`` names.
 
@@ -18,8 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        path = tempfile.mkdtemp(prefix="sheafline-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        path = _own[app] = _own.get(app) or tempfile.mkdtemp(prefix="sheafline-")
     return path.rstrip("/")
 
 
