@@ -1,9 +1,10 @@
 """Threshold-scaled sketches of documents.
 
-A sketch holds every distinct shingle hash below a fixed fraction of the hash
-range. Sketches merge by union, and estimate containment between texts of very
-unequal length. A text that has shingles but none below the threshold keeps its
-smallest hash, so that only a text without shingles has an empty sketch.
+A sketch holds every distinct shingle hash below a fixed fraction of the hash range,
+and where these are few, the few smallest hashes. Two sketches are compared below the
+lesser of the limits up to which each is complete, so texts of like length are
+compared well however short they are, and containment of a text in a very unequal one
+is estimated from the hashes below the fraction. Sketches merge by union.
 """
 
 from __future__ import annotations
@@ -22,55 +23,64 @@ from .common import RollingHash, grouped, mix64, table
 SHINGLE = 16
 #: One hash in so many is kept.
 SCALE = 32
+#: Smallest hashes that a text keeps if fewer are below the threshold.
+LEAST = 16
 BATCH_BYTES = 4_000_000
 #: Bytes that are hashed at a time.
 STEP = 1_000_000
 
 
-def sketches(texts: list[bytes], shingle: int = SHINGLE, scale: int = SCALE, step: int = STEP) -> list[np.ndarray]:
+def sketches(texts: list[bytes], shingle: int = SHINGLE, scale: int = SCALE, step: int = STEP, least: int = LEAST) -> list[np.ndarray]:
     """The sorted 64-bit hashes that each text keeps; long texts are hashed in overlapping steps."""
     pieces = [(i, x[a : a + step + shingle - 1]) for i, x in enumerate(texts) for a in range(0, max(1, len(x) - shingle + 1), step)]
     kept: list[list[np.ndarray]] = [[] for _ in texts]
-    least: list[np.uint64 | None] = [None] * len(texts)
+    limit = np.uint64((1 << 64) // scale)
     for first, last in grouped([x for _, x in pieces], step):
-        owner = np.array([i for i, _ in pieces[first:last]])
+        owner = [i for i, _ in pieces[first:last]]
         lengths = np.array([len(x) for _, x in pieces[first:last]], np.int64)
         ends = np.cumsum(lengths)
         roll = RollingHash(np.frombuffer(b"".join(x for _, x in pieces[first:last]), np.uint8))
         hashes = roll.all_of(shingle)
-        low = np.flatnonzero(hashes < np.uint64((1 << 64) // scale))
+        low = np.flatnonzero(hashes < limit)
         piece = np.searchsorted(ends, low, "right")
         inside = low + shingle <= ends[piece] if len(low) else np.zeros(0, bool)
         low, piece = low[inside], piece[inside]
         cuts = np.searchsorted(piece, np.arange(len(lengths) + 1))
         for k, (i, n) in enumerate(zip(owner, lengths, strict=True)):
-            kept[i].append(hashes[low[cuts[k] : cuts[k + 1]]])
             if n >= shingle:
-                one = hashes[ends[k] - n : ends[k] - shingle + 1].min()
+                found = np.unique(hashes[low[cuts[k] : cuts[k + 1]]])
+                if len(found) < least:
+                    found = np.unique(hashes[ends[k] - n : ends[k] - shingle + 1])[:least]
+                kept[i].append(found)
             elif n:
-                one = mix64(roll.of(ends[k : k + 1] - n, ends[k : k + 1]) ^ np.uint64(n))[0]
-            else:
-                continue
-            least[i] = one if least[i] is None else min(one, least[i])
-    out = []
-    for below, one in zip(kept, least, strict=True):
-        found = np.unique(np.concatenate(below)) if below else np.zeros(0, np.uint64)
-        out.append(found if len(found) or one is None else np.array([one], np.uint64))
-    return out
-
-
-def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
+                kept[i].append(mix64(roll.of(ends[k : k + 1] - n, ends[k : k + 1]) ^ np.uint64(n)))
+    return [_cut(np.unique(np.concatenate(x)), limit, least) if x else np.zeros(0, np.uint64) for x in kept]
+
+
+def _cut(hashes: np.ndarray, limit: np.uint64, least: int) -> np.ndarray:
+    """Of sorted hashes, those below the limit, or the ``least`` smallest if that is more."""
+    return hashes[: max(int(np.searchsorted(hashes, limit)), least)]
+
+
+def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE, least: int = LEAST) -> np.ndarray:
     """The sketch of two texts' shingles together."""
-    both = np.union1d(a, b)
-    below = both[both < np.uint64((1 << 64) // scale)]
-    return below if len(below) else both[:1]
+    return _cut(np.union1d(a, b), np.uint64((1 << 64) // scale), least)
+
+
+def _complete(a: np.ndarray, scale: int, least: int) -> np.uint64:
+    """The largest hash up to which a sketch has all of its text's."""
+    if len(a) < least:
+        return np.uint64(0xFFFFFFFFFFFFFFFF)
+    return max(a[-1], np.uint64((1 << 64) // scale - 1))
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of the smaller sketch that the larger one has; 1 for two empty ones."""
+def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE, least: int = LEAST) -> float:
+    """Share of the smaller sketch that the larger one has, as far as both are complete; 1 for two empty ones."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
+    to = min(_complete(a, scale, least), _complete(b, scale, least))
+    a, b = a[a <= to], b[b <= to]
+    return len(np.intersect1d(a, b, assume_unique=True)) / max(1, min(len(a), len(b)))
 
 
 def to_text(sketch: np.ndarray) -> str:
