@@ -51,12 +51,14 @@ def columns_of(model: type[BaseModel]) -> T.StructType:
 
 
 def sequenced(df: DataFrame, order: list[str], base: int, name: str, folder: str) -> DataFrame:
-    """``df`` with ids base + 1, base + 2, ... in ``order``, without bringing the rows into one task."""
-    path = f"{folder}/_work/{uuid.uuid4().hex}"
+    """``df`` with ids base + 1, base + 2, ... in ``order``, without bringing the rows into one task.
+
+    The rows are sorted once into ``folder``, which the result reads and its user may delete.
+    """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    placed.write.parquet(path)
-    placed = df.sparkSession.read.schema(placed.schema).parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    placed.write.parquet(folder)
+    placed = df.sparkSession.read.schema(placed.schema).parquet(folder).withColumn("_part", F.shiftright("_at", 33))
     offset, starts = base, []
     for part, rows in placed.groupBy("_part").count().orderBy("_part").collect():  # a row for each partition
         starts.append((part, offset))
@@ -118,13 +120,26 @@ class Store:
 
     def _append(self, table: str, rows: DataFrame, log: DataFrame, run_id: int, order: list[str], digest: str, sheet: str, version: str) -> range:
         base = log.agg(F.coalesce(F.max("row_id"), F.lit(0))).first()[0]
-        numbered = sequenced(rows, order, base, "row_id", self.root)
+        work = f"{self.root}/_work/{uuid.uuid4().hex}"
+        numbered = sequenced(rows, order, base, "row_id", work)
         numbered.drop("_src_row").write.mode("append").parquet(f"{self.root}/tables/{table}")
         where = F.col("_src_row").cast("int")
-        lineage = numbered.select(F.lit(table).alias("table_name"), "row_id", F.lit(digest).alias("file_sha256"), F.lit(sheet).alias("sheet"), where.alias("start_row"), where.alias("end_row"), F.lit(version).alias("pipeline_version"), F.lit(run_id).cast("bigint").alias("run_id"))
+        lineage = numbered.select(
+            F.lit(table).alias("table_name"),
+            "row_id",
+            F.lit(digest).alias("file_sha256"),
+            F.lit(sheet).alias("sheet"),
+            where.alias("start_row"),
+            where.alias("end_row"),
+            F.lit(version).alias("pipeline_version"),
+            F.lit(run_id).cast("bigint").alias("run_id"),
+        )
         lineage.write.mode("append").parquet(f"{self.root}/meta/lineage")
+        count = numbered.count()
         self._note("commits", [(run_id, table)])
-        return range(base + 1, base + 1 + numbered.count())
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(work)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        return range(base + 1, base + 1 + count)
 
     def load_final_rows(self, table: str, columns: T.StructType, key: list[str], rows: DataFrame, run_id: int, digest: str, sheet: str, version: str, verification: str = "TO_VERIFY", order: list[str] | None = None) -> range:
         """Appends ``rows`` (the columns and _src_row) as new versions of their keys; returns the row ids."""

@@ -20,7 +20,7 @@ from ..operators.profile import ColumnProfile, SheetProfile, column_profiles, co
 from ..operators.profile import duplicate_headers as same_headers
 from ..operators.versions import Store, active_rows, columns_of, register_views, rows_as_of, sequenced, superseded
 from ..sources.shared import new_path
-from ..sources.xlsx import Sheet, append_rows, cell_table, grid, read_workbook, write_workbook
+from ..sources.xlsx import Sheet, append_rows, cell_table, grid, read_workbook, workbook_cells, write_workbook
 from .artifact import value_differences
 from .mirror import collisions, numeric_sums
 from .recipes import Recipe, recipe_frame
@@ -297,6 +297,22 @@ def workbook_cells_by_kind(spark, sf_dir):
     return cells.groupBy("sheet", "col", "kind", header.alias("part")).count().select("sheet", "col", "kind", F.col("count").alias("n"))
 
 
+@query("SELECT 'nations' AS book, 'Nations' AS sheet, 3 * (count(*) + 1) AS cells FROM nation UNION ALL SELECT 'nations', 'Notes', 1 UNION ALL SELECT 'regions', 'Regions', 2 * count(*) FROM region")
+def workbook_scan(spark, sf_dir):
+    """Many workbooks, each read by a task of its own."""
+    folder = new_path(spark, "books")
+    with tempfile.TemporaryDirectory() as here:
+        books = {"nations": _workbook(spark, sf_dir, here), "regions": str(Path(here) / "regions.xlsx")}
+        rows = [list(x) for x in _t(spark, sf_dir, "region").select("r_regionkey", "r_name").collect()]
+        write_workbook(books["regions"], {"Regions": rows})
+        store = Store(spark, folder)
+        named = {store.register_raw_file(Path(path).read_bytes(), name, 1): name for name, path in books.items()}
+    cells = workbook_cells(spark, f"{folder}/raw/*")
+    names = spark.createDataFrame(list(named.items()), "sha256 string, book string")
+    digest = F.element_at(F.split("path", "/"), -1)
+    return cells.join(F.broadcast(names), digest == names["sha256"]).groupBy("book", "sheet").agg(F.count("*").alias("cells"))
+
+
 @query("SELECT CAST(n_nationkey AS VARCHAR) AS _c0, n_name AS _c1, CAST(n_nationkey + 2 AS INTEGER) AS _src_row FROM nation UNION ALL SELECT CAST(100 + r_regionkey AS VARCHAR), r_name, CAST(r_regionkey + 2 + (SELECT count(*) FROM nation) AS INTEGER) FROM region")
 def workbook_append(spark, sf_dir):
     with tempfile.TemporaryDirectory() as folder:

@@ -5,15 +5,22 @@ from __future__ import annotations
 import datetime as dt
 import io
 import re
+import sys
 import zipfile
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 from xml.etree import ElementTree as ET
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+# The reader goes to the executors by value, so these need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 #: Numbers of the built-in formats that show dates or times.
@@ -141,6 +148,25 @@ def cell_table(spark: SparkSession, sheets: list[Sheet]) -> DataFrame:
     return spark.createDataFrame([(s.name, i, r, c, cell_kind(v), text_of(v)) for i, s in enumerate(sheets) for (r, c), v in sorted(s.cells.items()) if v is not None], CELLS)
 
 
+def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
+    """``cell_table`` of all workbooks at ``path``, with the file's path; each file is parsed by a task of its own.
+
+    A file that is no workbook is an error. No files give no rows.
+    """
+    schema = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("sheet_index", pa.int32()), ("_src_row", pa.int32()), ("col", pa.int32()), ("kind", pa.string()), ("text", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                for i, sheet in enumerate(read_workbook(data.as_py())):
+                    cells = [(name, sheet.name, i, r, c, cell_kind(v), text_of(v)) for (r, c), v in sorted(sheet.cells.items()) if v is not None]
+                    for a in range(0, len(cells), 10_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*cells[a : a + 10_000], strict=True), schema, strict=True)], schema=schema)
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(run, f"path string, {CELLS}")
+
+
 def _cell_xml(row: int, column: int, value: Any) -> str:
     ref = f"{column_letters(column)}{row}"
     if value is None:
