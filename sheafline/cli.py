@@ -28,7 +28,9 @@ class Stop(Exception):
 
 
 def session() -> SparkSession:
-    spark = SparkSession.builder.appName("sheafline").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.caseSensitive", "true").getOrCreate()
+    spark = SparkSession.builder.appName("sheafline").config("spark.ui.enabled", "false").config(
+        "spark.sql.session.timeZone", "UTC"
+    ).config("spark.sql.caseSensitive", "true").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
@@ -48,7 +50,13 @@ def _profile(a: argparse.Namespace) -> None:
 
 
 def _drifted(e: FingerprintDrift) -> Stop:
-    found = [{"kind": d.kind, "sheet": d.sheet, "column_position": d.column_position, "expected": d.expected, "found": d.found, "message": d.message()} for d in e.differences]
+    found = [
+        {
+            "kind": d.kind, "sheet": d.sheet, "column_position": d.column_position, "expected": d.expected,
+            "found": d.found, "message": d.message()
+        }
+        for d in e.differences
+    ]
     Path("drift_report.json").write_text(json.dumps({"differences": found}, indent=2, sort_keys=True) + "\n")
     return Stop(3, "\n".join(["DRIFT", *(d["message"] for d in found)]))
 
@@ -56,7 +64,9 @@ def _drifted(e: FingerprintDrift) -> Stop:
 def _run(a: argparse.Namespace) -> None:
     spark = session()
     try:
-        done = artifact.run(spark, a.artifact, a.input_file, Store(spark, a.store), a.as_of and dt.date.fromisoformat(a.as_of))
+        done = artifact.run(
+            spark, a.artifact, a.input_file, Store(spark, a.store), a.as_of and dt.date.fromisoformat(a.as_of)
+        )
     except FingerprintDrift as e:
         raise _drifted(e) from None
     except artifact.RuntimeCheckError as e:
@@ -67,7 +77,15 @@ def _run(a: argparse.Namespace) -> None:
 def _test(a: argparse.Namespace) -> None:
     found = artifact.run_golden_test(session(), a.artifact)
     if not found.ok:
-        raise Stop(2, "\n".join([f"GOLDEN MISMATCH: {a.artifact}", *(f"  {d}" for d in found.schema_differences + found.value_differences)]))
+        raise Stop(
+            2,
+            "\n".join(
+                [
+                    f"GOLDEN MISMATCH: {a.artifact}",
+                    *(f"  {d}" for d in found.schema_differences + found.value_differences)
+                ]
+            )
+        )
     print(f"golden test passed: {a.artifact}")
 
 
@@ -89,8 +107,14 @@ def _suggest(a: argparse.Namespace) -> None:
         raise Stop(1, f"could not load inputs: {e}") from None
     named = [s for s in whole.sheets if a.sheet in (None, s.name)]
     if len(named) != 1:
-        raise Stop(1, f"no sheet named {a.sheet!r} in {a.client_profile}" if a.sheet else f"{a.client_profile} has {len(named)} sheets; pass --sheet")
-    draft, rest = crosswalk.suggest(named[0], list(row.model_fields), target=a.target, key=a.key, unmapped_source_columns=a.unmapped_source_columns, synonyms=crosswalk.load_synonyms(a.synonyms_path))
+        raise Stop(
+            1,
+            f"no sheet named {a.sheet!r} in {a.client_profile}" if a.sheet else f"{a.client_profile} has {len(named)} sheets; pass --sheet"
+        )
+    draft, rest = crosswalk.suggest(
+        named[0], list(row.model_fields), target=a.target, key=a.key, unmapped_source_columns=a.unmapped_source_columns,
+        synonyms=crosswalk.load_synonyms(a.synonyms_path)
+    )
     _emit(crosswalk.to_yaml(draft), a.out)
     for p in rest:
         print(f"# still unmapped: {p.source!r} ({p.basis})", file=sys.stderr)
@@ -157,10 +181,17 @@ def parser() -> argparse.ArgumentParser:
     command("test", _test, "artifact")
     command("lint", _lint, "artifact")
     maps = commands.add_parser("map").add_subparsers(dest="map_command", required=True)
-    command("suggest", _suggest, "client_profile", "warehouse_schema", under=maps, target={"required": True}, key={"action": "append", "required": True}, sheet={}, unmapped_source_columns={"choices": ("warn", "fail"), "default": "warn"}, synonyms_path={}, out={})
+    command(
+        "suggest", _suggest, "client_profile", "warehouse_schema", under=maps, target={"required": True},
+        key={"action": "append", "required": True}, sheet={},
+        unmapped_source_columns={"choices": ("warn", "fail"), "default": "warn"}, synonyms_path={}, out={}
+    )
     command("learn", _learn, "mapping_yaml", under=maps, synonyms_path={}, force={"action": "store_true"})
     command("mirror", _mirror, "mapping_artifact", "source_file", commit={"action": "store_true"}, store=store)
-    command("query", _query, "name", recipes_dir={"default": "recipes"}, store=store, param={"action": "append", "default": []})
+    command(
+        "query", _query, "name", recipes_dir={"default": "recipes"}, store=store,
+        param={"action": "append", "default": []}
+    )
     return p
 
 

@@ -31,12 +31,16 @@ def number(c: Column) -> Column:
     """
     text = stripped(c.cast("string"))
     core = F.regexp_replace(text, r"^\(\s*(.*?)\s*\)$", "$1")
-    plain = F.regexp_replace(stripped(F.translate(F.regexp_replace(core, r"\s*%$", ""), ",", "")), r"^[+-](?i:nan)$", "nan")
+    plain = F.regexp_replace(
+        stripped(F.translate(F.regexp_replace(core, r"\s*%$", ""), ",", "")), r"^[+-](?i:nan)$", "nan"
+    )
     value = F.when(plain.rlike(f"{_NUMBER}|{_SPECIAL}"), F.translate(plain, "_", "").try_cast("double"))
     return value / F.when(core.endswith("%"), 100.0).otherwise(1.0) * F.when(text.rlike(r"^\(.*\)$"), -1.0).otherwise(1.0)
 
 
-_DATE_CODES = {"m": "M", "d": "d", "Y": "yyyy", "H": "H", "M": "m", "S": "s", "y": "yy", "b": "MMM", "B": "MMMM", "%": "%"}
+_DATE_CODES = {
+    "m": "M", "d": "d", "Y": "yyyy", "H": "H", "M": "m", "S": "s", "y": "yy", "b": "MMM", "B": "MMMM", "%": "%"
+}
 
 
 def date_pattern(fmt: str) -> str:
@@ -75,5 +79,10 @@ def smells(text: Column, kind: Column) -> Column:
     """The smells of one cell, sorted."""
     is_text = kind == "string"
     serial = (kind == "integer") & text.try_cast("bigint").between(*SERIAL_RANGE)
-    found = [F.when(serial, "date_serial_suspect"), F.when(is_text & text.rlike(PARENTHESES), "parens_negative"), F.when(is_text & text.rlike(PERCENT), "percent_string"), F.when(is_text & text.rlike(THOUSANDS), "thousands_separator")]
+    found = [
+        F.when(serial, "date_serial_suspect"),
+        F.when(is_text & text.rlike(PARENTHESES), "parens_negative"),
+        F.when(is_text & text.rlike(PERCENT), "percent_string"),
+        F.when(is_text & text.rlike(THOUSANDS), "thousands_separator")
+    ]
     return F.array_compact(F.array(*found))

@@ -95,28 +95,44 @@ def exact_sums(df: DataFrame, columns: list[Column]) -> list[Sum]:
     if not columns:
         return []
     values = [F.struct(F.lit(i).alias("i"), c.cast("double").alias("x")) for i, c in enumerate(columns)]
-    rows = df.select(F.explode(F.array(*values)).alias("v")).select("v.i", "v.x").where("x IS NOT NULL AND NOT isnan(x) AND x <> 0")
+    rows = df.select(F.explode(F.array(*values)).alias("v")).select("v.i", "v.x").where(
+        "x IS NOT NULL AND NOT isnan(x) AND x <> 0"
+    )
     infinite = F.abs("x") == float("inf")
     bucket = F.when(infinite, F.lit(1 << 20)).otherwise(F.floor(F.log2(F.abs("x")) / _SPAN)).cast("int")
     # Two factors, as one power of two alone may be beyond a double.
     half = F.pow(F.lit(2.0), -(_SPAN // 2) * F.col("b"))
     scaled = F.col("x") * half * half * float(1 << 20)
     whole = F.floor(scaled)
-    rows = rows.withColumn("b", bucket).select("i", "b", F.when(infinite, F.signum("x")).otherwise(whole).cast("bigint").alias("hi"), F.when(infinite, 0).otherwise((scaled - whole) * float(1 << 36)).cast("bigint").alias("lo"))
-    found = rows.groupBy("i", "b", F.signum("hi").alias("sign")).agg(F.sum(F.col("hi").cast("decimal(38,0)")).alias("hi"), F.sum(F.col("lo").cast("decimal(38,0)")).alias("lo"))
+    rows = rows.withColumn("b", bucket).select(
+        "i", "b",
+        F.when(infinite, F.signum("x")).otherwise(whole).cast("bigint").alias("hi"),
+        F.when(infinite, 0).otherwise((scaled - whole) * float(1 << 36)).cast("bigint").alias("lo")
+    )
+    found = rows.groupBy("i", "b", F.signum("hi").alias("sign")).agg(
+        F.sum(F.col("hi").cast("decimal(38,0)")).alias("hi"), F.sum(F.col("lo").cast("decimal(38,0)")).alias("lo")
+    )
     out = [Sum(Fraction(0))] * len(columns)
     for x in found.collect():
         old = out[x.i]
         if x.b == 1 << 20:
             out[x.i] = Sum(old.finite, old.high + max(0, int(x.hi)), old.low + max(0, -int(x.hi)))
         else:
-            out[x.i] = Sum(old.finite + Fraction((int(x.hi) << 36) + int(x.lo)) * Fraction(2) ** (_SPAN * x.b - 56), old.high, old.low)
+            out[x.i] = Sum(
+                old.finite + Fraction((int(x.hi) << 36) + int(x.lo)) * Fraction(2) ** (_SPAN * x.b - 56), old.high,
+                old.low
+            )
     return out
 
 
 def _outside(rule: ValueRange):
     c = F.col(f"`{rule.column}`")
-    return F.coalesce((c < rule.min if rule.min is not None else F.lit(False)) | (c > rule.max if rule.max is not None else F.lit(False)), F.lit(False))
+    return F.coalesce(
+        (
+            c < rule.min if rule.min is not None else F.lit(False)
+        ) | (c > rule.max if rule.max is not None else F.lit(False)),
+        F.lit(False)
+    )
 
 
 def run_validations(rules: Validations, raw: DataFrame, transformed: DataFrame) -> list[Outcome]:
@@ -139,7 +155,10 @@ def run_validations(rules: Validations, raw: DataFrame, transformed: DataFrame)
         say("row_count", True, f"{n} rows within bounds")
     for rule in rules.key_uniqueness:
         keys, count = some_of(duplicate_keys(transformed, rule.columns))
-        say(f"key_uniqueness:{','.join(rule.columns)}", not keys, f"duplicate keys: {listed(keys, count)}" if keys else "all keys unique")
+        say(
+            f"key_uniqueness:{','.join(rule.columns)}", not keys,
+            f"duplicate keys: {listed(keys, count)}" if keys else "all keys unique"
+        )
     for i, rule in enumerate(rules.null_policy):
         nulls = got[f"null{i}"]
         good = rule.nulls_allowed or not nulls

@@ -70,7 +70,9 @@ def _match(fp: Fingerprint, names: list[str]) -> tuple[str | None, list[Differen
         return None, [Difference(kind, fp.sheet, fp.sheet, str(found or names))]
     at = names.index(found[0])
     moved = fp.sheet_index is not None and at != fp.sheet_index
-    return found[0], [Difference("sheet_position_mismatch", found[0], f"position {fp.sheet_index}", f"position {at}")] if moved else []
+    return found[0], [
+        Difference("sheet_position_mismatch", found[0], f"position {fp.sheet_index}", f"position {at}")
+    ] if moved else []
 
 
 def _kinds(sheet: Sheet, header: int, column: int) -> list[str]:
@@ -87,10 +89,18 @@ def check_fingerprint(fp: Fingerprint, sheets: list[Sheet]) -> FingerprintCheck:
     for i, c in enumerate(fp.columns, 1):
         value = sheet.value(fp.header_row, i)
         if c.strictness == "strict" and value != c.name:
-            out.append(Difference("header_text_mismatch", name, c.name, "(blank)" if value is None else text_of(value), i))
+            out.append(
+                Difference("header_text_mismatch", name, c.name, "(blank)" if value is None else text_of(value), i)
+            )
     span = range(fp.header_row + 1, fp.header_row + 1 + fp.max_rows_from_header_to_data)
     if not any(sheet.value(r, c) is not None for r in span for c in range(1, len(fp.columns) + 1)):
-        out.append(Difference("data_start_too_far", name, f"non-blank data within {fp.max_rows_from_header_to_data} row(s) of header", "no non-blank row found in that range"))
+        out.append(
+            Difference(
+                "data_start_too_far", name,
+                f"non-blank data within {fp.max_rows_from_header_to_data} row(s) of header",
+                "no non-blank row found in that range"
+            )
+        )
     for i, c in enumerate(fp.columns, 1):
         kind = dominant(_kinds(sheet, fp.header_row, i)) if c.strictness != "optional" else None
         if kind is not None and kind != c.type:
@@ -98,7 +108,9 @@ def check_fingerprint(fp: Fingerprint, sheets: list[Sheet]) -> FingerprintCheck:
     return FingerprintCheck(not out, out, name)
 
 
-def generate_fingerprint(sheets: list[Sheet], sheet: str, header_row: int, max_rows_from_header_to_data: int = 5) -> Fingerprint:
+def generate_fingerprint(
+    sheets: list[Sheet], sheet: str, header_row: int, max_rows_from_header_to_data: int = 5
+) -> Fingerprint:
     """What a file looks like now. Columns below a merged header are known by position only."""
     at = next(i for i, s in enumerate(sheets) if s.name == sheet)
     merged: set[int] = set()
@@ -106,5 +118,15 @@ def generate_fingerprint(sheets: list[Sheet], sheet: str, header_row: int, max_r
         a, r1, b, r2 = re.fullmatch(r"([A-Z]+)(\d+):([A-Z]+)(\d+)", ref).groups()
         if int(r1) <= header_row <= int(r2):
             merged.update(range(column_number(a), column_number(b) + 1))
-    columns = [HeaderColumn(name=text_of(sheets[at].value(header_row, c)) or f"column_{c}", type=dominant(_kinds(sheets[at], header_row, c)) or "string", strictness="position_only" if c in merged else "strict") for c in range(1, sheets[at].max_column + 1)]
-    return Fingerprint(sheet=sheet, sheet_index=at, header_row=header_row, columns=columns, max_rows_from_header_to_data=max_rows_from_header_to_data)
+    columns = [
+        HeaderColumn(
+            name=text_of(sheets[at].value(header_row, c)) or f"column_{c}",
+            type=dominant(_kinds(sheets[at], header_row, c)) or "string",
+            strictness="position_only" if c in merged else "strict"
+        )
+        for c in range(1, sheets[at].max_column + 1)
+    ]
+    return Fingerprint(
+        sheet=sheet, sheet_index=at, header_row=header_row, columns=columns,
+        max_rows_from_header_to_data=max_rows_from_header_to_data
+    )

@@ -68,7 +68,10 @@ def _checked(df: DataFrame, name: str, value: Column, bad: Column, what: str, so
         if found:
             raise ValueError(f"column {name!r}: {what} {found[0][1]!r} at {marker}={found[0][0]}")
         return df.withColumn(name, value)
-    shown = F.concat(F.lit("'"), F.coalesce(source.cast("string"), F.lit("null")), F.lit(f"' at {marker}="), F.col(marker).cast("string"))
+    shown = F.concat(
+        F.lit("'"), F.coalesce(source.cast("string"), F.lit("null")), F.lit(f"' at {marker}="),
+        F.col(marker).cast("string")
+    )
     kind = df.select(value.alias("x")).schema[0].dataType
     error = F.raise_error(F.concat(F.lit(f"column {name!r}: {what} "), shown)).cast(kind)
     out = df.withColumn(name, F.when(bad, error).otherwise(value))
@@ -92,7 +95,9 @@ def drop_empty(df: DataFrame, row_marker: str = MARKER) -> DataFrame:
     return df.dropna(how="all", subset=[c for c in df.columns if c != row_marker])
 
 
-def coerce_numeric(df: DataFrame, column: str | int, allow_null: bool = False, scale: float = 1.0, row_marker: str = MARKER) -> DataFrame:
+def coerce_numeric(
+    df: DataFrame, column: str | int, allow_null: bool = False, scale: float = 1.0, row_marker: str = MARKER
+) -> DataFrame:
     """Messy numbers become doubles, times ``scale``; what can't be read is null, or an error that names the first row."""
     source = _col(df, column)
     parsed = number(source)
@@ -106,7 +111,9 @@ def coerce_date(df: DataFrame, column: str | int, fmt: str | None = None, row_ma
     """Dates become ISO text; nulls stay, and a value that can't be read is an error."""
     source = _col(df, column)
     value = iso_date(source, fmt)
-    return _checked(df, _name(df, column), value, value.isNull() & source.isNotNull(), "unparseable value", source, row_marker)
+    return _checked(
+        df, _name(df, column), value, value.isNull() & source.isNotNull(), "unparseable value", source, row_marker
+    )
 
 
 def select_sheet(sheets: dict[str, DataFrame], name: str) -> DataFrame:
@@ -115,7 +122,9 @@ def select_sheet(sheets: dict[str, DataFrame], name: str) -> DataFrame:
     return sheets[name]
 
 
-def unpivot(df: DataFrame, id_vars: list[str], value_vars: list[str], var_name: str, value_name: str, row_marker: str = MARKER) -> DataFrame:
+def unpivot(
+    df: DataFrame, id_vars: list[str], value_vars: list[str], var_name: str, value_name: str, row_marker: str = MARKER
+) -> DataFrame:
     """A row for each row and value column; values of unlike types become text."""
     ids = [*id_vars, *([] if row_marker in id_vars else [row_marker])]
     types = {df.schema[c].dataType.simpleString() for c in value_vars}
@@ -154,7 +163,9 @@ def split_column(df: DataFrame, column: str, into: list[str], pattern: str, row_
         matched, parts = F.col("__groups").isNotNull(), [F.col("__groups")[i] for i in range(len(into))]
     rows, n = some_of(df.where(~matched).select(row_marker).orderBy(row_marker))
     if rows:
-        raise ValueError(f"column {column!r}: pattern did not match rows with {row_marker}={listed([x[0] for x in sorted(rows)], n)}")
+        raise ValueError(
+            f"column {column!r}: pattern did not match rows with {row_marker}={listed([x[0] for x in sorted(rows)], n)}"
+        )
     named = [x.alias(name) for x, name in zip(parts, into, strict=True)]
     return df.select(*[x for c in df.columns if c != "__groups" for x in (named if c == column else [_col(df, c)])])
 
@@ -173,7 +184,9 @@ def map_values(df: DataFrame, column: str, mapping: dict, on_missing: str = "fai
         pairs = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]) if mapping else None
         mapped = F.element_at(pairs, source) if mapping else F.lit(None)
     else:
-        table = df.sparkSession.createDataFrame(pd.DataFrame({"__from": list(mapping), "__to": list(mapping.values())})).withColumn("__known", F.lit(True))
+        table = df.sparkSession.createDataFrame(
+            pd.DataFrame({"__from": list(mapping), "__to": list(mapping.values())})
+        ).withColumn("__known", F.lit(True))
         df = df.join(table, source == table["__from"], "left").drop("__from")
         source, known, mapped = F.col(f"`{name}`"), F.coalesce("__known", F.lit(False)), F.col("__to")
     if on_missing == "fail":
@@ -183,7 +196,10 @@ def map_values(df: DataFrame, column: str, mapping: dict, on_missing: str = "fai
             raise ValueError(f"column {column!r}: no mapping: {listed(values, n)}")
     if not mapping:
         return df
-    return df.withColumn(name, mapped if on_missing == "fail" else F.when(known, mapped).otherwise(source)).drop("__to", "__known")
+    return df.withColumn(
+        name,
+        mapped if on_missing == "fail" else F.when(known, mapped).otherwise(source)
+    ).drop("__to", "__known")
 
 
 def _typed(c: Column, kind: str, value: Any) -> Column:

@@ -53,7 +53,9 @@ class Profile(BaseModel):
 
 def row_counts(cells: DataFrame) -> DataFrame:
     """sheet, _src_row, filled, strings: how many cells of a row have a value, and text."""
-    return cells.groupBy("sheet", "_src_row").agg(F.count(F.lit(1)).alias("filled"), F.count_if(F.col("kind") == "string").alias("strings"))
+    return cells.groupBy("sheet", "_src_row").agg(
+        F.count(F.lit(1)).alias("filled"), F.count_if(F.col("kind") == "string").alias("strings")
+    )
 
 
 def header_scores(cells: DataFrame, width: int, height: int, density: float = 0.5, text: float = 0.5) -> DataFrame:
@@ -62,11 +64,22 @@ def header_scores(cells: DataFrame, width: int, height: int, density: float = 0.
     The row below scores it; a row without cells has none. The last row can't be a header.
     """
     counts = row_counts(cells)
-    first = counts.where((F.col("filled") >= density * width) & (F.col("strings") >= text * F.col("filled")) & (F.col("_src_row") < height))
-    first = first.groupBy("sheet").agg(F.min(F.struct("_src_row", "filled")).alias("at")).select("sheet", F.col("at._src_row").alias("header_row"), F.col("at.filled").alias("filled"))
-    below = counts.select(F.col("sheet").alias("_s"), (F.col("_src_row") - 1).alias("_r"), F.col("filled").alias("below_filled"), F.col("strings").alias("below_strings"))
+    first = counts.where(
+        (F.col("filled") >= density * width) & (F.col("strings") >= text * F.col("filled"))
+        & (F.col("_src_row") < height)
+    )
+    first = first.groupBy("sheet").agg(F.min(F.struct("_src_row", "filled")).alias("at")).select(
+        "sheet", F.col("at._src_row").alias("header_row"), F.col("at.filled").alias("filled")
+    )
+    below = counts.select(
+        F.col("sheet").alias("_s"), (F.col("_src_row") - 1).alias("_r"), F.col("filled").alias("below_filled"),
+        F.col("strings").alias("below_strings")
+    )
     joined = first.join(below, (F.col("sheet") == F.col("_s")) & (F.col("header_row") == F.col("_r")), "left")
-    return joined.select("sheet", "header_row", "filled", F.coalesce("below_filled", F.lit(0)).alias("below_filled"), F.coalesce("below_strings", F.lit(0)).alias("below_strings"))
+    return joined.select(
+        "sheet", "header_row", "filled", F.coalesce("below_filled", F.lit(0)).alias("below_filled"),
+        F.coalesce("below_strings", F.lit(0)).alias("below_strings")
+    )
 
 
 def column_stats(cells: DataFrame) -> DataFrame:
@@ -75,16 +88,25 @@ def column_stats(cells: DataFrame) -> DataFrame:
     Numbers and booleans that are equal count as one value; samples are the first
     distinct values in order of appearance.
     """
-    same = F.when(F.col("kind") == "boolean", (F.lower("text") == "true").cast("double")).when(F.col("kind").isin("integer", "float"), F.col("text").try_cast("double"))
-    value = F.when(same.isNotNull(), F.concat(F.lit("n"), same.cast("string"))).otherwise(F.concat(F.substring("kind", 1, 1), F.col("text")))
+    same = F.when(F.col("kind") == "boolean", (F.lower("text") == "true").cast("double")).when(
+        F.col("kind").isin("integer", "float"), F.col("text").try_cast("double")
+    )
+    value = F.when(
+        same.isNotNull(), F.concat(F.lit("n"), same.cast("string"))
+    ).otherwise(F.concat(F.substring("kind", 1, 1), F.col("text")))
     cells = cells.withColumn("_value", value).withColumn("_smells", smells(F.col("text"), F.col("kind")))
-    values = cells.groupBy("sheet", "col", "_value").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("_src_row", "text")).alias("first"), F.collect_set("kind").alias("kinds"), F.flatten(F.collect_set("_smells")).alias("_smells"))
+    values = cells.groupBy("sheet", "col", "_value").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("_src_row", "text")).alias("first"),
+        F.collect_set("kind").alias("kinds"), F.flatten(F.collect_set("_smells")).alias("_smells")
+    )
     place = F.row_number().over(Window.partitionBy("sheet", "col").orderBy("first"))
     return values.withColumn("_place", place).groupBy("sheet", "col").agg(
         F.sum("n").alias("filled"),
         F.array_distinct(F.flatten(F.collect_set("kinds"))).alias("kinds"),
         F.count(F.lit(1)).alias("cardinality"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("_place") <= SAMPLES, F.col("first")))), lambda x: x["text"]).alias("samples"),
+        F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("_place") <= SAMPLES, F.col("first")))), lambda x: x["text"]
+        ).alias("samples"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("_smells")))).alias("smells"),
     )
 
@@ -114,7 +136,12 @@ def detect_header(cells: DataFrame, width: int, height: int) -> list[HeaderCandi
     found = header_scores(cells, width, height).first() if height > 1 else None
     if found is None:
         return []
-    return [HeaderCandidate(row=found.header_row, confidence=confidence(found.filled, width, found.below_filled, found.below_strings))]
+    return [
+        HeaderCandidate(
+            row=found.header_row,
+            confidence=confidence(found.filled, width, found.below_filled, found.below_strings)
+        )
+    ]
 
 
 def column_profiles(cells: DataFrame, headers: dict[int, str | None], rows: int) -> list[ColumnProfile]:
@@ -124,7 +151,12 @@ def column_profiles(cells: DataFrame, headers: dict[int, str | None], rows: int)
     for position, text in headers.items():
         s = stats.get(position)
         if s is None:
-            out.append(ColumnProfile(position=position, header_text=text, inferred_type="empty", null_rate=null_rate(rows, 0), cardinality=0, samples=[], smells=[]))
+            out.append(
+                ColumnProfile(
+                    position=position, header_text=text, inferred_type="empty", null_rate=null_rate(rows, 0),
+                    cardinality=0, samples=[], smells=[]
+                )
+            )
             continue
         out.append(
             ColumnProfile(

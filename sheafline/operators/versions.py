@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
-_TYPES = {str: T.StringType(), int: T.LongType(), float: T.DoubleType(), bool: T.BooleanType(), dt.date: T.StringType(), dt.datetime: T.StringType()}
+_TYPES = {
+    str: T.StringType(), int: T.LongType(), float: T.DoubleType(), bool: T.BooleanType(), dt.date: T.StringType(),
+    dt.datetime: T.StringType()
+}
 _META = {
     "runs": "run_id bigint, name string, version string, as_of string",
     "raw_files": "sha256 string, original_name string, run_id bigint",
@@ -56,7 +59,9 @@ def sequenced(df: DataFrame, order: list[str], base: int, name: str, folder: str
     The rows are sorted once into ``folder``, which the result reads and its user may delete.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(
+        "_at", F.monotonically_increasing_id()
+    )
     placed.write.parquet(folder)
     placed = df.sparkSession.read.schema(placed.schema).parquet(folder).withColumn("_part", F.shiftright("_at", 33))
     offset, starts = base, []
@@ -114,11 +119,24 @@ class Store:
             self._note("validation_results", [(run_id, o.check_name, o.status, o.detail) for o in outcomes])
 
     def _log(self, table: str, columns: T.StructType, final: bool) -> DataFrame:
-        schema = T.StructType([T.StructField("row_id", T.LongType()), *columns.fields, *([T.StructField("_verification", T.StringType())] if final else []), T.StructField("_run_id", T.LongType())])
-        done = self.meta("commits").where(F.col("table_name") == table).select(F.col("run_id").alias("_run_id")).distinct()
-        return self._read(f"{self.root}/tables/{check_identifier(table)}", schema).join(F.broadcast(done), "_run_id", "left_semi")
-
-    def _append(self, table: str, rows: DataFrame, log: DataFrame, run_id: int, order: list[str], digest: str, sheet: str, version: str) -> range:
+        schema = T.StructType(
+            [
+                T.StructField("row_id", T.LongType()), *columns.fields,
+                *([T.StructField("_verification", T.StringType())] if final else []),
+                T.StructField("_run_id", T.LongType())
+            ]
+        )
+        done = self.meta("commits").where(F.col("table_name") == table).select(
+            F.col("run_id").alias("_run_id")
+        ).distinct()
+        return self._read(
+            f"{self.root}/tables/{check_identifier(table)}", schema
+        ).join(F.broadcast(done), "_run_id", "left_semi")
+
+    def _append(
+        self, table: str, rows: DataFrame, log: DataFrame, run_id: int, order: list[str], digest: str, sheet: str,
+        version: str
+    ) -> range:
         base = log.agg(F.coalesce(F.max("row_id"), F.lit(0))).first()[0]
         work = f"{self.root}/_work/{uuid.uuid4().hex}"
         numbered = sequenced(rows, order, base, "row_id", work)
@@ -141,7 +159,10 @@ class Store:
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
         return range(base + 1, base + 1 + count)
 
-    def load_final_rows(self, table: str, columns: T.StructType, key: list[str], rows: DataFrame, run_id: int, digest: str, sheet: str, version: str, verification: str = "TO_VERIFY", order: list[str] | None = None) -> range:
+    def load_final_rows(
+        self, table: str, columns: T.StructType, key: list[str], rows: DataFrame, run_id: int, digest: str, sheet: str,
+        version: str, verification: str = "TO_VERIFY", order: list[str] | None = None
+    ) -> range:
         """Appends ``rows`` (the columns and _src_row) as new versions of their keys; returns the row ids."""
         check_identifier(table)
         known = self.meta("keys").where(F.col("table_name") == table).first()
@@ -149,14 +170,30 @@ class Store:
             self._note("keys", [(table, key)])
         elif list(known.key_columns) != list(key):
             raise ValueError(f"{table} has the key {known.key_columns}, not {key}")
-        ready = rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in columns.fields], F.lit(verification).alias("_verification"), F.lit(run_id).cast("bigint").alias("_run_id"), "_src_row")
-        return self._append(table, ready, self._log(table, columns, True), run_id, order or ["_src_row", *columns.names], digest, sheet, version)
+        ready = rows.select(
+            *[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in columns.fields],
+            F.lit(verification).alias("_verification"), F.lit(run_id).cast("bigint").alias("_run_id"), "_src_row"
+        )
+        return self._append(
+            table, ready, self._log(table, columns, True), run_id, order or ["_src_row", *columns.names], digest, sheet,
+            version
+        )
 
-    def load_mirror_rows(self, table: str, columns: T.StructType, rows: DataFrame, run_id: int, digest: str, sheet: str, version: str) -> range:
+    def load_mirror_rows(
+        self, table: str, columns: T.StructType, rows: DataFrame, run_id: int, digest: str, sheet: str, version: str
+    ) -> range:
         """Appends rows; columns that are left out are null."""
         have = set(rows.columns)
-        ready = rows.select(*[(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in columns.fields], F.lit(run_id).cast("bigint").alias("_run_id"), "_src_row")
-        return self._append(table, ready, self._log(table, columns, False), run_id, ["_src_row", *columns.names], digest, sheet, version)
+        ready = rows.select(
+            *[
+                (F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+                for f in columns.fields
+            ],
+            F.lit(run_id).cast("bigint").alias("_run_id"), "_src_row"
+        )
+        return self._append(
+            table, ready, self._log(table, columns, False), run_id, ["_src_row", *columns.names], digest, sheet, version
+        )
 
     def final(self, table: str, columns: T.StructType, key: list[str]) -> DataFrame:
         """All versions, each with the run that superseded it."""
@@ -167,7 +204,10 @@ class Store:
 
     def with_lineage(self, rows: DataFrame, table: str) -> DataFrame:
         lineage = self.meta("lineage").where(F.col("table_name") == table).drop("table_name")
-        return rows.join(lineage, (rows["row_id"] == lineage["row_id"]) & (rows["_run_id"] == lineage["run_id"])).drop(lineage["row_id"])
+        return rows.join(
+            lineage,
+            (rows["row_id"] == lineage["row_id"]) & (rows["_run_id"] == lineage["run_id"])
+        ).drop(lineage["row_id"])
 
 
 def superseded(log: DataFrame, key: list[str]) -> DataFrame:
@@ -186,7 +226,10 @@ def active_rows(final: DataFrame) -> DataFrame:
 
 
 def rows_as_of(final: DataFrame, run_id: int) -> DataFrame:
-    return final.where((F.col("_run_id") <= run_id) & (F.col("_superseded_by_run_id").isNull() | (F.col("_superseded_by_run_id") > run_id)))
+    return final.where(
+        (F.col("_run_id") <= run_id)
+        & (F.col("_superseded_by_run_id").isNull() | (F.col("_superseded_by_run_id") > run_id))
+    )
 
 
 def register_views(store: Store) -> list[str]:
@@ -194,11 +237,16 @@ def register_views(store: Store) -> list[str]:
     keys = {x.table_name: x.key_columns for x in store.meta("keys").collect()}
     names = []
     for (table,) in store.meta("commits").select("table_name").distinct().collect():
-        done = store.meta("commits").where(F.col("table_name") == table).select(F.col("run_id").alias("_run_id")).distinct()
+        done = store.meta("commits").where(F.col("table_name") == table).select(
+            F.col("run_id").alias("_run_id")
+        ).distinct()
         log = store.spark.read.parquet(f"{store.root}/tables/{table}").join(F.broadcast(done), "_run_id", "left_semi")
         (superseded(log, keys[table]) if table in keys else log).createOrReplaceTempView(table)
         names.append(table)
-    for view, frame in {"meta_runs": store.meta("runs"), "meta_lineage": store.meta("lineage"), "meta_validation_results": store.meta("validation_results"), "raw_files": store.raw_files()}.items():
+    for view, frame in {
+        "meta_runs": store.meta("runs"), "meta_lineage": store.meta("lineage"),
+        "meta_validation_results": store.meta("validation_results"), "raw_files": store.raw_files()
+    }.items():
         frame.createOrReplaceTempView(view)
         names.append(view)
     return sorted(names)

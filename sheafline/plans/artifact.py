@@ -96,7 +96,11 @@ def load_schema(path: Path, needed: tuple[str, ...] = ("SourceRow", "TargetRow")
 
 
 def public_ops() -> dict[str, Callable]:
-    return {n: f for n, f in vars(ops).items() if inspect.isfunction(f) and f.__module__ == ops.__name__ and not n.startswith("_")}
+    return {
+        n: f
+        for n, f in vars(ops).items()
+        if inspect.isfunction(f) and f.__module__ == ops.__name__ and not n.startswith("_")
+    }
 
 
 def load_transform(path: Path) -> Callable[[DataFrame], DataFrame]:
@@ -106,7 +110,10 @@ def load_transform(path: Path) -> Callable[[DataFrame], DataFrame]:
         problems = [f.message for f in lint_transform(path)]
         if problems:
             raise ValueError("; ".join(problems))
-        space: dict[str, Any] = {"__builtins__": {n: getattr(builtins, n) for n in ALLOWED if hasattr(builtins, n)}, "ops": SimpleNamespace(**public_ops())}
+        space: dict[str, Any] = {
+            "__builtins__": {n: getattr(builtins, n) for n in ALLOWED if hasattr(builtins, n)},
+            "ops": SimpleNamespace(**public_ops())
+        }
         exec(compile(text, str(path), "exec", dont_inherit=True), space)  # noqa: S102
     except Exception as e:
         raise ArtifactLoadError(f"{path}: {e}") from None
@@ -118,10 +125,18 @@ def load_transform(path: Path) -> Callable[[DataFrame], DataFrame]:
 def load_artifact(root: str | Path) -> Artifact:
     """Everything in an artifact's folder, checked at once."""
     root = Path(root)
-    missing = [n for n in FILES if not (root / n).is_file()] + [f"golden/{n}" for n in GOLDEN if not (root / "golden" / n).exists()]
+    missing = [n for n in FILES if not (root / n).is_file()] + [
+        f"golden/{n}"
+        for n in GOLDEN
+        if not (root / "golden" / n).exists()
+    ]
     if missing:
         raise ArtifactLoadError(f"{root}: missing {missing}")
-    return Artifact(root, _model(root / "manifest.yaml", Manifest, yaml.safe_load), load_fingerprint(root / "fingerprint.json"), load_schema(root / "schema.py"), load_transform(root / "transform.py"), _model(root / "validations.yaml", Validations, yaml.safe_load))
+    return Artifact(
+        root, _model(root / "manifest.yaml", Manifest, yaml.safe_load), load_fingerprint(root / "fingerprint.json"),
+        load_schema(root / "schema.py"), load_transform(root / "transform.py"),
+        _model(root / "validations.yaml", Validations, yaml.safe_load)
+    )
 
 
 @dataclass(frozen=True)
@@ -166,7 +181,9 @@ def _transformed(artifact: Artifact, raw: DataFrame) -> DataFrame:
     return done
 
 
-def run(spark: SparkSession, artifact_path: str | Path, input_path: str | Path, store: Store, as_of: dt.date | None = None) -> RunResult:
+def run(
+    spark: SparkSession, artifact_path: str | Path, input_path: str | Path, store: Store, as_of: dt.date | None = None
+) -> RunResult:
     """Checks a file against its artifact, transforms it and appends its rows to the target table.
 
     Rows are only written after every check has passed; a run that fails stays in
@@ -185,14 +202,18 @@ def run(spark: SparkSession, artifact_path: str | Path, input_path: str | Path,
     done = _transformed(artifact, raw)
     fields = set(artifact.target_row.model_fields)
     if set(done.columns) - {ops.MARKER} != fields:
-        raise RuntimeCheckError(f"transform gives columns {sorted(set(done.columns) - {ops.MARKER})}, the target has {sorted(fields)}")
+        raise RuntimeCheckError(
+            f"transform gives columns {sorted(set(done.columns) - {ops.MARKER})}, the target has {sorted(fields)}"
+        )
     outcomes = run_validations(artifact.validations, raw, done)
     store.record_validation_results(run_id, outcomes)
     failed = [f"{o.check_name}: {o.detail}" for o in outcomes if o.status == "FAIL"]
     if failed:
         raise RuntimeCheckError("; ".join(failed))
     rows = _check_rows(done, artifact.target_row)
-    ids = store.load_final_rows(m.target_table, columns_of(artifact.target_row), m.key, rows, run_id, digest, check.matched_sheet, m.version)
+    ids = store.load_final_rows(
+        m.target_table, columns_of(artifact.target_row), m.key, rows, run_id, digest, check.matched_sheet, m.version
+    )
     raw.unpersist()
     done.unpersist()
     return RunResult(run_id, ids, check, outcomes)
@@ -207,7 +228,11 @@ class GoldenResult:
 
 def compare_schema(actual: DataFrame, golden: DataFrame) -> list[str]:
     a, g = dict(actual.dtypes), dict(golden.dtypes)
-    return [f"column {c!r} missing from actual output" for c in g if c not in a] + [f"column {c!r} present in actual output but not in golden" for c in a if c not in g] + [f"column {c!r} dtype mismatch: golden has {g[c]}, actual has {a[c]}" for c in g if c in a and a[c] != g[c]]
+    return [f"column {c!r} missing from actual output" for c in g if c not in a] + [f"column {c!r} present in actual output but not in golden" for c in a if c not in g] + [
+        f"column {c!r} dtype mismatch: golden has {g[c]}, actual has {a[c]}"
+        for c in g
+        if c in a and a[c] != g[c]
+    ]
 
 
 def value_differences(actual: DataFrame, golden: DataFrame, place: str) -> DataFrame:
@@ -218,8 +243,21 @@ def value_differences(actual: DataFrame, golden: DataFrame, place: str) -> DataF
     columns = [c for c in golden.columns if c != place]
     a = actual.select(F.col(place), *[F.col(f"`{c}`").alias(f"a{i}") for i, c in enumerate(columns)])
     g = golden.select(F.col(place), *[F.col(f"`{c}`").alias(f"g{i}") for i, c in enumerate(columns)])
-    cells = F.array(*[F.when(~F.col(f"a{i}").eqNullSafe(F.col(f"g{i}")), F.struct(F.lit(c).alias("column_name"), F.col(f"g{i}").cast("string").alias("golden"), F.col(f"a{i}").cast("string").alias("actual"))) for i, c in enumerate(columns)])
-    return a.join(g, place, "full_outer").select(place, F.explode(F.array_compact(cells)).alias("cell")).select(place, "cell.*")
+    cells = F.array(
+        *[
+            F.when(
+                ~F.col(f"a{i}").eqNullSafe(F.col(f"g{i}")),
+                F.struct(
+                    F.lit(c).alias("column_name"), F.col(f"g{i}").cast("string").alias("golden"),
+                    F.col(f"a{i}").cast("string").alias("actual")
+                )
+            )
+            for i, c in enumerate(columns)
+        ]
+    )
+    return a.join(g, place, "full_outer").select(
+        place, F.explode(F.array_compact(cells)).alias("cell")
+    ).select(place, "cell.*")
 
 
 def run_golden_test(spark: SparkSession, artifact_path: str | Path) -> GoldenResult:
@@ -237,10 +275,18 @@ def run_golden_test(spark: SparkSession, artifact_path: str | Path) -> GoldenRes
     n, m = golden.count(), actual.count()
     if n != m:
         return GoldenResult(False, value_differences=[f"row count mismatch: golden has {n}, actual has {m}"])
-    order = Window.orderBy(*[F.col(f"`{c}`") for c in ([ops.MARKER] if ops.MARKER in golden.columns else []) + golden.columns])  # a golden file is small by design
+    order = Window.orderBy(
+        *[F.col(f"`{c}`") for c in ([ops.MARKER] if ops.MARKER in golden.columns else []) + golden.columns]
+    )  # a golden file is small by design
     placed = [df.withColumn("_place", F.row_number().over(order)) for df in (actual.select(*golden.columns), golden)]
     cells = value_differences(*placed, "_place").orderBy("_place", "column_name").collect()
-    return GoldenResult(not cells, value_differences=[f"row {x._place - 1}, column {x.column_name!r}: golden has {x.golden!r}, actual has {x.actual!r}" for x in cells])
+    return GoldenResult(
+        not cells,
+        value_differences=[
+            f"row {x._place - 1}, column {x.column_name!r}: golden has {x.golden!r}, actual has {x.actual!r}"
+            for x in cells
+        ]
+    )
 
 
 class RefreezeRefused(Exception):
@@ -249,7 +295,9 @@ class RefreezeRefused(Exception):
 
 def _log_edited(log: Path) -> bool:
     """Whether the working tree has a change log that differs from the last commit, or is new."""
-    said = subprocess.run(["git", "-C", str(log.parent), "status", "--porcelain", "--", log.name], capture_output=True, text=True)
+    said = subprocess.run(
+        ["git", "-C", str(log.parent), "status", "--porcelain", "--", log.name], capture_output=True, text=True
+    )
     return said.returncode == 0 and bool(said.stdout.strip())
 
 
@@ -314,7 +362,11 @@ def lint_artifact(root: str | Path) -> list[Finding]:
         if not (root / "golden").is_dir():
             out.append(Finding(root / "golden", None, "required directory missing"))
         else:
-            out += [Finding(root / "golden" / n, None, "required file missing") for n in GOLDEN if not (root / "golden" / n).exists()]
+            out += [
+                Finding(root / "golden" / n, None, "required file missing")
+                for n in GOLDEN
+                if not (root / "golden" / n).exists()
+            ]
         log = root / "CHANGELOG.md"
         if log.exists() and not log.read_text().strip():
             out.append(Finding(log, None, "the change log is empty"))
@@ -337,6 +389,9 @@ def _lint_mapping(path: Path) -> list[Finding]:
         return [Finding(path, None, str(e))]
     lines, out = [x.strip().removeprefix("- ") for x in path.read_text().splitlines()], []
     for c, why in unready(mapping):
-        line = next((i for i, x in enumerate(lines, 1) if x.startswith("source:") and x[7:].strip().strip("'\"") == c.source), None)
+        line = next(
+            (i for i, x in enumerate(lines, 1) if x.startswith("source:") and x[7:].strip().strip("'\"") == c.source),
+            None
+        )
         out.append(Finding(path, line, f"column {c.source!r} -> {c.target!r} {why}"))
     return out

@@ -57,13 +57,32 @@ class Summary:
     target_columns_not_populated: list[str]
 
     def render(self) -> str:
-        wide = [max((len(getattr(c, f"{side}_column")) for c in self.numeric_checks), default=0) for side in ("source", "target")]
-        sums = [f"  {c.source_column.ljust(wide[0])} -> {c.target_column.ljust(wide[1])} : {c.source_sum:>14,.4f}  ->  {c.target_sum:>14,.4f}" for c in self.numeric_checks]
-        facts = {"Source file": self.source_file, "Target": self.target, "Mode": "DRY RUN -- nothing written" if self.dry_run else "COMMITTED", "Rows in file": self.rows_in, "Rows written": self.rows_out}
+        wide = [
+            max((len(getattr(c, f"{side}_column")) for c in self.numeric_checks), default=0)
+            for side in ("source", "target")
+        ]
+        sums = [
+            f"  {c.source_column.ljust(wide[0])} -> {c.target_column.ljust(wide[1])} : {c.source_sum:>14,.4f}  ->  "
+            f"{c.target_sum:>14,.4f}"
+            for c in self.numeric_checks
+        ]
+        facts = {
+            "Source file": self.source_file, "Target": self.target,
+            "Mode": "DRY RUN -- nothing written" if self.dry_run else "COMMITTED", "Rows in file": self.rows_in,
+            "Rows written": self.rows_out
+        }
         sections = {
-            "Numeric column checks (sum of source values -> sum of target values)": sums or ["  (no numeric target columns in this mapping)"],
-            f"Unmapped source columns (policy: {self.unmapped_source_columns_action})": [f'  - "{n}" -- present in the file, not in the mapping' for n in self.unmapped_source_columns] or ["  (none -- every source column is mapped)"],
-            "Target columns not populated by this mapping": [f"  - {n}" for n in self.target_columns_not_populated] or ["  (none -- every target column is populated)"],
+            "Numeric column checks (sum of source values -> sum of target values)": sums or [
+                "  (no numeric target columns in this mapping)"
+            ],
+            f"Unmapped source columns (policy: {self.unmapped_source_columns_action})": [
+                f'  - "{n}" -- present in the file, not in the mapping'
+                for n in self.unmapped_source_columns
+            ] or ["  (none -- every source column is mapped)"],
+            "Target columns not populated by this mapping": [
+                f"  - {n}"
+                for n in self.target_columns_not_populated
+            ] or ["  (none -- every target column is populated)"],
         }
         head = ["Mirror reconciliation summary", "=" * 30, "", *(f"{k.ljust(15)}: {v}" for k, v in facts.items())]
         return "\n".join(head + [x for title, lines in sections.items() for x in ("", title, *lines)])
@@ -95,7 +114,10 @@ def load_mapping_artifact(root: str | Path) -> MappingArtifact:
         warehouse = load_fingerprint(root / "warehouse_fingerprint.json")
         if len(warehouse.columns) != len(mapping.excel_target.column_order):
             raise MirrorError(f"{root}: warehouse fingerprint and region differ in width")
-    return MappingArtifact(root, mapping, load_fingerprint(root / "fingerprint.json"), load_schema(root / "schema.py", ("TargetRow",)), warehouse)
+    return MappingArtifact(
+        root, mapping, load_fingerprint(root / "fingerprint.json"), load_schema(root / "schema.py", ("TargetRow",)),
+        warehouse
+    )
 
 
 def collisions(new: DataFrame, existing: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -129,13 +151,20 @@ def _checked(frame: DataFrame, schema: T.StructType, targets: list[str]) -> Data
     unknown = [t for t in targets if t not in fields]
     if unknown:
         raise MirrorError(f"the target has no columns {unknown}")
-    lost = frame.agg(*[F.count_if(F.col(t).isNotNull() & F.col(t).try_cast(fields[t]).isNull()).alias(t) for t in targets]).first().asDict()
+    lost = frame.agg(
+        *[F.count_if(F.col(t).isNotNull() & F.col(t).try_cast(fields[t]).isNull()).alias(t) for t in targets]
+    ).first().asDict()
     if any(lost.values()):
-        raise MirrorError(f"values that don't fit the target's types, by column: { {k: v for k, v in lost.items() if v} }")
+        raise MirrorError(
+            f"values that don't fit the target's types, by column: { {k: v for k, v in lost.items() if v} }"
+        )
     return frame.select(*[F.col(t).try_cast(fields[t]).alias(t) for t in targets], ops.MARKER)
 
 
-def mirror(spark: SparkSession, artifact_path: str | Path, source_file: str | Path, store: Store, dry_run: bool = True, now: dt.datetime | None = None) -> MirrorResult:
+def mirror(
+    spark: SparkSession, artifact_path: str | Path, source_file: str | Path, store: Store, dry_run: bool = True,
+    now: dt.datetime | None = None
+) -> MirrorResult:
     """Checks a file, reports what would be written and, unless ``dry_run``, writes it."""
     artifact = load_mapping_artifact(artifact_path)
     mapping = artifact.mapping
@@ -158,7 +187,12 @@ def mirror(spark: SparkSession, artifact_path: str | Path, source_file: str | Pa
     fields = columns_of(artifact.target_row)
     targets = [c.target for c in mapping.columns]
     n = before.count()
-    summary = dict(source_file=str(source_file), dry_run=dry_run, rows_in=n, rows_out=0 if dry_run else n, numeric_checks=numeric_sums(before, after, mapping), unmapped_source_columns=unmapped, unmapped_source_columns_action=mapping.unmapped_source_columns, target_columns_not_populated=[f for f in fields.names if f not in targets])
+    summary = dict(
+        source_file=str(source_file), dry_run=dry_run, rows_in=n, rows_out=0 if dry_run else n,
+        numeric_checks=numeric_sums(before, after, mapping), unmapped_source_columns=unmapped,
+        unmapped_source_columns_action=mapping.unmapped_source_columns,
+        target_columns_not_populated=[f for f in fields.names if f not in targets]
+    )
     if mapping.excel_target:
         return _to_workbook(spark, artifact, after, dry_run, summary, now)
     table = table_of(mapping.target)
@@ -183,7 +217,10 @@ def _same(value: Any) -> str | None:
     return None if value is None else str(int(value)) if isinstance(value, float) and value.is_integer() else text_of(value)
 
 
-def _to_workbook(spark: SparkSession, artifact: MappingArtifact, after: DataFrame, dry_run: bool, summary: dict, now: dt.datetime | None) -> MirrorResult:
+def _to_workbook(
+    spark: SparkSession, artifact: MappingArtifact, after: DataFrame, dry_run: bool, summary: dict,
+    now: dt.datetime | None
+) -> MirrorResult:
     """Appends below the last filled row of the region. A workbook is one file, so its rows are written by the driver."""
     region, key = artifact.mapping.excel_target, artifact.mapping.key
     path = Path(region.path) if Path(region.path).is_absolute() else artifact.root / region.path

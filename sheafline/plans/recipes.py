@@ -93,7 +93,10 @@ _READERS = {"string": str, "integer": int, "float": float, "boolean": _boolean,
 def coerce_params(recipe: Recipe, given: dict[str, str]) -> dict[str, Any]:
     missing, extra = sorted(recipe.params.keys() - given), sorted(given.keys() - recipe.params.keys())
     if missing or extra:
-        raise QueryParamError(f"recipe {recipe.name!r}: " + "; ".join(f"{what}: {names}" for what, names in (("missing", missing), ("unexpected", extra)) if names))
+        raise QueryParamError(
+            f"recipe {recipe.name!r}: "
+            + "; ".join(f"{what}: {names}" for what, names in (("missing", missing), ("unexpected", extra)) if names)
+        )
     out = {}
     for name, text in given.items():
         try:
@@ -108,7 +111,9 @@ def recipe_frame(spark: SparkSession, recipe: Recipe, given: dict[str, str] | No
     args = coerce_params(recipe, given or {})
     try:
         plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(recipe.sql)
-        if "Command" in plan.getClass().getSimpleName() or plan.getClass().getSimpleName().startswith(("Create", "Insert", "Drop", "Delete", "Update", "Merge", "Set", "Alter", "Truncate")):
+        if "Command" in plan.getClass().getSimpleName() or plan.getClass().getSimpleName().startswith(
+            ("Create", "Insert", "Drop", "Delete", "Update", "Merge", "Set", "Alter", "Truncate")
+        ):
             raise QueryError(f"recipe {recipe.name!r} is not a query")
         frame = spark.sql(recipe.sql, args=args)
     except QueryError:
@@ -118,7 +123,9 @@ def recipe_frame(spark: SparkSession, recipe: Recipe, given: dict[str, str] | No
             raise QueryError(f"recipe {recipe.name!r} failed: {e}") from None
         raise
     if frame.columns != recipe.expected_columns:
-        raise QueryShapeError(f"recipe {recipe.name!r}: expected columns {recipe.expected_columns}, got {frame.columns}")
+        raise QueryShapeError(
+            f"recipe {recipe.name!r}: expected columns {recipe.expected_columns}, got {frame.columns}"
+        )
     return frame
 
 

@@ -69,7 +69,9 @@ class Sheet:
 
 def cell_kind(value: Any) -> str:
     """The kind of a cell's value; booleans aren't integers here."""
-    for kind, classes in (("boolean", bool), ("integer", int), ("float", float), ("date", (dt.date, dt.datetime)), ("string", str)):
+    for kind, classes in (
+        ("boolean", bool), ("integer", int), ("float", float), ("date", (dt.date, dt.datetime)), ("string", str)
+    ):
         if isinstance(value, classes):
             return kind
     return "empty" if value is None else "other"
@@ -101,7 +103,10 @@ def read_workbook(source: str | bytes) -> list[Sheet]:
     """All sheets in order. Formulas give their stored values, empty text is no value."""
     with zipfile.ZipFile(io.BytesIO(source) if isinstance(source, bytes) else source) as z:
         names = set(z.namelist())
-        shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in ET.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
+        shared = [
+            "".join(t.text or "" for t in si.iter(f"{_NS}t"))
+            for si in ET.fromstring(z.read("xl/sharedStrings.xml"))
+        ] if "xl/sharedStrings.xml" in names else []
         dates: set[int] = set()
         if "xl/styles.xml" in names:
             styles = ET.fromstring(z.read("xl/styles.xml"))
@@ -135,8 +140,13 @@ def text_of(value: Any) -> str | None:
 def grid(spark: SparkSession, sheet: Sheet) -> DataFrame:
     """The raw grid: _c0, _c1, ... as text, and _src_row from 1. A sheet has at most 2**20 rows."""
     n, width = sheet.max_row, sheet.max_column
-    rows = [(*[text_of(sheet.value(r, c)) for c in range(1, width + 1)], r) for r in range(1, n + 1)] if sheet.cells else []
-    schema = T.StructType([*[T.StructField(f"_c{i}", T.StringType()) for i in range(width)], T.StructField("_src_row", T.IntegerType())])
+    rows = [
+        (*[text_of(sheet.value(r, c)) for c in range(1, width + 1)], r)
+        for r in range(1, n + 1)
+    ] if sheet.cells else []
+    schema = T.StructType(
+        [*[T.StructField(f"_c{i}", T.StringType()) for i in range(width)], T.StructField("_src_row", T.IntegerType())]
+    )
     return spark.createDataFrame(rows, schema)
 
 
@@ -145,7 +155,15 @@ CELLS = "sheet string, sheet_index int, _src_row int, col int, kind string, text
 
 def cell_table(spark: SparkSession, sheets: list[Sheet]) -> DataFrame:
     """A row for each cell that has a value."""
-    return spark.createDataFrame([(s.name, i, r, c, cell_kind(v), text_of(v)) for i, s in enumerate(sheets) for (r, c), v in sorted(s.cells.items()) if v is not None], CELLS)
+    return spark.createDataFrame(
+        [
+            (s.name, i, r, c, cell_kind(v), text_of(v))
+            for i, s in enumerate(sheets)
+            for (r, c), v in sorted(s.cells.items())
+            if v is not None
+        ],
+        CELLS
+    )
 
 
 def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
@@ -153,15 +171,30 @@ def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
 
     A file that is no workbook is an error. No files give no rows.
     """
-    schema = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("sheet_index", pa.int32()), ("_src_row", pa.int32()), ("col", pa.int32()), ("kind", pa.string()), ("text", pa.string())])
+    schema = pa.schema(
+        [
+            ("path", pa.string()), ("sheet", pa.string()), ("sheet_index", pa.int32()), ("_src_row", pa.int32()),
+            ("col", pa.int32()), ("kind", pa.string()), ("text", pa.string())
+        ]
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 for i, sheet in enumerate(read_workbook(data.as_py())):
-                    cells = [(name, sheet.name, i, r, c, cell_kind(v), text_of(v)) for (r, c), v in sorted(sheet.cells.items()) if v is not None]
+                    cells = [
+                        (name, sheet.name, i, r, c, cell_kind(v), text_of(v))
+                        for (r, c), v in sorted(sheet.cells.items())
+                        if v is not None
+                    ]
                     for a in range(0, len(cells), 10_000):
-                        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*cells[a : a + 10_000], strict=True), schema, strict=True)], schema=schema)
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(x, f.type)
+                                for x, f in zip(zip(*cells[a : a + 10_000], strict=True), schema, strict=True)
+                            ],
+                            schema=schema
+                        )
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, f"path string, {CELLS}")
@@ -185,18 +218,50 @@ _MAIN = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
 def write_workbook(path: str, sheets: dict[str, list[list[Any]]], merges: dict[str, list[str]] | None = None) -> None:
     """A plain workbook from rows of values."""
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        put = lambda name, text: z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text)
+        put = lambda name, text: z.writestr(
+            zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)),
+            '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + text
+        )
         kind = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-        put("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>' + f'<Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>' for i in range(1, len(sheets) + 1)) + "</Types>")
+        put(
+            "[Content_Types].xml",
+            '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>' + f'<Override PartName="/xl/workbook.xml" ContentType="{kind}.sheet.main+xml"/>' + "".join(
+                f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="{kind}.worksheet+xml"/>'
+                for i in range(1, len(sheets) + 1)
+            ) + "</Types>"
+        )
         rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
         package = 'xmlns="http://schemas.openxmlformats.org/package/2006/relationships"'
-        put("_rels/.rels", f'<Relationships {package}><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
-        put("xl/workbook.xml", f'<workbook {_MAIN} xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets></workbook>")
-        put("xl/_rels/workbook.xml.rels", f"<Relationships {package}>" + "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
+        put(
+            "_rels/.rels",
+            f'<Relationships {package}><Relationship Id="rId1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>'
+        )
+        put(
+            "xl/workbook.xml",
+            f'<workbook {_MAIN} xmlns:r="{rel}"><sheets>' + "".join(
+                f'<sheet name="{escape(n)}" sheetId="{i}" r:id="rId{i}"/>'
+                for i, n in enumerate(sheets, 1)
+            ) + "</sheets></workbook>"
+        )
+        put(
+            "xl/_rels/workbook.xml.rels",
+            f"<Relationships {package}>" + "".join(
+                f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>'
+                for i in range(1, len(sheets) + 1)
+            ) + "</Relationships>"
+        )
         for i, (name, rows) in enumerate(sheets.items(), 1):
-            body = "".join(f'<row r="{r}">{"".join(_cell_xml(r, c, v) for c, v in enumerate(row, 1))}</row>' for r, row in enumerate(rows, 1))
+            body = "".join(
+                f'<row r="{r}">{"".join(_cell_xml(r, c, v) for c, v in enumerate(row, 1))}</row>'
+                for r, row in enumerate(rows, 1)
+            )
             merged = "".join(f'<mergeCell ref="{m}"/>' for m in (merges or {}).get(name, []))
-            put(f"xl/worksheets/sheet{i}.xml", f"<worksheet {_MAIN}><sheetData>{body}</sheetData>" + (f"<mergeCells>{merged}</mergeCells>" if merged else "") + "</worksheet>")
+            put(
+                f"xl/worksheets/sheet{i}.xml",
+                f"<worksheet {_MAIN}><sheetData>{body}</sheetData>" + (
+                    f"<mergeCells>{merged}</mergeCells>" if merged else ""
+                ) + "</worksheet>"
+            )
 
 
 def append_rows(path: str, sheet: Sheet, start_row: int, start_column: int, rows: list[list[Any]]) -> None:
@@ -223,7 +288,10 @@ def _with_row(text: str, number: int, first: int, values: list[Any]) -> str:
     new = {first + i: _cell_xml(number, first + i, v) for i, v in enumerate(values)}
     found = re.search(rf'<row\b[^>]*\br="{number}"[^>]*?(/>|>(.*?)</row>)', text, re.S)
     if found:
-        old = {column_number(m[1]): m[0] for m in re.finditer(r'<c\b[^>]*\br="([A-Z]+)\d+"[^>]*?(?:/>|>.*?</c>)', found[2] or "", re.S)}
+        old = {
+            column_number(m[1]): m[0]
+            for m in re.finditer(r'<c\b[^>]*\br="([A-Z]+)\d+"[^>]*?(?:/>|>.*?</c>)', found[2] or "", re.S)
+        }
         head = re.match(r"<row\b[^>]*?(?=/?>)", found[0])[0]
         return text[: found.start()] + f"{head}>{''.join(x for _, x in sorted((old | new).items()))}</row>" + text[found.end() :]
     row = f'<row r="{number}">{"".join(x for _, x in sorted(new.items()))}</row>'

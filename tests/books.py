@@ -24,11 +24,18 @@ def delivery_rows(n: int = ROWS, seed: int = 7) -> list[list]:
         day = dt.date(2022, 8, 1) + dt.timedelta(days=3 * i)
         pressed = (day - dt.date(1899, 12, 30)).days + 4
         orchard = ORCHARDS[i * i % len(ORCHARDS)]
-        out.append([f"{day:%d.%m.%Y}", orchard, f"C-{i:03d}", f"{r.randint(80, 210) / 10}%", f"{r.randint(1000, 9999):,}", r.randint(10, 49) / 10 + 0.05, pressed])
+        out.append(
+            [
+                f"{day:%d.%m.%Y}", orchard, f"C-{i:03d}", f"{r.randint(80, 210) / 10}%", f"{r.randint(1000, 9999):,}",
+                r.randint(10, 49) / 10 + 0.05, pressed
+            ]
+        )
     return out
 
 
-def deliveries(path: Path, rows: list[list] | None = None, header: list | None = None, before: dict | None = None) -> Path:
+def deliveries(
+    path: Path, rows: list[list] | None = None, header: list | None = None, before: dict | None = None
+) -> Path:
     banner = [["Orchard book"], ["Season 2022"], [None], ["Weights as delivered"]]
     body = [*banner, header or HEADER, *(rows or delivery_rows()), *[[""] * 7] * 2]
     write_workbook(str(path), {**(before or {}), "Deliveries": body}, {"Deliveries": ["F5:G5"]})
@@ -76,7 +83,9 @@ def artifact(root: Path, spark) -> Path:
     from sheafline.sources.xlsx import read_workbook
 
     (root / "golden").mkdir(parents=True)
-    (root / "manifest.yaml").write_text("name: deliveries\nversion: v1\nsheet: Deliveries\ntarget_table: final_deliveries\nkey: [crate]\n")
+    (root / "manifest.yaml").write_text(
+        "name: deliveries\nversion: v1\nsheet: Deliveries\ntarget_table: final_deliveries\nkey: [crate]\n"
+    )
     (root / "schema.py").write_text(SCHEMA)
     (root / "transform.py").write_text(TRANSFORM)
     (root / "validations.yaml").write_text(RULES)
@@ -88,7 +97,10 @@ def artifact(root: Path, spark) -> Path:
     return root
 
 
-LOTS = [["Lot No.", "Duty (%)", "Landed", "Carrier", "Remarks"], *[[f"L{7 * i}", 2.25 * i, "2023-05-09", "Gull Line", f"hold {i}"] for i in range(1, 7)]]
+LOTS = [
+    ["Lot No.", "Duty (%)", "Landed", "Carrier", "Remarks"],
+    *[[f"L{7 * i}", 2.25 * i, "2023-05-09", "Gull Line", f"hold {i}"] for i in range(1, 7)]
+]
 MAPPING = """
 target: port.lots
 key: [lot_no, landed]
@@ -113,7 +125,10 @@ def crosswalk(root: Path, excel: bool = False) -> Path:
     (root / "schema.py").write_text(LOT)
     text = MAPPING
     if excel:
-        rows = [["Lot No.", "Duty", "Landed", "Haulier", "Pallets"], ["A1", 0.04, "2023-05-01", "Gull Line", 12], [None, None, None, None, 3]]
+        rows = [
+            ["Lot No.", "Duty", "Landed", "Haulier", "Pallets"], ["A1", 0.04, "2023-05-01", "Gull Line", 12],
+            [None, None, None, None, 3]
+        ]
         write_workbook(str(root / "register.xlsx"), {"Register": rows, "Hints": [["stays"]]})
         fp = json.loads(dump(root / "register.xlsx", "Register"))
         fp["columns"] = fp["columns"][:4]

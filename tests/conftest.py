@@ -15,8 +15,12 @@ def spark(tmp_path_factory):
     os.environ["TZ"] = "UTC"
     folder = tmp_path_factory.mktemp("spark")
     session = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "4g").config("spark.checkpoint.dir", f"file://{folder}/shared").config("spark.sql.warehouse.dir", f"{folder}/warehouse").getOrCreate()
+        SparkSession.builder.master("local[4]").config(
+            "spark.sql.shuffle.partitions", "4"
+        ).config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.memory", "4g").config(
+            "spark.checkpoint.dir", f"file://{folder}/shared"
+        ).config("spark.sql.warehouse.dir", f"{folder}/warehouse").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -24,13 +24,23 @@ def written(value: float, brackets: bool, percent: bool, commas: bool, spaces: s
 
 @pytest.mark.parametrize("brackets", [False, True])
 def test_numbers_in_every_dress(spark, brackets):
-    cases = [(v, p, c, w) for v in (0.0, 7.0, 0.125, 98765.5, -31.0, 12_345_678.0) for p in (False, True) for c in (False, True) for w in ("", " ", "\t") if not (brackets and v < 0)]
+    cases = [
+        (v, p, c, w)
+        for v in (0.0, 7.0, 0.125, 98765.5, -31.0, 12_345_678.0)
+        for p in (False, True)
+        for c in (False, True)
+        for w in ("", " ", "\t")
+        if not (brackets and v < 0)
+    ]
     rows = [(written(v, brackets, p, c, w), -v if brackets else v, p) for v, p, c, w in cases]
     got = column(frame(spark, [t for t, _, _ in rows]).withColumn("x", number(F.col("x"))))
     assert got == pytest.approx([v / 100 if p else v for _, v, p in rows])
 
 
-@pytest.mark.parametrize("text", ["", " ", None, "about 3", "3 4", "4%%", "(8)%", "((2))", "1..2", "7e", "_1", "0x1F", "--5", "1d", "()"])
+@pytest.mark.parametrize(
+    "text",
+    ["", " ", None, "about 3", "3 4", "4%%", "(8)%", "((2))", "1..2", "7e", "_1", "0x1F", "--5", "1d", "()"]
+)
 def test_texts_that_are_no_numbers(spark, text):
     assert frame(spark, [text]).select(number(F.col("x"))).first()[0] is None
 
@@ -39,7 +49,9 @@ def test_coerce_numeric_names_the_first_bad_row(spark):
     bad = frame(spark, ["5", "five", "V"])
     with pytest.raises(ValueError, match="unparseable value 'five' at _src_row=2"):
         ops.coerce_numeric(bad, "x")
-    assert column(ops.coerce_numeric(frame(spark, ["6", "six", "NaN"]), "x", allow_null=True, scale=0.5)) == [3.0, None, None]
+    assert column(
+        ops.coerce_numeric(frame(spark, ["6", "six", "NaN"]), "x", allow_null=True, scale=0.5)
+    ) == [3.0, None, None]
 
 
 def test_dates(spark):
@@ -88,10 +100,18 @@ def test_header_and_empty_rows(spark):
         ops.promote_header(df, 1, ["p", "p"])
 
 
-@pytest.mark.parametrize(("op", "value", "kept"), [("eq", 2, [2]), ("ne", 2, [1, None]), ("gt", 1, [2]), ("gte", 1, [1, 2]), ("lt", 2, [1]), ("lte", 2, [1, 2]), ("isin", [1], [1]), ("notna", None, [1, 2]), ("isna", None, [None])])
+@pytest.mark.parametrize(
+    ("op", "value", "kept"),
+    [
+        ("eq", 2, [2]), ("ne", 2, [1, None]), ("gt", 1, [2]), ("gte", 1, [1, 2]), ("lt", 2, [1]), ("lte", 2, [1, 2]),
+        ("isin", [1], [1]), ("notna", None, [1, 2]), ("isna", None, [None])
+    ]
+)
 def test_filter_rows(spark, op, value, kept):
     assert column(ops.filter_rows(frame(spark, [1, 2, None], "int"), "x", op, value)) == kept
-    assert column(ops.filter_rows(frame(spark, ["1", "2", None]), "x", op, value)) == [k if k is None else str(k) for k in kept]
+    assert column(
+        ops.filter_rows(frame(spark, ["1", "2", None]), "x", op, value)
+    ) == [k if k is None else str(k) for k in kept]
 
 
 def test_filter_rows_refuses_unknown_ops(spark):
@@ -110,7 +130,15 @@ def test_split(spark):
         ops.split_column(frame(spark, ["a"]), "x", ["l", "d"], r"(\w)")
 
 
-@pytest.mark.parametrize(("pattern", "want"), [(r"([ab|]+)(\d?)", [("ab", "1"), ("|", ""), ("b", "")]), (r"(a)|(b|\|)", [("a", None), (None, "|"), (None, "b")]), (r"([ab|])(\d)?", [("a", None), ("|", None), ("b", None)]), (r"(?:x)?(\S)(?=(.?))", [("a", "b"), ("|", ""), ("b", "")])])
+@pytest.mark.parametrize(
+    ("pattern", "want"),
+    [
+        (r"([ab|]+)(\d?)", [("ab", "1"), ("|", ""), ("b", "")]),
+        (r"(a)|(b|\|)", [("a", None), (None, "|"), (None, "b")]),
+        (r"([ab|])(\d)?", [("a", None), ("|", None), ("b", None)]),
+        (r"(?:x)?(\S)(?=(.?))", [("a", "b"), ("|", ""), ("b", "")])
+    ]
+)
 def test_split_by_alternatives_and_optional_groups(spark, pattern, want):
     df = ops.split_column(frame(spark, ["ab1", "|", "b"]), "x", ["p", "q"], pattern)
     assert list(zip(column(df, "p"), column(df, "q"), strict=True)) == want
@@ -124,7 +152,9 @@ def test_map_values(spark, n):
     mapping = {f"k{i}": f"v{i}" for i in range(n)}
     df = frame(spark, ["k0", "other", None, "k0"])
     assert column(ops.map_values(df, "x", mapping, on_missing="keep")) == ["v0", "other", None, "v0"]
-    assert column(ops.map_values(frame(spark, ["k0"]), "x", mapping)) == ["v0"] and ops.map_values(df, "x", mapping, "keep").columns == df.columns
+    assert column(
+        ops.map_values(frame(spark, ["k0"]), "x", mapping)
+    ) == ["v0"] and ops.map_values(df, "x", mapping, "keep").columns == df.columns
     with pytest.raises(ValueError, match=r"no mapping: \[None, 'other'\]"):
         ops.map_values(df, "x", mapping)
     with pytest.raises(ValueError, match="and 400 more, 500 in all"):
@@ -133,7 +163,10 @@ def test_map_values(spark, n):
 
 def test_unpivot_unique_tags_and_sheets(spark):
     df = spark.createDataFrame([("k", 1, "x", 7)], "id string, q1 int, q2 string, _src_row int")
-    assert [tuple(r) for r in ops.unpivot(df, ["id"], ["q1", "q2"], "q", "v").collect()] == [("k", 7, "q1", "1"), ("k", 7, "q2", "x")]
+    assert [
+        tuple(r)
+        for r in ops.unpivot(df, ["id"], ["q1", "q2"], "q", "v").collect()
+    ] == [("k", 7, "q1", "1"), ("k", 7, "q2", "x")]
     with pytest.raises(ValueError, match="are not unique; duplicate keys"):
         ops.assert_unique(frame(spark, [None, None]), ["x"])
     with pytest.raises(ValueError, match="and 400 more, 500 in all"):
