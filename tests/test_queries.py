@@ -5,7 +5,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
-from sheafline.plans import governed
+from sheafline.plans import governed, whole_runs  # noqa: F401
 
 SF = Path("/root/testdata/sf0.001")
 DUCK = duckdb.connect()
