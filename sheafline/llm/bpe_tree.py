@@ -10,6 +10,7 @@ exact encoding, so the joined ids are those of the whole text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,13 @@ BATCH_CHARS = 1_000_000
 #: Code points of long texts for each task that encodes leaves, about.
 TASK_CHARS = 16_000_000
 
+#: Pre-tokens that a task remembers, about.
+KNOWN = 600_000
+#: Fixed value: the split pattern of byte-level tokenizers.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Space, printable ASCII, Latin letters and common punctuation: letters, numbers and spaces in every edition of Unicode alike.
+_SURE = regex.compile("[\t\n\r\x20-\x7e\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf-\u017f\u2010-\u2027\u2030-\u205e]*")
+
 _OUT = "doc_id bigint, n_tokens bigint, ids binary, decoded string"
 _DIGEST = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -44,7 +52,8 @@ class TreeBPE:
 
         with open(path, encoding="utf-8") as f:
             config = json.load(f)
-        if config["pre_tokenizer"]["type"] != "ByteLevel" or config["pre_tokenizer"]["add_prefix_space"] or config["normalizer"]:
+        before = config["pre_tokenizer"]
+        if before["type"] != "ByteLevel" or before["add_prefix_space"] or not before.get("use_regex", True) or config["normalizer"]:
             raise ValueError("a byte-level tokenizer without normalizer and prefix space is needed")
         special = {x["content"]: x["id"] for x in config["added_tokens"]}
         if any(x[k] for x in config["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
@@ -52,11 +61,16 @@ class TreeBPE:
         config["truncation"] = config["padding"] = None
         self.tokenizer = Tokenizer.from_str(json.dumps(config))
         self.leaf_chars = max(1, leaf_chars)
-        self.special, self.joins = special, 0
+        self.special, self.joins, self.known = special, 0, {}
+        self.split = regex.compile(_SPLIT).findall
         self.find_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         # The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
+        self.alphabet = [""] * 256
+        for i, b in enumerate([*plain, *(b for b in range(256) if b not in set(plain))]):
+            self.alphabet[b] = chr(b) if i < len(plain) else chr(256 + i - len(plain))
+        self.ascii = dict(enumerate(self.alphabet[:128]))
+        byte = {c: b for b, c in enumerate(self.alphabet)}
         self.bytes = [b""] * (max([*config["model"]["vocab"].values(), *special.values()]) + 1)
         for token, i in config["model"]["vocab"].items():
             self.bytes[i] = bytes(byte[c] for c in token)
@@ -80,23 +94,40 @@ class TreeBPE:
             for k, leaf in enumerate([part] if part in self.special else self._halves(part) if part else ()):
                 yield not k, leaf
 
-    def encode_leaves(self, leaves: list[str]) -> list[list[int]]:
-        return self._encode(leaves)
-
-    def concatenate(self, leaves: list[tuple[bool, list[int]]]) -> list[int]:
+    def _word(self, word: str) -> bytes:
+        """The ids of a pre-token; the model reads bytes as characters of its alphabet."""
+        text = word.translate(self.ascii) if word.isascii() else "".join([self.alphabet[x] for x in word.encode()])
+        return np.array([x.id for x in self.tokenizer.model.tokenize(text)], "<u4").tobytes()
+
+    def encode_leaves(self, leaves: list[str]) -> list[bytes]:
+        """The ids of each leaf by itself, as little-endian unsigned 32-bit integers.
+
+        Each distinct pre-token is encoded once, where all characters are such that no
+        reading of the split pattern differs; other leaves go to the library whole.
+        """
+        words = [self.split(x) if _SURE.fullmatch(x) and not (self.find_special and self.find_special.search(x)) else None for x in leaves]
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        for w in set(chain.from_iterable(w for w in words if w)).difference(self.known):
+            self.known[w] = self._word(w)
+        rest = iter(self._encode([x for x, w in zip(leaves, words, strict=True) if w is None]))
+        return [np.array(next(rest), "<u4").tobytes() if w is None else b"".join(map(self.known.__getitem__, w)) for w in words]
+
+    def concatenate(self, leaves: list[tuple[bool, bytes]]) -> bytes:
         """The ids of a text from those of its leaves, joined by pairs, then by pairs of pairs."""
         runs: list[list[list[int]]] = []
-        for first, ids in leaves:
+        if len(leaves) == 1:
+            return leaves[0][1]
+        for first, raw in leaves:
             if first:
-                runs.append([ids])
-            else:
-                runs[-1].append(ids)
+                runs.append([])
+            runs[-1].append(np.frombuffer(raw, "<u4").tolist())
         out: list[int] = []
         for run in runs:
             while len(run) > 1:
                 run = [self.join(*run[i : i + 2]) if i + 1 < len(run) else run[i] for i in range(0, len(run), 2)]
             out += run[0]
-        return out
+        return np.array(out, "<u4").tobytes()
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The ids of two neighbouring texts, from the ids of each."""
@@ -115,14 +146,14 @@ class TreeBPE:
                 return left[:i] + window + right[j:]
             size *= 2
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
         plans = [list(self.cut(x)) if len(x) > self.leaf_chars else [(True, x)] for x in texts]
         ids = iter(self.encode_leaves([leaf for plan in plans for _, leaf in plan]))
         return [self.concatenate([(first, next(ids)) for first, _ in plan]) for plan in plans]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, raw: bytes) -> str:
         table = self.bytes
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+        return b"".join([table[i] for i in np.frombuffer(raw, "<u4").tolist()]).decode("utf-8", "replace")
 
 
 def _coder(path: str, leaf_chars: int) -> TreeBPE:
@@ -132,12 +163,11 @@ def _coder(path: str, leaf_chars: int) -> TreeBPE:
     return TreeBPE(path, leaf_chars)
 
 
-def _row(coder: TreeBPE, ids: list[list[int]], digest: bool) -> dict:
+def _row(coder: TreeBPE, raw: list[bytes], digest: bool) -> dict:
     from hashlib import sha256
 
-    raw = [np.array(x, "<u4").tobytes() for x in ids]
-    back = [coder.decode(x) for x in ids]
-    out = {"n_tokens": pa.array([len(x) for x in ids], pa.int64())}
+    back = [coder.decode(x) for x in raw]
+    out = {"n_tokens": pa.array([len(x) // 4 for x in raw], pa.int64())}
     if digest:
         return out | {"ids_sha256": [sha256(x).hexdigest() for x in raw], "decoded_sha256": [sha256(x.encode()).hexdigest() for x in back]}
     return out | {"ids": pa.array(raw, pa.binary()), "decoded": back}
@@ -176,7 +206,7 @@ def _leaf_ids(path: str, leaf_chars: int):
         for batch in batches:
             leaves = batch.column("leaf").to_pylist()
             for a, b in grouped(leaves, BATCH_CHARS):
-                ids = [np.array(x, "<u4").tobytes() for x in coder.encode_leaves(leaves[a:b])]
+                ids = coder.encode_leaves(leaves[a:b])
                 yield pa.RecordBatch.from_pydict({c: batch.column(c).slice(a, b - a) for c in ("row", "doc_id", "place", "first")} | {"ids": pa.array(ids, pa.binary())})
 
     return run
@@ -198,7 +228,7 @@ def _concatenated(path: str, leaf_chars: int, digest: bool):
                     yield whole()
                     leaves = []
                 now, doc_id = row, of
-                leaves.append((first, np.frombuffer(ids, "<u4").tolist()))
+                leaves.append((first, ids))
         if leaves:
             yield whole()
 
