@@ -36,7 +36,9 @@ KNOWN = 600_000
 #: Fixed value: the split pattern of byte-level tokenizers.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Space, printable ASCII, Latin letters and common punctuation: letters, numbers and spaces in every edition of Unicode alike.
-_SURE = regex.compile("[\t\n\r\x20-\x7e\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf-\u017f\u2010-\u2027\u2030-\u205e]*")
+_SURE = regex.compile(
+    "[\t\n\r\x20-\x7e\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf-\u017f\u2010-\u2027\u2030-\u205e]*"
+)
 
 _OUT = "doc_id bigint, n_tokens bigint, ids binary, decoded string"
 _DIGEST = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -63,7 +65,10 @@ class TreeBPE:
         self.leaf_chars = max(1, leaf_chars)
         self.special, self.joins, self.known = special, 0, {}
         self.split = regex.compile(_SPLIT).findall
-        self.find_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
+        self.find_special = regex.compile(
+            "("
+            + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")"
+        ) if special else None
         # The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = [""] * 256
@@ -105,13 +110,19 @@ class TreeBPE:
         Each distinct pre-token is encoded once, where all characters are such that no
         reading of the split pattern differs; other leaves go to the library whole.
         """
-        words = [self.split(x) if _SURE.fullmatch(x) and not (self.find_special and self.find_special.search(x)) else None for x in leaves]
+        words = [
+            self.split(x) if _SURE.fullmatch(x) and not (self.find_special and self.find_special.search(x)) else None
+            for x in leaves
+        ]
         if len(self.known) > KNOWN:
             self.known.clear()
         for w in set(chain.from_iterable(w for w in words if w)).difference(self.known):
             self.known[w] = self._word(w)
         rest = iter(self._encode([x for x, w in zip(leaves, words, strict=True) if w is None]))
-        return [np.array(next(rest), "<u4").tobytes() if w is None else b"".join(map(self.known.__getitem__, w)) for w in words]
+        return [
+            np.array(next(rest), "<u4").tobytes() if w is None else b"".join(map(self.known.__getitem__, w))
+            for w in words
+        ]
 
     def concatenate(self, leaves: list[tuple[bool, bytes]]) -> bytes:
         """The ids of a text from those of its leaves, joined by pairs, then by pairs of pairs."""
@@ -169,7 +180,10 @@ def _row(coder: TreeBPE, raw: list[bytes], digest: bool) -> dict:
     back = [coder.decode(x) for x in raw]
     out = {"n_tokens": pa.array([len(x) // 4 for x in raw], pa.int64())}
     if digest:
-        return out | {"ids_sha256": [sha256(x).hexdigest() for x in raw], "decoded_sha256": [sha256(x.encode()).hexdigest() for x in back]}
+        return out | {
+            "ids_sha256": [sha256(x).hexdigest() for x in raw],
+            "decoded_sha256": [sha256(x.encode()).hexdigest() for x in back]
+        }
     return out | {"ids": pa.array(raw, pa.binary()), "decoded": back}
 
 
@@ -179,7 +193,9 @@ def _short(path: str, leaf_chars: int, digest: bool):
         for batch in batches:
             texts, doc_ids = texts_of(batch), batch.column("doc_id")
             for a, b in grouped(texts, BATCH_CHARS):
-                yield pa.RecordBatch.from_pydict({"doc_id": doc_ids.slice(a, b - a)} | _row(coder, coder.encode_batch(texts[a:b]), digest))
+                yield pa.RecordBatch.from_pydict(
+                    {"doc_id": doc_ids.slice(a, b - a)} | _row(coder, coder.encode_batch(texts[a:b]), digest)
+                )
 
     return run
 
@@ -190,12 +206,20 @@ def _cut(path: str, leaf_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path, leaf_chars)
         for batch in batches:
-            for row, doc_id, text in zip(batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
+            for row, doc_id, text in zip(
+                batch.column("row").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("text"), strict=True
+            ):
                 leaves = list(coder.cut(text.as_py()))
                 for a in range(0, len(leaves), 256):
                     part = leaves[a : a + 256]
                     n = len(part)
-                    yield pa.RecordBatch.from_pydict({"row": pa.array([row] * n, pa.int64()), "doc_id": pa.array([doc_id] * n, pa.int64()), "place": pa.array(range(a, a + n), pa.int32()), "first": [x for x, _ in part], "leaf": [x for _, x in part]})
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "row": pa.array([row] * n, pa.int64()), "doc_id": pa.array([doc_id] * n, pa.int64()),
+                            "place": pa.array(range(a, a + n), pa.int32()), "first": [x for x, _ in part],
+                            "leaf": [x for _, x in part]
+                        }
+                    )
 
     return run
 
@@ -207,7 +231,10 @@ def _leaf_ids(path: str, leaf_chars: int):
             leaves = batch.column("leaf").to_pylist()
             for a, b in grouped(leaves, BATCH_CHARS):
                 ids = coder.encode_leaves(leaves[a:b])
-                yield pa.RecordBatch.from_pydict({c: batch.column(c).slice(a, b - a) for c in ("row", "doc_id", "place", "first")} | {"ids": pa.array(ids, pa.binary())})
+                yield pa.RecordBatch.from_pydict(
+                    {c: batch.column(c).slice(a, b - a) for c in ("row", "doc_id", "place", "first")}
+                    | {"ids": pa.array(ids, pa.binary())}
+                )
 
     return run
 
@@ -220,10 +247,14 @@ def _concatenated(path: str, leaf_chars: int, digest: bool):
         now, doc_id, leaves = None, None, []
 
         def whole() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"doc_id": pa.array([doc_id], pa.int64())} | _row(coder, [coder.concatenate(leaves)], digest))
+            return pa.RecordBatch.from_pydict(
+                {"doc_id": pa.array([doc_id], pa.int64())} | _row(coder, [coder.concatenate(leaves)], digest)
+            )
 
         for batch in batches:
-            for row, of, first, ids in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "first", "ids")), strict=True):
+            for row, of, first, ids in zip(
+                *(batch.column(c).to_pylist() for c in ("row", "doc_id", "first", "ids")), strict=True
+            ):
                 if row != now and leaves:
                     yield whole()
                     leaves = []
@@ -246,7 +277,10 @@ def bpe_round_trip(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS, dig
     tasks, and their ids brought together once. Rows are told apart by their place in
     the scan, so ``docs`` must give the same rows when it is read again, as files do.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(
+        F.col("doc_id").cast("bigint"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    )
     schema = _DIGEST if digest else _OUT
     out = rows.where(F.length("text") <= leaf_chars).mapInArrow(_short(path, leaf_chars, digest), schema)
     long = rows.where(F.length("text") > leaf_chars)
@@ -254,9 +288,17 @@ def bpe_round_trip(docs: DataFrame, path: str, leaf_chars: int = LEAF_CHARS, dig
     if not chars:
         return out
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // TASK_CHARS))
-    leaves = long.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_cut(path, leaf_chars), "row bigint, doc_id bigint, place int, first boolean, leaf string")
-    ids = leaves.repartition(n, "row", "place").mapInArrow(_leaf_ids(path, leaf_chars), "row bigint, doc_id bigint, place int, first boolean, ids binary")
-    return out.unionByName(ids.repartition(n, "row").sortWithinPartitions("row", "place").mapInArrow(_concatenated(path, leaf_chars, digest), schema))
+    leaves = long.withColumn("row", F.monotonically_increasing_id()).mapInArrow(
+        _cut(path, leaf_chars), "row bigint, doc_id bigint, place int, first boolean, leaf string"
+    )
+    ids = leaves.repartition(n, "row", "place").mapInArrow(
+        _leaf_ids(path, leaf_chars), "row bigint, doc_id bigint, place int, first boolean, ids binary"
+    )
+    return out.unionByName(
+        ids.repartition(n, "row").sortWithinPartitions("row", "place").mapInArrow(
+            _concatenated(path, leaf_chars, digest), schema
+        )
+    )
 
 
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,12 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     summed before the shuffle and its join may be split. A self-link makes a
     lone node known. No links give no rows.
     """
-    edges = stored(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    edges = stored(
+        links.select("a", "b").where("a <> b").select(
+            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
+        ).distinct(),
+        name
+    )
     before = None
     while True:
         # a > b in every row. Large star: larger neighbours of a node move to its smallest one.
@@ -42,7 +47,12 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
         # Small star: a node's smaller neighbours, and itself, move to the smallest of them.
         low = edges.groupBy("a").agg(F.min("b").alias("low"))
         moved = edges.join(low, "a")
-        edges = stored(moved.select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").unionByName(low.select("a", F.col("low").alias("b"))).distinct(), name)
+        edges = stored(
+            moved.select(
+                F.col("b").alias("a"), F.col("low").alias("b")
+            ).where("a <> b").unionByName(low.select("a", F.col("low").alias("b"))).distinct(),
+            name
+        )
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -72,7 +72,9 @@ def features(texts: list[str]) -> np.ndarray:
     out = np.zeros((len(texts), BIGRAMS + TRIGRAMS), np.float32)
     for held in _steps([letters_of(x) for x in texts]):
         lengths = np.array([len(x) for _, x, _ in held], np.int64)
-        codes = np.frombuffer("".join(x for _, x, _ in held).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        codes = np.frombuffer(
+            "".join(x for _, x, _ in held).encode("utf-32-le", "surrogatepass"), "<u4"
+        ).astype(np.uint64)
         piece = np.repeat(np.arange(len(held)), lengths)
         place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         owner = np.array([i for i, _, _ in held])
@@ -86,7 +88,9 @@ def features(texts: list[str]) -> np.ndarray:
             same = (piece[: len(key)] == piece[n - 1 :]) & (place[: len(key)] < STEP)
             at = (owner[piece[: len(key)][same]] - first) * size + (mix64(key[same]) % np.uint64(size)).astype(np.int64)
             rows = int(owner[-1]) - first + 1
-            out[first : first + rows, column : column + size] += np.bincount(at, minlength=rows * size).reshape(rows, size)
+            out[
+                first : first + rows, column : column + size
+            ] += np.bincount(at, minlength=rows * size).reshape(rows, size)
     np.sqrt(out, out=out)
     out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
     return out
@@ -116,7 +120,9 @@ class LanguageTree:
                 rows = (y == a) | (y == b)
                 models.append((np.flatnonzero(rows), np.where(y[rows] == a, 1, -1)))
                 self.pairs.append((k, a, b))
-        self.weights, self.bias, self.scale = np.zeros((width, len(models)), np.float32), np.zeros(len(models), np.float32), np.zeros((len(models), 2))
+        self.weights, self.bias, self.scale = np.zeros(
+            (width, len(models)), np.float32
+        ), np.zeros(len(models), np.float32), np.zeros((len(models), 2))
         for i, (rows, sign) in enumerate(models):
             part = x if rows is None else x[rows]
             w, self.bias[i] = train_svm(part, sign.astype(np.float32))
@@ -159,15 +165,23 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> LanguageTree | None:
         return None
     share = max(1, sample // len(counts))
     # Somewhat more than the share by hash, of which the smallest are kept.
-    bound = docs.sparkSession.createDataFrame([(c, min(1.0, (share + 6 * share**0.5 + 20) / n)) for c, n in counts.items()], "lang string, below double")
+    bound = docs.sparkSession.createDataFrame(
+        [(c, min(1.0, (share + 6 * share**0.5 + 20) / n)) for c, n in counts.items()], "lang string, below double"
+    )
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)
-    near = usable.select("doc_id", "lang", place.alias("at")).join(F.broadcast(bound), "lang").where(F.col("at") < F.col("below") * float(1 << 53)).select("lang", "at", "doc_id").collect()
+    near = usable.select("doc_id", "lang", place.alias("at")).join(F.broadcast(bound), "lang").where(
+        F.col("at") < F.col("below") * float(1 << 53)
+    ).select("lang", "at", "doc_id").collect()
     kept: dict[str, list[int]] = {}
     for x in sorted(near, key=lambda x: (x.lang, x.at, x.doc_id)):
         if len(own := kept.setdefault(x.lang, [])) < share:
             own.append(x.doc_id)
-    chosen = docs.sparkSession.createDataFrame([(c, i) for c, ids in kept.items() for i in dict.fromkeys(ids)], "lang string, doc_id bigint")
-    rows = usable.select("doc_id", piece_of(F.col("text"), SAMPLE_CHARS).alias("text"), "lang").join(F.broadcast(chosen), ["lang", "doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text", "lang"), "text", "lang").limit(2 * sample).collect()
+    chosen = docs.sparkSession.createDataFrame(
+        [(c, i) for c, ids in kept.items() for i in dict.fromkeys(ids)], "lang string, doc_id bigint"
+    )
+    rows = usable.select("doc_id", piece_of(F.col("text"), SAMPLE_CHARS).alias("text"), "lang").join(F.broadcast(chosen), ["lang", "doc_id"]).orderBy(
+        F.xxhash64("doc_id"), "doc_id", F.xxhash64("text", "lang"), "text", "lang"
+    ).limit(2 * sample).collect()
     return LanguageTree([x.text for x in rows], [x.lang for x in rows])
 
 
@@ -181,7 +195,13 @@ def _predicted(tree):
                     x = features(part)
                     none = ~x.any(axis=1)
                     lang, score = tree.predict(x) if tree else ([UNKNOWN] * len(part), np.zeros(len(part)))
-                    yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(i, len(part)), "lang_pred": [UNKNOWN if n else y for y, n in zip(lang, none, strict=True)], "score": pa.array(np.where(none, 0.0, score))})
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "doc_id": batch.column("doc_id").slice(i, len(part)),
+                            "lang_pred": [UNKNOWN if n else y for y, n in zip(lang, none, strict=True)],
+                            "score": pa.array(np.where(none, 0.0, score))
+                        }
+                    )
 
     return run
 
@@ -193,7 +213,9 @@ def identify(docs: DataFrame, model: LanguageTree | None) -> DataFrame:
     is every text without a model. One-letter texts are compared by their bigrams.
     Null and repeated doc_ids keep a row each; other columns are not read.
     """
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_predicted(model), "doc_id bigint, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
+        _predicted(model), "doc_id bigint, lang_pred string, score double"
+    )
 
 
 def held_out():

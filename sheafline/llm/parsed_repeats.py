@@ -96,7 +96,9 @@ def _ranks(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_in(bodies: list[bytes], at: np.ndarray, counts: np.ndarray, group: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
+def repeated_in(
+    bodies: list[bytes], at: np.ndarray, counts: np.ndarray, group: np.ndarray, length: int = LENGTH
+) -> list[np.ndarray]:
     """For each body, which of its strings stand more than once in its group, each counted as often as it occurs.
 
     ``at``: where in a body the trigger begins that all bodies of a group share.
@@ -108,7 +110,10 @@ def repeated_in(bodies: list[bytes], at: np.ndarray, counts: np.ndarray, group:
     reach = np.arange(int(at.max(initial=0)))[None, :]
     left = np.where(reach < at[:, None], data[np.maximum(begin + at[:, None] - 1 - reach, 0)], 0)
     reach = np.arange(length)[None, :]
-    right = np.where(at[:, None] + reach < size[:, None], data[np.minimum(begin + at[:, None] + reach, len(data) - 1)], 0)
+    right = np.where(
+        at[:, None] + reach < size[:, None],
+        data[np.minimum(begin + at[:, None] + reach, len(data) - 1)], 0
+    )
     suffix, parsed = _ranks(left.astype(np.uint8), group), _ranks(right.astype(np.uint8), group)
     owner = np.repeat(np.arange(len(bodies)), n)
     before = at[owner] - (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))  # bytes of a string that stand before the trigger
@@ -147,7 +152,10 @@ def _parsed(length: int, step: int):
         for batch in batches:
             texts, rid = _encoded(batch), batch.column("rid")
             steps = [(i, a) for i, x in enumerate(texts) for a in range(0, len(x) - length + 1, step)]
-            parts, owner, begin = [texts[i][a : a + step + length - 1] for i, a in steps], np.array([i for i, _ in steps], np.int64), np.array([a for _, a in steps], np.int64)
+            parts, owner, begin = [
+                texts[i][a : a + step + length - 1]
+                for i, a in steps
+            ], np.array([i for i, _ in steps], np.int64), np.array([a for _, a in steps], np.int64)
             for a, b in grouped(parts, step):
                 who, lo, hi, at, trigger, phrase = parse(parts[a:b], length)
                 if not len(who):
@@ -155,7 +163,9 @@ def _parsed(length: int, step: int):
                 who += a
                 who, lo, hi, at = owner[who], lo + begin[who], hi + begin[who], at - lo
                 order = np.lexsort((phrase, trigger))
-                new = np.concatenate([[True], (trigger[order][1:] != trigger[order][:-1]) | (phrase[order][1:] != phrase[order][:-1])])
+                new = np.concatenate(
+                    [[True], (trigger[order][1:] != trigger[order][:-1]) | (phrase[order][1:] != phrase[order][:-1])]
+                )
                 n = np.bincount(np.cumsum(new) - 1)
                 one = order[new]
                 again = np.zeros(len(who), bool)
@@ -163,7 +173,12 @@ def _parsed(length: int, step: int):
                 spans = _known(who[again], lo[again], hi[again])
                 none = np.zeros(len(spans[0]), np.int64)
                 found = {"rid": rid.take(pa.array(np.concatenate([who[one], spans[0]])))}
-                for name, kind, x, y in (("lo", np.int32, lo[one], spans[1]), ("hi", np.int32, hi[one], spans[2]), ("at", np.int32, at[one], none), ("n", np.int64, n, none), ("trigger", np.int64, trigger[one].view(np.int64), none), ("phrase", np.int64, phrase[one].view(np.int64), none)):
+                for name, kind, x, y in (
+                    ("lo", np.int32, lo[one], spans[1]), ("hi", np.int32, hi[one], spans[2]),
+                    ("at", np.int32, at[one], none), ("n", np.int64, n, none),
+                    ("trigger", np.int64, trigger[one].view(np.int64), none),
+                    ("phrase", np.int64, phrase[one].view(np.int64), none)
+                ):
                     found[name] = pa.array(np.concatenate([x, y]).astype(kind))
                 yield pa.RecordBatch.from_pydict(found)
 
@@ -172,13 +187,25 @@ def _parsed(length: int, step: int):
 
 def _bodies(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("trigger", pa.int64()), ("rid", pa.binary()), ("lo", pa.int32()), ("at", pa.int32()), ("n", pa.int64()), ("body", pa.binary())])
+        schema = pa.schema(
+            [
+                ("trigger", pa.int64()), ("rid", pa.binary()), ("lo", pa.int32()), ("at", pa.int32()),
+                ("n", pa.int64()), ("body", pa.binary())
+            ]
+        )
         for batch in batches:
-            for text, rid, phrases in zip(batch.column("text"), batch.column("rid").to_pylist(), batch.column("phrases").to_pylist(), strict=True):
+            for text, rid, phrases in zip(
+                batch.column("text"), batch.column("rid").to_pylist(), batch.column("phrases").to_pylist(), strict=True
+            ):
                 data = (text.as_py() or "").encode()
                 for i in range(0, len(phrases), 4_096):
                     part = phrases[i : i + 4_096]
-                    yield pa.RecordBatch.from_pydict({"rid": [rid] * len(part), "body": [data[p["lo"] : p["hi"] + length] for p in part]} | {c: [p[c] for p in part] for c in ("trigger", "lo", "at", "n")}, schema)
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "rid": [rid] * len(part), "body": [data[p["lo"] : p["hi"] + length] for p in part]
+                        } | {c: [p[c] for p in part] for c in ("trigger", "lo", "at", "n")},
+                        schema
+                    )
 
     return run
 
@@ -190,13 +217,21 @@ def _ordered(length: int):
         def solved(rows: pa.Table) -> pa.RecordBatch:
             trigger = rows.column("trigger").to_numpy()
             group = np.cumsum(np.concatenate([[0], trigger[1:] != trigger[:-1]]))
-            flags = repeated_in(rows.column("body").to_pylist(), rows.column("at").to_numpy().astype(np.int64), rows.column("n").to_numpy().astype(np.float64), group, length)
+            flags = repeated_in(
+                rows.column("body").to_pylist(), rows.column("at").to_numpy().astype(np.int64),
+                rows.column("n").to_numpy().astype(np.float64), group, length
+            )
             runs = [_runs(f) for f in flags]
             n = [len(a) for a, _ in runs]
             first, last = (np.concatenate([r[k] for r in runs]) for k in (0, 1))
             base = np.repeat(rows.column("lo").to_numpy(), n)
             who = pa.array(np.repeat(np.arange(len(n)), n))
-            return pa.RecordBatch.from_pydict({"rid": rows.column("rid").combine_chunks().take(who), "lo": pa.array((base + first).astype(np.int32)), "hi": pa.array((base + last).astype(np.int32))})
+            return pa.RecordBatch.from_pydict(
+                {
+                    "rid": rows.column("rid").combine_chunks().take(who),
+                    "lo": pa.array((base + first).astype(np.int32)), "hi": pa.array((base + last).astype(np.int32))
+                }
+            )
 
         held: list[pa.RecordBatch] = []
         for part in (batch.slice(a, 1_000) for batch in batches for a in range(0, len(batch), 1_000)):
@@ -225,7 +260,12 @@ def _finer(length: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
-        schema = pa.schema([("trigger", pa.int64()), ("rid", pa.binary()), ("lo", pa.int32()), ("at", pa.int32()), ("n", pa.int64()), ("body", pa.binary()), ("phrase", pa.int64()), ("hi", pa.int32())])
+        schema = pa.schema(
+            [
+                ("trigger", pa.int64()), ("rid", pa.binary()), ("lo", pa.int32()), ("at", pa.int32()),
+                ("n", pa.int64()), ("body", pa.binary()), ("phrase", pa.int64()), ("hi", pa.int32())
+            ]
+        )
         signed = lambda x: x - (1 << 64) if x >> 63 else x
         for batch in batches:
             out = []
@@ -236,13 +276,21 @@ def _finer(length: int, width: int):
                     a, b = max(0, at - k * width - width + 1), min(strings - 1, at - k * width)
                     part, inside = body[a : b + length], at - a
                     core = body[at - k * width : at + length - k * width - width + 1]
-                    group, same = (signed(xxh3_64_intdigest(x, (row["trigger"] ^ y * 0x9E3779B97F4A7C15) % (1 << 64))) for x, y in ((core, k), (part, inside + 1)))
+                    group, same = (
+                        signed(xxh3_64_intdigest(x, (row["trigger"] ^ y * 0x9E3779B97F4A7C15) % (1 << 64)))
+                        for x, y in ((core, k), (part, inside + 1))
+                    )
                     out.append((group, row["rid"], row["lo"] + a, inside, row["n"], part, same, row["lo"] + b))
                 if len(out) >= 4_096:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)],
+                        schema=schema
+                    )
                     out = []
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema
+                )
 
     return run
 
@@ -254,13 +302,30 @@ def _settled(bodies: DataFrame, length: int, widths: tuple[int, ...]) -> DataFra
         large = stored(small.groupBy("trigger").count().where(F.col("count") > LARGE_GROUP).select("trigger"), "large")
         if large.isEmpty():
             break
-        parts = stored(small.join(large, "trigger", "left_semi").select(*bodies.columns).mapInArrow(_finer(length, width), _FINER), "finer")
-        entries = stored(parts.groupBy("trigger", "phrase").agg(F.sum("n").alias("n"), F.min(F.struct("rid", "lo", "at", "body")).alias("one")), "finer-dictionary")
-        whole = parts.join(entries.where("n > 1").select("trigger", "phrase"), ["trigger", "phrase"], "left_semi").select("rid", "lo", "hi")
+        parts = stored(
+            small.join(large, "trigger", "left_semi").select(*bodies.columns).mapInArrow(_finer(length, width), _FINER),
+            "finer"
+        )
+        entries = stored(
+            parts.groupBy("trigger", "phrase").agg(
+                F.sum("n").alias("n"), F.min(F.struct("rid", "lo", "at", "body")).alias("one")
+            ),
+            "finer-dictionary"
+        )
+        whole = parts.join(
+            entries.where("n > 1").select("trigger", "phrase"), ["trigger", "phrase"], "left_semi"
+        ).select("rid", "lo", "hi")
         solved = small.join(large, "trigger", "left_anti").select(*bodies.columns).repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_ordered(length), _SPAN).unionByName(whole)
         found = solved if found is None else found.unionByName(solved)
-        mixed = stored(entries.groupBy("trigger").agg(F.count("*").alias("phrases")).where("phrases > 1"), "finer-mixed")
-        small = stored(entries.join(mixed, "trigger", "left_semi").select("trigger", "one.rid", "one.lo", "one.at", "n", "one.body"), "finer-bodies")
+        mixed = stored(
+            entries.groupBy("trigger").agg(F.count("*").alias("phrases")).where("phrases > 1"), "finer-mixed"
+        )
+        small = stored(
+            entries.join(mixed, "trigger", "left_semi").select(
+                "trigger", "one.rid", "one.lo", "one.at", "n", "one.body"
+            ),
+            "finer-bodies"
+        )
     solved = small.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_ordered(length), _SPAN)
     return solved if found is None else found.unionByName(solved)
 
@@ -276,13 +341,27 @@ def repeat_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     # Most triggers stand once. Only the trigger itself is shuffled to find those that don't.
     twice = stored(phrases.groupBy("trigger").count().where("count > 1").select("trigger"), "triggers")
     # Dealt by text again, so that the rows of a hot phrase, which the join put side by side, can be split.
-    parse_rows = stored(phrases.join(twice, "trigger", "left_semi").select(*phrases.columns).repartition("rid"), "repeats")
-    entries = stored(parse_rows.groupBy("trigger", "phrase").agg(F.sum("n").alias("n"), F.count("*").alias("rows"), F.min(F.struct("rid", "lo", "hi", "at")).alias("one")), "dictionary")
-    whole = parse_rows.where("n = 1").join(stored(entries.where("n > 1 and rows > 1").select("trigger", "phrase"), "whole"), ["trigger", "phrase"], "left_semi").select("rid", "lo", "hi")
+    parse_rows = stored(
+        phrases.join(twice, "trigger", "left_semi").select(*phrases.columns).repartition("rid"), "repeats"
+    )
+    entries = stored(
+        parse_rows.groupBy("trigger", "phrase").agg(
+            F.sum("n").alias("n"), F.count("*").alias("rows"), F.min(F.struct("rid", "lo", "hi", "at")).alias("one")
+        ),
+        "dictionary"
+    )
+    whole = parse_rows.where("n = 1").join(
+        stored(entries.where("n > 1 and rows > 1").select("trigger", "phrase"), "whole"), ["trigger", "phrase"],
+        "left_semi"
+    ).select("rid", "lo", "hi")
     mixed = stored(entries.groupBy("trigger").agg(F.count("*").alias("phrases")).where("phrases > 1"), "mixed")
     hard = entries.join(mixed, "trigger").select("one.*", "trigger", "n")
-    by_text = stored(hard.groupBy("rid").agg(F.collect_list(F.struct("trigger", "lo", "hi", "at", "n")).alias("phrases")), "hard")
-    bodies = stored(texts.join(by_text, "rid").select("text", "rid", "phrases").mapInArrow(_bodies(length), _HARD), "bodies")
+    by_text = stored(
+        hard.groupBy("rid").agg(F.collect_list(F.struct("trigger", "lo", "hi", "at", "n")).alias("phrases")), "hard"
+    )
+    bodies = stored(
+        texts.join(by_text, "rid").select("text", "rid", "phrases").mapInArrow(_bodies(length), _HARD), "bodies"
+    )
     return known.unionByName(whole).unionByName(_settled(bodies, length, WIDTHS))
 
 
@@ -313,7 +392,11 @@ def _cut(data: bytes, spans) -> tuple[bytes, int, int]:
 
 def row_id(doc_id: Column, text: Column) -> Column:
     """128 bits of doc_id and text; rows that agree in both share it."""
-    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(text.cast("string"), F.lit("")))))
+    return F.unhex(
+        F.md5(
+            F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), F.coalesce(text.cast("string"), F.lit("")))
+        )
+    )
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
@@ -333,12 +416,23 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         out, rows = [], batch.column("row")
-        for doc_id, text, spans in zip(rows.field("doc_id").to_pylist(), rows.field("text"), batch.column("spans"), strict=True):
+        for doc_id, text, spans in zip(
+            rows.field("doc_id").to_pylist(), rows.field("text"), batch.column("spans"), strict=True
+        ):
             data = (text.as_py() or "").encode()
             kept, removed, n = _cut(data, spans.as_py())
             out.append((doc_id, len(data), removed, n, sha256(kept).hexdigest()))
         columns = list(zip(*out, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(columns[0], pa.int64()), **{k: pa.array(v, pa.int64()) for k, v in zip(("n_bytes", "n_removed", "n_spans"), columns[1:4], strict=True)}, "kept_sha256": pa.array(columns[4], pa.string())})
+        yield pa.RecordBatch.from_pydict(
+            {
+                "doc_id": pa.array(columns[0], pa.int64()),
+                **{
+                    k: pa.array(v, pa.int64())
+                    for k, v in zip(("n_bytes", "n_removed", "n_spans"), columns[1:4], strict=True)
+                },
+                "kept_sha256": pa.array(columns[4], pa.string())
+            }
+        )
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -355,12 +449,23 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             rows = batch.column("row")
             out = {c: rows.field(c) for c in columns}
             text = out["text"].to_pylist()
-            cut = [(x, 0) if s is None else _cut((x or "").encode(), s)[:2] for x, s in zip(text, batch.column("spans").to_pylist(), strict=True)]
+            cut = [
+                (x, 0) if s is None else _cut((x or "").encode(), s)[:2]
+                for x, s in zip(text, batch.column("spans").to_pylist(), strict=True)
+            ]
             left = [x.decode("utf-8", "ignore") if n else x for x, n in cut]
             out["text"] = pa.array(left, pa.string())
             if "n_chars" in out:
-                out["n_chars"] = pa.array([k if not n else len(x) for k, x, (_, n) in zip(out["n_chars"].to_pylist(), left, cut, strict=True)], out["n_chars"].type)
-            yield pa.RecordBatch.from_pydict(out).filter(pa.array([bool(x) or not n for x, (_, n) in zip(left, cut, strict=True)], pa.bool_()))
+                out["n_chars"] = pa.array(
+                    [
+                        k if not n else len(x)
+                        for k, x, (_, n) in zip(out["n_chars"].to_pylist(), left, cut, strict=True)
+                    ],
+                    out["n_chars"].type
+                )
+            yield pa.RecordBatch.from_pydict(out).filter(
+                pa.array([bool(x) or not n for x, (_, n) in zip(left, cut, strict=True)], pa.bool_())
+            )
 
     return _with_spans(docs).mapInArrow(run, schema)
 
@@ -374,7 +479,9 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
     rows; other columns are not read.
     """
     rows = _with_spans(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")))
-    return rows.mapInArrow(_digests, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return rows.mapInArrow(
+        _digests, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    )
 
 
 def op6_parsed_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

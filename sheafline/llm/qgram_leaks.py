@@ -140,7 +140,12 @@ class ItemIndex:
     def search(self, texts: list[str]) -> list[tuple[int, int | None, int, int]]:
         """(text, item_id, edits, length of the item) for every item that a text holds; items without an id are told apart by text."""
         plain = [normal(t) for t in texts]
-        best: dict[tuple[int, str], int] = {(k, t): 0 for t in self.short for k, p in enumerate(plain) if f" {t} " in f" {p} "}
+        best: dict[tuple[int, str], int] = {
+            (k, t): 0
+            for t in self.short
+            for k, p in enumerate(plain)
+            if f" {t} " in f" {p} "
+        }
         if self.texts:
             # Long texts are searched in pieces that overlap by more than any item reaches.
             step, over = max(BATCH_CHARS, 8 * self.reach), 2 * self.reach + Q
@@ -183,13 +188,18 @@ class ItemIndex:
         first = 0
         while first < len(at):
             before = fan[first - 1] if first else 0
-            last = max(int(np.searchsorted(fan, before + FAN_OUT, "right")), int(np.searchsorted(at, at[first] + 4 * self.reach, "right")))
+            last = max(
+                int(np.searchsorted(fan, before + FAN_OUT, "right")),
+                int(np.searchsorted(at, at[first] + 4 * self.reach, "right"))
+            )
             yield from self._bands(plain, starts, lengths, at[first:last], which[first:last])
             if last >= len(at):
                 break
             first = int(np.searchsorted(at, at[last] - 2 * self.reach))
 
-    def _bands(self, plain: list[str], starts: np.ndarray, lengths: np.ndarray, at: np.ndarray, which: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def _bands(
+        self, plain: list[str], starts: np.ndarray, lengths: np.ndarray, at: np.ndarray, which: np.ndarray
+    ) -> Iterator[tuple[int, int, int]]:
         n = self.first[which + 1] - self.first[which]
         every = np.repeat(self.first[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         item, diagonal = self.owner[every], np.repeat(at, n) - self.place[every]
@@ -217,7 +227,10 @@ class ItemIndex:
         places = list(dict.fromkeys(places))
         for i in range(0, len(places), 20_000):
             part = places[i : i + 20_000]
-            edits = edits_within_each([self.texts[it] for _, it, _, _ in part], [plain[doc][a:z] for doc, _, a, z in part], self.limits[[it for _, it, _, _ in part]])
+            edits = edits_within_each(
+                [self.texts[it] for _, it, _, _ in part], [plain[doc][a:z] for doc, _, a, z in part],
+                self.limits[[it for _, it, _, _ in part]]
+            )
             yield from ((doc, it, e) for (doc, it, _, _), e in zip(part, edits.tolist(), strict=True) if e >= 0)
 
 
@@ -227,7 +240,14 @@ def _found(index: ItemIndex):
             texts, ids = texts_of(batch), batch.column("doc_id").to_pylist()
             for a, b in grouped(texts, BATCH_CHARS):
                 hits = index.search(texts[a:b])
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([ids[a + k] for k, *_ in hits], pa.int64()), "item_id": pa.array([i for _, i, _, _ in hits], pa.int64()), "edits": pa.array([e for *_, e, _ in hits], pa.int32()), "n_chars": pa.array([n for *_, n in hits], pa.int32())})
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": pa.array([ids[a + k] for k, *_ in hits], pa.int64()),
+                        "item_id": pa.array([i for _, i, _, _ in hits], pa.int64()),
+                        "edits": pa.array([e for *_, e, _ in hits], pa.int32()),
+                        "n_chars": pa.array([n for *_, n in hits], pa.int32())
+                    }
+                )
 
     return run
 
@@ -242,7 +262,9 @@ def blocks_of(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, edits: float
         yield ItemIndex([(x.item_id, x.text) for x in part.collect()], edits)
 
 
-def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def benchmark_leaks(
+    docs: DataFrame, benchmark: DataFrame, edits: float = EDITS, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
     """doc_id, item_id, edits, n_chars: a row for each document and benchmark item that it holds.
 
     Compared are lower-case letters and digits with single spaces between. An item of

@@ -16,6 +16,9 @@ from .warc import op3_warc_salvage
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_ring_shards, op3_warc_salvage, op4_language_tree, op5_token_counts, op6_parsed_repeats, op7_bpe_round_trip, op8_simhash_groups, op9_benchmark_leaks, op10_document_sketches)
+    for f in (
+        op1_toxicity, op2_ring_shards, op3_warc_salvage, op4_language_tree, op5_token_counts, op6_parsed_repeats,
+        op7_bpe_round_trip, op8_simhash_groups, op9_benchmark_leaks, op10_document_sketches
+    )
 }
 ORACLE_SQL = {"op3_warc_salvage": WARC_SQL}

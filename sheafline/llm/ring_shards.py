@@ -42,7 +42,11 @@ SLICE_BITS = 16
 
 def virtual_nodes(shards: int, replicas: int = REPLICAS) -> tuple[np.ndarray, np.ndarray]:
     """Positions in ring order, and the shard of each."""
-    at = [int.from_bytes(blake2b(f"{s}/{r}".encode(), digest_size=8).digest()) >> (64 - RING_BITS) for s in range(shards) for r in range(replicas)]
+    at = [
+        int.from_bytes(blake2b(f"{s}/{r}".encode(), digest_size=8).digest()) >> (64 - RING_BITS)
+        for s in range(shards)
+        for r in range(replicas)
+    ]
     order = np.argsort(np.array(at, np.int64), kind="stable")
     return np.array(at, np.int64)[order], np.repeat(np.arange(shards), replicas)[order]
 
@@ -54,7 +58,9 @@ def capacities(n: int, shards: int, slack: float = 0.0) -> np.ndarray:
     return n // shards + (np.arange(shards) < n % shards)
 
 
-def assign_whole(slices: list[tuple[int, int, int]], owner: np.ndarray, room: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def assign_whole(
+    slices: list[tuple[int, int, int]], owner: np.ndarray, room: np.ndarray
+) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Ranges as of ``assign_ranges`` for slices that fit somewhere as a whole, and the slices that don't.
 
     ``slices``: (first node clockwise, first rank, behind the last rank). Takes from ``room``.
@@ -75,7 +81,9 @@ def assign_whole(slices: list[tuple[int, int, int]], owner: np.ndarray, room: np
     return out, [(node % len(owner), a, b) for node, a, b in left]
 
 
-def assign_ranges(waiting: list[tuple[int, int, int]], owner: np.ndarray, room: np.ndarray) -> list[tuple[int, int, int]]:
+def assign_ranges(
+    waiting: list[tuple[int, int, int]], owner: np.ndarray, room: np.ndarray
+) -> list[tuple[int, int, int]]:
     """(first rank, behind the last rank, shard) for all rows, in order of rank.
 
     ``waiting``: (first node clockwise, first rank, behind the last rank) in ring
@@ -99,7 +107,9 @@ def assign_ranges(waiting: list[tuple[int, int, int]], owner: np.ndarray, room:
     return sorted(out)
 
 
-def assign(counts: dict[tuple[bool, int], int], nodes: np.ndarray, owner: np.ndarray, room: np.ndarray) -> list[tuple[int, int, int]]:
+def assign(
+    counts: dict[tuple[bool, int], int], nodes: np.ndarray, owner: np.ndarray, room: np.ndarray
+) -> list[tuple[int, int, int]]:
     """Ranges for all rows. ``counts``: rows by (text stands once, place): the place is an arc, or a slice of texts that stand more often."""
     end, groups, arcs = 0, [], []
     # Slices stand first, then arcs in ring order; the arc behind the last node belongs to the first one.
@@ -119,7 +129,12 @@ def _place_counts(nodes: np.ndarray):
             at, row, single = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("at", "row", "single"))
             place = np.where(single, np.searchsorted(nodes, at), at >> (RING_BITS - SLICE_BITS))
             both, n = np.unique(np.stack([row >> 33, single.astype(np.int64), place]), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"part": pa.array(both[0]), "single": pa.array(both[1] == 1), "place": pa.array(both[2]), "n": pa.array(n)})
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "part": pa.array(both[0]), "single": pa.array(both[1] == 1), "place": pa.array(both[2]),
+                    "n": pa.array(n)
+                }
+            )
 
     return run
 
@@ -130,7 +145,10 @@ def _placed(parts: np.ndarray, offsets: np.ndarray, starts: np.ndarray, shards:
             row = batch.column("row").to_numpy()
             rank = offsets[np.searchsorted(parts, row >> 33)] + (row & ((1 << 33) - 1)) if len(row) else row
             seg = np.searchsorted(starts, rank, "right") - 1
-            yield pa.RecordBatch.from_pydict({x: batch.column(x) for x in ("doc_id", "size", "text_crc32")} | {"shard": pa.array(shards[seg].astype(np.int32)), "slot": pa.array(slots[seg] + rank - starts[seg])})
+            yield pa.RecordBatch.from_pydict(
+                {x: batch.column(x) for x in ("doc_id", "size", "text_crc32")}
+                | {"shard": pa.array(shards[seg].astype(np.int32)), "slot": pa.array(slots[seg] + rank - starts[seg])}
+            )
 
     return run
 
@@ -147,17 +165,35 @@ def ring_shards(docs: DataFrame, shards: int = SHARDS, replicas: int = REPLICAS,
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     high = F.shiftleft(F.shiftrightunsigned("th", 25), 24)
-    rows = docs.select(F.col("doc_id").cast("bigint"), (F.octet_length(text).cast("bigint") + ROW_BYTES).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("th"), F.monotonically_increasing_id().alias("tie"))
+    rows = docs.select(
+        F.col("doc_id").cast("bigint"),
+        (F.octet_length(text).cast("bigint") + ROW_BYTES).alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("th"),
+        F.monotonically_increasing_id().alias("tie")
+    )
     with scratch(spark) as kept:
-        often = stored(rows.groupBy("th").count().where("count > 1").select("th", F.lit(False).alias("single")), "equal-texts")
+        often = stored(
+            rows.groupBy("th").count().where("count > 1").select("th", F.lit(False).alias("single")), "equal-texts"
+        )
         # As a stored table, the texts that stand more often have a known size: Spark broadcasts them only below its limit.
-        rows = rows.join(often, "th", "left").select("doc_id", "size", "text_crc32", high.bitwiseOR(F.shiftrightunsigned(F.xxhash64("doc_id"), 40)).alias("at"), "tie", F.coalesce("single", F.lit(True)).alias("single"))
+        rows = rows.join(often, "th", "left").select(
+            "doc_id", "size", "text_crc32",
+            high.bitwiseOR(F.shiftrightunsigned(F.xxhash64("doc_id"), 40)).alias("at"), "tie",
+            F.coalesce("single", F.lit(True)).alias("single")
+        )
         order = ["single", "at", "doc_id", "tie"]
-        ranged = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-        ranged = stored(ranged.select("doc_id", "size", "text_crc32", "at", "single", F.monotonically_increasing_id().alias("row")), "ring")
+        ranged = rows.repartitionByRange(
+            int(spark.conf.get("spark.sql.shuffle.partitions")), *order
+        ).sortWithinPartitions(*order)
+        ranged = stored(
+            ranged.select("doc_id", "size", "text_crc32", "at", "single", F.monotonically_increasing_id().alias("row")),
+            "ring"
+        )
         kept.append(ranged)
     nodes, owner = virtual_nodes(shards, replicas)
-    found = ranged.select("at", "row", "single").mapInArrow(_place_counts(nodes), "part bigint, single boolean, place bigint, n bigint").groupBy("part", "single", "place").agg(F.sum("n").alias("n")).collect()
+    found = ranged.select("at", "row", "single").mapInArrow(
+        _place_counts(nodes), "part bigint, single boolean, place bigint, n bigint"
+    ).groupBy("part", "single", "place").agg(F.sum("n").alias("n")).collect()
     parts = np.unique([x.part for x in found]).astype(np.int64)
     per_part, counts = np.zeros(len(parts), np.int64), {}
     for x in found:
@@ -169,10 +205,16 @@ def ring_shards(docs: DataFrame, shards: int = SHARDS, replicas: int = REPLICAS,
         starts.append(a)
         slots.append(filled[shard])
         filled[shard] += b - a
-    placed = _placed(parts, np.cumsum(per_part) - per_part, np.array(starts, np.int64), np.array([x[2] for x in ranges], np.int64), np.array(slots, np.int64))
+    placed = _placed(
+        parts, np.cumsum(per_part) - per_part, np.array(starts, np.int64), np.array([x[2] for x in ranges], np.int64),
+        np.array(slots, np.int64)
+    )
     return ranged.mapInArrow(placed, "doc_id bigint, size bigint, text_crc32 bigint, shard int, slot bigint")
 
 
 def op2_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = ring_shards(table(spark, sf_dir, "documents"))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard")
+    )

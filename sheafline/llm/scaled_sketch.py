@@ -30,9 +30,15 @@ BATCH_BYTES = 4_000_000
 STEP = 1_000_000
 
 
-def sketches(texts: list[bytes], shingle: int = SHINGLE, scale: int = SCALE, step: int = STEP, least: int = LEAST) -> list[np.ndarray]:
+def sketches(
+    texts: list[bytes], shingle: int = SHINGLE, scale: int = SCALE, step: int = STEP, least: int = LEAST
+) -> list[np.ndarray]:
     """The sorted 64-bit hashes that each text keeps; long texts are hashed in overlapping steps."""
-    pieces = [(i, x[a : a + step + shingle - 1]) for i, x in enumerate(texts) for a in range(0, max(1, len(x) - shingle + 1), step)]
+    pieces = [
+        (i, x[a : a + step + shingle - 1])
+        for i, x in enumerate(texts)
+        for a in range(0, max(1, len(x) - shingle + 1), step)
+    ]
     kept: list[list[np.ndarray]] = [[] for _ in texts]
     limit = np.uint64((1 << 64) // scale)
     for first, last in grouped([x for _, x in pieces], step):
@@ -95,7 +101,12 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = [(x or "").encode() for x in batch.column("text").to_pylist()]
         for a, b in grouped(texts, BATCH_BYTES):
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, b - a), "fingerprint": [to_text(x) for x in sketches(texts[a:b])]})
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": batch.column("doc_id").slice(a, b - a),
+                    "fingerprint": [to_text(x) for x in sketches(texts[a:b])]
+                }
+            )
 
 
 def document_sketches(docs: DataFrame) -> DataFrame:
@@ -104,7 +115,9 @@ def document_sketches(docs: DataFrame) -> DataFrame:
     Null texts are empty and have an empty fingerprint; equal texts have equal
     ones; repeated and null doc_ids keep a row each; other columns are not read.
     """
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_sketched, "doc_id bigint, fingerprint string")
+    return docs.select(
+        F.col("doc_id").cast("bigint"), F.col("text").cast("string")
+    ).mapInArrow(_sketched, "doc_id bigint, fingerprint string")
 
 
 def edited(text: str, following: str) -> str:
@@ -114,7 +127,13 @@ def edited(text: str, following: str) -> str:
 
 
 _PAIR = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), *((x, pa.string()) for x in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+_SCHEMA = pa.schema(
+    [
+        ("doc_id", pa.int64()), ("n_chars", pa.int64()),
+        *((x, pa.string()) for x in ("edited_sha256", "fingerprint", "edited_fingerprint")),
+        ("near_edited", pa.float64()), ("near_next", pa.float64())
+    ]
+)
 #: A range of rows goes by its first row: whether that has no doc_id, its doc_id (or 0), and the hash of its text.
 _RANGE = ["unnamed", "id", "h"]
 _EDGE = "unnamed boolean, id bigint, h bigint, last boolean, doc_id bigint, text string"
@@ -130,8 +149,14 @@ def _rows(ids: list, texts: list[str], follow: list[str]) -> dict:
     after = own[1:] + sketches([follow[-1].encode()]) if shared else sketches([f.encode() for f in follow])
     new = sketches(edits)
     return {
-        "doc_id": ids, "n_chars": [len(t) for t in texts], "edited_sha256": [sha256(e).hexdigest() for e in edits], "fingerprint": [to_text(x) for x in own],
-        "edited_fingerprint": [to_text(x) for x in new], "near_edited": [containment(x, y) for x, y in zip(own, new, strict=True)], "near_next": [containment(x, y) for x, y in zip(own, after, strict=True)],
+        "doc_id": ids, "n_chars": [len(t) for t in texts], "edited_sha256": [
+            sha256(e).hexdigest()
+            for e in edits
+        ], "fingerprint": [to_text(x) for x in own],
+        "edited_fingerprint": [to_text(x) for x in new], "near_edited": [containment(x, y) for x, y in zip(own, new, strict=True)], "near_next": [
+            containment(x, y)
+            for x, y in zip(own, after, strict=True)
+        ],
     }
 
 
@@ -151,7 +176,12 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first and the last row of a range."""
-    schema = pa.schema([("unnamed", pa.bool_()), ("id", pa.int64()), ("h", pa.int64()), ("last", pa.bool_()), ("doc_id", pa.int64()), ("text", pa.string())])
+    schema = pa.schema(
+        [
+            ("unnamed", pa.bool_()), ("id", pa.int64()), ("h", pa.int64()), ("last", pa.bool_()),
+            ("doc_id", pa.int64()), ("text", pa.string())
+        ]
+    )
     name, last = None, None
     for batch in batches:
         if not len(batch):
@@ -159,7 +189,9 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name is None:
             first = batch.slice(0, 1).to_pylist()[0]
             name = {"unnamed": first["doc_id"] is None, "id": first["doc_id"] or 0, "h": first["h"]}
-            yield pa.RecordBatch.from_pylist([name | {"last": False, "doc_id": first["doc_id"], "text": first["text"]}], schema)
+            yield pa.RecordBatch.from_pylist(
+                [name | {"last": False, "doc_id": first["doc_id"], "text": first["text"]}], schema
+            )
         last = batch.slice(len(batch) - 1)
     if last is not None:
         row = last.to_pylist()[0]
@@ -184,7 +216,9 @@ def neighbour_likeness(docs: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("bigint"), text.alias("text"), F.xxhash64(text).alias("h"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("h"), F.col("text")]
-    ranged = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), order[0], order[1]).sortWithinPartitions(*order)
+    ranged = rows.repartitionByRange(
+        int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), order[0], order[1]
+    ).sortWithinPartitions(*order)
     # All readers share the shuffle; the sketches are not stored, as they take as much room as the text.
     ends = ranged.mapInArrow(_edges, _EDGE)
     last = ends.where("last").select(*_RANGE, "doc_id", "text")
@@ -193,7 +227,10 @@ def neighbour_likeness(docs: DataFrame) -> DataFrame:
     by = Window.orderBy("unnamed", F.desc("id"), "h")
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     name = F.struct(*_RANGE)
-    following = ends.where("last").select(*_RANGE).select(*_RANGE, F.coalesce(F.lead(name).over(by), F.first(name).over(whole)).alias("after"))
+    following = ends.where("last").select(*_RANGE).select(
+        *_RANGE,
+        F.coalesce(F.lead(name).over(by), F.first(name).over(whole)).alias("after")
+    )
     pairs = last.join(following, _RANGE).join(first, "after").select("doc_id", "text", "follow")
     return ranged.select("doc_id", "text").mapInArrow(_in_order, _PAIR).unionByName(pairs.mapInArrow(_ends, _PAIR))
 

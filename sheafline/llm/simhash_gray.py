@@ -83,7 +83,9 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
             joined = b" ".join(parts)
             ends = np.cumsum([len(x) + 1 for x in parts])
             last, first = (ends - 1).tolist(), [0, *ends[:-1].tolist()]
-            hashes = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(first, last[words - 1 :], strict=False)], "<u8")
+            hashes = np.array(
+                [xxh64_intdigest(joined[a:b], seed) for a, b in zip(first, last[words - 1 :], strict=False)], "<u8"
+            )
             ones += _ones(hashes)
             n += len(hashes)
         tail = parts[-(words - 1) :] if words > 1 and len(parts) >= words else parts if len(parts) < words else []
@@ -130,7 +132,12 @@ def _signed(x: int) -> int:
 
 def _grouped(codes: DataFrame, blocks: int, limit: int) -> DataFrame:
     """mask, pattern, fp: a row for each fingerprint and mask."""
-    each = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("pattern")) for i, m in enumerate(masks(blocks, limit))])
+    each = F.array(
+        *[
+            F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("pattern"))
+            for i, m in enumerate(masks(blocks, limit))
+        ]
+    )
     return codes.select("fp", F.explode(each).alias("node")).select("node.mask", "node.pattern", "fp")
 
 
@@ -147,7 +154,13 @@ def group_links(group: np.ndarray, codes: np.ndarray, limit: int = LIMIT) -> tup
         first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
         inside = np.arange(len(g)) - np.repeat(first, np.diff(np.append(first, len(g))))
         start = np.flatnonzero(inside % FAN_OUT == 0)
-        levels.append({"all": np.bitwise_and.reduceat(levels[-1]["all"], start), "any": np.bitwise_or.reduceat(levels[-1]["any"], start), "start": np.append(start, len(g)), "group": g[start]})
+        levels.append(
+            {
+                "all": np.bitwise_and.reduceat(levels[-1]["all"], start),
+                "any": np.bitwise_or.reduceat(levels[-1]["any"], start), "start": np.append(start, len(g)),
+                "group": g[start]
+            }
+        )
 
     def members(level: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First code and behind the last code of each node."""
@@ -178,7 +191,9 @@ def group_links(group: np.ndarray, codes: np.ndarray, limit: int = LIMIT) -> tup
         a, b = a[close & ~whole], b[close & ~whole]
         na, nb = (x["start"][n + 1] - x["start"][n] for n in (a, b))
         size = na * nb
-        for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(np.cumsum(size) // 1_000_000)) + 1) if len(a) else []:
+        for part in np.split(
+            np.arange(len(a)), np.flatnonzero(np.diff(np.cumsum(size) // 1_000_000)) + 1
+        ) if len(a) else []:
             n = size[part]
             owner = np.repeat(part, n)
             at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -206,7 +221,15 @@ def _links(limit: int):
         for batch in batches:
             if not len(batch):
                 continue
-            held.append(np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("mask", "pattern", "fp")], axis=1))
+            held.append(
+                np.stack(
+                    [
+                        batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
+                        for c in ("mask", "pattern", "fp")
+                    ],
+                    axis=1
+                )
+            )
             rows += len(batch)
             if rows < 200_000:
                 continue
@@ -224,14 +247,21 @@ def _links(limit: int):
 
 def _balls(radius: int):
     """A row for each code within ``radius`` of each fingerprint: the code as centre, and the fingerprint."""
-    flips = np.array([sum(1 << k for k in bits) for n in range(radius + 1) for bits in combinations(range(BITS), n)], np.uint64).view(np.int64)
+    flips = np.array(
+        [sum(1 << k for k in bits) for n in range(radius + 1) for bits in combinations(range(BITS), n)], np.uint64
+    ).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = batch.column("fp").to_numpy()
             for i in range(0, len(codes), 256):
                 part = codes[i : i + 256]
-                yield pa.RecordBatch.from_pydict({"centre": pa.array((part[:, None] ^ flips[None, :]).ravel()), "fp": pa.array(np.repeat(part, len(flips)))})
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "centre": pa.array((part[:, None] ^ flips[None, :]).ravel()),
+                        "fp": pa.array(np.repeat(part, len(flips)))
+                    }
+                )
 
     return run
 
@@ -243,7 +273,9 @@ def ball_links(codes: DataFrame, limit: int = LIMIT) -> DataFrame:
     """
     if limit % 2:
         raise ValueError("groups this large need an even limit")
-    met = codes.mapInArrow(_balls(limit // 2), "centre bigint, fp bigint").groupBy("centre").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    met = codes.mapInArrow(
+        _balls(limit // 2), "centre bigint, fp bigint"
+    ).groupBy("centre").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     return met.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
 
 
@@ -258,7 +290,9 @@ def near_links(codes: DataFrame, limit: int = LIMIT, large: int = LARGE_GROUP) -
         if hot:
             codes = stored(nodes.join(heavy, ["mask", "pattern"], "left_semi").select("fp").distinct(), "hot")
             nodes = nodes.join(heavy, ["mask", "pattern"], "left_anti")
-        links = nodes.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern").mapInArrow(_links(limit), "a bigint, b bigint")
+        links = nodes.repartition("mask", "pattern").sortWithinPartitions("mask", "pattern").mapInArrow(
+            _links(limit), "a bigint, b bigint"
+        )
         found = links if found is None else found.unionByName(links)
         if not hot:
             return found
@@ -275,10 +309,20 @@ def simhash_groups(docs: DataFrame, words: int = WORDS, limit: int = LIMIT, seed
     component_id is null only if no doc_id in the component is known. No documents
     give no rows; other columns are not read.
     """
-    rows = stored(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_fingerprints(words, seed), "doc_id bigint, fp bigint"), "simhash")
+    rows = stored(
+        docs.select(
+            F.col("doc_id").cast("bigint"), F.col("text").cast("string")
+        ).mapInArrow(_fingerprints(words, seed), "doc_id bigint, fp bigint"),
+        "simhash"
+    )
     codes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "codes")
     roots = components(near_links(codes.select("fp"), limit), "simhash-links")
-    known = stored(codes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")), "roots")
+    known = stored(
+        codes.join(
+            roots.withColumnRenamed("node", "fp"), "fp", "left"
+        ).select("fp", "low", F.coalesce("root", "fp").alias("root")),
+        "roots"
+    )
     lowest = known.groupBy("root").agg(F.min("low").alias("component_id"))
     by_code = stored(known.select("fp", "root").join(lowest, "root").select("fp", "component_id"), "lowest")
     return rows.join(by_code, "fp").select("doc_id", "fp", "component_id")
@@ -289,7 +333,9 @@ def hex_of(fp: Column) -> Column:
 
 
 def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+    return simhash_groups(table(spark, sf_dir, "documents")).select(
+        "doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id"
+    )
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -304,13 +350,27 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     small_batches(spark)
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(docs["doc_id"].cast("bigint"), F.lit(0)).alias("id"), docs["doc_id"].isNull().alias("unnamed"), F.xxhash64(text).alias("th"), F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    rows = docs.select(
+        F.coalesce(docs["doc_id"].cast("bigint"), F.lit(0)).alias("id"), docs["doc_id"].isNull().alias("unnamed"),
+        F.xxhash64(text).alias("th"),
+        F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    )
     key = ["id", "unnamed", "th"]
     with scratch(spark) as kept:
-        groups = stored(copy_groups(docs).select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("unnamed"), "th", "root"), "copy-groups")
-        first = groups.groupBy("root").agg(F.min(F.struct("unnamed", "id", "th")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        groups = stored(
+            copy_groups(docs).select(
+                F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("unnamed"), "th", "root"
+            ),
+            "copy-groups"
+        )
+        first = groups.groupBy("root").agg(
+            F.min(F.struct("unnamed", "id", "th")).alias("first"), F.count("*").alias("n")
+        ).where("n > 1")
         first = stored(first.select("root", "first"), "copy-first")
-        member = groups.join(first, "root").select(*key, (F.struct("unnamed", "id", "th") == F.col("first")).alias("stays"))
+        member = groups.join(first, "root").select(
+            *key,
+            (F.struct("unnamed", "id", "th") == F.col("first")).alias("stays")
+        )
         gone = stored(member.where("not stays").select(*key).distinct(), "near-copies")
         again = stored(member.where("stays").groupBy(*key).count().where("count > 1").select(*key), "same-rows")
         kept += [gone, again]

@@ -63,7 +63,9 @@ class PreTokenizer:
         if split["behavior"] != "Removed" or not split["invert"]:
             raise ValueError("the split pattern must name what is kept")
         self.pattern = regex.compile(split["pattern"]["Regex"])
-        self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.special = regex.compile(
+            "|".join(map(regex.escape, sorted(special, key=len, reverse=True)))
+        ) if special else None
         self.normalize = Tokenizer.from_file(path).normalizer.normalize_str
 
     def __call__(self, text: str) -> tuple[int, Counter]:
@@ -72,7 +74,9 @@ class PreTokenizer:
         found: Counter = Counter()
         for part in parts:
             plain = self._plain(part)
-            found.update(self.pattern.findall(plain) if len(plain) < STEP else (m[0] for m in self.pattern.finditer(plain)))
+            found.update(
+                self.pattern.findall(plain) if len(plain) < STEP else (m[0] for m in self.pattern.finditer(plain))
+            )
         return len(parts) - 1, found
 
     def _plain(self, text: str) -> str:
@@ -106,8 +110,12 @@ class Block:
         many = lambda x, kind=None: pa.array([x], pa.list_(kind or pa.int64()))
         # The name only has to differ between blocks; a repeated task writes its blocks anew.
         return pa.RecordBatch.from_pydict({
-            "block": pa.array([secrets.randbits(63)], pa.int64()), "doc_id": many(self.doc_ids), "n_bytes": many(self.sizes), "fixed": many(self.fixed), "ends": many(self.ends),
-            "ids": [_packed(np.diff(np.concatenate(self.ids), prepend=np.int32(0)))], "freqs": [_packed(np.concatenate(self.freqs))], "words": many(list(self.index), pa.string()),
+            "block": pa.array(
+                [secrets.randbits(63)], pa.int64()
+            ), "doc_id": many(self.doc_ids), "n_bytes": many(self.sizes), "fixed": many(self.fixed), "ends": many(self.ends),
+            "ids": [
+                _packed(np.diff(np.concatenate(self.ids), prepend=np.int32(0)))
+            ], "freqs": [_packed(np.concatenate(self.freqs))], "words": many(list(self.index), pa.string()),
         })
 
 
@@ -149,7 +157,12 @@ def _pieces(path: str):
                 # Equal words stand together, so that the last word is the only one that may come again.
                 new = [w for w in dict.fromkeys(words) if w not in known]
                 known |= zip(new, map(len, tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True)
-                yield pa.RecordBatch.from_pydict({"block": part.column("block"), "at": part.column("at"), "pieces": pa.array([known[w] for w in words], pa.int32())})
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "block": part.column("block"), "at": part.column("at"),
+                        "pieces": pa.array([known[w] for w in words], pa.int32())
+                    }
+                )
                 known = {words[-1]: known[words[-1]]}
 
     return run
@@ -165,7 +178,12 @@ def _sums(limit: int):
                 sums = np.concatenate([[0], np.cumsum(pieces[ids] * freqs)]) if len(ids) else np.zeros(1, np.int64)
                 ends = np.array(row["ends"], np.int64)
                 n = sums[ends] - sums[np.concatenate([[0], ends[:-1]])] + np.array(row["fixed"], np.int64)
-                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(row["doc_id"], pa.int64()), "n_bytes": pa.array(row["n_bytes"], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "over_limit": n > limit})
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": pa.array(row["doc_id"], pa.int64()), "n_bytes": pa.array(row["n_bytes"], pa.int64()),
+                        "n_tokens": pa.array(n, pa.int64()), "over_limit": n > limit
+                    }
+                )
 
     return run
 
@@ -180,12 +198,22 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, block_chars: in
     A pre-token stands once in each block that has it, and equal ones are brought
     together once; no key has more rows than there are blocks.
     """
-    blocks = stored(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_blocks(path, block_chars), _BLOCK), "blocks")
+    blocks = stored(
+        docs.select(
+            F.col("doc_id").cast("bigint"), F.col("text").cast("string")
+        ).mapInArrow(_blocks(path, block_chars), _BLOCK),
+        "blocks"
+    )
     words = blocks.select("block", F.posexplode("words").alias("at", "word"))
-    pieces = words.repartition("word").sortWithinPartitions("word").mapInArrow(_pieces(path), "block bigint, at int, pieces int")
+    pieces = words.repartition("word").sortWithinPartitions("word").mapInArrow(
+        _pieces(path), "block bigint, at int, pieces int"
+    )
     back = pieces.groupBy("block").agg(F.collect_list(F.struct("at", "pieces")).alias("got"))
     rows = blocks.drop("words").join(back, "block", "left")
-    rows = rows.select("doc_id", "n_bytes", "fixed", "ends", "ids", "freqs", *(F.coalesce(F.col(f"got.{x}"), F.array().cast("array<int>")).alias(x) for x in ("at", "pieces")))
+    rows = rows.select(
+        "doc_id", "n_bytes", "fixed", "ends", "ids", "freqs",
+        *(F.coalesce(F.col(f"got.{x}"), F.array().cast("array<int>")).alias(x) for x in ("at", "pieces"))
+    )
     return rows.mapInArrow(_sums(limit), "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 

@@ -128,7 +128,12 @@ class ToxicityModel:
         sentences = [(i, np.array([place[w] for w in s], np.int32)) for i, d in enumerate(docs) for s in d]
         owner = np.array([i for i, _ in sentences])
         del docs
-        has = [np.unique(np.concatenate([s for _, s in sentences[a:b]])) if a < b else np.zeros(0, np.int32) for a, b in zip(*(np.searchsorted(owner, np.arange(len(y)), side) for side in ("left", "right")), strict=True)]
+        has = [
+            np.unique(np.concatenate([s for _, s in sentences[a:b]])) if a < b else np.zeros(0, np.int32)
+            for a, b in zip(
+                *(np.searchsorted(owner, np.arange(len(y)), side) for side in ("left", "right")), strict=True
+            )
+        ]
         chosen = [words[i] for i in self._landmarks(words, has, y, landmarks)]
         # Nyström: whiten by the kernel of the landmarks.
         values, vectors = np.linalg.eigh(kernel(chosen, chosen).astype(np.float64))
@@ -164,7 +169,12 @@ class ToxicityModel:
     @staticmethod
     def _odds(has: list[np.ndarray], y: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         """How many toxic documents hold each word, and the log odds that one does against a clean document."""
-        counts = [np.bincount(np.concatenate([has[i] for i in np.flatnonzero(rows & (y == k))] or [np.zeros(0, int)]), minlength=n) for k in (0, 1)]
+        counts = [
+            np.bincount(
+                np.concatenate([has[i] for i in np.flatnonzero(rows & (y == k))] or [np.zeros(0, int)]), minlength=n
+            )
+            for k in (0, 1)
+        ]
         size = [int((rows & (y == k)).sum()) for k in (0, 1)]
         return counts[1], np.log((counts[1] + 0.5) / (size[1] + 1)) - np.log((counts[0] + 0.5) / (size[0] + 1))
 
@@ -180,7 +190,10 @@ class ToxicityModel:
         quarter = max(1, n // 4)
         return telling + common[:quarter] + common[quarter :: max(1, len(common) // quarter)][:quarter]
 
-    def _machine(self, x: np.ndarray, owner: np.ndarray, sentences: list, has: list[np.ndarray], y: np.ndarray, rows: np.ndarray, n: int, cost: float) -> tuple[np.ndarray, float]:
+    def _machine(
+        self, x: np.ndarray, owner: np.ndarray, sentences: list, has: list[np.ndarray], y: np.ndarray, rows: np.ndarray,
+        n: int, cost: float
+    ) -> tuple[np.ndarray, float]:
         """Weights and bias from the documents in ``rows``."""
         seen, odds = self._odds(has, y, rows, n)
         telling = odds * np.sqrt(seen) * (seen > 1)
@@ -256,7 +269,9 @@ class ToxicityModel:
         return logistic(np.array([self.features(d, known) for d in docs]).reshape(len(texts), 4), self.calibration)
 
 
-def _features(which: np.ndarray, owner: np.ndarray, score: np.ndarray, sentences: list, words: np.ndarray) -> np.ndarray:
+def _features(
+    which: np.ndarray, owner: np.ndarray, score: np.ndarray, sentences: list, words: np.ndarray
+) -> np.ndarray:
     """The features of documents from the scores of their sentences and of all words."""
     out = np.zeros((len(which), 4))
     first, last = (np.searchsorted(owner, which, side) for side in ("left", "right"))
@@ -273,12 +288,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
     A doc_id with both labels counts as toxic. Ids are chosen first, so that only the
     sample's texts, at most ``sample`` of each class, reach the driver.
     """
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ids = [x for k in (0, 1) for x in known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    known = labels.where(
+        "doc_id is not null and toxic is not null"
+    ).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    ids = [
+        x
+        for k in (0, 1)
+        for x in known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+    ]
     if not ids:
         return ToxicityModel([], [])
     chosen = docs.sparkSession.createDataFrame([(x.doc_id, x.toxic) for x in ids], "doc_id bigint, toxic int")
-    rows = docs.where("text is not null").select("doc_id", piece_of(F.col("text"), SAMPLE_CHARS).alias("text")).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample).collect()
+    rows = docs.where("text is not null").select(
+        "doc_id", piece_of(F.col("text"), SAMPLE_CHARS).alias("text")
+    ).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample).collect()
     return ToxicityModel([x.text for x in rows], [x.toxic for x in rows])
 
 
@@ -288,7 +311,12 @@ def _scored(model: ToxicityModel):
         for batch in batches:
             texts = texts_of(batch)
             for a, b in grouped(texts, 1_000_000):
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, b - a), "score": pa.array(model.score(texts[a:b], known), pa.float64())})
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": batch.column("doc_id").slice(a, b - a),
+                        "score": pa.array(model.score(texts[a:b], known), pa.float64())
+                    }
+                )
 
     return run
 
@@ -300,7 +328,9 @@ def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     doc_ids keep a row each; every sentence of a text of any length is scored; other
     columns are not read. A model fitted on one class only scores its share.
     """
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_scored(model), "doc_id bigint, score double")
+    return docs.select(
+        F.col("doc_id").cast("bigint"), F.col("text").cast("string")
+    ).mapInArrow(_scored(model), "doc_id bigint, score double")
 
 
 def held_out():
@@ -310,4 +340,6 @@ def held_out():
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out()), table(spark, sf_dir, "labels").where(~held_out()))
-    return toxicity(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return toxicity(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+    )

@@ -46,16 +46,24 @@ def member(record: bytes) -> bytes:
     return out
 
 
-def record_bytes(record_id: str, url: str | None, payload: bytes, digest: str, refers_to: str | None = None, date: str = DATE) -> bytes:
+def record_bytes(
+    record_id: str, url: str | None, payload: bytes, digest: str, refers_to: str | None = None, date: str = DATE
+) -> bytes:
     """A response record, or a revisit record if ``refers_to`` names one."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (b"" if refers_to is not None else payload)
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {date}"]
+    lines = [
+        "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{record_id}>",
+        f"WARC-Date: {date}"
+    ]
     if url is not None:
         lines.append(f"WARC-Target-URI: {' '.join(url.split())}")
     if refers_to is not None:
         lines += [f"WARC-Refers-To: <{refers_to}>", f"WARC-Profile: {PROFILE}"]
-    lines += [f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{sha256(block).hexdigest()}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    lines += [
+        f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{sha256(block).hexdigest()}",
+        "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"
+    ]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -72,7 +80,9 @@ def parse_record(data, start: int = 0, proof: bool = False) -> tuple[dict, int]:
         if not colon:
             raise Damaged("header line without colon")
         fields[name.strip().lower()] = value.strip().decode("utf-8", "replace")
-    if not {b"warc-type", b"warc-record-id", b"content-length"} <= fields.keys() or not fields[b"content-length"].isdecimal():
+    if not {
+        b"warc-type", b"warc-record-id", b"content-length"
+    } <= fields.keys() or not fields[b"content-length"].isdecimal():
         raise Damaged("header without type, id or length")
     end = head + 4 + int(fields[b"content-length"])
     if data[end : end + 4] != b"\r\n\r\n":
@@ -88,7 +98,11 @@ def parse_record(data, start: int = 0, proof: bool = False) -> tuple[dict, int]:
     size, found = len(payload), sha256(payload).hexdigest()
     said = fields.get(b"warc-payload-digest", "")
     if kind == "revisit":
-        said_size = [x.partition(b":")[2].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
+        said_size = [
+            x.partition(b":")[2].strip()
+            for x in http.split(b"\r\n")
+            if x.lower().startswith(b"content-length:")
+        ]
         size, found = int(said_size[0]) if said_size and said_size[0].isdigit() else None, said.removeprefix("sha256:") or None
     elif said.startswith("sha256:") and said[7:] != found:
         raise Damaged("payload digest differs")
@@ -188,9 +202,19 @@ def _members(date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for row in zip(*(batch.column(x).to_pylist() for x in ("page_id", "url", "html", "digest", "refers_to", "again")), strict=True):
+            for row in zip(
+                *(batch.column(x).to_pylist() for x in ("page_id", "url", "html", "digest", "refers_to", "again")),
+                strict=True
+            ):
                 page, url, html, digest, refers_to, again = row
-                out.append(member(record_bytes(f"{_ID}{page}", url, (html or "").encode(), digest, f"{_ID}{refers_to}" if again else None, date))[:-1])
+                out.append(
+                    member(
+                        record_bytes(
+                            f"{_ID}{page}", url, (html or "").encode(), digest, f"{_ID}{refers_to}" if again else None,
+                            date
+                        )
+                    )[:-1]
+                )
             yield pa.RecordBatch.from_pydict({"record": pa.array(out, pa.binary())})
 
     return run
@@ -205,14 +229,22 @@ def write_warc(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES,
     gives a record id without a number. No pages give an archive without records.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
+    rows = pages.select(
+        F.col("page_id").cast("bigint"), F.col("url").cast("string"), html.alias("html"),
+        F.sha2(html.cast("binary"), 256).alias("digest")
+    )
     long = rows.where(F.octet_length("html") >= revisit_bytes)
-    repeats = long.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    repeats = long.groupBy("digest").agg(
+        F.min("page_id").alias("first"), F.count("*").alias("n")
+    ).where("n > 1 and first is not null")
     kept = new_path(pages.sparkSession, "payloads")
     repeats.select("digest", "first").write.parquet(kept)
     repeats = pages.sparkSession.read.schema("digest string, first bigint").parquet(kept)
     # As a stored table, the repeats have a known size: Spark broadcasts them only below its limit.
-    marked = rows.join(repeats, "digest", "left").select("*", (F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))).alias("again")).withColumnRenamed("first", "refers_to")
+    marked = rows.join(repeats, "digest", "left").select(
+        "*",
+        (F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))).alias("again")
+    ).withColumnRenamed("first", "refers_to")
     # Spark's text writer ends each row with the separator, which is the member's last byte.
     size, above = F.octet_length("html"), 0
     least, most = rows.agg(F.min(size), F.max(size)).first()
@@ -226,13 +258,22 @@ def write_warc(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES,
 
 def _salvaged(payloads: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reason", pa.string()), *((x, pa.string()) for x in ("record_type", "record_id", "refers_to", "target_uri")), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
+        schema = pa.schema(
+            [
+                ("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("reason", pa.string()),
+                *((x, pa.string()) for x in ("record_type", "record_id", "refers_to", "target_uri")),
+                ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())
+            ]
+        )
         for batch in batches:
             for path, data in zip(batch.column("path"), batch.column("content"), strict=True):
                 held, size = [], 0
                 for row in salvage(data.as_py() or b""):
                     size += len(row.get("payload") or b"")
-                    held.append(dict.fromkeys(schema.names) | row | {"path": path.as_py()} | ({} if payloads else {"payload": None}))
+                    held.append(
+                        dict.fromkeys(schema.names) | row | {"path": path.as_py()}
+                        | ({} if payloads else {"payload": None})
+                    )
                     if size > 8_000_000:
                         yield pa.RecordBatch.from_pylist(held, schema)
                         held, size = [], 0
@@ -257,8 +298,14 @@ def op3_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = read_warc(spark, f"{path}/part-*", payloads=False)
     # These archives are whole; a gap would silently shorten the result, so it ends the query.
     damage = F.raise_error(F.concat(F.lit("damaged archive: "), F.col("path"), F.lit(": "), F.col("reason")))
-    page = F.when(F.col("reason").isNull(), F.substring("record_id", len(_ID) + 1, 30).try_cast("bigint")).otherwise(damage.cast("bigint"))
-    return found.select(page.alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.substring("refers_to", len(_ID) + 1, 30).try_cast("bigint").alias("refers_to"))
+    page = F.when(
+        F.col("reason").isNull(),
+        F.substring("record_id", len(_ID) + 1, 30).try_cast("bigint")
+    ).otherwise(damage.cast("bigint"))
+    return found.select(
+        page.alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        F.substring("refers_to", len(_ID) + 1, 30).try_cast("bigint").alias("refers_to")
+    )
 
 
 ORACLE_SQL = """

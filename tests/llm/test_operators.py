@@ -38,7 +38,10 @@ def docs(spark):
 @pytest.mark.parametrize("name", ["docs", "hard_docs"])
 def test_token_counts(request, name):
     df, library = request.getfixturevalue(name), Tokenizer.from_file(WORD)
-    want = by_row((i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in texts(df))
+    want = by_row(
+        (i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 2048)
+        for i, t in texts(df)
+    )
     assert by_row(token_counts.token_counts(df, WORD, block_chars=20_000).collect()) == want
 
 
@@ -49,7 +52,10 @@ def test_bpe_round_trip(request, name):
     for i, t in texts(df):
         ids = library.encode(t or "", add_special_tokens=False).ids
         want[i, len(ids), np.array(ids, "<u4").tobytes(), library.decode(ids, skip_special_tokens=False)] += 1
-    got = Counter((r.doc_id, r.n_tokens, bytes(r.ids), r.decoded) for r in bpe_tree.bpe_round_trip(df, BYTE, leaf_chars=50).collect())
+    got = Counter(
+        (r.doc_id, r.n_tokens, bytes(r.ids), r.decoded)
+        for r in bpe_tree.bpe_round_trip(df, BYTE, leaf_chars=50).collect()
+    )
     assert got == want
 
 
@@ -57,7 +63,17 @@ CODER, LIBRARY = bpe_tree.TreeBPE(BYTE, leaf_chars=5), Tokenizer.from_file(BYTE)
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(["a", "the", "ing", "'s", "'", "'ll", " ", "   ", "\n", "é", "日本", "!", "..", "12", "😀", "\r", "\t", "–", "«", "'re", "\x1c", "\xa0", "½", "<|endoftext|>", " ", "X"]), max_size=60).map("".join))
+@given(
+    st.lists(
+        st.sampled_from(
+            [
+                "a", "the", "ing", "'s", "'", "'ll", " ", "   ", "\n", "é", "日本", "!", "..", "12", "😀", "\r", "\t", "–",
+                "«", "'re", "\x1c", "\xa0", "½", "<|endoftext|>", " ", "X"
+            ]
+        ),
+        max_size=60
+    ).map("".join)
+)
 def test_tree_concatenation_agrees_with_the_library(text):
     ids = CODER.encode_batch([text])[0]
     assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids and CODER.decode(ids) == text
@@ -73,7 +89,9 @@ def test_every_long_text_goes_through_the_tree():
         if text is None or len(text) <= coder.leaf_chars:
             continue
         before, long = coder.joins, long + 1
-        assert np.frombuffer(coder.encode_batch([text])[0], "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(
+            coder.encode_batch([text])[0], "<u4"
+        ).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
         assert coder.joins > before
     assert long
 
@@ -85,7 +103,10 @@ def test_every_long_text_goes_through_the_tree():
 def test_ring_shards(request, name):
     df = request.getfixturevalue(name)
     rows = ring_shards.ring_shards(df).collect()
-    assert by_row((r.doc_id, r.size, r.text_crc32) for r in rows) == by_row((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in texts(df))
+    assert by_row((r.doc_id, r.size, r.text_crc32) for r in rows) == by_row(
+        (i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()))
+        for i, t in texts(df)
+    )
     counts = Counter(r.shard for r in rows)
     assert not rows or max(counts.values()) - min(counts[s] for s in range(24)) <= 1
     for s in counts:
@@ -159,7 +180,13 @@ def test_a_further_shard_moves_few_rows_where_there_is_room():
 
 
 def test_warc_round_trip_and_hot_payload(spark):
-    pages = spark.createDataFrame([(i, "http://a/", "x" * 200 if i % 3 else f"page {i}") for i in range(60)] + [(None, None, "x" * 200), (60, "u\r\nv", None), (1, "u", "x" * 200)], "page_id bigint, url string, html string")
+    pages = spark.createDataFrame(
+        [
+            (i, "http://a/", "x" * 200 if i % 3 else f"page {i}")
+            for i in range(60)
+        ] + [(None, None, "x" * 200), (60, "u\r\nv", None), (1, "u", "x" * 200)],
+        "page_id bigint, url string, html string"
+    )
     path = new_path(spark, "warc")
     warc.write_warc(pages, path)
     got = warc.read_warc(spark, f"{path}/part-*").collect()
@@ -172,7 +199,10 @@ def test_warc_round_trip_and_hot_payload(spark):
 
 def test_salvage_finds_what_lies_behind_the_damage():
     r = random.Random(1)
-    records = [warc.record_bytes(f"urn:page:{i}", "u", bytes(r.randrange(32, 127) for _ in range(r.randrange(0, 900))), "") for i in range(12)]
+    records = [
+        warc.record_bytes(f"urn:page:{i}", "u", bytes(r.randrange(32, 127) for _ in range(r.randrange(0, 900))), "")
+        for i in range(12)
+    ]
     records = [x.replace(b"WARC-Payload-Digest: sha256:\r\n", b"") for x in records]
     for pack in (warc.member, lambda x: x):
         units = [pack(x) for x in records]
@@ -182,8 +212,14 @@ def test_salvage_finds_what_lies_behind_the_damage():
         data[starts[4] + len(units[4]) // 2] ^= 255
         data[starts[8]] ^= 1
         found = list(warc.salvage(bytes(data[:-5])))
-        assert [x["record_id"] for x in found if "record_id" in x] == [f"urn:page:{i}" for i in range(11) if i not in (4, 8)]
-        assert [(x["start"], x["end"]) for x in found if "reason" in x] == [(starts[4], starts[5]), (starts[8], starts[9]), (starts[11], len(data) - 5)]
+        assert [x["record_id"] for x in found if "record_id" in x] == [
+            f"urn:page:{i}"
+            for i in range(11)
+            if i not in (4, 8)
+        ]
+        assert [(x["start"], x["end"]) for x in found if "reason" in x] == [
+            (starts[4], starts[5]), (starts[8], starts[9]), (starts[11], len(data) - 5)
+        ]
 
 
 @pytest.mark.parametrize("level", [0, 6])
@@ -191,14 +227,24 @@ def test_salvage_within_members(level):
     import gzip
 
     r = random.Random(2)
-    records = [warc.record_bytes(f"urn:page:{i}", "u", bytes(r.randrange(32, 127) for _ in range(900)), hashlib.sha256(b"").hexdigest()) for i in range(12)]
-    records = [x.replace(b"WARC-Payload-Digest: sha256:" + hashlib.sha256(b"").hexdigest().encode() + b"\r\n", b"") for x in records]
+    records = [
+        warc.record_bytes(
+            f"urn:page:{i}", "u", bytes(r.randrange(32, 127) for _ in range(900)), hashlib.sha256(b"").hexdigest()
+        )
+        for i in range(12)
+    ]
+    records = [
+        x.replace(b"WARC-Payload-Digest: sha256:" + hashlib.sha256(b"").hexdigest().encode() + b"\r\n", b"")
+        for x in records
+    ]
     ids = lambda data: [x["record_id"] for x in warc.salvage(data) if "record_id" in x]
     name = lambda *places: [f"urn:page:{i}" for i in places]
     pack = lambda x: gzip.compress(b"".join(x), level, mtime=0)
     bad = [x[:-50] + b"#" + x[-49:] if i == 4 else x for i, x in enumerate(records)]
     found = list(warc.salvage(pack(bad)))
-    assert [x.get("record_id") for x in found] == [*name(*range(4)), None, *name(*range(5, 12))] and found[4]["reason"] == "block digest differs"
+    assert [x.get("record_id") for x in found] == [
+        *name(*range(4)), None, *name(*range(5, 12))
+    ] and found[4]["reason"] == "block digest differs"
     whole = pack(records)
     assert ids(whole) == name(*range(12))
     cut = ids(whole[: len(whole) * 2 // 3])
@@ -220,7 +266,11 @@ def test_language_tree(spark, docs, hard_docs, no_docs):
     assert sum(lang[r.doc_id] == r.lang_pred for r in held) >= 0.95 * len(held)
     model = language_tree.fit(docs)
     got = {r.doc_id: r for r in language_tree.identify(hard_docs, model).collect()}
-    assert {i for i, r in got.items() if r.lang_pred == "und"} == {3, 4, 8, 9} and all(0 <= r.score <= 1 for r in got.values())
+    assert {
+        i
+        for i, r in got.items()
+        if r.lang_pred == "und"
+    } == {3, 4, 8, 9} and all(0 <= r.score <= 1 for r in got.values())
     assert language_tree.fit(no_docs) is None
     assert {r.lang_pred for r in language_tree.identify(hard_docs, None).collect()} == {"und"}
     kept = language_tree.language_stage(spark, hard_docs, "")
@@ -256,7 +306,10 @@ def test_features_and_predictions_against_plain_ones(docs, monkeypatch):
         assert np.allclose(language_tree.features(sample[:12]), wanted, atol=1e-6)
     got, _ = model.predict(wanted.astype(np.float32))
     for x, lang in zip(wanted, got, strict=True):
-        p = lambda i: 1 / (1 + np.exp(-((x @ model.weights[:, i] + model.bias[i]) * model.scale[i, 0] + model.scale[i, 1])))  # noqa: B023, E731
+        p = lambda i: 1 / (  # noqa: B023, E731
+            1
+            + np.exp(-((x @ model.weights[:, i] + model.bias[i]) * model.scale[i, 0] + model.scale[i, 1]))
+        )
         n = len(model.families) if len(model.families) > 1 else 0
         family = max(range(n), key=p) if n else 0
         votes = Counter(dict.fromkeys(model.members[family], 0))
@@ -269,7 +322,13 @@ def test_features_and_predictions_against_plain_ones(docs, monkeypatch):
 
 
 def test_a_rare_language_is_learned(spark):
-    rows = [(i, f"the one and the other of them {i}" if i % 100 else "der eine und die andere von ihnen", "en" if i % 100 else "de") for i in range(4_000)]
+    rows = [
+        (
+            i, f"the one and the other of them {i}" if i % 100 else "der eine und die andere von ihnen",
+            "en" if i % 100 else "de"
+        )
+        for i in range(4_000)
+    ]
     model = language_tree.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), sample=50)
     assert model.langs == ["de", "en"]
 
@@ -287,7 +346,12 @@ def test_kernel_and_table_against_a_plain_subsequence_kernel():
                 for k in range(j + 1, min(len(c), i + toxicity.SPAN)):
                     out[c[i], c[j], c[k]] += toxicity.DECAY ** (k - i - 2)
         # Repeated triples are weighed one by one in the norm.
-        norm = sum(toxicity.DECAY ** (2 * (k - i - 2)) for i in range(len(c)) for j in range(i + 1, len(c)) for k in range(j + 1, min(len(c), i + toxicity.SPAN))) ** 0.5
+        norm = sum(
+            toxicity.DECAY ** (2 * (k - i - 2))
+            for i in range(len(c))
+            for j in range(i + 1, len(c))
+            for k in range(j + 1, min(len(c), i + toxicity.SPAN))
+        ) ** 0.5
         return {t: w / norm for t, w in out.items()}
 
     made = [plain(w) for w in words]
@@ -296,7 +360,10 @@ def test_kernel_and_table_against_a_plain_subsequence_kernel():
     text = ["so a trash! idiot." if i % 3 else f"plain words {i} here." for i in range(60)]
     model = toxicity.ToxicityModel(text, [int(i % 3 > 0) for i in range(60)], landmarks=12)
     score = model.score_words(["idiot", "plain"])
-    table = lambda w: sum(x * model.table[(a * toxicity.SYMBOLS + b) * toxicity.SYMBOLS + c] for (a, b, c), x in plain(w).items())
+    table = lambda w: sum(
+        x * model.table[(a * toxicity.SYMBOLS + b) * toxicity.SYMBOLS + c]
+        for (a, b, c), x in plain(w).items()
+    )
     assert np.allclose(score, [table("idiot"), table("plain")], atol=1e-4)
 
 
@@ -308,7 +375,9 @@ def test_long_texts_are_scored_in_blocks():
     sentences = list(toxicity.sentences_of(long))
     model.learn({w for s in sentences for w in s}, known)
     assert model.score([long * 3], {})[0] == pytest.approx(model.score([long * 3], known)[0])
-    assert model.features(iter(sentences), {}) == pytest.approx(model.features(iter(sentences[-1:] + sentences[:-1]), {}))
+    assert model.features(iter(sentences), {}) == pytest.approx(
+        model.features(iter(sentences[-1:] + sentences[:-1]), {})
+    )
 
 
 
@@ -320,7 +389,14 @@ def test_toxicity_tolerates_gaps_and_insertions(spark, hard_docs, no_docs):
     y = [i % 4 == 0 for i in range(600)]
     model = toxicity.ToxicityModel([say(r.choice(bad)) if t else say() for t in y], [int(t) for t in y], landmarks=60)
     clean = model.score([say() for _ in range(100)], {})
-    gapped = model.score([say(w) for w in ("wret.chling", "w r e t c h l i n g", "snivvelgob", "mudgrubxber", "SNIVELGOB!!") for _ in range(20)], {})
+    gapped = model.score(
+        [
+            say(w)
+            for w in ("wret.chling", "w r e t c h l i n g", "snivvelgob", "mudgrubxber", "SNIVELGOB!!")
+            for _ in range(20)
+        ],
+        {}
+    )
     assert (clean < 0.3).mean() > 0.9 and (gapped >= 0.3).mean() > 0.9
     got = toxicity.toxicity(hard_docs, model).collect()
     assert len(got) == hard_docs.count() and all(0 <= x.score <= 1 for x in got)
@@ -378,7 +454,12 @@ def test_repeats_stage(spark, hard_docs):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.text("ab\0", min_size=9, max_size=30), st.integers(0, 8), st.integers(1, 2)), min_size=1, max_size=8))
+@given(
+    st.lists(
+        st.tuples(st.text("ab\0", min_size=9, max_size=30), st.integers(0, 8), st.integers(1, 2)), min_size=1,
+        max_size=8
+    )
+)
 def test_order_of_strings_around_a_trigger(rows):
     """Neighbours in the order of dictionary and parse suffixes are the strings that a plain count finds."""
     bodies = [x.encode()[: k + 1] + b"TRIG" + x.encode()[k + 1 :] for x, k, _ in rows]
@@ -387,12 +468,22 @@ def test_order_of_strings_around_a_trigger(rows):
     for b, a in zip(bodies, at, strict=True):  # only strings that hold the trigger
         lo, hi = max(0, a + 4 - length), min(a, len(b) - length)
         keep.append((b[lo : hi + length], a - lo) if lo <= hi else None)
-    at, counts, bodies = np.array([k[1] for k in keep if k], np.int64), counts[[k is not None for k in keep]], [k[0] for k in keep if k]
+    at, counts, bodies = np.array(
+        [k[1] for k in keep if k], np.int64
+    ), counts[[k is not None for k in keep]], [k[0] for k in keep if k]
     if not bodies:
         return
     got = parsed_repeats.repeated_in(bodies, at, counts, np.zeros(len(bodies), np.int64), length)
     for b, a, flags in zip(bodies, at, got, strict=True):
-        total = [sum(n for c, x, n in zip(bodies, at, counts, strict=True) for q in range(len(c) - length + 1) if c[q : q + length] == b[p : p + length] and x - q == a - p) for p in range(len(flags))]
+        total = [
+            sum(
+                n
+                for c, x, n in zip(bodies, at, counts, strict=True)
+                for q in range(len(c) - length + 1)
+                if c[q : q + length] == b[p : p + length] and x - q == a - p
+            )
+            for p in range(len(flags))
+        ]
         assert flags.tolist() == [t > 1 for t in total]
 
 
@@ -402,15 +493,29 @@ def test_a_trigger_in_very_many_surroundings(spark, monkeypatch):
     r = random.Random(9)
     word = lambda: f"w{r.randrange(10**6)}"
     passage = " ".join(word() for _ in range(40))
-    rows = [(i, " ".join(word() for _ in range(r.randrange(30))) + passage[r.randrange(0, 60) : r.randrange(200, len(passage) + 40)] + " ".join(word() for _ in range(r.randrange(30)))) for i in range(300)]
+    rows = [
+        (
+            i,
+            " ".join(word() for _ in range(r.randrange(30))) + passage[
+                r.randrange(0, 60) : r.randrange(200, len(passage) + 40)
+            ] + " ".join(word() for _ in range(r.randrange(30)))
+        )
+        for i in range(300)
+    ]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert by_row(parsed_repeats.repeat_digests(df).collect()) == brute_repeats(rows)
     run = spark.createDataFrame([(1, "x" * 1_000_000), (2, "ab" * 500_000)], "doc_id bigint, text string")
-    assert [(x.n_bytes, x.n_removed, x.n_spans) for x in parsed_repeats.repeat_digests(run).collect()] == [(1_000_000, 1_000_000, 1)] * 2
+    assert [
+        (x.n_bytes, x.n_removed, x.n_spans)
+        for x in parsed_repeats.repeat_digests(run).collect()
+    ] == [(1_000_000, 1_000_000, 1)] * 2
 
 
 def test_repeats_stage_keeps_columns_of_any_name(spark):
-    df = spark.createDataFrame([(1, PASSAGE + "left", 1, "a", 2), (2, PASSAGE, 3, "b", 4), (3, None, 5, None, 6)], "doc_id bigint, text string, _rid int, spans string, row int")
+    df = spark.createDataFrame(
+        [(1, PASSAGE + "left", 1, "a", 2), (2, PASSAGE, 3, "b", 4), (3, None, 5, None, 6)],
+        "doc_id bigint, text string, _rid int, spans string, row int"
+    )
     got = sorted(tuple(x) for x in parsed_repeats.repeats_stage(spark, df, "").collect())
     assert got == [(1, "left", 1, "a", 2), (3, None, 5, None, 6)]
 
@@ -421,7 +526,16 @@ def test_repeats_stage_keeps_columns_of_any_name(spark):
 def test_group_links_against_all_pairs():
     r = np.random.default_rng(2)
     for _ in range(15):
-        codes = np.unique(np.array([int(b) ^ sum({1 << int(k) for k in r.integers(0, 64, r.integers(0, 6))}) for b in r.integers(0, 2**63, 12) for _ in range(40)], np.uint64))
+        codes = np.unique(
+            np.array(
+                [
+                    int(b) ^ sum({1 << int(k) for k in r.integers(0, 64, r.integers(0, 6))})
+                    for b in r.integers(0, 2**63, 12)
+                    for _ in range(40)
+                ],
+                np.uint64
+            )
+        )
         a, b = simhash_gray.group_links(np.zeros(len(codes), int), codes)
         near = np.nonzero(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 4)
         place = {int(c): i for i, c in enumerate(codes)}
@@ -438,7 +552,10 @@ def test_fingerprints_of_long_texts_in_steps(docs, monkeypatch):
 
 def test_links_of_one_group_of_any_size(spark):
     r = np.random.default_rng(5)
-    codes = np.unique(np.array([sum({1 << int(k) for k in r.integers(0, 20, r.integers(0, 9))}) for _ in range(900)], np.int64) | np.int64(1 << 62))
+    codes = np.unique(
+        np.array([sum({1 << int(k) for k in r.integers(0, 20, r.integers(0, 9))}) for _ in range(900)], np.int64)
+        | np.int64(1 << 62)
+    )
     near = np.nonzero(np.bitwise_count(codes[:, None] ^ codes[None, :]) <= 4)
     place = {int(c): i for i, c in enumerate(codes)}
     df = spark.createDataFrame([(int(c),) for c in codes], "fp bigint")
@@ -478,7 +595,10 @@ def test_simhash_groups(request, monkeypatch, name, large):
     low = {}
     for (i, _), root in zip(rows, roots, strict=True):
         low[root] = min((x for x in (low.get(root), i) if x is not None), default=None)
-    want = Counter((i, p - (1 << 64) if p >> 63 else p, low[root]) for (i, _), p, root in zip(rows, prints, roots, strict=True))
+    want = Counter(
+        (i, p - (1 << 64) if p >> 63 else p, low[root])
+        for (i, _), p, root in zip(rows, prints, roots, strict=True)
+    )
     assert Counter((r.doc_id, r.fp, r.component_id) for r in simhash_gray.simhash_groups(df).collect()) == want
 
 
@@ -491,12 +611,19 @@ def test_near_dedup_stage(spark, hard_docs):
 def test_near_dedup_judges_rows(spark):
     """Texts that share a doc_id, null ids, repeated rows and columns of any name."""
     one = "one two three four five six seven eight"
-    rows = [(1, "a b c"), (1, "q r s t u"), (2, "a b c"), (None, "v w x y z"), (None, "v w x y z"), (3, one), (3, one), (3, one + " nine"), (None, one), (4, "only here now")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("doc_id", "text", "1 AS _place", "2 AS th", "3 AS root", "4 AS id", "5 AS row")
+    rows = [
+        (1, "a b c"), (1, "q r s t u"), (2, "a b c"), (None, "v w x y z"), (None, "v w x y z"), (3, one), (3, one),
+        (3, one + " nine"), (None, one), (4, "only here now")
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr(
+        "doc_id", "text", "1 AS _place", "2 AS th", "3 AS root", "4 AS id", "5 AS row"
+    )
     left = simhash_gray.near_dedup_stage(spark, df, "")
     got = Counter((r.doc_id, r.text) for r in left.collect())
     assert left.columns == df.columns and set(got.values()) == {1}
-    assert set(got) - {(3, one), (3, one + " nine")} == {(1, "a b c"), (1, "q r s t u"), (None, "v w x y z"), (4, "only here now")} and len(got) == 5
+    assert set(got) - {(3, one), (3, one + " nine")} == {
+        (1, "a b c"), (1, "q r s t u"), (None, "v w x y z"), (4, "only here now")
+    } and len(got) == 5
     assert simhash_gray.near_dedup_stage(spark, df.limit(0), "").count() == 0
 
 
@@ -528,7 +655,10 @@ def test_near_dedup_against_brute_force(spark, monkeypatch, sizes):
     roots = local_roots(len(rows), *near)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert 5 < len(set(roots)) < len({frozenset(x) for x in made})
-    assert sorted(x.doc_id for x in simhash_gray.near_dedup_stage(spark, df, "").collect()) == sorted(set(roots.tolist()))
+    assert sorted(
+        x.doc_id
+        for x in simhash_gray.near_dedup_stage(spark, df, "").collect()
+    ) == sorted(set(roots.tolist()))
 
 
 # --- benchmark
@@ -549,12 +679,20 @@ def test_leaks_against_full_alignment(spark, docs, hard_docs, no_docs):
             text[at : at + r.randrange(2)] = r.choice(["", "x", "ab"])
         edited = "so it goes " + "".join(text) + " and on"
         got = {i: e for _, i, e, _ in index.search([edited])}
-        assert [e for i, t in items if t == item for e in [got.get(i)]][0] == qgram_leaks.edits_within(want, qgram_leaks.normal(edited), limit)
+        assert [
+            e
+            for i, t in items
+            if t == item
+            for e in [got.get(i)]
+        ][0] == qgram_leaks.edits_within(want, qgram_leaks.normal(edited), limit)
     assert [x[1:3] for x in index.search(["a TINY-1 b", "tiny 12"])] == [(900, 0)]
     plain = [(i, qgram_leaks.normal(t)) for i, t in texts(docs)]
     exact = {(i, k) for i, t in plain for k, x in items[:-3] if qgram_leaks.normal(x) in t}
     for block in (qgram_leaks.BLOCK_CHARS, 2_000):
-        got = {(x.doc_id, x.item_id) for x in qgram_leaks.benchmark_leaks(docs, benchmark, block_chars=block).where("edits = 0").collect()}
+        got = {
+            (x.doc_id, x.item_id)
+            for x in qgram_leaks.benchmark_leaks(docs, benchmark, block_chars=block).where("edits = 0").collect()
+        }
         assert got == exact
     assert qgram_leaks.benchmark_leaks(hard_docs, benchmark).count() == 0 and qgram_leaks.benchmark_leaks(no_docs, benchmark).count() == 0
     assert qgram_leaks.benchmark_leaks(docs, benchmark.limit(0)).count() == 0
@@ -564,8 +702,12 @@ def test_leaks_against_full_alignment(spark, docs, hard_docs, no_docs):
 
 def test_leaks_of_items_without_an_id(spark, monkeypatch):
     first, second = ("".join(f"{w}{i} " for i in range(12)) for w in ("apple", "pear"))
-    docs = spark.createDataFrame([(1, f"so {first} on {second}"), (2, "tiny 1 too"), (3, "clean")], "doc_id bigint, text string")
-    benchmark = spark.createDataFrame([(None, first), (None, second), (None, "tiny 1"), (None, None), (7, first)], "item_id bigint, text string")
+    docs = spark.createDataFrame(
+        [(1, f"so {first} on {second}"), (2, "tiny 1 too"), (3, "clean")], "doc_id bigint, text string"
+    )
+    benchmark = spark.createDataFrame(
+        [(None, first), (None, second), (None, "tiny 1"), (None, None), (7, first)], "item_id bigint, text string"
+    )
     for block in (qgram_leaks.BLOCK_CHARS, 50):
         got = qgram_leaks.benchmark_leaks(docs, benchmark, block_chars=block).collect()
         assert Counter((x.doc_id, x.item_id) for x in got) == {(1, None): 2, (1, 7): 1, (2, None): 1}
@@ -576,14 +718,19 @@ def test_leaks_of_items_without_an_id(spark, monkeypatch):
 def test_leaks_of_many_items_of_one_template():
     import time
 
-    items = [(i, f"Question {i}: what is the capital of the country that has number {i * 7919 % 100_003} in the long list?") for i in range(20_000)]
+    items = [
+        (i, f"Question {i}: what is the capital of the country that has number {i * 7919 % 100_003} in the long list?")
+        for i in range(20_000)
+    ]
     index = qgram_leaks.ItemIndex([*items, (20_000, items[5][1].upper())])
     began = time.time()
     got = index.search([items[5][1]])
     assert time.time() - began < 20
     assert {(i, e) for _, i, e, _ in got if e == 0} == {(5, 0), (20_000, 0)}
     for _, i, e, _ in random.Random(1).sample(got, min(20, len(got))):
-        assert e == qgram_leaks.edits_within(qgram_leaks.normal(items[i % 20_000 if i < 20_000 else 5][1]), qgram_leaks.normal(items[5][1]), 20)
+        assert e == qgram_leaks.edits_within(
+            qgram_leaks.normal(items[i % 20_000 if i < 20_000 else 5][1]), qgram_leaks.normal(items[5][1]), 20
+        )
 
 
 def test_leaks_in_long_texts(monkeypatch):
@@ -591,9 +738,15 @@ def test_leaks_in_long_texts(monkeypatch):
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
     items = [(i, " ".join(word() for _ in range(12))) for i in range(6)]
-    text = " ".join([*(word() for _ in range(300)), items[3][1], *(word() for _ in range(50)), items[0][1].replace("a", "b", 3)])
+    text = " ".join(
+        [*(word() for _ in range(300)), items[3][1], *(word() for _ in range(50)), items[0][1].replace("a", "b", 3)]
+    )
     index = qgram_leaks.ItemIndex(items)
-    want = sorted((0, i, e) for i, t in items if (e := qgram_leaks.edits_within(t, qgram_leaks.normal(text), int(len(t) * 0.1))) is not None)
+    want = sorted(
+        (0, i, e)
+        for i, t in items
+        if (e := qgram_leaks.edits_within(t, qgram_leaks.normal(text), int(len(t) * 0.1))) is not None
+    )
     assert [x[:3] for x in index.search([text])] == want and len(want) == 2
 
 
@@ -608,7 +761,12 @@ def plain_edits(item, region):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.text("abc", min_size=1, max_size=9), st.text("abc", max_size=14), st.integers(0, 9)), min_size=1, max_size=6))
+@given(
+    st.lists(
+        st.tuples(st.text("abc", min_size=1, max_size=9), st.text("abc", max_size=14), st.integers(0, 9)), min_size=1,
+        max_size=6
+    )
+)
 def test_alignments_side_by_side(rows):
     items, regions, limits = zip(*rows, strict=True)
     want = [e if (e := plain_edits(a, b)) <= k else -1 for a, b, k in rows]
@@ -665,7 +823,10 @@ def test_sketches(request, name):
     for k, (i, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1] or ""
         edit = scaled_sketch.edited(t or "", after)
-        near = [scaled_sketch.containment(scaled_sketch.from_text(one(t)), scaled_sketch.from_text(one(x))) for x in (edit, after)]
+        near = [
+            scaled_sketch.containment(scaled_sketch.from_text(one(t)), scaled_sketch.from_text(one(x)))
+            for x in (edit, after)
+        ]
         want[i, len(t or ""), hashlib.sha256(edit.encode()).hexdigest(), one(t), one(edit), *near] += 1
     assert by_row(scaled_sketch.neighbour_likeness(df).collect()) == want
     assert by_row(scaled_sketch.document_sketches(df).collect()) == by_row((i, one(t)) for i, t in rows)

@@ -52,13 +52,19 @@ def test_run(spark):
         if kept:
             left[i] = kept
     items = [qgram_leaks.normal(x.text) for x in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    hit = lambda t: any(qgram_leaks.edits_within(x, qgram_leaks.normal(t), int(len(x) * qgram_leaks.EDITS)) is not None for x in items if len(x) <= 1.2 * len(t))
+    hit = lambda t: any(
+        qgram_leaks.edits_within(x, qgram_leaks.normal(t), int(len(x) * qgram_leaks.EDITS)) is not None
+        for x in items
+        if len(x) <= 1.2 * len(t)
+    )
     left = {i: t for i, t in left.items() if len(t) > 20_000 or not hit(t)}
     assert got.keys() == left.keys()
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     for i, t in left.items():
         ids = library.encode(t, add_special_tokens=False).ids
-        assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
+        assert (got[i].n_tokens, got[i].ids_sha256) == (
+            len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        )
 
 
 def test_warc_query_against_sql(spark):
@@ -66,7 +72,9 @@ def test_warc_query_against_sql(spark):
     duck.sql(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
     got = QUERIES["op3_warc_salvage"](spark, str(SF))
     want = duck.sql(ORACLE_SQL["op3_warc_salvage"])
-    assert sorted(map(repr, (tuple(r[c] for c in want.columns) for r in got.collect()))) == sorted(map(repr, want.fetchall()))
+    assert sorted(
+        map(repr, (tuple(r[c] for c in want.columns) for r in got.collect()))
+    ) == sorted(map(repr, want.fetchall()))
 
 
 def test_query_names():
@@ -83,7 +91,10 @@ def test_each_stage_on_hard_and_empty_tables(request, spark, name):
         assert (out.columns == docs.columns) is (stage != "encoding")
         assert not rows if name == "no_docs" else rows
     coded = Counter((r.doc_id, r.n_tokens) for r in rows)
-    assert coded == Counter((r.doc_id, len(LIBRARY.encode(r.text or "", add_special_tokens=False).ids)) for r in docs.collect())
+    assert coded == Counter(
+        (r.doc_id, len(LIBRARY.encode(r.text or "", add_special_tokens=False).ids))
+        for r in docs.collect()
+    )
 
 
 def test_stages_leave_no_intermediates(spark, hard_docs, tmp_path, monkeypatch):
