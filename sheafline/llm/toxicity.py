@@ -25,8 +25,9 @@ from .linear import logistic, train_logistic, train_svm
 
 #: Labelled documents of each class that the model is fitted on, at most; those with the smallest hash of doc_id.
 SAMPLE = 1_500
-#: Code points of a document that the model is fitted on, at most: a piece of a longer one, at a place set by its hash.
-SAMPLE_CHARS = 6_000
+#: Code points of a clean and of a toxic document that the model is fitted on, at most: a piece of a longer one, at a
+#: place set by its hash. A piece of a toxic document may hold nothing toxic, so that of toxic ones is longer.
+SAMPLE_CHARS = (6_000, 24_000)
 LANDMARKS = 128
 DECAY = 0.5
 #: Letters from the first to the last of a triple, at most.
@@ -35,7 +36,7 @@ SYMBOLS = 40
 ROUNDS = 3
 FOLDS = 3
 #: How much a machine may give for the sentences that it gets wrong; folds choose.
-COSTS = (0.1, 3.0)
+COSTS = (0.1, 3.0, 10.0)
 THRESHOLD = 0.3
 #: A word longer than this is scored in overlapping pieces.
 PIECE = 64
@@ -299,9 +300,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> ToxicityMod
     if not ids:
         return ToxicityModel([], [])
     chosen = docs.sparkSession.createDataFrame([(x.doc_id, x.toxic) for x in ids], "doc_id bigint, toxic int")
-    rows = docs.where("text is not null").select(
-        "doc_id", piece_of(F.col("text"), SAMPLE_CHARS).alias("text")
-    ).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample).collect()
+    pieces = [piece_of(F.col("text"), n) for n in SAMPLE_CHARS]
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.select("doc_id", "toxic", F.when(F.col("toxic") == 1, pieces[1]).otherwise(pieces[0]).alias("text"))
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample).collect()
     return ToxicityModel([x.text for x in rows], [x.toxic for x in rows])
 
 
