@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, mix64, scratch, stored
+from .common import BASE, forget, mix64, scratch, stored
 from .components import components
 from .simhash_gray import bits_of, near_links
 
@@ -32,7 +32,7 @@ SAMPLE, COMMON = 20_000, 8
 #: Common shingles at most; any number is right.
 MOST_COMMON = 100_000
 #: A shingle with more sets is not compared pair by pair at once, but first each with its next few neighbours.
-LARGE, NEXT = 64, 8
+LARGE, NEXT = 64, 3
 #: Sets of one shingle that meet in one row, about; more are dealt over blocks.
 BLOCK = 512
 #: Rounds of neighbours, each in another order, before all pairs that are not yet connected.
@@ -40,7 +40,14 @@ ROUNDS = 2
 #: Pairs that are held at once, about.
 PAIRS = 50_000
 
-_SET = "th bigint, set_id bigint, n int, fp bigint, prefix array<bigint>"
+#: Entries of prefixes that meet in one place, about.
+PLACE = 300_000
+
+_SET = "th bigint, set_id bigint, n int, fp bigint, last bigint"
+_MET = "a bigint, b bigint, shingle bigint, n int, at int"
+#: An entry of a prefix: sizes are exact below the largest value, and larger sets stand at place 0.
+_ENTRY = np.dtype([("shingle", "<u8"), ("set_id", "<i8"), ("n", "<u2"), ("at", "<u2")])
+_MOST = 65_535
 
 
 def shingles(text: str | None, known: dict[bytes, int] | None = None, words: int = WORDS) -> np.ndarray:
@@ -86,42 +93,178 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]
             yield th, shingles(text, known)
 
 
-def _batched(rows: Iterator[dict], schema: pa.Schema, size: str) -> Iterator[pa.RecordBatch]:
-    held, total = [], 0
-    for row in rows:
-        held.append(row)
-        total += len(row[size])
-        if total > 200_000 or len(held) >= 5_000:
-            yield pa.RecordBatch.from_pylist(held, schema)
-            held, total = [], 0
-    yield pa.RecordBatch.from_pylist(held, schema)
-
+def _id_of(found: np.ndarray) -> int:
+    from xxhash import xxh64_intdigest
 
-_LONGS = pa.list_(pa.int64())
+    return int(np.array([xxh64_intdigest(found.tobytes(), SEED)], np.uint64).view(np.int64)[0])
 
 
 def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("th", pa.int64()), ("found", _LONGS)])
-    yield from _batched(({"th": th, "found": x.view(np.int64)} for th, x in _each(batches)), schema, "found")
+    for th, x in _each(batches):
+        yield pa.RecordBatch.from_pydict({"shingle": pa.array(x.view(np.int64))})
 
 
-def _prefixes(common: np.ndarray):
+def _sets(common: np.ndarray):
+    """The hash, size and fingerprint of each text's set, and where in the order its prefix ends, coarsened to 63 bits."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh64_intdigest
+        for batch in batches:
+            ths, ids, sizes, bits, lasts = [], [], [], [], []
+            for th, x in _each([batch]):
+                ths.append(th)
+                ids.append(_id_of(x))
+                sizes.append(len(x))
+                bits.append(bits_of(x))
+                end = prefix(x, common)[-1:] if len(x) else np.zeros(1, np.uint64)
+                late = len(common) and common[min(np.searchsorted(common, end[0]), len(common) - 1)] == end[0]
+                lasts.append((int(end[0]) >> 2) | (int(late) << 62))
+            columns = {
+                "th": pa.array(ths, pa.int64()), "set_id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int32())
+            }
+            yield pa.RecordBatch.from_pydict(
+                columns
+                | {"fp": pa.array(np.array(bits, np.uint64).view(np.int64)), "last": pa.array(lasts, pa.int64())}
+            )
+
+    return run
 
-        schema = pa.schema([("th", pa.int64()), ("set_id", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("prefix", _LONGS)])
-        signed = lambda x: x - (1 << 64) if x >> 63 else x
-        rows = ({"th": th, "set_id": signed(xxh64_intdigest(x.tobytes(), SEED)), "n": len(x), "fp": signed(bits_of(x)), "prefix": prefix(x, common).view(np.int64) if len(x) else []} for th, x in _each(batches))
-        yield from _batched(rows, schema, "prefix")
+
+def _packed(common: np.ndarray, bits: int, large: int):
+    """The entries of all prefixes in packs: those of a place share the first bits of their shingle.
+
+    A shingle of more than ``large`` sets of a batch leaves a mark in its place, and its
+    entries are dealt by set over as many other places.
+    """
+
+    def packs(place: np.ndarray, entries: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(place, kind="stable")
+        place, entries = place[order], entries[order]
+        first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, int)
+        parts = [entries[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(place)), strict=False)]
+        return pa.RecordBatch.from_pydict(
+            {"place": pa.array(place[first].astype(np.int64)), "pack": pa.array(parts, pa.binary())}
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shift = np.uint64(64 - bits)
+        for batch in batches:
+            sets = {_id_of(x): x for _, x in _each([batch]) if len(x)}
+            prefixes = [prefix(x, common) for x in sets.values()]
+            size = np.array([len(x) for x in prefixes], np.int64)
+            entries = np.zeros(size.sum(), _ENTRY)
+            if not len(entries):
+                continue
+            n = np.repeat([len(x) for x in sets.values()], size)
+            at = np.arange(len(entries)) - np.repeat(np.cumsum(size) - size, size)
+            entries["shingle"], entries["set_id"] = np.concatenate(prefixes), np.repeat(list(sets), size)
+            entries["n"], entries["at"] = np.minimum(n, _MOST), np.where(n < _MOST, at, 0)
+            entries = entries[np.argsort(entries["shingle"], kind="stable")]
+            new = np.concatenate([[True], entries["shingle"][1:] != entries["shingle"][:-1]])
+            count = np.diff(np.append(np.flatnonzero(new), len(entries)))
+            hot = np.repeat(count > large, count)
+            marks = entries[new][count > large]
+            marks["n"] = 0
+            usual = np.concatenate([entries[~hot], marks])
+            yield packs(usual["shingle"] >> shift, usual)
+            if hot.any():
+                yield packs((entries["set_id"][hot].view(np.uint64) >> shift) + np.uint64(1 << bits), entries[hot])
 
     return run
 
 
-def _pairs(a: np.ndarray, b: np.ndarray, ids: np.ndarray, n: np.ndarray, at: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
-    """Pairs that are not yet connected and may be alike, if this is the first shingle that they share."""
-    fits = (root[a] != root[b]) & (np.minimum(n[a] - at[a], n[b] - at[b]) * (100 + ALIKE) >= (n[a] + n[b]) * ALIKE)
-    a, b = ids[a[fits]], ids[b[fits]]
-    return pa.RecordBatch.from_pydict({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+def _near_enough(n_a: np.ndarray, at_a: np.ndarray, n_b: np.ndarray, at_b: np.ndarray) -> np.ndarray:
+    """Whether two sets may be alike if an entry of each is the first shingle that they share."""
+    return np.minimum(n_a - at_a, n_b - at_b) * (100 + ALIKE) >= (n_a + n_b) * ALIKE
+
+
+def _met(bits: int, large: int):
+    """Of the entries that meet in a place: pairs of sets (a, b), once for each small list, and the entries of large ones (a, shingle, n, at)."""
+
+    def entries_out(x: np.ndarray) -> pa.RecordBatch:
+        none = pa.nulls(len(x), pa.int64())
+        return pa.RecordBatch.from_pydict(
+            {
+                "a": pa.array(x["set_id"]), "b": none, "shingle": pa.array(x["shingle"].view(np.int64)),
+                "n": pa.array(x["n"].astype(np.int32)), "at": pa.array(x["at"].astype(np.int32))
+            }
+        )
+
+    def solved(place: int, packs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        x = np.frombuffer(b"".join(packs), _ENTRY)
+        if place >= 1 << bits:
+            yield entries_out(x)
+            return
+        x = x[np.lexsort((x["set_id"], x["shingle"]))]
+        group = np.cumsum(np.concatenate([[0], x["shingle"][1:] != x["shingle"][:-1]]))
+        marked = np.bincount(group, x["n"] == 0) > 0
+        keep = (x["n"] > 0) & np.concatenate(
+            [[True], (group[1:] != group[:-1]) | (x["set_id"][1:] != x["set_id"][:-1]) | (x["n"][:-1] == 0)]
+        )
+        x, group = x[keep], group[keep]
+        size = np.bincount(group, minlength=len(marked))
+        big = (marked | (size > large))[group]
+        if big.any():
+            yield entries_out(x[big])
+        few = ~big & (size[group] > 1)
+        x, group = x[few], group[few]
+        n, ids = x["n"].astype(np.int64), x["set_id"]
+        for step in range(1, large):
+            a = np.flatnonzero(group[step:] == group[:-step])
+            if not len(a):
+                break
+            low, high = np.minimum(n[a], n[a + step]), np.maximum(n[a], n[a + step])
+            a = a[low * 100 >= high * ALIKE]
+            none, zero = pa.nulls(len(a), pa.int64()), pa.nulls(len(a), pa.int32())
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "a": pa.array(np.minimum(ids[a], ids[a + step])), "b": pa.array(np.maximum(ids[a], ids[a + step])),
+                    "shingle": none, "n": zero, "at": zero
+                }
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for place, pack in zip(batch.column("place").to_pylist(), batch.column("pack").to_pylist(), strict=True):
+                if place != now and held:
+                    yield from solved(now, held)
+                    held = []
+                now = place
+                held.append(pack)
+        if held:
+            yield from solved(now, held)
+
+    return run
+
+
+class _Members:
+    """The sets of a list: size, place and root, entries in large lists, and where the prefix ends."""
+
+    def __init__(self, x: pa.StructArray) -> None:
+        for c in ("set_id", "n", "at", "root", "hot", "last", "block"):
+            setattr(self, c, x.field(c).to_numpy(zero_copy_only=False).astype(np.int64))
+
+    def sort(self, order: np.ndarray) -> None:
+        for c, x in vars(self).items():
+            setattr(self, c, x[order])
+
+    def pairs(self, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        """Pairs that are not yet connected and may be alike, if this is the first shingle that they share.
+
+        What they share in small lists is counted elsewhere; here it is nothing.
+        """
+        n, rest = self.n, (self.n * ALIKE + 99) // 100 - 1
+        fits = (self.root[a] != self.root[b]) & _near_enough(n[a], self.at[a], n[b], self.at[b])
+        a, b = a[fits], b[fits]
+        beyond = np.where(
+            self.last[a] < self.last[b], rest[a],
+            np.where(self.last[a] > self.last[b], rest[b], np.maximum(rest[a], rest[b]))
+        )
+        fits = (np.minimum(self.hot[a], self.hot[b]) + beyond) * (100 + ALIKE) >= (n[a] + n[b]) * ALIKE
+        a, b = self.set_id[a[fits]], self.set_id[b[fits]]
+        return pa.RecordBatch.from_pydict(
+            {"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())}
+        )
 
 
 def _candidates(turn: int | None, following: int):
@@ -129,72 +272,113 @@ def _candidates(turn: int | None, following: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sets, large, across in zip(batch.column("sets"), batch.column("large").to_pylist(), batch.column("across").to_pylist(), strict=True):
-                x = sets.values
-                ids, n, at, root, block = (x.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("set_id", "n", "at", "root", "block"))
+            for sets, large, across in zip(
+                batch.column("sets"), batch.column("large").to_pylist(), batch.column("across").to_pylist(), strict=True
+            ):
+                x = _Members(sets.values)
                 if turn is not None and large:
-                    order = np.argsort(mix64(ids.view(np.uint64) + np.uint64(turn)))
-                    ids, n, at, root = ids[order], n[order], at[order], root[order]
+                    x.sort(np.argsort(mix64(x.set_id.view(np.uint64) + np.uint64(turn))))
                     for step in range(1, following + 1):
-                        a = np.arange(max(0, len(ids) - step))
-                        yield _pairs(a, a + step, ids, n, at, root)
+                        a = np.arange(max(0, len(x.n) - step))
+                        yield x.pairs(a, a + step)
                     continue
-                order = np.argsort(n, kind="stable")
-                ids, n, at, root, block = ids[order], n[order], at[order], root[order], block[order]
-                end = np.searchsorted(n, n * 100 // ALIKE, "right")  # behind the last set small enough for each
-                count = np.maximum(end - np.arange(len(n)) - 1, 0)
-                for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(np.cumsum(count) // PAIRS)) + 1):
+                x.sort(np.argsort(x.n, kind="stable"))
+                end = np.searchsorted(x.n, x.n * 100 // ALIKE, "right")  # behind the last set small enough for each
+                count = np.maximum(end - np.arange(len(x.n)) - 1, 0)
+                for part in np.split(np.arange(len(x.n)), np.flatnonzero(np.diff(np.cumsum(count) // PAIRS)) + 1):
                     a = np.repeat(part, count[part])
                     b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(count[part]) - count[part], count[part])
                     if across:
-                        a, b = a[block[a] != block[b]], b[block[a] != block[b]]
-                    yield _pairs(a, b, ids, n, at, root)
+                        apart = x.block[a] != x.block[b]
+                        a, b = a[apart], b[apart]
+                    yield x.pairs(a, b)
 
     return run
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose texts are alike; rows with equal b stand together, so its shingles are made once."""
+    words: dict[bytes, int] = {}
+    last, found = None, None
     for batch in batches:
-        a, b = batch.column("found_a"), batch.column("found_b")
         keep = []
-        for x, y in zip(a, b, strict=True):
-            p, q = x.values.to_numpy(), y.values.to_numpy()
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(both * 100 >= (len(p) + len(q) - both) * ALIKE)
+        for b, x, y in zip(batch.column("b").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
+            if len(words) > 100_000:
+                words.clear()
+            if b != last:
+                last, found = b, shingles(y.as_py(), words)
+            other = shingles(x.as_py(), words)
+            both = len(np.intersect1d(other, found, assume_unique=True))
+            keep.append(both * 100 >= (len(other) + len(found) - both) * ALIKE)
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs of set ids that are alike, by their full sets."""
+    """The pairs of set ids that are alike. Texts travel, not their shingles, which take thrice the room."""
     pairs = stored(pairs.distinct(), "copy-pairs")
-    wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(sets, "set_id").select("set_id", "th")
-    full = stored(texts.join(wanted.select("th"), "th", "left_semi").dropDuplicates(["th"]).mapInArrow(_full, "th bigint, found array<bigint>").join(wanted, "th").select("set_id", "found"), "copy-sets")
-    both = pairs.join(full.select(F.col("set_id").alias("a"), F.col("found").alias("found_a")), "a").join(full.select(F.col("set_id").alias("b"), F.col("found").alias("found_b")), "b")
-    return stored(both.mapInArrow(_alike, "a bigint, b bigint"), "copy-links")
-
-
-def _close(once: DataFrame) -> DataFrame:
+    wanted = stored(
+        pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().join(sets, "set_id").select("set_id", "th"),
+        "copy-wanted"
+    )
+    one = stored(texts.join(wanted, "th").dropDuplicates(["set_id"]).select("set_id", "text"), "copy-texts")
+    both = pairs.join(
+        one.select(F.col("set_id").alias("a"), F.col("text").alias("text_a")), "a"
+    ).join(one.select(F.col("set_id").alias("b"), F.col("text").alias("text_b")), "b")
+    links = stored(both.sortWithinPartitions("b").mapInArrow(_alike, "a bigint, b bigint"), "copy-links")
+    forget(links.sparkSession, one.stored_at)
+    return links
+
+
+def _close(sets: DataFrame) -> DataFrame:
     """a, b: pairs of sets that the SimHash index holds for close: equal fingerprints, and links of near ones."""
-    codes = stored(once.groupBy("fp").agg(F.min("set_id").alias("one")), "copy-codes")
-    equal = once.join(codes, "fp").where("set_id <> one").select(F.col("one").alias("a"), F.col("set_id").alias("b"))
+    codes = stored(sets.groupBy("fp").agg(F.min("set_id").alias("one")), "copy-codes")
+    equal = sets.join(codes, "fp").where("set_id <> one").select(F.col("one").alias("a"), F.col("set_id").alias("b"))
     links = near_links(codes.select("fp"))
-    near = links.join(codes.select(F.col("fp").alias("a"), F.col("one").alias("one_a")), "a").join(codes.select(F.col("fp").alias("b"), F.col("one").alias("one_b")), "b")
+    near = links.join(
+        codes.select(F.col("fp").alias("a"), F.col("one").alias("one_a")), "a"
+    ).join(codes.select(F.col("fp").alias("b"), F.col("one").alias("one_b")), "b")
     pairs = equal.unionByName(near.select(F.col("one_a").alias("a"), F.col("one_b").alias("b")))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _possible(counted: DataFrame, known: DataFrame) -> DataFrame:
+    """a, b of the pairs (a, b, shared) that may be alike by what their prefixes share, and aren't connected.
+
+    ``known``: set_id, n, last, hot and root of each set; at most ``hot`` of what a
+    prefix shares stands in large lists, which ``shared`` doesn't count.
+    """
+    for side in ("a", "b"):
+        own = known.select(
+            F.col("set_id").alias(side),
+            *[F.col(c).alias(f"{c}_{side}") for c in ("n", "last", "hot", "root")]
+        )
+        counted = counted.join(own, side)
+    rest = {x: F.floor((F.col(f"n_{x}") * ALIKE + 99) / 100) - 1 for x in ("a", "b")}
+    beyond = F.when(
+        F.col("last_a") < F.col("last_b"), rest["a"]
+    ).when(F.col("last_a") > F.col("last_b"), rest["b"]).otherwise(F.greatest(rest["a"], rest["b"]))
+    most = F.col("shared") + F.least("hot_a", "hot_b") + beyond
+    enough = most * (100 + ALIKE) >= (F.col("n_a") + F.col("n_b")) * ALIKE
+    return counted.where(enough & (F.col("root_a") != F.col("root_b"))).select("a", "b")
+
+
 def _lists(members: DataFrame, turn: int | None, block: int) -> DataFrame:
     """sets, large, across: the sets of each shingle, in blocks; without a ``turn``, a row for each pair of blocks."""
     blocks = F.ceil(F.col("sets_n") / block).cast("int")
     own = F.pmod(F.xxhash64("set_id", F.lit(turn or 0)), blocks).cast("int")
     rows = members.withColumn("block", own)
     if turn is None:
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("across", F.col("block") != F.col("other"))
+        rows = rows.withColumn(
+            "other", F.explode(F.sequence(F.lit(0), blocks - 1))
+        ).withColumn("across", F.col("block") != F.col("other"))
         keys = ["shingle", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")]
     else:
         rows = rows.withColumn("across", F.lit(False))
         keys = ["shingle", "block"]
-    found = rows.groupBy(*keys).agg(F.collect_list(F.struct("set_id", "n", "at", "root", "block")).alias("sets"), F.first("large").alias("large"), F.first("across").alias("across"))
+    found = rows.groupBy(*keys).agg(
+        F.collect_list(F.struct("set_id", "n", "at", "root", "hot", "last", "block")).alias("sets"),
+        F.first("large").alias("large"), F.first("across").alias("across")
+    )
     return found.select("sets", "large", "across").where(F.size("sets") > 1)
 
 
@@ -208,29 +392,70 @@ def copy_groups(docs: DataFrame, large: int = LARGE, following: int = NEXT, bloc
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(text.alias("text"), F.xxhash64(text).alias("th"))
     share = max(1, docs.count() // SAMPLE)
-    sample = texts.where(F.pmod("th", F.lit(share)) == 0).dropDuplicates(["th"]).mapInArrow(_full, "th bigint, found array<bigint>")
-    counted = sample.select(F.explode("found").alias("shingle")).groupBy("shingle").count().where(F.col("count") >= COMMON)
-    common = np.array([x.shingle for x in counted.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).select("shingle").collect()], np.int64).view(np.uint64)
+    sample = texts.where(F.pmod("th", F.lit(share)) == 0).dropDuplicates(["th"]).mapInArrow(_full, "shingle bigint")
+    counted = sample.groupBy("shingle").count().where(F.col("count") >= COMMON)
+    common = np.array(
+        [x.shingle for x in counted.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).select("shingle").collect()],
+        np.int64
+    ).view(np.uint64)
     common.sort()
     with scratch(docs.sparkSession) as kept:
-        made = stored(texts.mapInArrow(_prefixes(common), _SET), "copy-prefixes")
-        sets = stored(made.groupBy("set_id").agg(F.min("th").alias("th")), "copy-ids")
-        once = stored(made.join(sets, ["set_id", "th"], "left_semi").dropDuplicates(["set_id"]).drop("th"), "copy-once")
-        pair = "a bigint, b bigint"
-        links = _verified(_close(once), sets, texts)
+        made = stored(texts.mapInArrow(_sets(common), _SET), "copy-sets")
+        sets = stored(
+            made.groupBy("set_id").agg(F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("fp", "n", "last")]),
+            "copy-ids"
+        )
+        links = _verified(_close(sets), sets, texts)
+        roots = components(links, "copy-roots").withColumnRenamed("node", "set_id")
+        # Entries travel in packs; each place is sorted and its lists are solved in memory.
+        bits = max(1, (made.agg(F.sum(F.ceil(F.col("n") / 5) + 1)).first()[0] or 0) // PLACE).bit_length()
+        packs = texts.mapInArrow(_packed(common, bits, large), "place bigint, pack binary")
+        met = stored(
+            packs.repartition("place").sortWithinPartitions("place").mapInArrow(_met(bits, large), _MET), "copy-met"
+        )
+        entries = stored(
+            met.where("shingle IS NOT NULL").select("shingle", F.col("a").alias("set_id"), "at").distinct(),
+            "copy-entries"
+        )
+        hot = stored(entries.groupBy("set_id").agg(F.count("*").alias("hot")), "copy-hot")
+        sizes = stored(
+            sets.select("set_id", "n", "last").join(hot, "set_id", "left").withColumn(
+                "hot", F.coalesce("hot", F.lit(0))
+            ),
+            "copy-sizes"
+        )
+        known = sizes.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+        counted = met.where("shingle IS NULL").groupBy("a", "b").agg(F.count("*").alias("shared"))
+        links = links.unionByName(_verified(_possible(counted, known), sets, texts))
         for turn in (*range(ROUNDS), None):
             roots = components(links, "copy-roots").withColumnRenamed("node", "set_id")
-            members = once.join(roots, "set_id", "left").select("set_id", "n", F.coalesce("root", "set_id").alias("root"), F.posexplode("prefix").alias("at", "shingle"))
-            # Lists of one root are done, and so are small ones after the first turn. Only shingles are shuffled to tell.
-            size = members.groupBy("shingle").agg(F.count("*").alias("sets_n"), F.min("root").alias("low"), F.max("root").alias("high"))
-            left = stored(size.where(f"low <> high and sets_n > {large if turn != 0 else 1}").select("shingle", "sets_n", F.expr(f"sets_n > {large}").alias("large")), "copy-left")
+            if entries.isEmpty():
+                break
+            members = entries.join(sizes, "set_id").join(roots, "set_id", "left").withColumn(
+                "root", F.coalesce("root", "set_id")
+            )
+            # Lists of one root are done.
+            size = members.groupBy("shingle").agg(
+                F.count("*").alias("sets_n"), F.min("root").alias("low"), F.max("root").alias("high")
+            )
+            left = stored(
+                size.where("low <> high").select("shingle", "sets_n", F.expr(f"sets_n > {large}").alias("large")),
+                "copy-left"
+            )
             if left.isEmpty():
                 break
-            pairs = _lists(members.join(left, "shingle"), turn, block).mapInArrow(_candidates(turn, following), pair)
+            entries = stored(entries.join(left.select("shingle"), "shingle", "left_semi"), "copy-entries")
+            pairs = _lists(members.join(left, "shingle"), turn, block).mapInArrow(
+                _candidates(turn, following), "a bigint, b bigint"
+            )
             links = links.unionByName(_verified(pairs, sets, texts))
         else:
             roots = components(links, "copy-roots").withColumnRenamed("node", "set_id")
-        by_text = made.select("th", "set_id").distinct().join(roots, "set_id", "left").select("th", F.coalesce("root", "set_id").alias("root"))
+        by_text = made.select("th", "set_id").distinct().join(roots, "set_id", "left").select(
+            "th", F.coalesce("root", "set_id").alias("root")
+        )
         by_text = stored(by_text, "copy-texts")
         kept.append(by_text)
-    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("th")).join(by_text, "th").select("doc_id", "th", "root")
+    return docs.select(
+        F.col("doc_id").cast("bigint"), F.xxhash64(text).alias("th")
+    ).join(by_text, "th").select("doc_id", "th", "root")
