@@ -32,7 +32,7 @@ SAMPLE, COMMON = 20_000, 8
 #: Common shingles at most; any number is right.
 MOST_COMMON = 100_000
 #: A shingle with more sets is not compared pair by pair at once, but first each with its next few neighbours.
-LARGE, NEXT = 64, 3
+LARGE, NEXT = 16, 3
 #: Sets of one shingle that meet in one row, about; more are dealt over blocks.
 BLOCK = 512
 #: Rounds of neighbours, each in another order, before all pairs that are not yet connected.
