@@ -6,8 +6,10 @@ close together are compared in full, and those alike are connected. Fingerprints
 the rest is found exactly. In any order of all shingles, two sets this alike share
 one among the first fifth, the prefix, of each. Sets that share a prefix shingle and
 aren't connected yet are candidates, and candidates are compared in full, so every
-pair is found and no other is linked. Shingles common in a sample come last in the
-order: that decides how many candidates there are, but not what is found.
+pair is found and no other is linked. Shingles of more than a few texts come last in
+the order: that decides how many candidates there are, but not what is found. Where
+many sets meet, those are no candidates whose sketches differ in more cells than sets
+that are alike can.
 """
 
 from __future__ import annotations
@@ -27,23 +29,27 @@ WORDS = 5
 #: Two texts are near copies from this Jaccard similarity on, in per cent.
 ALIKE = 80
 SEED = 42
-#: Texts in the sample that tells common shingles, and how many of them make one common.
-SAMPLE, COMMON = 20_000, 8
-#: Common shingles at most; any number is right.
-MOST_COMMON = 100_000
+#: A shingle of more texts is common, however many texts there are.
+COMMON = 8
+#: Common shingles at most, those of the most texts; any number is right.
+MOST_COMMON = 2_000_000
+#: Low bits of a shingle that don't count when common ones are told.
+LOW = 24
+#: Cells of a sketch at most.
+CELLS = 65_536
 #: A shingle with more sets is not compared pair by pair at once, but first each with its next few neighbours.
 LARGE, NEXT = 16, 3
 #: Sets of one shingle that meet in one row, about; more are dealt over blocks.
 BLOCK = 512
 #: Rounds of neighbours, each in another order, before all pairs that are not yet connected.
 ROUNDS = 2
-#: Pairs that are held at once, about.
-PAIRS = 50_000
+#: Pairs that are held at once, about, and bytes of their sketches.
+PAIRS, SKETCHED = 50_000, 4_000_000
 
 #: Entries of prefixes that meet in one place, about.
 PLACE = 300_000
 
-_SET = "th bigint, set_id bigint, n int, fp bigint, last bigint"
+_SET = "th bigint, set_id bigint, n int, fp bigint, last bigint, sketch binary"
 _MET = "a bigint, b bigint, shingle bigint, n int, at int"
 #: An entry of a prefix: sizes are exact below the largest value, and larger sets stand at place 0.
 _ENTRY = np.dtype([("shingle", "<u8"), ("set_id", "<i8"), ("n", "<u2"), ("at", "<u2")])
@@ -76,11 +82,17 @@ def _need(n: int) -> int:
     return -(-n * ALIKE // 100)
 
 
+def _late(found: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which shingles are among the common ones, given by their sorted first bits."""
+    if not len(common):
+        return np.zeros(len(found), bool)
+    first = found >> np.uint64(LOW)
+    return common[np.minimum(np.searchsorted(common, first), len(common) - 1)] == first
+
+
 def prefix(found: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The shingles of which one is shared with each set that is alike, those in the sorted ``common`` last."""
-    late = np.zeros(len(found), bool)
-    if len(common):
-        late = common[np.minimum(np.searchsorted(common, found), len(common) - 1)] == found
+    """The shingles of which one is shared with each set that is alike, the ``common`` ones last."""
+    late = _late(found, common)
     return np.concatenate([found[~late], found[late]])[: len(found) - _need(len(found)) + 1]
 
 
@@ -99,9 +111,104 @@ def _id_of(found: np.ndarray) -> int:
     return int(np.array([xxh64_intdigest(found.tobytes(), SEED)], np.uint64).view(np.int64)[0])
 
 
-def _full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for th, x in _each(batches):
-        yield pa.RecordBatch.from_pydict({"shingle": pa.array(x.view(np.int64))})
+def sketch(found: np.ndarray) -> bytes:
+    """Whether each of two to four times as many cells as shingles (``CELLS`` at most) holds an odd number of them.
+
+    Two sets of shingles differ in at least as many shingles as their sketches in cells.
+    """
+    cells = min(max(64, 1 << (2 * len(found)).bit_length()), CELLS)
+    held = np.bincount((found & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits((held & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketches: np.ndarray, words: int) -> np.ndarray:
+    """A row of ``words`` 64-bit words for each sketch of so many or more; shorter ones are rows of zeros."""
+    out = np.zeros((len(sketches), words), np.uint64)
+    for i, x in enumerate(sketches):
+        if len(x) >= words * 8:
+            out[i] = np.bitwise_xor.reduce(np.frombuffer(x, "<u8").reshape(-1, words), axis=0)
+    return out
+
+
+def _differ(sketches: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many cells the sketches of each pair differ, the longer one folded to the length of the shorter."""
+    words = np.array([len(x) // 8 for x in sketches])
+    short = np.minimum(words[a], words[b])
+    out = np.zeros(len(a), np.int64)
+    for w in np.unique(short):
+        rows = _folded(sketches, w)
+        these = np.flatnonzero(short == w)
+        step = max(1, SKETCHED // (8 * int(w)))
+        for i in range(0, len(these), step):
+            part = these[i : i + step]
+            out[part] = np.bitwise_count(rows[a[part]] ^ rows[b[part]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+    """Each place and its packs; equal places stand together."""
+    now, held = None, []
+    for batch in batches:
+        for place, pack in zip(batch.column("place").to_pylist(), batch.column("pack").to_pylist(), strict=True):
+            if place != now and held:
+                yield now, held
+                held = []
+            now = place
+            held.append(pack)
+    if held:
+        yield now, held
+
+
+def _counted(bits: int):
+    """Five bytes for each shingle of a text, in packs: those of a place share the first ``bits``, eight or more, of their shingle.
+
+    They are the next bits, up to ``LOW``, and a byte of the text's hash, by which copies of a text count once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(x >> np.uint64(LOW) << np.uint64(8)) | np.uint64(th & 255) for th, x in _each([batch])]
+            every = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+            place = (every >> np.uint64(72 - LOW - bits)).astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, int)
+            packed = np.ascontiguousarray(every.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+            parts = [packed[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(place)), strict=False)]
+            yield pa.RecordBatch.from_pydict({"place": pa.array(place[first]), "pack": pa.array(parts, pa.binary())})
+
+    return run
+
+
+def _told(bits: int):
+    """The common shingles of each place: their first bits, and in the last byte of how many texts they are, as far as it goes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for place, packs in _places(batches):
+            packed = np.frombuffer(b"".join(packs), np.uint8).reshape(-1, 5)
+            every = np.zeros((len(packed), 8), np.uint8)
+            every[:, :5] = packed
+            found, count = np.unique(np.unique(every.view("<u8").ravel()) >> np.uint64(8), return_counts=True)
+            # Only the bits that the place doesn't give are new.
+            found = (found & np.uint64((1 << (64 - LOW - bits)) - 1)) | np.uint64(place << (64 - LOW - bits))
+            often = count > COMMON
+            told = (found[often] << np.uint64(8)) | np.minimum(count[often], 255).astype(np.uint64)
+            yield pa.RecordBatch.from_pydict({"told": pa.array([told.astype("<u8").tobytes()], pa.binary())})
+
+    return run
+
+
+def common_shingles(texts: DataFrame) -> np.ndarray:
+    """The sorted first bits of the shingles that more than ``COMMON`` of ``texts`` (text, th) have.
+
+    All texts are counted, not a sample: in a sample of a given size, what counts as
+    common would be in ever more texts, and lists of such shingles ever longer.
+    """
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = min(max(8, (chars // 6 // PLACE).bit_length()), 24)
+    packs = texts.mapInArrow(_counted(bits), "place bigint, pack binary")
+    told = packs.repartition("place").sortWithinPartitions("place").mapInArrow(_told(bits), "told binary")
+    found = np.frombuffer(b"".join(x.told for x in told.where(F.length("told") > 0).collect()), "<u8")
+    most = np.argsort(found & np.uint64(255), kind="stable")[-MOST_COMMON:]
+    return np.sort(found[most] >> np.uint64(8))
 
 
 def _sets(common: np.ndarray):
@@ -109,21 +216,22 @@ def _sets(common: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ths, ids, sizes, bits, lasts = [], [], [], [], []
+            ths, ids, sizes, bits, lasts, sketches = [], [], [], [], [], []
             for th, x in _each([batch]):
                 ths.append(th)
                 ids.append(_id_of(x))
                 sizes.append(len(x))
                 bits.append(bits_of(x))
                 end = prefix(x, common)[-1:] if len(x) else np.zeros(1, np.uint64)
-                late = len(common) and common[min(np.searchsorted(common, end[0]), len(common) - 1)] == end[0]
-                lasts.append((int(end[0]) >> 2) | (int(late) << 62))
+                lasts.append((int(end[0]) >> 2) | (int(_late(end, common)[0]) << 62))
+                sketches.append(sketch(x))
             columns = {
                 "th": pa.array(ths, pa.int64()), "set_id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int32())
             }
             yield pa.RecordBatch.from_pydict(
                 columns
                 | {"fp": pa.array(np.array(bits, np.uint64).view(np.int64)), "last": pa.array(lasts, pa.int64())}
+                | {"sketch": pa.array(sketches, pa.binary())}
             )
 
     return run
@@ -223,26 +331,19 @@ def _met(bits: int, large: int):
             )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            for place, pack in zip(batch.column("place").to_pylist(), batch.column("pack").to_pylist(), strict=True):
-                if place != now and held:
-                    yield from solved(now, held)
-                    held = []
-                now = place
-                held.append(pack)
-        if held:
-            yield from solved(now, held)
+        for place, packs in _places(batches):
+            yield from solved(place, packs)
 
     return run
 
 
 class _Members:
-    """The sets of a list: size, place and root, entries in large lists, and where the prefix ends."""
+    """The sets of a list: size, place and root, entries in large lists, where the prefix ends, and sketch."""
 
     def __init__(self, x: pa.StructArray) -> None:
         for c in ("set_id", "n", "at", "root", "hot", "last", "block"):
             setattr(self, c, x.field(c).to_numpy(zero_copy_only=False).astype(np.int64))
+        self.sketch = x.field("sketch").to_numpy(zero_copy_only=False)
 
     def sort(self, order: np.ndarray) -> None:
         for c, x in vars(self).items():
@@ -261,6 +362,9 @@ class _Members:
             np.where(self.last[a] > self.last[b], rest[b], np.maximum(rest[a], rest[b]))
         )
         fits = (np.minimum(self.hot[a], self.hot[b]) + beyond) * (100 + ALIKE) >= (n[a] + n[b]) * ALIKE
+        a, b = a[fits], b[fits]
+        # Sets that are alike differ in few shingles, so in no more cells.
+        fits = _differ(self.sketch, a, b) * (100 + ALIKE) <= (n[a] + n[b]) * (100 - ALIKE)
         a, b = self.set_id[a[fits]], self.set_id[b[fits]]
         return pa.RecordBatch.from_pydict(
             {"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())}
@@ -376,7 +480,7 @@ def _lists(members: DataFrame, turn: int | None, block: int) -> DataFrame:
         rows = rows.withColumn("across", F.lit(False))
         keys = ["shingle", "block"]
     found = rows.groupBy(*keys).agg(
-        F.collect_list(F.struct("set_id", "n", "at", "root", "hot", "last", "block")).alias("sets"),
+        F.collect_list(F.struct("set_id", "n", "at", "root", "hot", "last", "block", "sketch")).alias("sets"),
         F.first("large").alias("large"), F.first("across").alias("across")
     )
     return found.select("sets", "large", "across").where(F.size("sets") > 1)
@@ -391,18 +495,11 @@ def copy_groups(docs: DataFrame, large: int = LARGE, following: int = NEXT, bloc
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(text.alias("text"), F.xxhash64(text).alias("th"))
-    share = max(1, docs.count() // SAMPLE)
-    sample = texts.where(F.pmod("th", F.lit(share)) == 0).dropDuplicates(["th"]).mapInArrow(_full, "shingle bigint")
-    counted = sample.groupBy("shingle").count().where(F.col("count") >= COMMON)
-    common = np.array(
-        [x.shingle for x in counted.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).select("shingle").collect()],
-        np.int64
-    ).view(np.uint64)
-    common.sort()
+    common = common_shingles(texts)
     with scratch(docs.sparkSession) as kept:
         made = stored(texts.mapInArrow(_sets(common), _SET), "copy-sets")
         sets = stored(
-            made.groupBy("set_id").agg(F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("fp", "n", "last")]),
+            made.groupBy("set_id").agg(F.min("th").alias("th"), *[F.first(c).alias(c) for c in ("fp", "n", "last", "sketch")]),
             "copy-ids"
         )
         links = _verified(_close(sets), sets, texts)
@@ -417,9 +514,12 @@ def copy_groups(docs: DataFrame, large: int = LARGE, following: int = NEXT, bloc
             met.where("shingle IS NOT NULL").select("shingle", F.col("a").alias("set_id"), "at").distinct(),
             "copy-entries"
         )
-        hot = stored(entries.groupBy("set_id").agg(F.count("*").alias("hot")), "copy-hot")
+        hot = stored(
+            entries.groupBy("set_id").agg(F.count("*").alias("hot")).join(sets.select("set_id", "sketch"), "set_id"),
+            "copy-hot"
+        )
         sizes = stored(
-            sets.select("set_id", "n", "last").join(hot, "set_id", "left").withColumn(
+            sets.select("set_id", "n", "last").join(hot.select("set_id", "hot"), "set_id", "left").withColumn(
                 "hot", F.coalesce("hot", F.lit(0))
             ),
             "copy-sizes"
@@ -445,7 +545,8 @@ def copy_groups(docs: DataFrame, large: int = LARGE, following: int = NEXT, bloc
             if left.isEmpty():
                 break
             entries = stored(entries.join(left.select("shingle"), "shingle", "left_semi"), "copy-entries")
-            pairs = _lists(members.join(left, "shingle"), turn, block).mapInArrow(
+            members = members.join(left, "shingle").join(hot.select("set_id", "sketch"), "set_id")
+            pairs = _lists(members, turn, block).mapInArrow(
                 _candidates(turn, following), "a bigint, b bigint"
             )
             links = links.unionByName(_verified(pairs, sets, texts))

@@ -6,6 +6,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -661,6 +662,50 @@ def test_near_dedup_against_brute_force(spark, monkeypatch, sizes):
     ) == sorted(set(roots.tolist()))
 
 
+def test_sets_unlike_are_no_candidates(monkeypatch):
+    """Of many sets in one list, pairs follow the alike, not the square; sketches of other lengths rule none of those out."""
+    from sheafline.llm import shingle_copies
+
+    monkeypatch.setattr(shingle_copies, "SKETCHED", 10_000)
+    r = np.random.default_rng(5)
+    some = lambda n: r.integers(0, 1 << 64, n, np.uint64, endpoint=False)
+    base = some(130)
+    sets = [np.unique(np.concatenate([base[r.random(130) < 0.8], some(r.integers(10, 40))])) for _ in range(300)]
+    sets += [np.unique(np.concatenate([x, some(5)])) for x in sets[:20]]
+    sets += [np.unique(x[: len(x) * 82 // 100]) for x in sets[20:40]]
+    both = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    alike = {
+        (a, b) for b in range(len(sets)) for a in range(b)
+        if (m := both(a, b)) * 100 >= (len(sets[a]) + len(sets[b]) - m) * shingle_copies.ALIKE
+    }
+    rows = [
+        {
+            "set_id": i, "n": len(x), "at": 0, "root": i, "hot": len(x), "last": 0, "block": 0,
+            "sketch": shingle_copies.sketch(x)
+        }
+        for i, x in enumerate(sets)
+    ]
+    batch = pa.RecordBatch.from_pylist([{"sets": rows, "large": True, "across": False}])
+    got = [
+        (x["a"], x["b"]) for part in shingle_copies._candidates(None, 3)([batch]) for x in part.to_pylist()
+    ]
+    assert len({len(x["sketch"]) for x in rows}) > 1
+    assert len(alike) >= 40 and alike <= set(got)
+    assert len(got) < 2 * len(alike) < len(sets) ** 2 // 50
+
+
+def test_common_shingles_of_all_texts(spark):
+    """A shingle of nine texts is common in a table of any size; copies of a text count once."""
+    from sheafline.llm import shingle_copies
+
+    line = "this line stands in nine texts"
+    rows = [(f"{line} a{i} b{i} c{i} d{i} e{i}",) for i in range(9)] + [("one text that has many copies",)] * 50
+    rows += [(f"v{i} w{i} x{i} y{i} z{i}",) for i in range(45_000)]
+    df = spark.createDataFrame(rows, "text string").selectExpr("text", "xxhash64(text) AS th")
+    want = shingle_copies.shingles(line) >> np.uint64(shingle_copies.LOW)
+    assert shingle_copies.common_shingles(df).tolist() == sorted(want.tolist())
+
+
 # --- benchmark
 
 
